@@ -22,7 +22,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lorekeep.llm.common import ascii_words, materialise, read_table
 
@@ -30,39 +29,34 @@ WINDOW = 13
 GRAM = 6
 #: A window entry takes about 200 bytes, so the broadcast table stays under about 100 MB.
 BROADCAST_WINDOWS = 500_000
-_SENTINEL = 0  # one row of each document, whatever it matches
+PER_WINDOW = WINDOW - GRAM + 1
 
 
-def _gram_hashes(words: Column, n: int) -> Column:
-    """Hash of the n words from each position, in order; empty where there are fewer."""
-    return F.when(
-        F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _gram_hashes(words: Column) -> tuple[Column, Column]:
+    """Hashes of two words and, from column ``pairs``, of six words from each position; the last five mean nothing."""
+    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    return pairs, F.transform("pairs", lambda p, i: F.xxhash64(p, F.get("pairs", i + 2), F.get("pairs", i + 4)))
 
 
-def _minima(hashes: Column) -> Column:
-    """The smallest hash of each run of eight, in order."""
-    span = WINDOW - GRAM + 1
-    return F.when(
-        F.size(hashes) >= span, F.transform(F.sequence(F.lit(1), F.size(hashes) - (span - 1)), lambda i: F.array_min(F.slice(hashes, i, span)))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _with_grams(df: DataFrame) -> DataFrame:
+    pairs, grams = _gram_hashes(F.col("words"))
+    return df.withColumn("pairs", pairs).withColumn("grams", grams).drop("pairs")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per distinct window: value (its fingerprint), gram (its length in words), at (the gram's first word
     in the window, from 0), len, window (words joined by a space), items (sorted distinct ids as strings)."""
-    words = F.col("words")
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), ascii_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    long_windows = items.where(F.size("words") >= WINDOW).select(
-        "item", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.slice(words, i, WINDOW))).alias("words")
-    )
-    hashes = _gram_hashes(words, GRAM)
-    of_long = long_windows.select(
-        "item", F.lit(GRAM).alias("gram"), F.lit(WINDOW).alias("len"), F.concat_ws(" ", "words").alias("window"), hashes.alias("h")
-    ).select("item", "gram", "len", "window", F.array_min("h").alias("value"), (F.array_position("h", F.array_min("h")) - 1).cast("int").alias("at"))
-    of_short = items.where(F.size("words") < WINDOW).select(
-        "item", F.size("words").alias("gram"), F.size("words").alias("len"), F.concat_ws(" ", "words").alias("window"),
-        F.xxhash64("words").alias("value"), F.lit(0).alias("at"),
+    items = _with_grams(items)
+    n = F.size("words")
+    of_long = (
+        items.where(n >= WINDOW)
+        .select("item", "words", "grams", F.explode(F.sequence(F.lit(1), n - (WINDOW - 1))).alias("pos"))
+        .select("item", F.slice("words", F.col("pos"), WINDOW).alias("words"), F.slice("grams", F.col("pos"), PER_WINDOW).alias("h"))
+        .select("item", F.lit(GRAM).alias("gram"), F.lit(WINDOW).alias("len"), F.concat_ws(" ", "words").alias("window"), F.array_min("h").alias("value"), (F.array_position("h", F.array_min("h")) - 1).cast("int").alias("at"))
+    )
+    of_short = items.where(n < WINDOW).select(
+        "item", (-n).alias("gram"), n.alias("len"), F.concat_ws(" ", "words").alias("window"), F.xxhash64("words").alias("value"), F.lit(0).alias("at"),
     )
     return (
         of_long.unionByName(of_short)
@@ -71,57 +65,73 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     )
 
 
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """A row for each change of the window's leftmost minimum: gram, value, place (the gram's first word, from 1).
+    Besides, one row of each document with gram 0, whatever it holds."""
+    pos = F.col("pos")
+    windows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_words") - (WINDOW - 1)))).alias("pos"))
+    grams = windows.select("*", *[F.get("grams", pos + (j - 2)).alias(f"g{j}") for j in range(PER_WINDOW + 1)])
+    # g0 is the gram that has just left the window, the last one has just come in
+    inner = F.least(*[F.col(f"g{j}") for j in range(1, PER_WINDOW)])
+    grams = grams.select("*", inner.alias("inner"))
+    last = F.col(f"g{PER_WINDOW}")
+    changed = grams.where((pos <= 1) | (F.col("g0") <= F.col("inner")) | (last < F.col("inner")))
+    value = F.least(F.col("inner"), last)
+    offset = F.lit(PER_WINDOW - 1)
+    for j in reversed(range(1, PER_WINDOW)):
+        offset = F.when(F.col(f"g{j}") == value, F.lit(j - 1)).otherwise(offset)
+    own = pos == 0
+    return changed.select(
+        *rows.columns,
+        F.when(own, F.lit(0)).otherwise(F.lit(GRAM)).alias("gram"),
+        F.when(own, F.lit(0).cast("long")).otherwise(value).alias("value"),
+        (pos + offset).alias("place"),
+    )
+
+
+def _short_grams(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row for each run of as many words as a short item has: gram (minus the length), value, place (from 1)."""
+    each = rows.select("*", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len")).where(F.col("n_words") >= F.col("len"))
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("n_words") - F.col("len") + 1)).alias("place"))
+    return each.select(*rows.columns, (-F.col("len")).alias("gram"), F.xxhash64(F.slice("words", F.col("place"), F.col("len"))).alias("value"), "place")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted ids), spans (start, end of the windows)."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted ids), spans (lo, hi of each window)."""
     spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark))
-    sizes = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("len") < WINDOW, F.col("len"))).alias("short")).first()
-    index = windows.groupBy("value", "gram").agg(F.collect_list(F.struct("at", "len", "window", "items")).alias("entries"))
-    sentinel = spark.createDataFrame([(_SENTINEL, 0, [])], index.schema)
-    index = index.unionByName(sentinel)
+    sizes = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("gram") < 0, F.col("len"))).alias("short")).first()
+    index = windows.groupBy("gram", "value").agg(F.collect_list(F.struct("at", "len", "window", "items")).alias("entries"))
+    index = index.unionByName(spark.createDataFrame([(0, 0, [])], index.schema))  # what each document's own row meets
     if sizes["n"] <= BROADCAST_WINDOWS:
         index = F.broadcast(index)
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), ascii_words(F.col(text_col)).alias("words")
     )
-    rows = rows.withColumn("hashes", _gram_hashes(F.col("words"), GRAM))
-    wanted = [F.transform(F.array_distinct(_minima(F.col("hashes"))), lambda v: F.struct(F.lit(GRAM).alias("gram"), v.alias("value")))]
-    wanted += [
-        F.transform(F.array_distinct(_gram_hashes(F.col("words"), n)), lambda v, n=n: F.struct(F.lit(n).alias("gram"), v.alias("value")))
-        for n in sorted(sizes["short"])
-        if n != GRAM
-    ]
-    if GRAM in sizes["short"]:  # then every gram of that length is wanted, not the minima alone
-        wanted[0] = F.transform(F.array_distinct(F.col("hashes")), lambda v: F.struct(F.lit(GRAM).alias("gram"), v.alias("value")))
-    seen = F.array(F.struct(F.lit(0).alias("gram"), F.lit(_SENTINEL).cast("long").alias("value")))
-    exploded = rows.withColumn("f", F.explode(reduce(lambda a, b: F.concat(a, b), wanted, seen))).select("*", "f.gram", "f.value").drop("f")
-    matched = exploded.join(index, ["gram", "value"])
-
-    words, hashes, n = F.col("words"), F.col("hashes"), F.size("words")
-    at = F.when(
-        F.col("gram") == GRAM, F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.element_at(hashes, i + 1) == F.col("value"))
-    ).otherwise(F.filter(F.sequence(F.lit(0), n - F.col("gram")), lambda i: F.xxhash64(F.slice(words, i + 1, F.col("gram"))) == F.col("value")))
-    at = F.when(F.col("gram") == 0, F.array().cast("array<int>")).otherwise(at)
+    rows = _with_grams(rows.withColumn("n_words", F.size("words")))
+    marks = [_fingerprints(rows)] + ([_short_grams(rows, sorted(sizes["short"]))] if sizes["short"] else [])
 
+    # No filter on the matches here: pushed into the join, it would take the join out of the generated code in which
+    # unmatched fingerprints cost nothing, and every one of them would carry a copy of its document's words.
     def extended(entry: Column) -> Column:
-        starts = F.transform(F.col("places"), lambda i: i - entry["at"])
-        whole = F.filter(
-            starts,
-            lambda s: (s >= 0) & (s + entry["len"] <= F.col("n_words")) & (F.concat_ws(" ", F.slice(words, s + 1, entry["len"])) == entry["window"]),
-        )
-        return F.struct(F.transform(whole, lambda s: F.struct(s.alias("lo"), (s + entry["len"]).alias("hi"))).alias("spans"), entry["items"].alias("items"))
-
-    hits = (
-        matched.select("doc_id", "text_hash", n.alias("n_words"), "words", "entries", (F.col("gram") == 0).alias("own"), at.alias("places"))
-        .withColumn("hit", F.filter(F.transform("entries", extended), lambda e: F.size(e["spans"]) > 0))
-        .where("own or size(hit) > 0")
-        .select("doc_id", "text_hash", "n_words", "own", F.flatten("hit.spans").alias("spans"), F.flatten("hit.items").alias("items"))
-    )
+        lo = F.col("place") - entry["at"]
+        fits = (lo >= 1) & (lo + entry["len"] - 1 <= F.col("n_words"))
+        same = F.when(fits, F.concat_ws(" ", F.slice("words", F.when(fits, lo).otherwise(1), entry["len"])) == entry["window"])
+        return F.when(same, F.struct((lo - 1).alias("lo"), (lo - 1 + entry["len"]).alias("hi"), entry["items"].alias("items")))
+
+    hits = reduce(
+        DataFrame.unionByName,
+        [
+            m.join(index, ["gram", "value"])
+            .select("doc_id", "text_hash", "n_words", (F.col("gram") == 0).alias("own"), F.filter(F.transform("entries", extended), lambda e: e.isNotNull()).alias("hit"))
+            for m in marks
+        ],
+    )
     merged = hits.groupBy("doc_id", "text_hash", "n_words").agg(
         F.count_if("own").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("hit", lambda e: F.struct(e["lo"], e["hi"])))))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.flatten("hit.items"))))).alias("items"),
     )
     zero = F.struct(F.lit(0).alias("hi"), F.lit(0).alias("n"))
     n_hit = F.aggregate(
