@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import decontamination, exact_dedup
+from lorekeep.llm import bpe, decontamination, exact_dedup, licenses, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_bpe": bpe.op3_bpe,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_simhash": simhash.op7_simhash,
         "op8_decontamination": decontamination.op8_decontamination,
     }
 
