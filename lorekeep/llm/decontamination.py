@@ -150,6 +150,13 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without contaminated documents (of rows that share an id, all go if one does). Columns stay as they are;
+    only the ids that go are joined back, usually few enough to be broadcast by their size."""
+    gone = materialise(find_contamination(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("__dc_gone")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__dc_gone"]), "left_anti").select(*docs.columns)
+
+
 def op8_decontamination(spark, sf_dir):
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(

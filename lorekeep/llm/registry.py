@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import bpe, decontamination, exact_dedup, licenses, simhash
+from lorekeep.llm import bpe, chat, decontamination, exact_dedup, html_text, language, licenses, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_language": language.op2_language,
         "op3_bpe": bpe.op3_bpe,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_chat_format": chat.op6_chat_format,
         "op7_simhash": simhash.op7_simhash,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
