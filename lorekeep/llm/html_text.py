@@ -228,7 +228,7 @@ def main_text(page: str | None) -> str:
     best = outer or best
     kept: list[str] = []
     siblings = best.parent.parts if best.parent is not None else [best]
-    least = max(10.0, 0.2 * best_score)
+    least = max(1.0, 0.2 * best_score)
     for part in siblings:
         if part is best:
             _blocks(part, kept)

@@ -122,7 +122,7 @@ def fit(rows: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred and score (columns of these names are replaced)."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         langs, scores = model.predict(texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("__li", of(F.coalesce(F.col("text"), F.lit("")))).select(*docs.columns, "__li.lang_pred", "__li.score")
+    return docs.withColumn("__li", of(F.coalesce(F.col("text"), F.lit("")))).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "__li.lang_pred", "__li.score")
 
 
 def op2_language(spark, sf_dir):

@@ -33,12 +33,14 @@ from lorekeep.llm.common import fold, materialise, read_table, ship_package
 from lorekeep.llm.quality import training_rows
 
 SAMPLE = 20_000
-TERMS = 2048
+TERMS = 512
 EXAMPLES = 2048
 BLOCK = 64
 NEAREST = 15
-LEAST_DOCUMENTS = 5
-LEAST_CHI = 12.0
+LEAST_DOCUMENTS = 4
+LEAST_CHI = 4.0
+#: A term's chi-square must also be this share of the rows at least, which leaves chance finds in large samples out.
+LEAST_PHI = 0.004
 FLAG = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,7 +121,7 @@ class Index:
             return 0.0, best, cos
         w = self.votes[best] / (1.05 - np.minimum(cos, 1.0))
         share = (w * self.toxic[best]).sum() / w.sum()
-        return float(share * (0.5 + 0.5 * cos.mean())), best, cos
+        return float(share * cos.mean()), best, cos  # votes from afar count for less
 
 
 def _index(sample: DataFrame, terms: list[tuple[str, int]], n: int, shares: dict[int, float]) -> Index:
@@ -162,8 +164,8 @@ def fit(labelled: DataFrame) -> Index | None:
     """An index from rows (doc_id, text, label 0 or 1); None where nothing can be learned."""
     ship_package(labelled.sparkSession)
     rows = fitting.bounded_sample(labelled.where("label is not null and doc_id is not null"), "doc_id", SAMPLE)
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(4))
-    rows = materialise(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("label") > 0).cast("int").alias("label"), part.alias("part")))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(8))
+    rows = materialise(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("label") > 0).cast("int").alias("label"), part.alias("part")).dropDuplicates(["text", "label"]))  # copies would make chance terms look telling
     n1, n0 = (rows.where((F.col("label") == y) & (F.col("part") > 0)).count() for y in (1, 0))
     if not n1 or not n0:
         return None
@@ -173,7 +175,7 @@ def fit(labelled: DataFrame) -> Index | None:
     a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
     odds: Column = a * (n0 - b) - b * (n1 - a)
     chi = total * odds * odds / (float(n1) * float(n0) * (a + b) * (total - a - b + 0.5))
-    top = counts.select("term", (F.col("a") + F.col("b")).alias("df"), chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
+    top = counts.select("term", (F.col("a") + F.col("b")).alias("df"), chi.alias("chi")).where(F.col("chi") >= max(LEAST_CHI, LEAST_PHI * total)).orderBy(F.desc("chi"), "term").limit(TERMS)
     terms = [(r["term"], r["df"]) for r in top.collect()]
     index = _index(rows, terms, n1 + n0, {1: n1 / total, 0: n0 / total})
     tested = score_with(rows.where("part = 0"), index, raw=True)
@@ -182,7 +184,7 @@ def fit(labelled: DataFrame) -> Index | None:
 
 
 def score_with(docs: DataFrame, index: Index, raw: bool = False) -> DataFrame:
-    """``docs`` with score, evidence (ids of the nearest examples) and cosines."""
+    """``docs`` with score, evidence (ids of the nearest examples) and cosines (columns of these names are replaced)."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("score double, evidence array<long>, cosines array<double>")
@@ -191,7 +193,7 @@ def score_with(docs: DataFrame, index: Index, raw: bool = False) -> DataFrame:
         scores = np.array([g[0] for g in got])
         return pd.DataFrame({"score": scores if raw else fitting.calibrated(scores, index.points), "evidence": [index.ids[g[1]] for g in got], "cosines": [g[2] for g in got]})
 
-    return docs.withColumn("__tx", of(F.coalesce(F.col("text"), F.lit("")))).select(*docs.columns, "__tx.*")
+    return docs.withColumn("__tx", of(F.coalesce(F.col("text"), F.lit("")))).select(*[c for c in docs.columns if c not in ("score", "evidence", "cosines")], "__tx.*")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
