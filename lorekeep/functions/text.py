@@ -21,10 +21,14 @@ def normalise_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no function for it."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return of(text)
 
 
 def flatten_clip(text: Column, limit: int) -> Column:

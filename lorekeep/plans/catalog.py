@@ -398,7 +398,7 @@ def _raw_lines(spark, sf_dir):
         F.when(F.col("r") != 3, F.when(F.col("r") == 4, "bad id!").otherwise(F.concat_ws("-", "conv_id", "turn"))).alias("uuid"), F.concat(F.lit("s"), F.col("conv_id")).alias("sessionId"), when.alias("timestamp"),
     )
     raw = F.when(F.col("r") == 5, "{not json").when(F.col("r") == 6, tool).when(F.col("r") == 7, result).when(F.col("r") == 8, F.lit(None)).otherwise(plain)
-    return rows.select(F.concat(F.lit("p/"), F.col("conv_id"), F.lit(".jsonl")).alias("source_key"), F.lit("p").alias("project"), F.col("turn").cast("int").alias("line_no"), F.lpad(F.col("turn").cast("string"), 9, "0").alias("seq"), raw.alias("raw"))
+    return rows.select(F.concat(F.lit("p/"), F.col("conv_id"), F.lit(".jsonl")).alias("source_key"), F.lit("p").alias("project"), F.col("turn").cast("int").alias("line_no"), raw.alias("raw"))
 
 
 def skip_tally(spark, sf_dir):

@@ -12,7 +12,7 @@ SKIPS = ("unparseableLine", "notATurn", "missingPointerField", "malformedIdentif
 
 _BLOCK = "type string, text string, name string, is_error boolean, content string, input struct<" + ", ".join(f"{f}:string" for f in TOOL_FIELDS) + ">"
 _ROW = f"""
-SELECT source_key, project, line_no, seq, raw, record,
+SELECT source_key, project, line_no, raw, record,
        try_variant_get(record, '$.type', 'string') AS type,
        try_variant_get(record, '$.uuid', 'string') AS uuid,
        try_variant_get(record, '$.sessionId', 'string') AS session_id,
@@ -25,25 +25,29 @@ FROM {{lines}}
 """
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(source_key, project, line_no, seq, raw): all whole lines of ``<root>/<project>/**/*.jsonl``.
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """``<root>/<project>/**/*.jsonl`` as rows of the binary source; a session's log is one row and small."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+
+
+def source_key(root: str) -> Column:
+    return F.substring_index("path", root.rstrip("/") + "/", -1)
 
-    Files are cut at newlines by position, so that a last line without one is told apart (``raw`` null, see
-    ``incompleteTrailingRecord``). A file is one row of the binary source; logs of a session are small.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    return lines_of_files(files, root)
 
+def lines_of_files(files: DataFrame, root: str, done: Column | None = None) -> DataFrame:
+    """(source_key, project, line_no, raw): the lines after the first ``done`` bytes (default: all).
 
-def lines_of_files(files: DataFrame, root: str, from_byte: Column | None = None) -> DataFrame:
-    base = root.rstrip("/") + "/"
-    key = F.substring_index("path", base, -1)
-    content = F.col("content") if from_byte is None else F.substring(F.col("content"), (from_byte + 1).cast("int"), F.length("content").cast("int"))
-    whole = files.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), F.col("modificationTime").alias("modified"), F.decode(content, F.lit("UTF-8")).alias("content"))
-    lines = F.split("content", "\n")
-    each = whole.select("source_key", "project", "modified", F.size(lines).alias("n"), F.posexplode(lines).alias("line_no", "raw"))
+    Files are cut at newlines by position, so that a last line without one is told apart: ``raw`` is null there, see
+    ``incompleteTrailingRecord``. Line numbers count from the file's start wherever reading starts.
+    """
+    key = source_key(root)
+    done = F.coalesce(done, F.lit(0)).cast("int") if done is not None else F.lit(0)
+    prefix = F.decode(F.substring(F.col("content"), F.lit(1), done), "ISO-8859-1")
+    skipped = F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit("")))
+    whole = files.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), skipped.alias("skipped"), F.split(F.col("content").cast("string"), "\n").alias("lines"))
+    each = whole.select("source_key", "project", "skipped", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "raw"))
     last = F.col("line_no") == F.col("n") - 1
-    return each.where(~last | (F.col("raw") != "")).select("source_key", "project", F.col("line_no"), F.concat_ws(":", F.date_format("modified", "yyyyMMddHHmmss"), F.lpad(F.col("line_no"), 9, "0")).alias("seq"), F.when(~last, F.col("raw")).alias("raw"))
+    return each.where((F.col("line_no") >= F.col("skipped")) & (~last | (F.col("raw") != ""))).select("source_key", "project", "line_no", F.when(~last, F.col("raw")).alias("raw"))
 
 
 def _clip(value: Column) -> Column:
@@ -77,34 +81,38 @@ def classify(lines: DataFrame) -> DataFrame:
         .when(only_results, "toolResultOnly")
         .when(F.coalesce(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), F.lit("")) == "", "noIndexableText")
     )
-    return rows.select("source_key", "project", "line_no", "seq", "uuid", "session_id", "ts", "role", "text", reason.alias("skip_reason"))
+    return rows.select("source_key", "project", "line_no", "uuid", "session_id", "ts", "role", "text", reason.alias("skip_reason"))
 
 
 def turns(classified: DataFrame) -> DataFrame:
-    """The turns among classified lines, as ``operators.index.build_chunks`` takes them."""
+    """The turns among classified lines, as ``operators.index.build_chunks`` takes them. ``seq`` orders observations by
+    what they say, time and line, so a chunk's last observation is the same however its sources were read."""
     from lorekeep.functions.text import fingerprint
 
-    return classified.where("skip_reason is null").select("project", fingerprint(F.col("project")).alias("project_fingerprint"), "uuid", "source_key", "session_id", "ts", "role", "text", "seq")
+    seq = F.concat_ws(":", F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("line_no").cast("string"), 9, "0"))
+    return classified.where("skip_reason is null").select("project", fingerprint(F.col("project")).alias("project_fingerprint"), "uuid", "source_key", "session_id", "ts", "role", "text", seq.alias("seq"))
 
 
 def skip_tally(classified: DataFrame) -> DataFrame:
     return classified.where("skip_reason is not null").groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole_bytes() -> Column:
+    """Bytes up to the last newline."""
+    text = F.decode("content", "ISO-8859-1")  # a character a byte
+    return (F.length(text) - F.length(F.substring_index(text, "\n", -1))).cast("long")
+
+
 def cursors(files: DataFrame, root: str) -> DataFrame:
     """(source_key, project, prefix_hash, processed_bytes): up to each file's last newline."""
-    base = root.rstrip("/") + "/"
-    key = F.substring_index("path", base, -1)
-    text = F.decode("content", F.lit("ISO-8859-1"))  # a character a byte
-    done = F.length(text) - F.length(F.substring_index(text, "\n", -1))
-    return files.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), F.sha2(F.substring(F.col("content"), F.lit(1), done.cast("int")), 256).alias("prefix_hash"), done.cast("long").alias("processed_bytes"))
+    key = source_key(root)
+    prefix = F.substring(F.col("content"), F.lit(1), _whole_bytes().cast("int"))
+    return files.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), F.sha2(prefix, 256).alias("prefix_hash"), _whole_bytes().alias("processed_bytes"))
 
 
 def found_files(files: DataFrame, root: str, scan_state: DataFrame) -> DataFrame:
     """(source_key, project, size, prefix_hash): the hash of as many bytes as the stored cursor covers."""
-    base = root.rstrip("/") + "/"
-    keyed = files.withColumn("source_key", F.substring_index("path", base, -1)).join(scan_state.select("source_key", "processed_bytes"), "source_key", "left")
-    prefix = F.sha2(F.substring(F.col("content"), F.lit(1), F.greatest(F.lit(0), F.coalesce("processed_bytes", F.lit(0))).cast("int")), 256)
-    text = F.decode("content", F.lit("ISO-8859-1"))
-    size = F.length(text) - F.length(F.substring_index(text, "\n", -1))
-    return keyed.select("source_key", F.substring_index("source_key", "/", 1).alias("project"), size.cast("long").alias("size"), prefix.alias("prefix_hash"))
+    state = scan_state.select("source_key", F.col("processed_bytes").alias("done"))
+    keyed = files.withColumn("source_key", source_key(root)).join(state, "source_key", "left")
+    prefix = F.substring(F.col("content"), F.lit(1), F.greatest(F.lit(0), F.coalesce("done", F.lit(0))).cast("int"))
+    return keyed.select("source_key", F.substring_index("source_key", "/", 1).alias("project"), _whole_bytes().alias("size"), F.sha2(prefix, 256).alias("prefix_hash"))
