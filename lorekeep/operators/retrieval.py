@@ -30,18 +30,17 @@ def depth(k: Column) -> Column:
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: n chunks, mean trigram count, mean token count."""
-    return chunks.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("trigram_avgdl"),
-        F.avg(fn.segment_count(fn.segments(F.col("text")))).alias("segment_avgdl"),
+    seen = chunks.select(F.length("text").alias("length"), fn.segments(F.col("text")).alias("tokens"))
+    return seen.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.col("length") - 2, F.lit(0))).alias("trigram_avgdl"), F.avg(fn.segment_count(F.col("tokens"))).alias("segment_avgdl")
     )
 
 
-def _searched(channel: str) -> tuple[Column, Column]:
-    """What a channel looks at in ``text``, and its length."""
-    if channel == "trigram":
-        return F.lower("text"), F.greatest(F.length("text") - 2, F.lit(0))
-    return fn.segments(F.col("text")), fn.segment_count(fn.segments(F.col("text")))
+def _seen(chunks: DataFrame, channel: str) -> DataFrame:
+    """(chunk_id, project, hay, dl): what a channel looks at, worked out once a chunk, and its length."""
+    hay = F.lower("text") if channel == "trigram" else fn.segments(F.col("text"))
+    length = F.greatest(F.length("hay") - 2, F.lit(0)) if channel == "trigram" else fn.segment_count(F.col("hay"))
+    return chunks.select("chunk_id", "project", hay.alias("hay")).select("*", length.cast("int").alias("dl"))
 
 
 def _phrase(channel: str, query: Column) -> Column:
@@ -56,14 +55,13 @@ def lexical_matches(chunks: DataFrame, queries: DataFrame, channel: str) -> Data
     The batch of queries becomes one array that each chunk is tried with in its own row.
     """
     phrases = queries.select("qid", "variant", _phrase(channel, F.col("text")).alias("phrase")).where("phrase <> ''").collect()
-    looked_for = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["variant"]).alias("variant"), F.lit(r["phrase"]).alias("phrase")) for r in phrases])
+    looked_for = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["variant"]).alias("variant"), F.lit(r["phrase"]).alias("phrase"), F.lit(fn.overlaps_itself(r["phrase"])).alias("overlapping")) for r in phrases])
     if not phrases:
         return chunks.sparkSession.createDataFrame([], "qid int, variant int, chunk_id long, project string, tf int, dl int")
-    searched, length = _searched(channel)
-    seen = chunks.select("chunk_id", "project", searched.alias("hay"), length.alias("dl"))
-    held = seen.select("chunk_id", "project", "dl", "hay", F.filter(looked_for, lambda q: F.contains(F.col("hay"), q["phrase"])).alias("held")).where(F.size("held") > 0)
-    each = held.select("chunk_id", "project", "dl", "hay", F.explode("held").alias("q"))
-    return each.select("q.qid", "q.variant", "chunk_id", "project", fn.phrase_count(F.col("hay"), F.col("q.phrase")).alias("tf"), F.col("dl").cast("int").alias("dl"))
+    held = _seen(chunks, channel).select("*", F.filter(looked_for, lambda q: F.contains(F.col("hay"), q["phrase"])).alias("held"))
+    # explode_outer: from a plain explode, Spark would derive a filter and push it, with the work on the text in it, to the scan
+    each = held.select("chunk_id", "project", "dl", "hay", F.explode_outer("held").alias("q")).where("q is not null")
+    return each.select("q.qid", "q.variant", "chunk_id", "project", fn.phrase_count(F.col("hay"), F.col("q.phrase"), F.col("q.overlapping")).alias("tf"), "dl")
 
 
 def bm25(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column) -> Column:
@@ -89,7 +87,8 @@ def lexical_channel(chunks: DataFrame, queries: DataFrame, channel: str, statist
         .select("qid", "variant", "chunk_id", "k", F.round(bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl")), 9).alias("score"))
     )
     within = Window.partitionBy("qid", "variant").orderBy(F.desc("score"), "chunk_id")
-    ranked = scored.withColumn("place", F.row_number().over(within)).where(F.col("place") <= depth(F.col("k")))
+    deepest = max((max(5 * r["k"], 50) for r in queries.select("k").collect()), default=0)  # a constant lets each task trim its own matches
+    ranked = scored.withColumn("place", F.row_number().over(within)).where(F.col("place") <= deepest).where(F.col("place") <= depth(F.col("k")))
     first = ranked.groupBy("qid", "chunk_id").agg(F.min(F.struct("variant", "place", "score")).alias("m"), F.first("k").alias("k"))
     overall = Window.partitionBy("qid").orderBy("m.variant", "m.place")
     return first.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= depth(F.col("k"))).select("qid", "chunk_id", F.lit(channel).alias("channel"), "rank", F.col("m.score").alias("score"))

@@ -10,7 +10,7 @@ from lorekeep.functions import text as fn
 from lorekeep.operators import evaluate, index, memory, rerank, retrieval
 from lorekeep.sources import events as event_log
 from lorekeep.sources import logs
-from lorekeep.sources.tables import table, written
+from lorekeep.sources.tables import spread, table, written
 
 #: qid, text, k, project
 QUERIES = [(1, "thing", 10, None), (2, "of the", 10, None), (3, "und der", 10, None), (4, "de la", 5, "p1"), (5, "th", 10, None)]
@@ -21,11 +21,13 @@ CLASSED = ["釘選", "釘選版", "釘選版本比較", "tokenizer", "FTS5 分
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("p"), F.pmod("doc_id", F.lit(5))).alias("project"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("p"), F.pmod("doc_id", F.lit(5))).alias("project"), "text"))
 
 
 def asked(spark: SparkSession, rows=QUERIES) -> DataFrame:
-    return spark.createDataFrame(rows, "qid int, text string, k int, project string").withColumn("variant", F.lit(0))
+    cell = lambda x: "NULL" if x is None else repr(x)
+    values = ", ".join(f"({', '.join(map(cell, r))}, 0)" for r in rows)
+    return spark.sql(f"SELECT qid, text, k, CAST(project AS STRING) AS project, variant FROM VALUES {values} AS t(qid, text, k, project, variant)")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
