@@ -162,3 +162,18 @@ def op8_decontamination(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated")
     )
+
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT * FROM (SELECT item_id::VARCHAR AS item, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+bw AS (SELECT DISTINCT item, least(len(words), 13) AS n, array_to_string(words[j:j + least(len(words), 13) - 1], ' ') AS win FROM b, unnest(range(1, len(words) - least(len(words), 13) + 2)) AS t(j)),
+dw AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS win FROM (SELECT d.*, l.n FROM d, (SELECT DISTINCT n FROM bw) l WHERE len(words) >= l.n) x, unnest(range(1, len(words) - n + 2)) AS t(i)),
+h AS (SELECT DISTINCT doc_id, i, n, item FROM dw JOIN bw USING (n, win)),
+p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM h) x, unnest(range(i, i + n)) AS t(k) GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
+"""

@@ -43,10 +43,11 @@ def test_filter_never_clears_a_repeat_even_when_full(make, monkeypatch):
     assert all(got[i]["keep_id"] == (i + 700 if i + 700 < 1000 else i) for i in range(1000))
 
 
-def test_exact_equals_its_sql(spark, sf, duck):
-    got = exact_dedup.op5_exact_dedup(spark, sf).toPandas()
-    want = duck.execute(exact_dedup.ORACLE_SQL).fetchdf()
+@pytest.mark.parametrize("query,sql", [(exact_dedup.op5_exact_dedup, exact_dedup.ORACLE_SQL), (decontamination.op8_decontamination, decontamination.ORACLE_SQL)])
+def test_equals_its_sql(spark, sf, duck, query, sql):
+    got, want = query(spark, sf).toPandas(), duck.execute(sql).fetchdf()
     cols = sorted(want.columns)
+    assert cols == sorted(got.columns)
     assert sorted(map(tuple, got[cols].astype(str).to_numpy())) == sorted(map(tuple, want[cols].astype(str).to_numpy()))
 
 
