@@ -38,11 +38,10 @@ def ascii_words(text: Column) -> Column:
 
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; where that is unset (tests), a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lorekeep.scratch", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{named}")
-        named = f"file://{named}"
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("lorekeep.scratch", named)
     return named
 
 
