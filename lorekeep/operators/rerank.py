@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.sources.shipping import ship_package
+
 #: The most places that a strategy of each authority may move a result.
 CEILINGS = {"archival": 0, "human-like": 10, "conservative": 10}
 #: A result page of one query is never longer.
@@ -56,6 +58,7 @@ def rerank(ranked: DataFrame, strengths: DataFrame, strategy: str, bound: int |
     known = F.col("net").isNotNull() if strategy != "archival" else F.lit(False)
     rows = rows.select("qid", "anchor", "pos", "base_score", "band", F.col(segment).cast("long").alias("segment"), F.coalesce("net", F.lit(0.0)).alias("net"), known.alias("known"))
     if bound:
+        ship_package(ranked.sparkSession)
 
         def moved(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("pos").reset_index(drop=True)
