@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.sources.shipping import ship_package
+
+__all__ = ["ascii_lower", "ascii_words", "fold", "materialise", "read_table", "scratch_folder", "ship_package"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII characters that are neither letters nor digits (capitals are lowered before).
@@ -53,17 +54,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/lorekeep-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless their PYTHONPATH has it."""
-    root = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lorekeep_shipped", False):
-        return
-    to = Path(tempfile.mkdtemp(prefix="spark-")) / "lorekeep.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted((root / "lorekeep").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(to))
-    sc._lorekeep_shipped = True
