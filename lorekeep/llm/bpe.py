@@ -7,7 +7,7 @@ aggregation gives each word's ids, and another, over the vocabulary's bytes, dec
 those of its pretokens in order; so are its decoded bytes.
 
 Memory: a task holds one Arrow batch, the DuckDB limit (``DUCKDB_MB``), and words met before, which are forgotten
-beyond ``WORDS_KEPT``. Nothing is shuffled. Pretokens of any length take the same way: rows are sent in blocks of at
+beyond about ``WORDS_KEPT``, those not used of late first. Nothing is shuffled. Pretokens of any length take the same way: rows are sent in blocks of at
 most ``BLOCK_BYTES`` bytes, or one word.
 
 Defined cases: null and empty texts encode to no ids and decode to no bytes; repeated rows each get their row; columns
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import read_table, ship_package
 
 DUCKDB_MB = 160
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 BLOCK_BYTES = 800_000
 #: Characters of text whose pretokens are held at once; the more, the fewer recursive queries.
 CHARS_AT_ONCE = 12_000_000
@@ -50,7 +50,7 @@ WITH RECURSIVE t(word, key, token, round) AS (
 SELECT t.word, t.key & 4294967295 AS place, t.token FROM t JOIN (SELECT word, max(round) AS round FROM t GROUP BY word) USING (word, round)
 """
 _READ = """
-SELECT word, count(*) AS n, string_agg(token, ' ' ORDER BY place) AS ids, unhex(string_agg(v.hex, '' ORDER BY place)) AS bytes
+SELECT word, string_agg(token, ' ' ORDER BY place) AS ids, unhex(string_agg(v.hex, '' ORDER BY place)) AS bytes
 FROM coded JOIN vocabulary v USING (token) GROUP BY word
 """
 
@@ -75,7 +75,9 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB", "preserve_insertion_order": False})
         self._table("merges", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._table("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, str] = {}  # ids of the words used of late, in decimal, joined by spaces
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}  # decoded bytes where they are not the word's own
 
     def _table(self, name: str, data) -> None:
         self.db.register("incoming", data)
@@ -93,13 +95,20 @@ class Codec:
         place = np.arange(len(whole)) - np.repeat(ends - lengths, lengths)
         self._table("pieces", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "place": place.astype(np.int32), "token": np.array(self.byte, np.int32)[whole]}))
         self.db.execute(f"CREATE OR REPLACE TABLE coded AS {_ENCODE}")
-        for word, n, ids, back in self.db.execute(_READ).fetchall():
-            self.known[words[word]] = (ids, n, back)
+        for word, ids, back in self.db.execute(_READ).fetchall():
+            self.known[words[word]] = ids
+            if back != parts[word]:
+                self.odd[words[word]] = back
 
     def learn(self, words) -> None:
         """Encodes and decodes the words that aren't known yet."""
+        if len(self.known) > WORDS_KEPT // 2:
+            self.known, self.older = {}, self.known
+        new = set(words) - self.known.keys()
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
         block, size = [], 0
-        for w in sorted(set(words) - self.known.keys(), key=len):  # words of like length need like numbers of rounds
+        for w in sorted(new - self.known.keys(), key=len):  # words of like length need like numbers of rounds
             n = len(w.encode())
             if block and size + n > BLOCK_BYTES:
                 self._block(block)
@@ -112,7 +121,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
         self.learn(set(words))
-        return [int(i) for w in words for i in self.known[w][0].split()]
+        return [int(i) for w in words for i in self.known[w].split()]
 
     def decode(self, ids: list[int]) -> bytes:
         import numpy as np
@@ -122,20 +131,19 @@ class Codec:
             return b""
         rows = {"word": np.zeros(len(ids), np.int32), "place": np.arange(len(ids)), "token": np.array(ids, np.int32)}
         self._table("coded", pa.table(rows))
-        return self.db.execute(_READ).fetchall()[0][3]
+        return self.db.execute(_READ).fetchall()[0][2]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded bytes."""
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
         one: dict[str, str] = {}  # one object for all places of a pretoken
         split = [list(map(one.setdefault, w, w)) for w in map(self.split, texts)]
         self.learn(one.keys())
-        known, out = self.known, []
+        ids_of, odd, out = self.known.__getitem__, self.odd, []
         for words in split:
-            coded = [known[w] for w in words]
-            ids = " ".join([c[0] for c in coded]).encode()
-            out.append((sum([c[1] for c in coded]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([c[2] for c in coded])).hexdigest()))
+            ids = " ".join(map(ids_of, words))
+            # where each word's decoded bytes were found to be its own, joined they are the text's
+            back = b"".join([odd[w] if w in odd else w.encode() for w in words]) if odd else "".join(words).encode()
+            out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
         return out
 
 
