@@ -64,8 +64,8 @@ def isotonic(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
     x = np.array([b[2] / b[0] for b in blocks])
-    # half a case on either side keeps a block of one label away from 0 and 1
-    p = np.array([(b[1] + 0.5 * b[1] / b[0]) / (b[0] + 0.5) if b[1] < b[0] else (b[1] + 0.25) / (b[0] + 0.5) for b in blocks])
+    # a quarter of a case of the other label keeps a block of one label away from 0 and 1
+    p = np.array([min(max(b[1] / b[0], 0.25 / (b[0] + 0.5)), (b[0] + 0.25) / (b[0] + 0.5)) for b in blocks])
     return x, np.maximum.accumulate(p)
 
 
