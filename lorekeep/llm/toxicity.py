@@ -1,17 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are a text's words and their first and last five letters (inflected and compound forms share them). From a
-sample of labelled rows (``SAMPLE`` at most) Spark counts the documents of each class that hold a term; the
-``TERMS`` terms whose share differs most between the classes (chi-square) form the vocabulary. Up to ``EXAMPLES``
-examples of each class are indexed: postings by term, examples in blocks of ``BLOCK``, and for each term and block the
-largest weight. A query adds up the block maxima, looks at the most promising blocks first, and then only at blocks
-that could still hold one of the ``NEAREST`` best; so results are those of a full search. Neighbours vote with weights
+sample of labelled rows (``SAMPLE`` at most) Spark counts the documents of each class that hold a term. Up to
+``EXAMPLES`` examples of each class are indexed with all their terms: postings by term, examples in blocks of
+``BLOCK``, and for each term and block the largest weight. A term weighs its idf, the more the better it tells the
+classes apart (the root of chi-square a row, plus ``BASE``); none is left out, and a text's terms that no example holds
+count for its length, with the idf of a term held by one document. A query adds up the block maxima, looks at the most
+promising blocks first, and then only at blocks that could still hold one of the ``NEAREST`` best; so results are those
+of a full search. Neighbours vote with weights
 that grow with their cosine; the share of toxic votes, with classes weighed as in the sample, is calibrated by
 isotonic regression on rows outside the index. Evidence is the neighbours' ids and cosines.
 
-The index has a fixed size bound and goes to each task with the code; texts are scored whole, in Arrow batches.
+The index has a bounded number of examples and goes to each task with the code; texts are scored whole, in Arrow batches.
 
-Defined cases: null and empty texts, and texts without any term of the vocabulary, have no neighbours and get the
+Defined cases: null and empty texts, and texts without any term of the examples, have no neighbours and get the
 calibrated score of no votes; labels that are null or without a document are not used; without usable labels the
 score is 0; ties between neighbours go to the example that stands first; repeated rows each get their row; other
 columns are ignored.
@@ -25,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import fitting
@@ -33,14 +35,11 @@ from lorekeep.llm.common import fold, materialise, read_table, ship_package
 from lorekeep.llm.quality import training_rows
 
 SAMPLE = 20_000
-TERMS = 512
 EXAMPLES = 2048
 BLOCK = 64
 NEAREST = 15
-LEAST_DOCUMENTS = 4
-LEAST_CHI = 4.0
-#: A term's chi-square must also be this share of the rows at least, which leaves chance finds in large samples out.
-LEAST_PHI = 0.004
+#: What a term that doesn't tell the classes apart weighs, as a share of its idf; one that tells them wholly weighs 1 more.
+BASE = 0.02
 FLAG = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,16 +53,31 @@ def _term_sets(texts: pd.Series) -> pd.Series:
     return pd.Series([sorted({t for w in set(_WORD.findall(x.lower())) for t in word_terms(w)}) for x in texts])
 
 
+@dataclass
+class Maxima:
+    """For each term the blocks that hold it, with the largest weight there and where the block's postings start."""
+
+    starts: np.ndarray  # of each term's blocks
+    blocks: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray  # posting; one more at the end
+    shape: tuple[int, int]  # terms, blocks
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of ranges of n each, one range after the other."""
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
     """Examples as an inverted index with block maxima, their labels, and the calibration."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    starts: np.ndarray  # of each term's postings
+    idf: np.ndarray  # with the term's weight; last, that of terms which no example holds
     holders: np.ndarray  # examples
     weights: np.ndarray
-    maxima: np.ndarray  # term by block
+    maxima: Maxima
     votes: np.ndarray  # of each example: what it counts for
     toxic: np.ndarray
     ids: np.ndarray
@@ -79,38 +93,59 @@ class Index:
         if len(memo) > 300_000:
             memo.clear()
         counts: Counter = Counter()
+        strange: Counter = Counter()  # terms that no example holds
         for w, n in Counter(_WORD.findall(text.lower())).items():
             if (own := memo.get(w)) is None:
-                own = memo[w] = tuple(terms[t] for t in word_terms(w) if t in terms)
+                own = memo[w] = tuple(terms.get(t, t) for t in word_terms(w))
             for t in own:
-                counts[t] += n
+                if t.__class__ is int:
+                    counts[t] += n
+                else:
+                    strange[t] += n
         if not counts:
             return np.array([], np.int64), np.array([])
         ids = np.fromiter(counts.keys(), np.int64, len(counts))
         x = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[ids]
-        return ids, x / np.sqrt((x * x).sum())
+        y = (1 + np.log(np.fromiter(strange.values(), np.float64, len(strange)))) * self.idf[-1]
+        length = np.sqrt((x * x).sum() + (y * y).sum())
+        return ids, x / length if length else x
+
+    def _entries(self, terms: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the maxima of all blocks that hold the terms, and what the text weighs there."""
+        lo = self.maxima.starts[terms]
+        n = self.maxima.starts[terms + 1] - lo
+        return _ranges(lo, n), np.repeat(x, n)
+
+    def _added(self, entries: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Products with the postings of the entries, added up by example."""
+        lo = self.maxima.first[entries]
+        n = self.maxima.first[entries + 1] - lo
+        at = _ranges(lo, n)
+        return np.bincount(self.holders[at], weights=self.weights[at] * np.repeat(x, n), minlength=len(self.toxic))
 
     def _cosines(self, terms: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Exact cosines with the examples of the blocks that are marked; zero elsewhere."""
-        lo, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        who, w = self.holders[at], self.weights[at] * np.repeat(x, n)
-        on = blocks[who // BLOCK]
-        return np.bincount(who[on], weights=w[on], minlength=len(self.toxic))
+        entries, at_x = self._entries(terms, x)
+        on = blocks[self.maxima.blocks[entries]]
+        return self._added(entries[on], at_x[on])
 
     def nearest(self, terms: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, best first, those that share no term left out."""
         if not len(terms) or not len(self.toxic):
             return np.array([], np.int64), np.array([])
-        bound = x @ self.maxima[terms]
+        entries, at_x = self._entries(terms, x)
+        block = self.maxima.blocks[entries]
+        bound = np.bincount(block, weights=at_x * self.maxima.weights[entries], minlength=self.maxima.shape[1])
         first = np.zeros(len(bound), bool)
         first[np.argsort(-bound, kind="stable")[:4]] = True
-        cos = self._cosines(terms, x, first)
+        on = first[block]
+        cos = self._added(entries[on], at_x[on])
         k = min(NEAREST, len(cos))
         least = np.partition(cos, len(cos) - k)[len(cos) - k]
         more = (bound >= least - 1e-9) & (bound > 0) & ~first
         if more.any():
-            cos += self._cosines(terms, x, more)
+            on = more[block]
+            cos += self._added(entries[on], at_x[on])
         best = np.lexsort((np.arange(len(cos)), -cos))[:k]
         best = best[cos[best] > 0]
         return best, cos[best]
@@ -124,39 +159,39 @@ class Index:
         return float(share * cos.mean()), best, cos  # votes from afar count for less
 
 
-def _index(sample: DataFrame, terms: list[tuple[str, int]], n: int, shares: dict[int, float]) -> Index:
-    """The index over a written table (doc_id, text, label) of bounded size."""
-    known = {t: k for k, (t, _) in enumerate(terms)}
-    idf = np.log((n + 1) / np.array([df for _, df in terms], dtype=np.float64)) if terms else np.array([])
-    index = Index(known, idf, np.zeros(1, np.int64), *[np.array([])] * 6)
+def _index(examples: DataFrame, terms: dict[str, int], idf: np.ndarray, shares: dict[int, float]) -> Index:
+    """The index over a written table (doc_id, text, label) of a bounded number of rows."""
+    index = Index(terms, idf, *[np.array([])] * 2, Maxima(*[np.zeros(1, np.int32)] * 4, (0, 0)), *[np.array([])] * 3)
 
     @F.pandas_udf("terms array<int>, weights array<double>")
     def vectors(texts: pd.Series) -> pd.DataFrame:
         got = [index.vector(t) for t in texts]
         return pd.DataFrame({"terms": [a for a, _ in got], "weights": [b for _, b in got]})
 
-    chance = F.xxhash64(F.col("doc_id").cast("string"), F.lit("example"))
-    rows = [
-        r
-        for label in (0, 1)
-        for r in sample.where((F.col("label") == label) & (F.col("part") > 0)).withColumn("v", vectors("text")).where(F.size("v.terms") > 0)
-        .orderBy(chance, "doc_id").limit(EXAMPLES).select("doc_id", "label", "v.terms", "v.weights").collect()
-    ]
+    got = examples.withColumn("v", vectors("text")).select("doc_id", "label", "v.terms", "v.weights").toArrow()
+    columns = [got.column(c).combine_chunks() for c in ("doc_id", "label", "terms", "weights")]
+    ids, label = (np.array(c.to_pylist(), np.int64) for c in columns[:2])
+    sizes = np.array([len(x) for x in columns[2]], np.int64)
+    term, w = (c.flatten().to_numpy(zero_copy_only=False) for c in columns[2:])
     # examples that share their heaviest term stand together, which keeps block maxima tight
-    rows.sort(key=lambda r: (r["label"], r["terms"][int(np.argmax(r["weights"]))], r["doc_id"]))
-    term = np.concatenate([np.array(r["terms"], np.int64) for r in rows]) if rows else np.array([], np.int64)
-    who = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows]) if rows else np.array([], np.int64)
-    w = np.concatenate([np.array(r["weights"]) for r in rows]) if rows else np.array([])
+    ends = np.cumsum(sizes)
+    heaviest = np.array([term[e - n : e][np.argmax(w[e - n : e])] for e, n in zip(ends, sizes, strict=True)], np.int64)
+    order = np.lexsort((ids, heaviest, label))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    who = np.repeat(place, sizes)
     by = np.lexsort((who, term))
-    index.starts = np.searchsorted(term[by], np.arange(len(terms) + 1))
-    index.holders, index.weights = who[by], w[by]
-    index.maxima = np.zeros((max(1, len(terms)), -(-max(1, len(rows)) // BLOCK)))
-    if rows:
-        np.maximum.at(index.maxima, (term, who // BLOCK), w)
-    index.toxic = np.array([r["label"] for r in rows], np.float64)
+    term, who, w = term[by].astype(np.int64), who[by], w[by]
+    index.holders, index.weights = who.astype(np.int32), w
+    blocks = -(-max(1, len(ids)) // BLOCK)
+    first = np.flatnonzero(np.diff(term * blocks + who // BLOCK, prepend=-1))
+    starts = np.searchsorted(term[first], np.arange(len(terms) + 1)).astype(np.int32)
+    largest = np.maximum.reduceat(w, first) if len(first) else np.array([])
+    index.maxima = Maxima(starts, (who[first] // BLOCK).astype(np.int32), largest, np.append(first, len(term)).astype(np.int32), (len(terms), blocks))
+    index.toxic = label[order].astype(np.float64)
     per = {k: max(1, int((index.toxic == k).sum())) for k in (0, 1)}
-    index.votes = np.array([shares[int(y)] / per[int(y)] for y in index.toxic]) * len(rows)
-    index.ids = np.array([r["doc_id"] for r in rows], np.int64)
+    index.votes = np.array([shares[int(y)] / per[int(y)] for y in index.toxic]) * len(ids)
+    index.ids = ids[order]
     return index
 
 
@@ -171,13 +206,20 @@ def fit(labelled: DataFrame) -> Index | None:
         return None
     sets = F.pandas_udf(_term_sets, "array<string>")
     held = rows.where("part > 0").select("label", F.explode(sets("text")).alias("term"))
-    counts = held.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS)
-    a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
-    odds: Column = a * (n0 - b) - b * (n1 - a)
-    chi = total * odds * odds / (float(n1) * float(n0) * (a + b) * (total - a - b + 0.5))
-    top = counts.select("term", (F.col("a") + F.col("b")).alias("df"), chi.alias("chi")).where(F.col("chi") >= max(LEAST_CHI, LEAST_PHI * total)).orderBy(F.desc("chi"), "term").limit(TERMS)
-    terms = [(r["term"], r["df"]) for r in top.collect()]
-    index = _index(rows, terms, n1 + n0, {1: n1 / total, 0: n0 / total})
+    counts = held.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    chance = F.xxhash64(F.col("doc_id").cast("string"), F.lit("example"))
+    told = rows.where("part > 0").where(F.size(sets("text")) > 0)
+    toxic, clean = (told.where(F.col("label") == y).orderBy(chance, "doc_id").limit(EXAMPLES) for y in (1, 0))
+    examples = materialise(clean.unionByName(toxic).select("doc_id", "text", "label"))
+    own = examples.select(F.explode(sets("text")).alias("term")).distinct()
+    known = counts.join(own, "term", "left_semi").toArrow().sort_by("term")
+    a, b = (known.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
+    total = float(n1 + n0)
+    odds = a * (n0 - b) - b * (n1 - a)
+    phi = np.abs(odds) / np.sqrt(float(n1) * float(n0) * (a + b) * (total - a - b + 0.5))
+    idf = np.append(np.log((total + 1) / (a + b)) * (BASE + phi), np.log(total + 1) * BASE)
+    terms = {t: k for k, t in enumerate(known.column("term").to_pylist())}
+    index = _index(examples, terms, idf, {1: n1 / total, 0: n0 / total})
     tested = score_with(rows.where("part = 0"), index, raw=True)
     index.points = fitting.isotonic(*fitting.binned(tested, "score", "label"))
     return index

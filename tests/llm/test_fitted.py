@@ -111,6 +111,30 @@ def test_block_max_search_is_exact(spark):
             assert np.allclose(np.sort(cos), np.sort(full[want]))
 
 
+def test_neighbours_are_those_of_all_terms(spark):
+    """Against cosines over every term of the texts, weighed as the index does; no text with words lacks neighbours."""
+    rows = [(i, f"common shared{i % 3} text{i} {'vile' if i % 4 == 0 else 'mild'} own{i} own{i}", int(i % 4 == 0)) for i in range(60)]
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    text = {i: t for i, t, _ in rows}
+    assert all(t in index.terms for i in index.ids for w in toxicity._WORD.findall(text[i].lower()) for t in toxicity.word_terms(w))
+
+    def vector(t):
+        counts = {}
+        for w in toxicity._WORD.findall(t.lower()):
+            for x in toxicity.word_terms(w):
+                counts[x] = counts.get(x, 0) + 1
+        v = {x: (1 + np.log(n)) * index.idf[index.terms.get(x, -1)] for x, n in counts.items()}
+        length = np.sqrt(sum(y * y for y in v.values()))
+        return {x: y / length for x, y in v.items()}
+
+    whole = {i: vector(text[i]) for i in index.ids}
+    for t in [*text.values(), "text shared strange words", "own own text", "unheard"]:
+        v = vector(t)
+        want = sorted((sum(y * whole[i].get(x, 0) for x, y in v.items()) for i in index.ids), reverse=True)[: toxicity.NEAREST]
+        got = index.raw(t)[2]
+        assert np.allclose(got, [c for c in want if c > 0]) and (len(got) > 0) == (t != "unheard")
+
+
 def test_labels_and_names_are_never_inputs(spark):
     docs = read_table(spark, SF, "documents")
     shuffled = docs.withColumn("source", F.lit("x")).withColumn("n_chars", F.lit(0))
