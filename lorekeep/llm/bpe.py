@@ -7,8 +7,10 @@ aggregation gives each word's ids, and another, over the vocabulary's bytes, dec
 those of its pretokens in order; so are its decoded bytes.
 
 Memory: a task holds one Arrow batch, the DuckDB limit (``DUCKDB_MB``), and words met before, which are forgotten
-beyond about ``WORDS_KEPT``, those not used of late first. Nothing is shuffled. Pretokens of any length take the same way: rows are sent in blocks of at
-most ``BLOCK_BYTES`` bytes, or one word.
+beyond about ``WORDS_KEPT``, those not used of late first. Nothing is shuffled. Rows are sent in blocks of at most
+``BLOCK_BYTES`` bytes and ``BLOCK_ROWS`` rows over all rounds. The recursive query stores a word of n bytes up to n
+times, so pretokens of more than ``LONG_BYTES`` bytes are contracted by a queue of pairs instead, in the same order,
+in n log n steps and memory in proportion to n; they are forgotten beyond about ``LONG_KEPT`` bytes.
 
 Defined cases: null and empty texts encode to no ids and decode to no bytes; repeated rows each get their row; columns
 other than the id and the text are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +32,10 @@ from lorekeep.llm.common import read_table, ship_package
 DUCKDB_MB = 160
 WORDS_KEPT = 600_000
 BLOCK_BYTES = 800_000
+#: Rows that the recursive query may store for a block: about half the square of each word's bytes.
+BLOCK_ROWS = 8_000_000
+LONG_BYTES = 64
+LONG_KEPT = 16_000_000
 #: Characters of text whose pretokens are held at once; the more, the fewer recursive queries.
 CHARS_AT_ONCE = 12_000_000
 
@@ -77,6 +84,8 @@ class Codec:
         self._table("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.known: dict[str, str] = {}  # ids of the words used of late, in decimal, joined by spaces
         self.older: dict[str, str] = {}
+        self.long = 0  # bytes of the long words met since the last forgetting
+        self.token = {rank: token for token, rank in self.ranks.items()}
         self.odd: dict[str, bytes] = {}  # decoded bytes where they are not the word's own
 
     def _table(self, name: str, data) -> None:
@@ -100,21 +109,54 @@ class Codec:
             if back != parts[word]:
                 self.odd[words[word]] = back
 
+    def _contract(self, word: bytes) -> list[int]:
+        """The word's ids: of all pairs that merge, the leftmost of the least rank is contracted, until none is left."""
+        ranks, n = self.ranks, len(word)
+        end = list(range(1, n + 1))  # of the piece that starts at a place; 0 where none starts any more
+        before = list(range(-1, n))
+        queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, to = heapq.heappop(queue)
+            mid = end[i]
+            if not mid or mid >= to or end[mid] != to:  # one of the two has changed since
+                continue
+            end[i], end[mid] = to, 0
+            if to < n:
+                before[to] = i
+                if (r := ranks.get(word[i : end[to]])) is not None:
+                    heapq.heappush(queue, (r, i, end[to]))
+            if i and (r := ranks.get(word[before[i] : to])) is not None:
+                heapq.heappush(queue, (r, before[i], to))
+        return [ranks[word[i:e]] for i, e in enumerate(end) if e]
+
+    def _long(self, word: str) -> None:
+        part = word.encode()
+        ids = self._contract(part)
+        self.known[word] = " ".join(map(str, ids))
+        self.long += len(part)
+        if (back := b"".join(map(self.token.__getitem__, ids))) != part:
+            self.odd[word] = back
+
     def learn(self, words) -> None:
         """Encodes and decodes the words that aren't known yet."""
-        if len(self.known) > WORDS_KEPT // 2:
-            self.known, self.older = {}, self.known
+        if len(self.known) > WORDS_KEPT // 2 or self.long > LONG_KEPT // 2:
+            self.known, self.older, self.long = {}, self.known, 0
         new = set(words) - self.known.keys()
         for w in new & self.older.keys():
             self.known[w] = self.older[w]
-        block, size = [], 0
+        block, size, rows = [], 0, 0
         for w in sorted(new - self.known.keys(), key=len):  # words of like length need like numbers of rounds
             n = len(w.encode())
-            if block and size + n > BLOCK_BYTES:
+            if n > LONG_BYTES:
+                self._long(w)
+                continue
+            if block and (size + n > BLOCK_BYTES or rows + n * n // 2 > BLOCK_ROWS):
                 self._block(block)
-                block, size = [], 0
+                block, size, rows = [], 0, 0
             block.append(w)
             size += n
+            rows += n * n // 2
         if block:
             self._block(block)
 

@@ -43,6 +43,31 @@ def test_bpe_encode_then_decode(make, odd_rows, tiktoken_encoding):
     assert all(back[i] == (t or "").encode() for i, t in rows[:6] + rows[8:])
 
 
+def _run(kind, n):
+    rng = random.Random(n)
+    return {"letters": lambda: "".join(rng.choices("etaoinshrdlu", k=n)), "han": lambda: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n // 3)), "=": lambda: "=" * n, " ": lambda: " " * n}[kind]()
+
+
+@pytest.mark.parametrize("kind", ["letters", "han", "=", " "])
+def test_bpe_long_pretokens(tiktoken_encoding, kind):
+    c = bpe.codec("byte_bpe_50k.tiktoken")
+    for n in (65, 1000, 100_000):
+        text = _run(kind, n)
+        assert c.encode(text) == tiktoken_encoding.encode_ordinary(text)
+    text = _run(kind, 1_000_000)
+    assert c.digests([text])[0][2] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_bpe_long_and_short_words_take_the_same_merges(tiktoken_encoding, monkeypatch):
+    text = "supercalifragilistic antidisestablishmentarianism naïveté 漢字かな " + _run("letters", 60)
+    want = tiktoken_encoding.encode_ordinary(text)
+    for long in (0, 64):
+        monkeypatch.setattr(bpe, "LONG_BYTES", long)
+        c = bpe.codec("byte_bpe_50k.tiktoken")
+        c.known, c.older = {}, {}
+        assert c.encode(text) == want
+
+
 def test_bpe_forgets_words_beyond_the_bound(tiktoken_encoding, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 10)
