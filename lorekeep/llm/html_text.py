@@ -4,7 +4,10 @@ A page becomes a tree of block elements. Every paragraph passes points (one, one
 length) to its parent, half to the grandparent and ever less further up; a container's points are discounted by the
 share of its text that stands in links. The best container is kept, widened to the article or main element around it,
 with those of its siblings that score like it or read like prose. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments and hidden parts are left out of the tree by element, role, class or id.
+forms, scripts, comments and hidden parts are left out of the tree by element, role, class or id. A class or id does
+not count where another names the article, where it tells of a state (has-sidebar, header-fixed) or an article's head,
+where the element holds more text than all that is kept and the page's main heading, or where nothing would be left.
+Lists of links stay within the chosen container; beside it, and where that is the whole body, they count as menus.
 
 Character references are decoded, white space (line breaks included) inside a block becomes one space, and blocks are
 joined in page order by a newline. Nothing else is dropped or capped. Each page is worked out in its own row.
@@ -46,6 +49,9 @@ _UNLIKELY = re.compile(
     r"shoutbox|sidebar|skyscraper|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget|outbrain|taboola|login|signup)\d*(?:[-_\s]|$)",
     re.I,
 )
+#: Class names that tell how an element looks, or of an article's own head, and those that name the article.
+_STATE = re.compile(r"(?:has|no|with|without|hide|show|is)[-_].*|.*[-_](?:fixed|sticky|open|closed|enabled|disabled|visible|on|off|left|right)|(?:entry|post|article|page|story|content)[-_]header", re.I)
+_ARTICLE = re.compile(r"(?:(?:the|site|page|main|blog|entry|post|article|story)[-_])?(?:article|main|content|post|entry|story)(?:[-_](?:body|content|text|wrap|wrapper|container|inner|\d+))*", re.I)
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 
 
@@ -58,21 +64,28 @@ class _Node:
         self.score, self.chars, self.linked, self.links = 0.0, 0, 0, 0
 
 
-def _is_unlikely(tag: str, raw: str, inside_article: bool) -> bool:
+def _is_unlikely(tag: str, raw: str, inside_article: bool) -> str:
+    """Why the element is never main text: "surely" by its kind, "named" by its class or id; empty otherwise."""
     if tag in _DROPPED or tag == "header" and not inside_article:
-        return True
+        return "surely"
     if not raw.strip() or tag in _KEEP_WHATEVER:
-        return False
+        return ""
     attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)}
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
+        return "surely"
     if attributes.get("role", "").lower() in _ROLES:
-        return True
-    return bool(_UNLIKELY.search(entities.unescape(f"{attributes.get('class', '')} {attributes.get('id', '')}")))
+        return "surely"
+    names = entities.unescape(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    if not _UNLIKELY.search(names) or any(map(_ARTICLE.fullmatch, names.split())):
+        return ""
+    return "named" if any(_UNLIKELY.search(n) and not _STATE.fullmatch(n) for n in names.split()) else ""
 
 
-def _tree(page: str) -> _Node:
-    """The page's blocks, without what never is main text."""
+def _tree(page: str, spared: frozenset[int] | None = frozenset()) -> tuple[_Node, list[tuple[int, int, bool]]]:
+    """The page's blocks, without what never is main text; and of each element left out for its class or id its place,
+    letters, and whether it holds a main heading. Those at the places ``spared`` are kept (None: all of them)."""
+    left_out: list[tuple[int, int, bool]] = []
+    named, letters, heading = -1, 0, False
     root = node = _Node("#root", None)
     article_depth = 0
     text: list[str] = []  # of the block that is open
@@ -103,8 +116,10 @@ def _tree(page: str) -> _Node:
             text, linked, links = [], 0, 0
 
     def add(piece: str):
-        nonlocal linked
-        if piece and not skip and raw is None:
+        nonlocal linked, letters
+        if skip and raw is None:
+            letters += len(piece.strip())
+        elif piece and not skip and raw is None:
             piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
             if in_link:
@@ -129,6 +144,7 @@ def _tree(page: str) -> _Node:
                 raw = None
             continue
         if skip:
+            heading = heading or tag in ("h1", "main")
             if ends:
                 if tag in skip:
                     while skip.pop() != tag:
@@ -139,6 +155,9 @@ def _tree(page: str) -> _Node:
                 if tag == "p" and skip[-1] == "p" or tag == "li" and skip[-1] == "li":
                     skip.pop()
                 skip.append(tag)
+            if named >= 0 and (not skip or ends and tag in ("body", "html")):
+                left_out.append((named, letters, heading))
+                named = -1
             if not skip or not ends or tag not in ("body", "html"):
                 continue
             skip = []  # the page ends within it
@@ -174,9 +193,11 @@ def _tree(page: str) -> _Node:
                     leave(last.parent)
             close_block()
             in_link = False
-            if _is_unlikely(tag, m[3], article_depth > 0):
+            why = _is_unlikely(tag, m[3], article_depth > 0)
+            if why and not (why == "named" and (spared is None or m.start() in spared)):
                 if not m[3].endswith("/"):
                     skip = [tag]
+                    named, letters, heading = (m.start() if why == "named" else -1), 0, False
                 continue
             child = _Node(tag, node)
             node.parts.append(child)
@@ -185,8 +206,22 @@ def _tree(page: str) -> _Node:
         elif m[3].strip() and not m[3].endswith("/") and tag in ("span", "ins", "small") and _is_unlikely(tag, m[3], True):
             skip = [tag]
     add(page[at:])
+    if skip and named >= 0:
+        left_out.append((named, letters, heading))
     close_block()
-    return root
+    return root, left_out
+
+
+def _kept_tree(page: str) -> _Node:
+    """The tree, with elements that were left out for a class or id though they hold the page's heading and most text."""
+    spared: frozenset[int] = frozenset()
+    for _ in range(8):
+        root, left_out = _tree(page, spared)
+        more = {at for at, letters, heading in left_out if heading and letters > root.chars}
+        if not more:
+            return root if root.chars or not left_out else _tree(page, None)[0]
+        spared |= more
+    return _tree(page, None)[0]
 
 
 _PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption summary address".split())
@@ -197,8 +232,8 @@ def _density(node: _Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _blocks(node: _Node, out: list[str], top: bool = True) -> None:
-    """The node's blocks in order, without lists that are mostly links."""
+def _blocks(node: _Node, out: list[str], whole: bool = False) -> None:
+    """The node's blocks in order; unless ``whole``, without lists that are mostly links."""
     todo = [iter((node,))]
     while todo:
         part = next(todo[-1], None)
@@ -206,7 +241,7 @@ def _blocks(node: _Node, out: list[str], top: bool = True) -> None:
             todo.pop()
         elif isinstance(part, str):
             out.append(part)
-        elif part is node or not (part.tag in _LISTS and part.links > 1 and _density(part) > 0.66):
+        elif whole or part is node or not (part.tag in _LISTS and part.links > 1 and _density(part) > 0.66):
             todo.append(iter(part.parts))
 
 
@@ -214,7 +249,7 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines; empty if there is none."""
     if not page:
         return ""
-    root = _tree(page)
+    root = _kept_tree(page)
     best, best_score, todo = root, -1.0, [root]
     while todo:
         node = todo.pop()
@@ -231,7 +266,7 @@ def main_text(page: str | None) -> str:
     least = max(1.0, 0.2 * best_score)
     for part in siblings:
         if part is best:
-            _blocks(part, kept)
+            _blocks(part, kept, best.tag not in ("#root", "html", "body"))
         elif isinstance(part, _Node) and best.tag != "main":
             density, score = _density(part), part.score * (1 - _density(part))
             prose = part.tag in _PARAGRAPHS and (density < 0.25 and part.chars > 80 or part.tag[0] == "h" and density < 0.5)

@@ -241,6 +241,19 @@ def test_html_odd_pages(page, text):
         assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "page header-fixed", "post no-comments", "header", "sidebar"])
+def test_html_names_of_wrappers_lose_no_article(name):
+    body = "<h1>Title here</h1><p>First, second, third part of it.</p><p>More, and more, of it.</p><div class='comments'><p>Not, this, one.</p></div>"
+    want = "Title here\nFirst, second, third part of it.\nMore, and more, of it."
+    assert html_text.main_text(f"<body><div class='{name}'>{body}</div></body>") == want
+    assert html_text.main_text(f"<body><p>Skip</p><div class='{name}'>{body}</div></body>") in (want, "Skip\n" + want)
+
+
+def test_html_keeps_head_and_link_lists_of_the_article():
+    page = "<body><article><div class='entry-header'><h1>Title</h1></div><p>Text, more text, and so on, here.</p><ul><li><a href=a>Reference one</a><li><a href=b>Reference two</a></ul></article></body>"
+    assert html_text.main_text(page) == "Title\nText, more text, and so on, here.\nReference one\nReference two"
+
+
 def test_html_deep_and_long_pages_end():
     deep = "<div>" * 5000 + "<p>Deep, down.</p>" + "</div>" * 5000
     assert html_text.main_text(deep) == "Deep, down."
