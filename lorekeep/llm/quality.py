@@ -8,8 +8,8 @@ sample stays out of the fit and calibrates the scores by isotonic regression ove
 Statistics are computed in Arrow batches, in one pass; scores read them. Model and sums have a fixed size.
 
 Defined cases: null and empty texts have all-zero statistics and get a score like any other; labels that are null or
-without a document are not used, and several labels of one document each count; without any usable label the score is
-0.5; repeated rows each get their row; other columns are ignored.
+without a document are not used, several labels of one document are averaged; without any usable label the score is
+0.5 and ``keep_good`` keeps every document; repeated rows each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,8 +122,8 @@ def _scored(rows: DataFrame, how, to: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from rows (doc_id, features, label); about ``SAMPLE`` of them are used."""
-    rows = materialise(fitting.bounded_sample(labelled.where("label is not null"), "doc_id", SAMPLE).withColumn("part", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(5))))
+    """A model from a bounded number of rows (doc_id, features, label)."""
+    rows = materialise(labelled.where("label is not null").withColumn("part", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(5))))
     stats = rows.agg(*[f(F.get("features", F.lit(k))).alias(f"{n}{k}") for k in range(N_STATISTICS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean, scale = (np.array([stats[f"{n}{k}"] or 0.0 for k in range(N_STATISTICS)]) for n in "ms")
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0))
@@ -134,10 +134,18 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
+def learnable_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """(label_id, label) of the three folds that may be learned from; several labels of one document are averaged."""
+    own = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label"))
+    own = own.where("label is not null and label_id is not null").where(fold(F.col("label_id"), 4) != 2)
+    return own.groupBy("label_id").agg(F.avg("label").alias("label"))
+
+
 def training_rows(features: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """Rows of the three folds that may be learned from, with their label."""
-    own = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label")).where("label is not null")
-    return features.where(fold(F.col("doc_id"), 4) != 2).join(own, F.col("doc_id") == F.col("label_id")).drop("label_id")
+    """A bounded sample of rows that may be learned from, with their label. It is drawn among the labels (about ``SAMPLE``
+    of them at most), whose few ids then go to the rows, so that no row travels."""
+    own = fitting.bounded_sample(learnable_labels(labels, label_col), "label_id", SAMPLE)
+    return features.join(F.broadcast(own), F.col("doc_id") == F.col("label_id")).drop("label_id")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -151,8 +159,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts; columns stay as they are. Texts stay where they are: the model is
     fitted first, on the labelled rows alone, and then scores each text in passing."""
-    labelled = training_rows(docs.select("doc_id", "text"), labels, "quality")
-    model = fit(with_statistics(fitting.bounded_sample(labelled, "doc_id", SAMPLE)).drop("text"))
+    model = fit(with_statistics(training_rows(docs.select("doc_id", "text"), labels, "quality")).drop("text"))
+    if model.weights is None:
+        return docs
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
