@@ -127,7 +127,7 @@ def test_neighbours_are_those_of_all_terms(spark):
         return {x: y / length for x, y in v.items()}
 
     whole = {i: vector(text[i]) for i in index.ids}
-    for t in [*text.values(), "text shared strange words", "own own text", "unheard"]:
+    for t in [*text.values(), "text shared strange words", "common owned texttext", "unheard"]:
         v = vector(t)
         want = sorted((sum(y * whole[i].get(x, 0) for x, y in v.items()) for i in index.ids), reverse=True)[: toxicity.NEAREST]
         got = index.raw([t])[0][2]
