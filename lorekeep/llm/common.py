@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.sources.shipping import ship_package
 
-__all__ = ["ascii_lower", "ascii_words", "fold", "materialise", "read_table", "scratch_folder", "ship_package"]
+__all__ = ["ascii_lower", "ascii_words", "fold", "join_split", "materialise", "read_table", "scratch_folder", "ship_package"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -38,14 +38,28 @@ def ascii_words(text: Column) -> Column:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), a local one."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a local one in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lorekeep.scratch", None)
     if named is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("lorekeep.scratch", named)
     return named
 
 
+def join_split(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has one row each, with the number of left rows that it meets in ``weight``.
+
+    Keys that hold more than a thousandth of all ``total`` left rows (so fewer than a thousand keys) are broadcast and
+    their rows stay where they are; so no task of the shuffled rest gets more than a thousandth for one key.
+    """
+    hot = F.col(weight) * 1000 > total
+    many, few = F.broadcast(right.where(hot).drop(weight)), right.where(~hot).drop(weight)
+    rest = left.join(many.select(key), key, "left_anti").join(few, key)
+    return left.join(many, key).unionByName(rest)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared scratch folder and reads it back, which cuts its lineage.
 

@@ -36,11 +36,22 @@ def test_exact_drop_keeps_columns_and_one_of_each(make, odd_rows):
 
 
 def test_filter_never_clears_a_repeat_even_when_full(make, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "_blocks_for", lambda rows: 1)
-    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BLOCKS", 0)  # the way beyond the broadcast bound
+    monkeypatch.setattr(exact_dedup, "BLOCK_BITS", 64)
+    monkeypatch.setattr(exact_dedup, "MOST_BLOCKS", 1)  # a filter of 64 bits for 300 repeated texts
     rows = [(i, f"text {i % 700}") for i in range(1000)]
     got = {r["doc_id"]: r for r in exact_dedup.mark_duplicates(make(rows)).collect()}
     assert all(got[i]["keep_id"] == (i + 700 if i + 700 < 1000 else i) for i in range(1000))
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_duplicates_exact(make(rows)).collect()) == list(range(300, 1000))
+
+
+def test_only_candidates_and_few_losers_travel(make):
+    """One text in a third of all rows: whole rows that are shuffled are those that stay."""
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {i} of its own") for i in range(900)]
+    docs = make(rows)
+    flagged = exact_dedup.probe(docs, exact_dedup.repeated_hashes(docs), exact_dedup._text_hash("text"), "c")
+    assert 300 <= flagged.where("c").count() <= 310
+    got = exact_dedup.drop_duplicates_exact(docs)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted([i for i, _ in rows if i % 3] + [897])
 
 
 @pytest.mark.parametrize("query,sql", [(exact_dedup.op5_exact_dedup, exact_dedup.ORACLE_SQL), (decontamination.op8_decontamination, decontamination.ORACLE_SQL)])
