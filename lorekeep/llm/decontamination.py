@@ -8,12 +8,15 @@ match is then extended to the whole window and compared word by word, so that no
 Items of under 13 words are one window of their own length. Their whole-item hash is joined with the hashes of all
 document grams of that length (winnowing can't guarantee spans that short); lengths are at most 12, so at most 12.
 
-All of a document's work stays in its row; what is shuffled is one small row for each document and for each match.
-A passage in a third of all documents is one more small row for each. The fingerprint table is broadcast only while
-the benchmark has at most ``BROADCAST_WINDOWS`` windows; beyond that the same join is shuffled.
+A document's fingerprints first meet a filter: two bits in one of at most ``MOST_CELLS`` 64-bit cells for each benchmark
+fingerprint. It is broadcast, of bounded size whatever the benchmark's (about 100 MB at most; with more than some ten
+million windows only its error rate rises), and met in the row, so fingerprints that the benchmark lacks are never
+shuffled. Those let through carry the 20 words around them and nothing else of the text; they are joined with the
+windows, by an ordinary join, and compared word by word. Beside them there is one small row for each document. A passage
+in a third of all documents is one more small row for each.
 
 Defined cases: null or empty texts have no words (n_words 0, not contaminated) and such items no window; repeated
-rows each get their row; equal item_ids count as one; an empty benchmark hits nothing; other columns are ignored.
+rows each get their row; equal item_ids count as one, a null item_id has the empty name; an empty benchmark hits nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from lorekeep.llm.common import ascii_words, materialise, read_table
 
 WINDOW = 13
 GRAM = 6
-#: A window entry takes about 200 bytes, so the broadcast table stays under about 100 MB.
-BROADCAST_WINDOWS = 500_000
+#: Cells of 64 bits of the filter at most, each a row of about 50 bytes where it is broadcast.
+MOST_CELLS = 1 << 21
 PER_WINDOW = WINDOW - GRAM + 1
 
 
@@ -46,7 +49,7 @@ def _with_grams(df: DataFrame) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per distinct window: value (its fingerprint), gram (its length in words), at (the gram's first word
     in the window, from 0), len, window (words joined by a space), items (sorted distinct ids as strings)."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), ascii_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), ascii_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     items = _with_grams(items)
     n = F.size("words")
     of_long = (
@@ -67,7 +70,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 def _fingerprints(rows: DataFrame) -> DataFrame:
     """A row for each change of the window's leftmost minimum: gram, value, place (the gram's first word, from 1).
-    Besides, one row of each document with gram 0, whatever it holds."""
+    Besides, one row of each document with gram 0, whatever it holds; its place means nothing."""
     pos = F.col("pos")
     windows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_words") - (WINDOW - 1)))).alias("pos"))
     grams = windows.select("*", *[F.get("grams", pos + (j - 2)).alias(f"g{j}") for j in range(PER_WINDOW + 1)])
@@ -96,38 +99,60 @@ def _short_grams(rows: DataFrame, lengths: list[int]) -> DataFrame:
     return each.select(*rows.columns, (-F.col("len")).alias("gram"), F.xxhash64(F.slice("words", F.col("place"), F.col("len"))).alias("value"), "place")
 
 
+def _cells_for(windows: int) -> int:
+    cells = 1024
+    while cells < windows and cells < MOST_CELLS:
+        cells *= 2
+    return cells
+
+
+def _cell(value: Column, gram: Column, cells: int) -> tuple[Column, Column]:
+    """Which cell a fingerprint falls in, and its two bits there, from its hash."""
+    h = F.xxhash64(value, gram)
+    bit = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit(0)).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(6)))
+    return F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(cells - 1)), mask
+
+
+def _filter(windows: DataFrame, cells: int) -> DataFrame:
+    """(cell, bits), at most ``cells`` rows and one for the documents' own rows (gram 0), which always pass."""
+    cell, mask = _cell(F.col("value"), F.col("gram"), cells)
+    held = windows.select("value", "gram").distinct().select(cell.alias("cell"), mask.alias("mask")).groupBy("cell").agg(F.bit_or("mask").alias("bits"))
+    return held.unionByName(windows.sparkSession.createDataFrame([(-1, -1)], "cell long, bits long"))
+
+
+def _let_through(marks: DataFrame, filt: DataFrame, cells: int) -> DataFrame:
+    """Fingerprints that the filter lets through, with the words around them: ``around`` starts at word ``from``."""
+    cell, mask = _cell(F.col("value"), F.col("gram"), cells)
+    own = F.col("gram") == 0
+    asked = marks.select("*", F.when(own, F.lit(-1).cast("long")).otherwise(cell).alias("cell"), F.when(own, F.lit(0).cast("long")).otherwise(mask).alias("mask"))
+    met = asked.join(F.broadcast(filt), "cell").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+    start = F.greatest(F.lit(1), F.col("place") - (PER_WINDOW - 1))
+    around = F.when(own, F.slice("words", 1, 0)).otherwise(F.slice("words", start, F.col("place") + WINDOW - start))
+    return met.select("doc_id", "text_hash", "n_words", "gram", "value", "place", start.alias("from"), around.alias("around"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted ids), spans (lo, hi of each window)."""
-    spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark))
-    sizes = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("gram") < 0, F.col("len"))).alias("short")).first()
-    index = windows.groupBy("gram", "value").agg(F.collect_list(F.struct("at", "len", "window", "items")).alias("entries"))
-    index = index.unionByName(spark.createDataFrame([(0, 0, [])], index.schema))  # what each document's own row meets
-    if sizes["n"] <= BROADCAST_WINDOWS:
-        index = F.broadcast(index)
+    sizes = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("gram") < 0, F.col("len"))).alias("short")).first()  # at most 12 lengths
+    cells = _cells_for(sizes["n"])
+    filt = materialise(_filter(windows, cells))
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), ascii_words(F.col(text_col)).alias("words")
     )
     rows = _with_grams(rows.withColumn("n_words", F.size("words")))
     marks = [_fingerprints(rows)] + ([_short_grams(rows, sorted(sizes["short"]))] if sizes["short"] else [])
-
-    # No filter on the matches here: pushed into the join, it would take the join out of the generated code in which
-    # unmatched fingerprints cost nothing, and every one of them would carry a copy of its document's words.
-    def extended(entry: Column) -> Column:
-        lo = F.col("place") - entry["at"]
-        fits = (lo >= 1) & (lo + entry["len"] - 1 <= F.col("n_words"))
-        same = F.when(fits, F.concat_ws(" ", F.slice("words", F.when(fits, lo).otherwise(1), entry["len"])) == entry["window"])
-        return F.when(same, F.struct((lo - 1).alias("lo"), (lo - 1 + entry["len"]).alias("hi"), entry["items"].alias("items")))
-
-    hits = reduce(
-        DataFrame.unionByName,
-        [
-            m.join(index, ["gram", "value"])
-            .select("doc_id", "text_hash", "n_words", (F.col("gram") == 0).alias("own"), F.filter(F.transform("entries", extended), lambda e: e.isNotNull()).alias("hit"))
-            for m in marks
-        ],
-    )
+    met = materialise(reduce(DataFrame.unionByName, [_let_through(m, filt, cells) for m in marks]))
+
+    lo = F.col("place") - F.col("at")
+    fits = (lo >= 1) & (lo + F.col("len") - 1 <= F.col("n_words"))
+    same = fits & (F.concat_ws(" ", F.slice("around", F.when(fits, lo - F.col("from") + 1).otherwise(1), F.col("len"))) == F.col("window"))
+    hit = F.struct((lo - 1).alias("lo"), (lo - 1 + F.col("len")).alias("hi"), F.col("items"))
+    matched = met.where("gram <> 0").join(windows, ["gram", "value"]).where(same).select("doc_id", "text_hash", "n_words", F.lit(False).alias("own"), F.array(hit).alias("hit"))
+    none = F.array().cast(dict(matched.dtypes)["hit"])
+    hits = met.where("gram = 0").select("doc_id", "text_hash", "n_words", F.lit(True).alias("own"), none.alias("hit")).unionByName(matched)
     merged = hits.groupBy("doc_id", "text_hash", "n_words").agg(
         F.count_if("own").alias("copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("hit", lambda e: F.struct(e["lo"], e["hi"])))))).alias("spans"),

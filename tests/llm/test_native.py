@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import decontamination, exact_dedup, licenses
 
@@ -83,7 +84,9 @@ def brute_contamination(docs, items):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_contamination_equals_brute_force(spark, make, odd_rows, seed):
+def test_contamination_equals_brute_force(spark, make, odd_rows, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(decontamination, "_cells_for", lambda windows: 4)  # a filter that lets nearly all through
     rng = random.Random(seed)
     vocab = ["Alpha", "beta", "GAMMA", "delta", "né", "x1"]
     say = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", ",", "."]) for _ in range(n))
@@ -97,10 +100,25 @@ def test_contamination_equals_brute_force(spark, make, odd_rows, seed):
     assert sorted(rows, key=str) == sorted(brute_contamination(docs, items), key=str)
 
 
-def test_contamination_without_broadcast_and_with_empty_sides(spark, make, monkeypatch):
+def test_only_matches_and_one_row_a_document_are_shuffled(spark, make):
+    """What is let through: of a long clean text next to nothing, of a match its surroundings alone."""
+    rng = random.Random(5)
+    items = spark.createDataFrame([(k, " ".join(f"b{rng.randrange(10**6)}" for _ in range(40))) for k in range(20)], "item_id int, text string")
+    passage = items.first()["text"]
+    docs = make([(1, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20000))), (2, " ".join(f"w{rng.randrange(10**6)}" for _ in range(5000)) + " " + passage)])
+    windows = decontamination.benchmark_windows(items)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), decontamination.ascii_words(F.col("text")).alias("words"))
+    marks = decontamination._fingerprints(decontamination._with_grams(rows.withColumn("n_words", F.size("words"))))
+    met = decontamination._let_through(marks, decontamination._filter(windows, 1024), 1024).where("gram <> 0").collect()
+    assert marks.count() > 5000 and len([r for r in met if r["doc_id"] == 1]) < 40 and len([r for r in met if r["doc_id"] == 2]) < 40
+    assert all(len(r["around"]) <= 20 for r in met)
+    got = {r["doc_id"]: r["n_hit"] for r in decontamination.find_contamination(docs, items).collect()}
+    assert got == {1: 0, 2: 40}
+
+
+def test_contamination_with_empty_sides(spark, make):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id int, text string")
     docs = make([(1, "x " + " ".join(f"W{i}" for i in range(3, 17))), (2, "clean")])
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
     got = {r["doc_id"]: r for r in decontamination.find_contamination(docs, items).collect()}
     assert (got[1]["n_hit"], got[1]["n_words"], got[2]["n_hit"]) == (14, 15, 0)
     assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()] == [2]
