@@ -1,13 +1,14 @@
 """License scans: ordered signature rules, all in the document's own row, with built-in functions alone.
 
 A text becomes its words, joined by single spaces. Words of a short keyword list decide which rules are tried at all;
-the regular expressions of those rules run over the joined words, and ``split`` around a rule's matches gives their
-places. Detections that lie inside a better one (of a better priority, or of the same and longer) are suppressed.
-There is no join, shuffle, group or broadcast table: the rules are one constant, and a row's cost depends on its text
-alone. Texts without a keyword (nearly all) cost the word split and the look-up of their words.
+the regular expressions of those rules run over the joined words and put marks around their matches, whose places in
+words are those of the marks. Detections that lie inside a better one (of a better priority, or of the same and longer)
+are suppressed, in one walk over the detections by place. There is no join, shuffle, group or broadcast table: the rules
+are one constant, and a row's cost depends on its text alone, about in proportion to its length. Texts without a keyword
+(nearly all) cost the word split and the look-up of their words.
 
-Rules: for each licence its SPDX tag (priority 1), grants such as "licensed under the ..." and addresses (2), its
-title (3), and general notices (4). ``rules()`` lists them.
+Rules (``license_rules``): tags that machines read (priority 1), grants and addresses (2), sentences of the licenses
+themselves (3), and names and general notices (4).
 
 Besides, base phrases are counted at all places where their words stand consecutively; their labels always stay.
 
@@ -23,122 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import ascii_words, read_table
+from lorekeep.llm.license_rules import rules
 
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-_LICENSE = "licen[sc]e"
-_V = "(?:v|version |v )?"
-_LATER = "(?: (?:or (?:any |at your option any )?later|only))?"
-
-#: label, title as it stands in joined words, SPDX words, keywords of which one must occur, whether the title alone counts
-_FAMILIES = (
-    ("mit", f"(?:mit|expat) {_LICENSE}", "mit", (), True),
-    ("mit-0", f"mit no attribution(?: {_LICENSE})?", "mit 0", (), True),
-    ("isc", f"isc {_LICENSE}", "isc", (), True),
-    ("apache-1.1", f"apache (?:software )?{_LICENSE} {_V}1 1", "apache 1 1", ("apache",), True),
-    ("apache-2.0", f"apache (?:software )?{_LICENSE} {_V}2(?: 0)?", "apache 2 0", ("apache",), True),
-    ("bsd-0-clause", f"(?:0|zero) clause bsd(?: {_LICENSE})?", "0bsd", ("bsd",), True),
-    ("bsd-2-clause", f"(?:(?:2|two) clause|simplified|freebsd) bsd(?: {_LICENSE})?", "bsd 2 clause", ("bsd",), True),
-    ("bsd-3-clause", f"(?:(?:3|three) clause|new|modified|revised) bsd(?: {_LICENSE})?", "bsd 3 clause", ("bsd",), True),
-    ("bsd-4-clause", f"(?:(?:4|four) clause|original) bsd(?: {_LICENSE})?", "bsd 4 clause", ("bsd",), True),
-    ("bsd", f"bsd(?: style)? {_LICENSE}", "bsd", ("bsd",), True),
-    ("mpl-1.1", f"(?:mozilla public {_LICENSE}|mpl) {_V}1 1", "mpl 1 1", ("mozilla", "mpl"), True),
-    ("mpl-2.0", f"(?:mozilla public {_LICENSE}|mpl) {_V}2(?: 0)?", "mpl 2 0", ("mozilla", "mpl"), True),
-    ("epl-1.0", f"(?:eclipse public {_LICENSE}|epl) {_V}1(?: 0)?", "epl 1 0", ("eclipse", "epl"), True),
-    ("epl-2.0", f"(?:eclipse public {_LICENSE}|epl) {_V}2(?: 0)?", "epl 2 0", ("eclipse", "epl"), True),
-    ("eupl-1.2", f"(?:european union public {_LICENSE}|eupl) {_V}1 2", "eupl 1 2", ("european", "eupl"), True),
-    ("cddl-1.0", f"(?:common development and distribution {_LICENSE}|cddl)(?: {_V}1(?: 0)?)?", "cddl 1 0", ("cddl", "distribution"), True),
-    ("cpl-1.0", f"common public {_LICENSE}(?: {_V}1(?: 0)?)?", "cpl 1 0", ("common",), True),
-    ("artistic-2.0", f"artistic {_LICENSE}(?: {_V}2(?: 0)?)?", "artistic 2 0", ("artistic",), True),
-    ("bsl-1.0", f"boost software {_LICENSE}(?: {_V}1(?: 0)?)?", "bsl 1 0", ("boost",), True),
-    ("zlib", f"zlib(?: libpng)? {_LICENSE}", "zlib", ("zlib",), True),
-    ("wtfpl", f"(?:do what the fuck you want to public {_LICENSE}|wtfpl)", "wtfpl", ("fuck", "wtfpl"), True),
-    ("unlicense", "(?:the unlicense|unlicense org)", "unlicense", ("unlicense",), True),
-    ("psf-2.0", f"(?:python software foundation|psf) {_LICENSE}(?: {_V}2)?", "psf 2 0", ("python", "psf"), True),
-    ("postgresql", f"postgresql {_LICENSE}", "postgresql", ("postgresql",), True),
-    ("openssl", f"openssl {_LICENSE}", "openssl", ("openssl",), True),
-    ("php-3.01", f"php {_LICENSE}(?: {_V}3(?: 0?1)?)?", "php 3 01", ("php",), True),
-    ("ruby", f"ruby {_LICENSE}", "ruby", ("ruby",), True),
-    ("ofl-1.1", f"(?:sil )?open font {_LICENSE}(?: {_V}1 1)?", "ofl 1 1", ("font",), True),
-    ("odbl-1.0", f"(?:open database {_LICENSE}|odbl)(?: {_V}1(?: 0)?)?", "odbl 1 0", ("database", "odbl"), True),
-    ("odc-by-1.0", f"open data commons attribution {_LICENSE}", "odc by 1 0", ("commons",), True),
-    ("pddl-1.0", f"(?:public domain dedication and {_LICENSE}|pddl)", "pddl 1 0", ("dedication", "pddl"), True),
-    ("ms-pl", f"microsoft public {_LICENSE}", "ms pl", ("microsoft",), True),
-    ("ms-rl", f"microsoft reciprocal {_LICENSE}", "ms rl", ("microsoft",), True),
-    ("busl-1.1", f"business source {_LICENSE}(?: {_V}1 1)?", "busl 1 1", ("business",), True),
-    ("sspl-1.0", f"(?:server side public {_LICENSE}|sspl)(?: {_V}1)?", "sspl 1 0", ("server", "sspl"), True),
-    ("elastic-2.0", f"elastic {_LICENSE}(?: {_V}2(?: 0)?)?", "elastic 2 0", ("elastic",), True),
-    ("openrail", f"(?:creativeml )?open ?rail(?: m)?(?: {_LICENSE})?", "openrail", ("rail", "openrail"), True),
-    ("cc0-1.0", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0 1 0", ("cc0", "cc", "creative"), True),
-    ("public-domain", "(?:in|into|to) the public domain", "", ("domain",), True),
-)
-
-
-def _versioned():
-    """The families whose titles differ by variant and version alone."""
-    gnu = (
-        ("gpl", f"(?:gnu )?(?:general public {_LICENSE}|gpl)", ("1.0", "2.0", "3.0"), ("gnu", "gpl", "general")),
-        ("lgpl", f"(?:gnu )?(?:(?:lesser|library) general public {_LICENSE}|lgpl)", ("2.0", "2.1", "3.0"), ("lesser", "library", "lgpl")),
-        ("agpl", f"(?:gnu )?(?:affero general public {_LICENSE}|agpl)", ("1.0", "3.0"), ("affero", "agpl")),
-        ("gfdl", f"(?:gnu )?(?:free documentation {_LICENSE}|gfdl)", ("1.1", "1.2", "1.3"), ("documentation", "gfdl")),
-    )
-    for label, title, versions, keys in gnu:
-        yield label, title, label, keys, True
-        for v in versions:
-            major, minor = v.split(".")
-            number = f"{major}(?: 0)?" if minor == "0" else f"{major} {minor}"
-            yield f"{label}-{v}", f"{title} {_V}{number}{_LATER}", f"{label} {major} {minor}(?: only| or later)?", keys, True
-    parts = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
-    for variant in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
-        spelled = " ".join(parts[x] for x in variant.split())
-        title = f"(?:cc {variant}|creative commons {spelled})(?: {_LICENSE})?"
-        yield f"cc-{variant.replace(' ', '-')}", title, "", ("cc", "creative"), True
-        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-            major, minor = v.split(".")
-            yield f"cc-{variant.replace(' ', '-')}-{v}", f"{title} {major} {minor}(?: international| unported)?", f"cc {variant} {major} {minor}", ("cc", "creative"), True
-
-
-_GRANT = "(?:licensed|released|distributed|available|provided|covered|published|redistributed|governed)(?: only)? (?:under|by|with)(?: the)?(?: terms (?:and conditions )?of)?(?: the)? "
-_NOTICES = (
-    ("copyright", r"copyright (?:c )?(?:by )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", ("copyright",), 0.6),
-    ("copyright", r"copyright (?:holders?|owners?|notice)", ("copyright",), 0.4),
-    ("reserved", "(?:all|some|no) rights reserved", ("reserved",), 0.6),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", ("proprietary",), 0.7),
-    ("proprietary", f"end user {_LICENSE} agreement", ("license", "licence"), 0.7),
-    ("no-warranty", "(?:provided )?as is without warranty(?: of any kind)?", ("warranty",), 0.5),
-    ("no-warranty", "without (?:any )?warranties or conditions of any kind", ("warranties",), 0.5),
-    ("permissive-text", "permission is hereby granted free of charge to any person obtaining a copy", ("permission",), 0.8),
-    ("permissive-text", "redistribution and use in source and binary forms with or without modification", ("redistribution",), 0.8),
-    ("permissive-text", "permission to use copy modify and or distribute this software", ("permission",), 0.8),
-)
-
-
-def rules() -> list[dict]:
-    """All rules in order: rule, label, keys (one must occur), regex, priority (1 is best), weight."""
-    out = []
-
-    def add(label, keys, regex, priority, weight):
-        out.append({"rule": len(out), "label": label, "keys": list(keys), "regex": f"(?<= ){regex}(?= )", "priority": priority, "weight": weight})
-
-    families = [*_FAMILIES, *_versioned()]
-    for label, _, spdx, _, _ in families:
-        if spdx:
-            add(label, ("spdx",), f"spdx licen[sc]e identifier {spdx}", 1, 1.0)
-    for label, title, _, keys, _ in families:
-        add(label, keys or ("license", "licence", "expat"), _GRANT + title, 2, 0.95)
-    for label, _, spdx, _, _ in families:
-        if spdx and "(" not in spdx:
-            add(label, ("opensource", "spdx"), f"(?:opensource org|spdx org) licenses? {spdx}", 2, 0.9)
-    for label, title, _, keys, alone in families:
-        if alone:
-            add(label, keys or ("license", "licence", "expat"), title, 3, 0.8)
-    for label, regex, keys, weight in _NOTICES:
-        add(label, keys, regex, 4, weight)
-    return out
-
-
 _RULE_TYPE = "array<struct<rule:int,label:string,keys:array<string>,regex:string,priority:int,weight:double>>"
 
+#: Around a match; no word holds a control character.
+BEGIN, END = "\x01", "\x02"
+PIECE = 256
 _FOUND_TYPE = "array<struct<lo:int,hi:int,rule:int,label:string,priority:int,weight:double>>"
 
 
@@ -156,30 +50,48 @@ def _places(words: Column, joined: Column, phrase: str) -> Column:
     return F.when(joined.contains(f" {phrase} "), F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
 
 
-def _total_length(strings: Column) -> Column:
-    return F.aggregate(strings, F.lit(0), lambda a, s: a + F.length(s))
+def _detections(joined: Column, rule: Column) -> Column:
+    """A rule's matches as structs with their word interval [lo, hi): marks around each match stand on its first and
+    last word, and no word can hold them itself."""
+    marked = F.split(F.regexp_replace(joined, rule["regex"], F.lit(BEGIN + "$0" + END)), " ")
+    at = lambda test: F.filter(F.transform(marked, lambda w, i: F.when(test(w), i - 1)), lambda i: i.isNotNull())
+    begins, ends = at(lambda w: F.startswith(w, F.lit(BEGIN))), at(lambda w: F.endswith(w, F.lit(END)))
 
+    def found(lo: Column, last: Column) -> Column:
+        return F.struct(lo.alias("lo"), (last + 1).alias("hi"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"))
 
-def _detections(joined: Column, rule: Column) -> Column:
-    """A rule's matches as structs with their word interval [lo, hi)."""
-    matches, gaps = F.regexp_extract_all(joined, rule["regex"], F.lit(0)), F.split(joined, rule["regex"], F.lit(-1))
+    return F.when(F.rlike(joined, rule["regex"]), F.zip_with(begins, ends, found)).otherwise(F.from_json(F.lit("[]"), _FOUND_TYPE))
 
-    def place(i: Column) -> Column:
-        before = F.substring(joined, F.lit(1), _total_length(F.slice(gaps, 1, i)) + _total_length(F.slice(matches, 1, i - 1)))
-        lo = F.regexp_count(before, F.lit(" ")) - 1
-        n = F.regexp_count(F.get(matches, i - 1), F.lit(" ")) + 1
-        return F.struct(lo.alias("lo"), (lo + n).alias("hi"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"))
 
-    found = F.transform(F.sequence(F.lit(1), F.size(matches)), place)
-    return F.when(F.rlike(joined, rule["regex"]), found).otherwise(F.from_json(F.lit("[]"), _FOUND_TYPE))
+def _unsuppressed(found: Column) -> Column:
+    """The detections that no better one contains, by place.
 
+    In the order (lo, longest, priority, rule) whatever contains a detection stands before it. So a walk that knows how far
+    detections of each priority have reached tells: it is suppressed if one of its own or a better priority reached its
+    end. The walk goes by pieces of ``PIECE`` detections, so that what it gathers is not copied over and over.
+    """
+    entry = lambda d: F.struct(d["lo"].alias("lo"), (-d["hi"]).alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule"), d.alias("d"))
+    placed = F.array_sort(F.transform(found, entry))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(placed) - 1) / PIECE)).cast("int")), lambda k: F.slice(placed, k * PIECE + 1, F.lit(PIECE)))
+    levels = [1, 2, 3, 4]
 
-def _better(e: Column, d: Column) -> Column:
-    longer = (e["hi"] - e["lo"]) - (d["hi"] - d["lo"])
-    inside = (e["lo"] <= d["lo"]) & (e["hi"] >= d["hi"])
-    return inside & (
-        (e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & ((longer > 0) | ((longer == 0) & (e["rule"] < d["rule"]))))
-    )
+    def step(state: Column, x: Column) -> Column:
+        reached = F.lit(-1)
+        for p in levels:
+            reached = F.greatest(reached, F.when(x["priority"] >= p, state[f"to{p}"]).otherwise(F.lit(-1)))
+        inside = reached >= -x["end"]
+        kept = F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(x["d"])))
+        return F.struct(*[F.when(x["priority"] == p, F.greatest(state[f"to{p}"], -x["end"])).otherwise(state[f"to{p}"]).alias(f"to{p}") for p in levels], kept.alias("kept"))
+
+    none = F.from_json(F.lit("[]"), _FOUND_TYPE)
+    start = F.struct(*[F.lit(-1).alias(f"to{p}") for p in levels], F.from_json(F.lit("[]"), f"array<{_FOUND_TYPE}>").alias("pieces"))
+
+    def whole(state: Column, piece: Column) -> Column:
+        begin = F.struct(*[state[f"to{p}"].alias(f"to{p}") for p in levels], none.alias("kept"))
+        done = F.aggregate(piece, begin, step)
+        return F.struct(*[done[f"to{p}"].alias(f"to{p}") for p in levels], F.concat(state["pieces"], F.array(done["kept"])).alias("pieces"))
+
+    return F.aggregate(pieces, start, whole, lambda s: F.flatten(s["pieces"]))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +115,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_labels = F.array_compact(F.array(*[F.when(F.size(b) > 0, F.lit(label)) for b, (_, label) in zip(base, BASE_PHRASES, strict=True)]))
     rows = rows.select(
         "doc_id", "n_words", F.concat(*base).alias("base_places"), F.array_sort(base_labels).alias("base_labels"),
-        F.filter("all", lambda d: ~F.exists("all", lambda e: _better(e, d))).alias("detections"),
+        F.when(F.size("all") > 1, _unsuppressed(F.col("all"))).otherwise(F.col("all")).alias("detections"),
     )
     weight = F.coalesce(F.array_max(F.col("detections.weight")), F.lit(0.0))
     return rows.select(
@@ -217,3 +129,16 @@ def op4_license_scan(spark, sf_dir):
         "doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min("base_places").cast("long").alias("first_word"),
         F.array_max("base_places").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+#: The base columns alone; labels and scores of the method's own rules need look-around and suppression, which this dialect lacks.
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n,
+    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS a, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS b,
+    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c FROM d)
+SELECT doc_id, n AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word,
+    concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels
+FROM p
+"""

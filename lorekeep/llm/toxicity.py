@@ -125,7 +125,7 @@ class Index:
         self.words, self.idf, self.starts, self.holders, self.tf = terms, idf, starts, holders, tf
         self.toxic, self.ids, self.votes = toxic, ids, votes
         self.points = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self._prepare()
+        self.ready = False
 
     def __getstate__(self):
         arrays = {k: _packed(getattr(self, k)) for k in ("idf", "starts", "holders", "tf", "toxic", "ids", "votes")}
@@ -136,10 +136,11 @@ class Index:
             setattr(self, k, _unpacked(v) if isinstance(v, tuple) and k != "points" else v)
         plain = zlib.decompress(self.words).decode()
         self.words = plain.split("\n") if plain else []
-        self._prepare()
+        self.ready = False
 
     def _prepare(self) -> None:
-        """Weights, the matrix of frequent terms, and block maxima, from counts."""
+        """Weights, the matrix of frequent terms, and block maxima, from counts; where texts are looked up, not before."""
+        self.ready = True
         n, sizes = len(self.toxic), np.diff(self.starts)
         self.terms = Terms(self.words)
         self.blocks = max(1, -(-n // BLOCK))
@@ -158,6 +159,8 @@ class Index:
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, weight) of the terms that examples hold; each text's whole vector has length one."""
+        if not self.ready:
+            self._prepare()
         who, term, n = self.terms.counts(texts)
         own = term < len(self.words)
         x = (1 + np.log(n)) * self.idf[np.where(own, term, -1)]
@@ -264,7 +267,8 @@ def _index(examples: DataFrame, rows: DataFrame) -> Index:
         for w, n in c.items():
             for t in word_terms(w):
                 tf[number[t]] += n
-        held.append((np.fromiter(tf.keys(), np.int64, len(tf)), np.fromiter(tf.values(), np.int64, len(tf))))
+        held.append((np.fromiter(tf.keys(), np.int32, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))))
+    del got, counts, number
     heaviest = np.array([k[np.argmax((1 + np.log(n)) * idf[k])] for k, n in held], np.int64)
     order = np.lexsort((ids, heaviest, label))
     sizes = np.array([len(held[i][0]) for i in order], np.int64)

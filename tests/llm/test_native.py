@@ -159,7 +159,57 @@ def test_license_places_and_suppression(make):
     assert [(d["lo"], d["hi"], d["label"], d["priority"]) for d in r["detections"]] == [(2, 7, "mit", 2)]  # the title inside the grant is suppressed
 
 
+def brute_detections(text):
+    """All matches of all rules, and of these the ones that no better one contains, by comparing each with each."""
+    w = words(text)
+    joined = f" {' '.join(w)} "
+    found = []
+    for r in RULES:
+        if set(r["keys"]) & set(w):
+            for m in re.finditer(r["regex"], joined):
+                lo = joined[: m.start()].count(" ") - 1
+                found.append((lo, lo + m[0].count(" ") + 1, r["rule"], r["priority"], r["label"]))
+    better = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[3] < d[3] or e[3] == d[3] and (e[1] - e[0] > d[1] - d[0] or e[1] - e[0] == d[1] - d[0] and e[2] < d[2]))
+    return sorted(d for d in found if not any(better(e, d) for e in found))
+
+
+RULES = licenses.rules()
+
+
+def test_license_detections_equal_brute_force(spark, make):
+    """Over the driver's documents that hold a keyword, and made-up ones that chain many phrases."""
+    rng = random.Random(3)
+    phrases = ["Licensed under the MIT License", "GPLv3", "GPLv2 or later", "SPDX-License-Identifier: Apache-2.0", "general public license version 3", "CC BY-SA 4.0", "all rights reserved", "Copyright (c) 2020-2021",
+               "https://www.gnu.org/licenses/gpl-3.0.html", "the 3-clause BSD license", "is released into the public domain", "Apache License, Version 2.0, January 2004", "word", "the", "GNU Lesser General Public License v2.1",
+               "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "creativecommons.org/licenses/by/4.0/", "EUPL 1.2"]
+    docs = [(k, " ".join(rng.choice(phrases) for _ in range(rng.randrange(1, 60)))) for k in range(60)]
+    keys = {k for r in RULES for k in r["keys"]}
+    docs += [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if keys & set(words(r["text"]))][:150]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(make(docs)).collect()}
+    for i, t in docs:
+        want = brute_detections(t)
+        assert sorted((d["lo"], d["hi"], d["rule"], d["priority"], d["label"]) for d in got[i]["detections"]) == want
+        assert got[i]["labels"] == sorted({d[4] for d in want} | set(got[i]["base_labels"]))
+
+
+def test_license_scan_is_quick_on_long_repeats(make):
+    import time
+
+    docs = make([(1, "general public license " * 7000), (2, "cc by " * 10000), (3, "MIT License and Apache License, Version 2.0. " * 3000)])
+    licenses.scan_licenses(make([(1, "cc by")])).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    assert len(got[1]["base_places"]) == 7000 and len(got[3]["detections"]) == 6000 and time.time() - began < 20
+
+
+def test_license_base_columns_equal_their_sql(spark, sf, duck):
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    got = licenses.op4_license_scan(spark, sf).select(*cols)
+    want = duck.execute(f"SELECT {', '.join(cols)} FROM ({licenses.BASE_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_there_are_hundreds_of_rules():
-    rules = licenses.rules()
+    rules = RULES
     assert len(rules) >= 300 and len({r["regex"] + r["label"] for r in rules}) == len(rules)
     assert all(re.compile(r["regex"]) and r["keys"] for r in rules)
