@@ -1,11 +1,12 @@
 """Language identification by string kernels.
 
-The kernel counts the character n-grams (one to four, hashed to ``DIMS`` cells) that two texts have in common, each
-once (blended-spectrum presence), normalised by both texts' own counts. ``LANDMARKS`` texts, as many of each language
-as there are, give Nyström features; one-versus-rest ridge regression over them is fitted from normal equations that
-partitions sum over a sample of at most about ``SAMPLE`` rows. Texts are scored in batches by matrix products.
+The kernel counts the character n-grams (one to four, as 64-bit hashes, so in effect the n-grams themselves) that two
+texts have in common, each once (blended-spectrum presence), normalised by both texts' own counts. ``LANDMARKS`` texts,
+as many of each language as there are, give Nyström features; one-versus-rest ridge regression over them is fitted from
+normal equations that partitions sum over a stratified sample: about ``SAMPLE`` rows at most, as many of each language,
+and all of a rare one. Texts are scored in batches by products of their sparse rows of n-grams with the landmarks'.
 
-Everything the driver holds (landmarks, sums, weights) has a fixed size. Whole texts are read.
+What the driver holds (landmarks, sums, weights) grows with the number of languages alone. Whole texts are read.
 
 Defined cases: a null text, and one without letters, is ``und`` with score 0; so is every text where nothing can be
 learned; null languages are not learned from; repeated rows each get their row; other columns are ignored.
@@ -18,19 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm import fitting
 from lorekeep.llm.common import fold, materialise, read_table, ship_package
 
-DIMS_BITS = 14
-DIMS = 1 << DIMS_BITS
 LANDMARKS = 128
 SAMPLE = 8_000
+#: Rows of a language that are always taken, however many languages there are.
+LEAST_OF_EACH = 50
 STRENGTH = 0.01
-BATCH = 256
-MOST_LANGUAGES = 200
+#: N-grams of texts that are multiplied with the landmarks at once.
+BATCH = 100_000
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -43,43 +44,73 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return _letters[codes]
 
 
-def presence(text: str) -> np.ndarray | None:
-    """Which cells the text's n-grams fill; None if it has no letters. What isn't a letter counts as a space."""
+def ngrams(text: str) -> np.ndarray | None:
+    """The text's distinct n-grams, hashed; None if it has no letters. What isn't a letter counts as a space."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     letter = _is_letter(codes)
     if not letter.any():
         return None
     codes = np.where(letter, codes, np.uint32(32))
-    codes = np.r_[np.uint32(32), codes[letter | np.r_[False, letter[:-1]]], np.uint32(32)]  # one space for each gap
-    cells = np.zeros(DIMS, bool)
-    hashed = np.full(len(codes), 2166136261, np.uint32)
+    codes = np.r_[np.uint32(32), codes[letter | np.r_[False, letter[:-1]]], np.uint32(32)].astype(np.uint64)  # one space for each gap
+    grams, hashed = [], np.zeros(len(codes), np.uint64)
     for n in range(1, 5):
         if len(codes) < n:
             break
-        hashed = (hashed[: len(codes) - n + 1] ^ codes[n - 1 :]) * np.uint32(16777619) + np.uint32(n)
-        cells[(hashed * np.uint32(2654435761)) >> np.uint32(32 - DIMS_BITS)] = True
-    return cells
+        hashed = hashed[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(1)
+        grams.append(hashed ^ hashed >> np.uint64(29))
+    return np.unique(np.concatenate(grams))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # cells of each landmark, divided by the root of its count
+    grams: np.ndarray  # those of any landmark, in order
+    held: np.ndarray  # (n-gram, landmark): 1 where the landmark has it
+    sizes: np.ndarray  # n-grams of each landmark
     whiten: np.ndarray  # K_mm to the power -1/2
     weights: np.ndarray | None = None
 
-    def features(self, cells: np.ndarray) -> np.ndarray:
-        """Nyström features of rows of cells."""
-        x = cells.astype(np.float32)
-        norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return (x @ self.landmarks.T) / norm @ self.whiten
+    @classmethod
+    def over(cls, languages: list[str], landmarks: list[np.ndarray]) -> Model:
+        grams = np.unique(np.concatenate(landmarks)) if landmarks else np.array([], np.uint64)
+        held = np.zeros((len(grams), len(landmarks)), np.uint8)
+        for k, own in enumerate(landmarks):
+            held[np.searchsorted(grams, own), k] = 1
+        model = cls(languages, grams, held, np.array([len(x) for x in landmarks], np.float64), np.eye(len(landmarks)))
+        if landmarks:
+            values, vectors = np.linalg.eigh(model.kernel(landmarks))
+            model.whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+        return model
+
+    def kernel(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Kernel of each row of n-grams with each landmark: a sparse row of ones times ``held``, over the norms."""
+        out = np.zeros((len(rows), len(self.sizes)))
+        sizes = np.array([len(r) for r in rows], np.int64)
+        first = 0
+        while first < len(rows):
+            last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), BATCH, "right")) + first)
+            every = np.concatenate(rows[first:last])
+            at = np.minimum(np.searchsorted(self.grams, every), len(self.grams) - 1)
+            on = self.grams[at] == every
+            of = np.repeat(np.arange(last - first), sizes[first:last])[on]
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(begin):
+                out[first + of[begin]] = np.add.reduceat(self.held[at[on]], begin, axis=0, dtype=np.int32)
+            first = last
+        return out / np.sqrt(np.maximum(sizes, 1))[:, None] / np.sqrt(np.maximum(self.sizes, 1))
+
+    def features(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Nyström features."""
+        return self.kernel(rows) @ self.whiten
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for at in range(0, len(texts), BATCH):
-            got = [(i, c) for i, t in enumerate(texts[at : at + BATCH], at) if (c := presence(t)) is not None]
-            if got and self.weights is not None:
-                z = self.features(np.stack([c for _, c in got]))
+        if self.weights is None:
+            return langs, scores
+        for at in range(0, len(texts), 64):
+            got = [(i, g) for i, t in enumerate(texts[at : at + 64], at) if (g := ngrams(t)) is not None]
+            if got:
+                z = self.features([g for _, g in got])
                 out = np.column_stack([z, np.ones(len(z))]) @ self.weights
                 soft = np.exp(6 * (out - out.max(1, keepdims=True)))
                 soft /= soft.sum(1, keepdims=True)
@@ -88,36 +119,36 @@ class Model:
         return langs, scores
 
 
-def fit(rows: DataFrame) -> Model:
-    """A model from rows (doc_id, text, lang); about ``SAMPLE`` of those with a language are used."""
-    ship_package(rows.sparkSession)
+def stratified(rows: DataFrame) -> DataFrame:
+    """About ``SAMPLE`` of the rows at most, chosen by a hash of the id: of each language as many, all where there are fewer."""
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = max(LEAST_OF_EACH, SAMPLE // max(1, counts.count()))
+    share = F.least(F.lit(1.0), each / F.col("n"))
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(F.broadcast(counts), "lang").where(chance < share).drop("n")  # a row for each language
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if (c := presence(t)) is None else np.packbits(c).tobytes() for t in texts], dtype=object)
 
-    sample = fitting.bounded_sample(rows.where("lang is not null"), "doc_id", SAMPLE)
-    sample = materialise(sample.select("doc_id", "lang", packed(F.coalesce("text", F.lit(""))).alias("cells")).where("cells is not null"))
-    counts = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+def fit(rows: DataFrame) -> Model:
+    """A model from rows (doc_id, text, lang); a stratified sample of those with a language is used."""
+    ship_package(rows.sparkSession)
+    texts = F.coalesce("text", F.lit(""))
+    sample = materialise(stratified(rows.where("lang is not null").where(texts.rlike(r"\p{L}")).select("doc_id", "lang", texts.alias("text"))))
+    languages = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
-        return Model([], np.zeros((0, DIMS)), np.zeros((0, 0)))
+        return Model.over([], [])
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("landmark")), "doc_id")
     each = max(1, LANDMARKS // len(languages))
-    chance = F.xxhash64(F.col("doc_id").cast("string"), F.lit("landmark"))
-    picked = [r["cells"] for lang in languages for r in sample.where(F.col("lang") == lang).orderBy(chance, "doc_id").limit(each).collect()]
-    cells = np.stack([np.unpackbits(np.frombuffer(bytes(b), np.uint8)) for b in picked]).astype(np.float32)
-    landmarks = cells / np.sqrt(np.maximum(cells.sum(1, keepdims=True), 1))
-    values, vectors = np.linalg.eigh(landmarks.astype(np.float64) @ landmarks.T.astype(np.float64))
-    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    model = Model(languages, landmarks, whiten)
+    picked = sample.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).select("lang", "nth", "text").orderBy("lang", "nth").collect()
+    model = Model.over(languages, [g for r in picked if (g := ngrams(r["text"])) is not None])
 
     @F.pandas_udf("array<double>")
-    def nystrom(cells: pd.Series) -> pd.Series:
-        return pd.Series(list(model.features(np.unpackbits(np.frombuffer(b"".join(map(bytes, cells)), np.uint8)).reshape(-1, DIMS)))) if len(cells) else cells
+    def nystrom(texts: pd.Series) -> pd.Series:
+        none = np.array([], np.uint64)
+        return pd.Series(list(model.features([none if (g := ngrams(t)) is None else g for t in texts]))) if len(texts) else texts
 
     targets = [f"is{k}" for k in range(len(languages))]
-    ready = sample.where(F.col("lang").isin(languages)).select(nystrom("cells").alias("features"), *[F.when(F.col("lang") == lang, 1.0).otherwise(0.0).alias(t) for t, lang in zip(targets, languages, strict=True)])
-    model.weights = fitting.ridge(*fitting.normal_equations(ready, lambda x: x, len(landmarks), targets), STRENGTH)
+    ready = sample.select(nystrom("text").alias("features"), *[F.when(F.col("lang") == lang, 1.0).otherwise(0.0).alias(t) for t, lang in zip(targets, languages, strict=True)])
+    model.weights = fitting.ridge(*fitting.normal_equations(ready, lambda x: x, len(model.sizes), targets), STRENGTH)
     return model
 
 

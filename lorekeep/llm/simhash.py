@@ -4,16 +4,19 @@ Fingerprints: 64 bits over the XXH64 hashes of a text's word shingles; those tha
 link, and documents that links connect form a component named by its smallest doc_id.
 
 Equal fingerprints collapse first, so exact copies (however many) are one entry from there on. Two fingerprints that
-differ in at most 4 bits agree in one of five blocks of bits; entries meet in the buckets of their block values, so
-that no link can be missed. Within a bucket entries stand in Gray-code order, in which neighbours share long bit
-patterns. Nodes over runs of them hold the bits that all members share (a mask and its value). Two nodes whose shared
-patterns differ in more than 4 bits are pruned with all their members; nodes that can't differ in more are joined
-without looking at members. The upper level of that index is a Spark table: a large bucket is cut into tiles by Gray
-rank, and only pairs of tiles whose patterns pass meet in a task, so no bucket needs to fit in one task.
+differ in at most 4 bits agree in all but four of any number of blocks of bits: in one of five, two of six, three of
+seven, four of eight. Entries meet in buckets for every choice of that many blocks, so that no link can be missed; the
+more fingerprints there are, the longer the keys (12 to 32 bits), so buckets stay small at any size (``scheme``). Within a
+bucket entries stand in Gray-code order, in which neighbours share long bit patterns. Nodes over runs of them hold the
+bits that all members share (a mask and its value). Two nodes whose shared patterns differ in more than 4 bits are pruned
+with all their members; nodes that can't differ in more are joined without looking at members. The upper level of that
+index is a Spark table: a large bucket is cut into tiles of about ``TILE`` entries by Gray rank, however many that makes,
+and only pairs of tiles whose patterns pass meet in a task, so no bucket needs to fit in one task.
 
 A bucket returns a star (each member to the smallest member it is connected with) instead of all pairs. Stars are
 joined into components by alternating large-star and small-star rounds over written tables; no links, components or
-fingerprints reach the driver.
+fingerprints reach the driver. Joins on a hub, a root or a fingerprint that holds many rows keep those rows where they are
+(``join_split``).
 
 Defined cases: null and empty texts have no words and fingerprint 0, which links like any other; texts of fewer words
 than a shingle hash as one; repeated rows each get their row; a component without any doc_id (all null) is null; an
@@ -23,21 +26,21 @@ empty table gives an empty table; columns other than the id and the text are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import materialise, read_table, ship_package
+from lorekeep.llm.common import join_split, materialise, read_table, ship_package
 
 BITS = 64
 MAX_BITS = 4
-#: Bits of the five blocks: (shift, width).
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Entries of a bucket that meet in one task; larger buckets are cut into up to ``MOST_TILES`` tiles.
+#: Fingerprints that a bucket should hold on average at most; decides how many blocks there are.
+BUCKET = 256
+#: Entries of a bucket that meet in one task; larger buckets are cut into tiles.
 TILE = 8192
-MOST_TILES = 64
 LEAF = 32
 FANOUT = 8
 
@@ -182,24 +185,36 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield of(units, fps)
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) over distinct fingerprints (``fp``) that connect exactly those that near pairs connect."""
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("key")) for k, (s, w) in enumerate(BLOCKS)])
-    entries = fps.select("fp", F.explode(blocks).alias("b")).select("fp", "b.block", "b.key", gray_rank(F.col("fp")).alias("rank"))
-    sizes = entries.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    large = materialise(sizes.where(F.col("n") > TILE))
-    small = entries.join(F.broadcast(large.select("block", "key")), ["block", "key"], "left_anti")  # at most 40,000 buckets exist
-    units = small.select(F.xxhash64("block", "key").alias("unit"), "fp")
+def scheme(n: int) -> list[int]:
+    """Masks of the bits by which ``n`` fingerprints are put into buckets, as signed longs: one mask for each choice of
+    b - 4 of b blocks, b the fewest blocks (5 to 8) with which buckets hold ``BUCKET`` fingerprints on average at most."""
+    blocks = next((b for b in range(MAX_BITS + 1, 2 * MAX_BITS) if n <= BUCKET << (BITS * (b - MAX_BITS) // b)), 2 * MAX_BITS)
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    masks = [sum(((1 << edges[k + 1] - edges[k]) - 1) << edges[k] for k in chosen) for chosen in combinations(range(blocks), blocks - MAX_BITS)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def near_links(fps: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) over the ``n`` distinct fingerprints (``fp``) that connect exactly those that near pairs connect."""
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(scheme(n))])
+    entries = fps.select("fp", F.explode(keys).alias("b")).select("fp", "b.block", "b.key")
+    large = materialise(entries.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE))  # at most one for each TILE entries
+    units = entries
+    if not large.isEmpty():
+        units = entries.join(large.select("block", "key"), ["block", "key"], "left_anti")
+    units = units.select(F.xxhash64("block", "key").alias("unit"), "fp")
     if not large.isEmpty():
-        cuts = [k / MOST_TILES for k in range(1, MOST_TILES)]
-        hot = entries.join(F.broadcast(large), ["block", "key"])
-        bounds = materialise(hot.groupBy("block", "key").agg(F.percentile_approx("rank", cuts, 10000).alias("bounds"), F.first("n").alias("n")))
+        most = 2
+        while most * TILE < large.agg(F.max("n")).first()[0]:
+            most *= 2
+        hot = materialise(entries.join(large, ["block", "key"]).withColumn("rank", gray_rank(F.col("fp"))))
+        cuts = F.percentile_approx("rank", [k / most for k in range(1, most)], max(10000, 20 * most))
+        bounds = hot.groupBy("block", "key").agg(cuts.alias("bounds"))
+        count = F.ceil(F.col("n") / TILE).cast("int")
         tile = F.size(F.filter("bounds", lambda x: x <= F.col("rank")))
-        count = F.least(F.lit(MOST_TILES), F.ceil(F.col("n") / TILE)).cast("int")
-        tiled = entries.join(F.broadcast(bounds), ["block", "key"]).select("block", "key", "fp", F.floor(tile * count / MOST_TILES).cast("int").alias("tile"))
-        tiled = materialise(tiled)
-        nodes = tiled.groupBy("block", "key", "tile").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
-        # at most MOST_TILES nodes of each of 40,000 buckets at the very most: an equi-join of the index's upper level
+        tiled = materialise(hot.join(bounds, ["block", "key"]).select("block", "key", "fp", F.floor(tile * count / most).cast("int").alias("tile")))
+        nodes = materialise(tiled.groupBy("block", "key", "tile").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")))
+        # one node for each TILE entries of a large bucket: an equi-join of the index's upper level
         left, right = nodes.toDF("block", "key", "i", "low_i", "high_i"), nodes.toDF("block", "key", "j", "low_j", "high_j")
         loose = (F.col("low_i").bitwiseXOR(F.col("high_i"))).bitwiseOR(F.col("low_j").bitwiseXOR(F.col("high_j")))
         apart = F.bit_count((F.col("low_i").bitwiseXOR(F.col("low_j"))).bitwiseAND(F.bitwise_not(loose)))
@@ -220,10 +235,11 @@ def components(links: DataFrame) -> DataFrame:
     links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        big = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())  # large star
-        least = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        n = links.count()
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        big = materialise(join_split(both.where("b > a"), least, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())  # large star
+        least = materialise(big.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_split(big, least, "a", "n", big.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = materialise(small.where("a > b").distinct())
         # stars alone are left when no node has two smaller neighbours and no root has a smaller one
         roots = after.select(F.col("b").alias("a")).distinct()
@@ -237,12 +253,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id."""
     marked = materialise(with_fingerprints(docs, id_col, text_col, shingle))
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = materialise(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(named, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    n = distinct.count()
+    roots = components(near_links(distinct.select("fp"), n)).withColumnRenamed("node", "fp")
+    rooted = materialise(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "rows"))
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = materialise(join_split(rooted, named, "root", "members", n).select("fp", "component_id", "rows"))
+    return join_split(marked, named, "fp", "rows", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

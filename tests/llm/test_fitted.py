@@ -65,15 +65,29 @@ def test_language_odd_cases(spark, make, odd_rows):
 
 def test_kernel_features_are_the_kernel():
     texts = ["the cat sat", "der Hund lief", "el perro corre", "a dog"]
-    cells = np.stack([language.presence(t) for t in texts]).astype(float)
-    k = cells @ cells.T / np.sqrt(np.outer(cells.sum(1), cells.sum(1)))
-    landmarks = cells / np.sqrt(cells.sum(1, keepdims=True))
-    values, vectors = np.linalg.eigh(k)
-    m = language.Model([], landmarks, vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T)
-    z = m.features(cells)
+
+    def grams(t):
+        t = " " + t.lower() + " "
+        return {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    k = np.array([[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for b in texts] for a in texts])
+    rows = [language.ngrams(t) for t in texts]
+    m = language.Model.over([], rows)
+    assert np.allclose(m.kernel(rows), k)
+    z = m.features(rows)
     assert np.allclose(z @ z.T, k, atol=1e-4)  # with all texts as landmarks, Nyström is exact
 
 
+def test_rare_languages_and_long_texts(spark):
+    """Three rows of 6,000 are of a rare language; long texts of different languages don't look alike."""
+    say = {"en": "the cat and the dog ran home ", "de": "der Hund und die Katze liefen heim ", "eo": "la hundo kaj la kato kuris hejmen "}
+    rows = [(i, say["eo" if i in (17, 2500, 5555) else "en" if i % 2 else "de"] + str(i), "eo" if i in (17, 2500, 5555) else "en" if i % 2 else "de") for i in range(6000)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "eo"]
+    for lang, text in say.items():
+        assert model.predict([text * 20000])[0] == [lang]
+
+
 def test_random_features_approximate_a_gaussian_kernel():
     rng = np.random.default_rng(1)
     m = quality.Model(np.zeros(32), np.ones(32))

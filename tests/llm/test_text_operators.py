@@ -181,12 +181,22 @@ def test_index_connects_what_brute_force_connects(seed, centres, each, spread):
     assert labels.tolist() == want
 
 
-@pytest.mark.parametrize("tile", [8192, 30])
-def test_links_and_components_over_spark(spark, monkeypatch, tile):
+def test_blocks_lengthen_with_the_number_of_fingerprints():
+    for n, choices, bits in ((10**6, 5, 12), (10**8, 15, 20), (10**10, 35, 27), (10**12, 70, 32)):
+        masks = [m & (1 << 64) - 1 for m in simhash.scheme(n)]
+        assert len(masks) == choices and min(m.bit_count() for m in masks) >= bits
+        rng = random.Random(n)
+        for _ in range(300):  # whatever four bits differ, some mask sees none of them
+            apart = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not m & apart for m in masks)
+
+
+@pytest.mark.parametrize("tile,n", [(8192, 0), (30, 0), (8192, 10**8), (8192, 10**10), (8192, 10**12), (30, 10**8)])
+def test_links_and_components_over_spark(spark, monkeypatch, tile, n):
     monkeypatch.setattr(simhash, "TILE", tile)  # the small one cuts buckets into tiles
     fps = sorted(set(balls(5, 2, 120, 6)))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), n or len(signed))
     roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
     want = brute_components(fps)
     groups = {}
