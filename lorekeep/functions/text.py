@@ -118,7 +118,11 @@ def gate(prompt: Column, cues: list[str], synthetic: list[str]) -> Column:
 def derived_query(text: Column, seed: int) -> Column:
     """A known-item query from a text: an inner stretch of two to four characters of a Han run, else a word of at
     least four letters or digits, else null. Picked by a hash of the text, so the same every time."""
-    pick = lambda n, salt: F.pmod(F.xxhash64(text, F.lit(seed), F.lit(salt)), F.greatest(n, F.lit(1)))
+
+    def pick(n: Column, salt: str) -> Column:
+        digits = F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}{salt}"), text), 256), 1, 8)
+        return F.pmod(F.conv(digits, 16, 10).cast("long"), F.greatest(n, F.lit(1)))
+
     runs = F.filter(F.regexp_extract_all(text, F.lit(f"({HAN}{{3,}})"), F.lit(1)), lambda r: F.length(r) > 2)
     run = F.get(runs, pick(F.size(runs), "run").cast("int"))
     size = F.least(F.lit(4), F.length(run) - 1, 2 + pick(F.lit(3), "size")).cast("int")

@@ -103,28 +103,58 @@ def gain(rank: Column) -> Column:
     return F.when(rank <= NDCG_AT, 1 / F.log2(rank + 1)).otherwise(F.lit(0.0))
 
 
-def known_item_report(expected: DataFrame, hits: DataFrame) -> DataFrame:
+def known_item_report(expected: DataFrame, hits: DataFrame, scored: DataFrame | None = None, channels: list[str] | None = None) -> DataFrame:
     """(query_class, channel, scored, recalled, recall_rate, mean_ndcg) of known-item queries.
 
-    ``expected``: qid, chunk_id, query_class. ``hits``: qid, channel, chunk_id, rank (from 1). Items that are not
-    recalled carry no nDCG; means over nothing are null.
+    ``expected``: qid, chunk_id, query_class. ``hits``: qid, channel, chunk_id, rank (from 1). ``scored``: the (qid,
+    channel) that count, all by default. ``channels``: those that get rows, hits or not; by default those with hits.
+    Items that are not recalled carry no nDCG; means over nothing are null.
     """
-    channels = hits.select("channel").distinct()
-    asked = expected.crossJoin(F.broadcast(channels))  # a handful of channels
+    named = hits.select("channel").distinct() if channels is None else expected.sparkSession.createDataFrame([(c,) for c in channels], "channel string")
+    asked = expected.crossJoin(F.broadcast(named))  # a handful of channels
+    counts = F.lit(True) if scored is None else F.col("counts")
+    if scored is not None:
+        asked = asked.join(scored.select("qid", "channel", F.lit(True).alias("counts")), ["qid", "channel"], "left")
+    asked = asked.withColumn("counts", F.coalesce(counts, F.lit(False)))
     found = asked.join(hits.select("qid", "channel", "chunk_id", "rank"), ["qid", "channel", "chunk_id"], "left")
-    best = found.groupBy("qid", "channel", "query_class").agg(F.min(F.when(F.col("rank") <= RECALL_AT, F.col("rank"))).alias("rank"))
+    best = found.groupBy("qid", "channel", "query_class", "counts").agg(F.min(F.when(F.col("counts") & (F.col("rank") <= RECALL_AT), F.col("rank"))).alias("rank"))
     return best.groupBy("query_class", "channel").agg(
-        F.count(F.lit(1)).alias("scored"), F.count("rank").alias("recalled"), F.try_divide(F.count("rank"), F.count(F.lit(1))).alias("recall_rate"), F.avg(F.when(F.col("rank").isNotNull(), gain(F.col("rank")))).alias("mean_ndcg")
+        F.count_if("counts").alias("scored"), F.count("rank").alias("recalled"), F.try_divide(F.count("rank"), F.count_if("counts")).alias("recall_rate"), F.avg(F.when(F.col("rank").isNotNull(), gain(F.col("rank")))).alias("mean_ndcg")
     )
 
 
+def sample_order(seed: int, key: Column) -> Column:
+    """What a seeded sample is ordered by: a hash of seed and key, so that samples of one seed nest."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256)
+
+
 def known_items(chunks: DataFrame, seed: int, n: int) -> DataFrame:
     """(chunk_id, text): n chunks with a derivable query, in an order fixed by the seed; samples of one seed nest."""
     from lorekeep.functions.text import derived_query
 
-    return (
-        chunks.select("chunk_id", derived_query(F.col("text"), seed).alias("text")).where("text is not null").orderBy(F.xxhash64(F.lit(seed), "chunk_id"), "chunk_id").limit(n)
-    )
+    derived = chunks.select("chunk_id", derived_query(F.col("text"), seed).alias("text")).where("text is not null")
+    return derived.orderBy(sample_order(seed, F.col("chunk_id")), "chunk_id").limit(n)
+
+
+def known_item_run(items: DataFrame, search, corpus_size: int) -> DataFrame:
+    """The known-item report of three rankings (lexical, vector, fused) for ``items``: qid, chunk_id, text.
+
+    ``search(queries, channels)`` answers a batch of queries. A ranking that is shorter than min(``RECALL_AT``, corpus)
+    says nothing about an item and isn't scored, unless the item is in it.
+    """
+    from lorekeep.functions.text import query_class
+
+    q = items.select("qid", "text", F.lit(RECALL_AT).alias("k"), F.lit(None).cast("string").alias("project"), F.lit(0).alias("variant"))
+    expected = items.select("qid", "chunk_id", query_class(F.col("text")).alias("query_class"))
+    kinds = {"lexical": ("trigram", "segment"), "fused": ("trigram", "segment", "vector")}
+    hits = None
+    for name, channels in kinds.items():
+        own = search(q, channels).select("qid", F.lit(name).alias("channel"), "chunk_id", (F.col("pos") + 1).alias("rank"))
+        hits = own if hits is None else hits.unionByName(own)
+    shallow = hits.groupBy("qid", "channel").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(RECALL_AT, corpus_size)).select("qid", "channel")
+    found = hits.join(expected.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").select("qid", "channel")
+    deep = shallow.unionByName(found).distinct()
+    return known_item_report(expected, hits, deep, list(kinds))
 
 
 def tie_statistics(ranked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,11 +49,12 @@ def remove_sources(chunks: DataFrame, links: DataFrame, gone: DataFrame) -> tupl
     return chunks.drop("ts", "source_count").join(derived, "chunk_id"), left
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The last writer's row for each key."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """The last writer's row for each key: any new one before the old, of several new ones that with the largest
+    ``sequence`` (of equal ones the largest row). Partial sums keep one row for each key and task."""
     both = old.withColumn("__gen", F.lit(0)).unionByName(new.withColumn("__gen", F.lit(1)))
-    order = Window.partitionBy(*keys).orderBy(F.desc("__gen"))
-    return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__gen", "__n")
+    row = F.struct(*old.columns)
+    return both.groupBy(*keys).agg(F.max_by(row, F.struct("__gen", sequence, row)).alias("row")).select("row.*")
 
 
 # -- audit ------------------------------------------------------------------------------------------------------------
@@ -128,20 +129,22 @@ def duplication_statistics(links: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def resolve_anchors(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
+def resolve_anchors(anchors: DataFrame, chunks: DataFrame, key: bytes) -> DataFrame:
     """Each anchor (turn_id, source, content_hash, lo, hi) with its text, or the reason why it is an orphan.
 
-    ``chunks``: project_fingerprint, uuid, text, content_hash of the whole normalised span [lo, hi) as the caller
-    computes it (``span_hash``: a function of text). Left join on the pointer alone.
+    ``chunks``: project_fingerprint, uuid, text. Left join on the pointer alone; the span's content hash (keyed, over the
+    normal form) is worked out anew. The reasons are fixed values.
     """
-    from lorekeep.functions.text import normalise_space, span_slice
+    from lorekeep.functions.hashing import content_hash
+    from lorekeep.functions.text import span_slice
 
     held = chunks.select(F.col("uuid").alias("turn_id"), F.col("project_fingerprint").alias("source"), F.col("text").alias("turn_text"), F.lit(True).alias("there"))
     joined = anchors.join(held, ["turn_id", "source"], "left").withColumn("span", span_slice(F.col("turn_text"), F.col("lo"), F.col("hi")))
+    joined = joined.withColumn("real_hash", content_hash(F.col("span"), key))
     reason = (
         F.when(F.col("there").isNull(), "turnMissing")
         .when(F.col("span").isNull(), "spanOutOfBounds")
-        .when(normalise_space(F.col("span")) == "", "contentNormalizesToNothing")
-        .when(F.sha2(normalise_space(F.col("span")), 256) != F.col("content_hash"), "contentHashMismatch")
+        .when(F.col("real_hash").isNull(), "contentNormalizesToNothing")
+        .when(F.col("real_hash") != F.col("content_hash"), "contentHashMismatch")
     )
     return joined.select("turn_id", "source", "lo", "hi", reason.alias("orphan_reason"), F.when(reason.isNull(), F.col("span")).alias("text"))

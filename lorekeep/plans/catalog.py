@@ -16,6 +16,7 @@ from lorekeep.sources.tables import spread, table, written
 QUERIES = [(1, "thing", 10, None), (2, "of the", 10, None), (3, "und der", 10, None), (4, "de la", 5, "p1"), (5, "th", 10, None)]
 INSTANT = "2024-01-25 00:00:00"
 KINDS = {"view": "shown", "click": "opened", "purchase": "cited", "signup": "pinned", "error": "dismissed"}
+KEY = b"key"
 EXCLUDED = ["src0", "src1", "src2", "src3", "src4"]
 CLASSED = ["釘選", "釘選版", "釘選版本比較", "tokenizer", "FTS5 分詞", "", "  ", "!?", "かな", "한글", "記憶する", "a記"]
 
@@ -57,21 +58,26 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.when(F.col("event_type") == old, new).otherwise(kind)
     return table(spark, sf_dir, "events").select(
         kind.alias("kind"), F.concat_ws("-", "user_id", F.pmod("event_id", F.lit(7))).alias("anchor"), F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.lit("p"), F.regexp_extract("props", "([0-9]+)", 1)).alias("presentation"), F.col("event_id").alias("seq"), F.col("user_id"),
+        F.concat(F.lit("p"), _presentation_number()).alias("presentation"), F.col("event_id").alias("seq"), F.col("user_id"),
     )
 
 
+def _presentation_number():
+    """Ten presentations for each five users, so that there are more of them, not larger ones, in a larger table."""
+    return F.floor(F.col("user_id") / 5) * 10 + F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 10
+
+
 def instant():
     return F.lit(INSTANT).cast("timestamp_ntz").cast("timestamp")
 
 
 def page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made-up result page of 40 for each of 25 queries, with ties and three bands."""
+    """Made-up result pages, with ties and three bands: each document is on one page of 40, so there are as many as it takes."""
     base = table(spark, sf_dir, "documents").select(
-        F.pmod("doc_id", F.lit(25)).alias("qid"), F.col("doc_id").alias("anchor"), (F.pmod(F.col("doc_id") * 37, F.lit(11)) / F.lit(8.0)).alias("base_score"), F.pmod(F.col("doc_id") * 13, F.lit(3)).cast("int").alias("band")
+        F.floor(F.col("doc_id") / 40).alias("qid"), F.col("doc_id").alias("anchor"), (F.pmod(F.col("doc_id") * 37, F.lit(11)) / F.lit(8.0)).alias("base_score"), F.pmod(F.col("doc_id") * 13, F.lit(3)).cast("int").alias("band")
     )
     order = Window.partitionBy("qid").orderBy("band", F.desc("base_score"), "anchor")
-    return base.withColumn("pos", F.row_number().over(order) - 1).where("pos < 40")
+    return base.withColumn("pos", F.row_number().over(order) - 1)
 
 
 def strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +139,13 @@ def exclude_sessions(spark, sf_dir):
 
 
 def query_class(spark, sf_dir):
-    rows = spark.createDataFrame([(i, q) for i, q in enumerate(CLASSED)], "n int, query string")
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 100).cast("int").alias("n"), F.col("text").alias("query"))
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(CLASSED)], "n int, query string").unionByName(items)
     return rows.select("n", fn.query_class(F.col("query")).alias("query_class"))
 
 
 def ident_shape(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("a"), F.substring("text", 1, 20).alias("b"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("a"), F.col("text").alias("b"))
     return c.select("conv_id", "turn", fn.is_identifier(F.col("a")).alias("id_ok"), fn.is_identifier(F.col("b")).alias("text_ok"))
 
 
@@ -159,14 +166,14 @@ def anchors(spark, sf_dir):
     d = F.col("doc_id")
     lo, hi = F.pmod(d * 31, F.lit(40)), F.pmod(d * 31, F.lit(40)) + F.pmod(d, F.lit(60))
     cut = F.substring("text", lo.cast("int") + 1, (hi - lo).cast("int"))
-    digest = F.when(F.pmod(d, F.lit(4)) == 0, "stale").otherwise(F.sha2(fn.normalise_space(cut), 256))
+    digest = F.when(F.pmod(d, F.lit(4)) == 0, "stale").otherwise(F.coalesce(hashing.content_hash(cut, KEY), F.lit("none")))
     turn = F.when(F.pmod(d, F.lit(10)) == 0, F.lit("gone")).otherwise(d.cast("string"))
     return table(spark, sf_dir, "documents").select(turn.alias("turn_id"), F.col("lang").alias("source"), digest.alias("content_hash"), lo.alias("lo"), hi.alias("hi"))
 
 
 def span_slice_orphans(spark, sf_dir):
     held = table(spark, sf_dir, "documents").select(F.col("lang").alias("project_fingerprint"), F.col("doc_id").cast("string").alias("uuid"), "text")
-    return index.resolve_anchors(anchors(spark, sf_dir), held).groupBy("orphan_reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return index.resolve_anchors(anchors(spark, sf_dir), held, KEY).groupBy("orphan_reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def dedup_sources(spark, sf_dir):
@@ -247,10 +254,10 @@ def script_cooccurrence(spark, sf_dir):
 
 
 def upsert_last_writer(spark, sf_dir):
-    d = table(spark, sf_dir, "orders")
-    old = d.select((F.col("o_orderkey") % 500).alias("k"), F.col("o_custkey").alias("v")).groupBy("k").agg(F.max("v").alias("v"))
-    new = d.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 700).alias("k"), (-F.col("o_custkey")).alias("v")).groupBy("k").agg(F.min("v").alias("v"))
-    return index.upsert(old, new, ["k"])
+    """Stored: each customer's largest order. New: a row for each customer, and several observations of one key."""
+    old = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    new = table(spark, sf_dir, "customer").select((F.col("c_custkey") + F.pmod("c_custkey", F.lit(2))).alias("k"), (-F.col("c_custkey")).alias("v"), F.col("c_custkey").alias("seq"))
+    return index.upsert(old.withColumn("seq", F.lit(0).cast("long")), new, ["k"], "seq").drop("seq")
 
 
 def remove_sources(spark, sf_dir):
@@ -276,8 +283,7 @@ def future_events(spark, sf_dir):
 
 
 def spreading_projection(spark, sf_dir):
-    e = usage(spark, sf_dir).where("kind <> 'dismissed' or seq % 9 = 0")
-    d = memory.project(e, instant())
+    d = memory.project(usage(spark, sf_dir), instant())
     return d.select("anchor", F.round("reinforcement", 6).alias("reinforcement"), F.round("suppression", 6).alias("suppression"), "impressions")
 
 
@@ -319,7 +325,7 @@ def tie_stats(spark, sf_dir):
 
 
 def interleave_ab(spark, sf_dir):
-    a = page(spark, sf_dir).where("pos < 20")
+    a = page(spark, sf_dir)
     b = a.select("qid", "anchor", (F.row_number().over(Window.partitionBy("qid").orderBy("anchor")) - 1).alias("pos"))
     sides = a.select("qid").distinct().withColumn("side", F.when(F.col("qid") % 2 == 0, "a").otherwise("b"))
     return evaluate.interleave(a.select("qid", "anchor", "pos"), b, sides)
@@ -327,7 +333,7 @@ def interleave_ab(spark, sf_dir):
 
 def _presented(spark, sf_dir, generations: int):
     """Presentations p<k>: members are the anchors seen in it, credited by a hash of the anchor."""
-    e = usage(spark, sf_dir).where("user_id < 40")
+    e = usage(spark, sf_dir)
     member = F.struct("anchor", F.when(F.length("anchor") % 2 == 0, "a").otherwise("b").alias("credited_to"))
     k = F.regexp_extract("presentation", "([0-9]+)", 1).cast("int")
     shown = e.where("kind = 'shown'").groupBy("presentation").agg(F.array_sort(F.collect_set(member)).alias("attribution"))
@@ -370,10 +376,8 @@ def ndcg_by_class(spark, sf_dir):
 def known_item_recall(spark, sf_dir):
     c = chunks(spark, sf_dir)
     items = written(evaluate.known_items(c, 42, 20).withColumn("qid", F.row_number().over(Window.orderBy("chunk_id")).cast("int")))
-    q = items.select("qid", "text", F.lit(20).alias("k"), F.lit(None).cast("string").alias("project"), F.lit(0).alias("variant"))
-    hits = retrieval.search(c, q, channels=("trigram", "segment"))
-    expected = items.select("qid", "chunk_id", fn.query_class(F.col("text")).alias("query_class"))
-    return evaluate.known_item_report(expected, hits.select("qid", F.lit("lexical").alias("channel"), "chunk_id", (F.col("pos") + 1).alias("rank")))
+    r = evaluate.known_item_run(items, lambda q, channels: retrieval.search(c, q, channels=channels), c.count())
+    return r.withColumn("recall_rate", F.round("recall_rate", 9)).withColumn("mean_ndcg", F.round("mean_ndcg", 9))
 
 
 def latency_p95(spark, sf_dir):
@@ -426,19 +430,19 @@ def salvage_log(spark, sf_dir):
 
 def prompt_gate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    prompt = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("<system-reminder>the\nthing</system-reminder>"), F.substring("text", 1, 60))).when(F.col("turn") % 4 == 2, F.concat(F.lit("/cmd "), F.col("text"))).otherwise(F.col("text"))
+    prompt = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("<system-reminder>the\nthing</system-reminder>"), F.col("text"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("/cmd "), F.col("text"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", fn.gate(prompt, ["(?i)\\bthing\\b", "(?i)ques+"], ["/cmd", "<command"]).alias("outcome"))
 
 
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", hashing.content_hash(F.col("text"), b"key").alias("content_hash"), hashing.starting_side(F.col("text")).alias("side"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", hashing.content_hash(F.col("text"), KEY).alias("content_hash"), hashing.starting_side(F.col("text")).alias("side"))
 
 
 def nested_samples(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    order = Window.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
-    first = d.select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(160)  # the samples are the feature: 10, 40 and 160
-    return first.select("doc_id", F.row_number().over(order).alias("n")).select("doc_id", F.when(F.col("n") <= 10, 10).when(F.col("n") <= 40, 40).otherwise(160).alias("smallest_sample"))
+    d = table(spark, sf_dir, "documents").select("doc_id", evaluate.sample_order(7, F.col("doc_id")).alias("chance"))
+    first = d.orderBy("chance", "doc_id").limit(160)  # the samples are the feature: 10, 40 and 160
+    n = F.row_number().over(Window.orderBy("chance", "doc_id"))
+    return first.select("doc_id", F.when(n <= 10, 10).when(n <= 40, 40).otherwise(160).alias("smallest_sample"))
 
 
 QUERIES_BY_NAME = {

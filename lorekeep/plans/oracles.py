@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.catalog import CLASSED, EXCLUDED, INSTANT, QUERIES
+from lorekeep.plans.catalog import CLASSED, EXCLUDED, INSTANT, KEY, QUERIES
 
 
 def _values(rows) -> str:
@@ -14,7 +14,8 @@ _SEG = "replace('<' || regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '><',
 
 
 def _lexical(rows) -> str:
-    """CTEs: q, c, st, and rt (trigram ranks) and rs (segment ranks)."""
+    """CTEs: q, c, st, and rt (trigram ranks) and rs (segment ranks). ``rows``: the queries, or SQL for them."""
+    asked = rows if isinstance(rows, str) else f"VALUES {_values(rows)}"
 
     def ranks(name: str, hay: str, phrase: str, dl: str, avg: str) -> str:
         return f"""
@@ -25,7 +26,7 @@ def _lexical(rows) -> str:
     FROM {name}_m m JOIN {name}_d d ON d.qid = m.qid, st WHERE scope IS NULL OR scope = project),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {name}_s) WHERE rank <= greatest(5 * k, 50))"""
 
-    return f"""WITH q0(qid, text, k, scope) AS (VALUES {_values(rows)}),
+    return f"""WITH q0(qid, text, k, scope) AS ({asked}),
 q AS (SELECT qid, k, scope::VARCHAR AS scope, CASE WHEN length(trim(text)) >= 3 THEN lower(trim(text)) ELSE '' END AS tp, {_SEG.format("trim(text)")} AS sp FROM q0),
 c AS (SELECT doc_id AS chunk_id, 'p' || (doc_id % 5) AS project, lower(text) AS lt, greatest(length(text) - 2, 0) AS tdl, {_SEG.format("text")} AS seg FROM documents),
 st AS (SELECT count(*) AS n, avg(tdl) AS ta, avg(length(seg) - length(replace(seg, '<', ''))) AS sa FROM c),
@@ -60,30 +61,34 @@ c AS (SELECT project_fingerprint, uuid, min(project) AS project, max(ts) AS ts,
 g AS (SELECT project_fingerprint, uuid, source_count + CASE WHEN uuid[1] = 'a' THEN 1 ELSE 0 END AS source_count FROM c)"""
 
 _USAGE = f"""WITH e0 AS (SELECT CASE event_type WHEN 'view' THEN 'shown' WHEN 'click' THEN 'opened' WHEN 'purchase' THEN 'cited' WHEN 'signup' THEN 'pinned' WHEN 'error' THEN 'dismissed' END AS kind,
-    user_id || '-' || (event_id % 7) AS anchor, ts, 'p' || regexp_extract(props, '([0-9]+)', 1) AS presentation, event_id AS seq, user_id FROM events),
+    user_id || '-' || (event_id % 7) AS anchor, ts, 'p' || (user_id // 5 * 10 + regexp_extract(props, '([0-9]+)', 1)::INT % 10) AS presentation, event_id AS seq, user_id FROM events),
 e AS (SELECT *, pow(1 + greatest(0, (epoch_us(TIMESTAMP '{INSTANT}') - epoch_us(ts)) / 86400e6), -0.5) AS decay,
     CASE kind WHEN 'opened' THEN 1.0::DOUBLE WHEN 'cited' THEN 2.0::DOUBLE WHEN 'pinned' THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM e0 WHERE ts <= TIMESTAMP '{INSTANT}')"""
 
-_PAGE = """p0 AS (SELECT doc_id % 25 AS qid, doc_id AS anchor, (doc_id * 37 % 11) / 8.0::DOUBLE AS base_score, (doc_id * 13 % 3)::INT AS band FROM documents),
-p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY band, base_score DESC, anchor) - 1 AS pos FROM p0) WHERE pos < 40),
+_PAGE = """p0 AS (SELECT doc_id // 40 AS qid, doc_id AS anchor, (doc_id * 37 % 11) / 8.0::DOUBLE AS base_score, (doc_id * 13 % 3)::INT AS band FROM documents),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY band, base_score DESC, anchor) - 1 AS pos FROM p0)),
 runs AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY qid ORDER BY pos) AS run FROM (
     SELECT *, coalesce(band = lag(band) OVER w AND base_score = lag(base_score) OVER w, false) AS same FROM p WINDOW w AS (PARTITION BY qid ORDER BY pos)))"""
 
 
-def _one_pass(segment: str) -> str:
-    """The bounded pass with bound 1, as a walk along each segment that carries the last result and whether it is free."""
-    return f"""WITH RECURSIVE {_PAGE},
-i AS (SELECT qid, anchor, pos, {segment} AS seg, coalesce(net, 0) AS net, row_number() OVER (PARTITION BY qid, {segment} ORDER BY pos) AS n
-    FROM runs LEFT JOIN (SELECT doc_id AS a, (doc_id * 7919 % 17 - 5)::DOUBLE AS net FROM documents WHERE doc_id % 3 <> 0) ON a = anchor),
-walk(qid, seg, n, tail, tail_net, free, done, done_pos) AS (
-    SELECT qid, seg, n, anchor, net, true, NULL::BIGINT, NULL::BIGINT FROM i WHERE n = 1
+def _passes(segment: str, n: int) -> str:
+    """The bounded pass, n times: each a walk along each segment that carries the last result and whether it is free."""
+    out = f"""WITH RECURSIVE {_PAGE},
+i0 AS (SELECT qid, anchor, pos, {segment} AS seg, coalesce(net, 0) AS net, row_number() OVER (PARTITION BY qid, {segment} ORDER BY pos) AS n
+    FROM runs LEFT JOIN (SELECT doc_id AS a, (doc_id * 7919 % 17 - 5)::DOUBLE AS net FROM documents WHERE doc_id % 3 <> 0) ON a = anchor)"""
+    for k in range(n):
+        i, walk, swap = f"i{k}", f"walk{k}", "w.free AND i.net > w.tail_net"
+        out += f""",
+{walk}(qid, seg, n, tail, tail_net, free, done, done_net, done_pos) AS (
+    SELECT qid, seg, n, anchor, net, true, NULL::BIGINT, NULL::DOUBLE, NULL::BIGINT FROM {i} WHERE n = 1
     UNION ALL
-    SELECT w.qid, w.seg, i.n, CASE WHEN w.free AND i.net > w.tail_net THEN w.tail ELSE i.anchor END, CASE WHEN w.free AND i.net > w.tail_net THEN w.tail_net ELSE i.net END,
-        NOT (w.free AND i.net > w.tail_net), CASE WHEN w.free AND i.net > w.tail_net THEN i.anchor ELSE w.tail END, i.pos - 1
-    FROM walk w JOIN i ON i.qid = w.qid AND i.seg = w.seg AND i.n = w.n + 1),
-ends AS (SELECT qid, seg, max(n) AS n, max(pos) AS pos FROM i GROUP BY qid, seg),
-placed AS (SELECT qid, done AS anchor, done_pos AS new_pos FROM walk WHERE done IS NOT NULL
-    UNION ALL SELECT w.qid, w.tail, e.pos FROM walk w JOIN ends e ON e.qid = w.qid AND e.seg = w.seg AND e.n = w.n)"""
+    SELECT w.qid, w.seg, i.n, CASE WHEN {swap} THEN w.tail ELSE i.anchor END, CASE WHEN {swap} THEN w.tail_net ELSE i.net END,
+        NOT ({swap}), CASE WHEN {swap} THEN i.anchor ELSE w.tail END, CASE WHEN {swap} THEN i.net ELSE w.tail_net END, i.pos - 1
+    FROM {walk} w JOIN {i} i ON i.qid = w.qid AND i.seg = w.seg AND i.n = w.n + 1),
+i{k + 1} AS (SELECT *, row_number() OVER (PARTITION BY qid, seg ORDER BY pos) AS n FROM (
+    SELECT qid, done AS anchor, done_pos AS pos, seg, done_net AS net FROM {walk} WHERE done IS NOT NULL
+    UNION ALL SELECT w.qid, w.tail, e.pos, w.seg, w.tail_net FROM {walk} w JOIN (SELECT qid, seg, max(n) AS n, max(pos) AS pos FROM {i} GROUP BY qid, seg) e ON e.qid = w.qid AND e.seg = w.seg AND e.n = w.n))"""
+    return out + f", placed AS (SELECT qid, anchor, pos AS new_pos FROM i{n})"
 
 
 _MOVES = """ SELECT p.qid, p.anchor, p.pos, new_pos, p.pos - new_pos AS displacement,
@@ -94,7 +99,7 @@ FROM p JOIN placed USING (qid, anchor)"""
 def _report(generations: int) -> str:
     return (
         _USAGE
-        + f""", s AS (SELECT *, presentation[2:]::INT AS pk, 'g' || (presentation[2:]::INT % {generations}) AS generation, CASE WHEN seq % 17 <> 0 THEN presentation END AS shown_in FROM e0 WHERE user_id < 40),
+        + f""", s AS (SELECT *, presentation[2:]::INT AS pk, 'g' || (presentation[2:]::INT % {generations}) AS generation, CASE WHEN seq % 17 <> 0 THEN presentation END AS shown_in FROM e0),
 pr AS (SELECT presentation AS id, pk, CASE pk % 3 WHEN 0 THEN 'latin-alnum' WHEN 1 THEN 'mixed' ELSE 'cjk-2char' END AS query_class, generation AS p_generation, pk % 10 = 9 AS is_null,
     list_sort(list(DISTINCT anchor)) AS members FROM s WHERE kind = 'shown' GROUP BY ALL),
 d AS (SELECT s.*, pr.query_class, pr.id, pr.is_null, CASE WHEN length(anchor) % 2 = 0 THEN 'archival' ELSE 'human-like' END AS strategy,
@@ -118,6 +123,31 @@ FROM y WHERE level LIKE 'generation%' OR (SELECT count(DISTINCT generation) FROM
     )
 
 
+def _pad(byte: int) -> str:
+    """The key, filled up to a block and mixed with a pad byte, as a blob: the keyed hash's inner or outer prefix."""
+    return "unhex('" + bytes(b ^ byte for b in KEY.ljust(64, b"\0")).hex() + "')"
+
+
+def _known_items() -> str:
+    """Twenty seeded items of the corpus, each with a word of its own as query, and their reports by ranking."""
+    queries = """SELECT qid, text, 20, NULL FROM (SELECT chunk_id, text, row_number() OVER (ORDER BY chunk_id) AS qid FROM (
+    SELECT chunk_id, text FROM (SELECT doc_id AS chunk_id, words[1 + ('0x' || substr(sha256('42word:' || text), 1, 8))::BIGINT % greatest(len(words), 1)] AS text
+        FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[A-Za-z0-9]{4,}'), lambda w: w <> trim(text)) AS words FROM documents))
+    WHERE text IS NOT NULL ORDER BY sha256('42:' || chunk_id), chunk_id LIMIT 20))"""
+    return (
+        _lexical(queries)
+        + ", items AS ("
+        + queries.replace("SELECT qid, text, 20, NULL", "SELECT qid, chunk_id", 1)
+        + ")"
+        + _fused("rt", "rs")
+        + """, h AS (SELECT qid, chunk_id, pos + 1 AS rank FROM o WHERE pos < 20),
+deep AS (SELECT qid, count(*) >= least(20, (SELECT count(*) FROM documents)) AS full_list FROM h GROUP BY qid),
+x AS (SELECT i.qid, c.channel, coalesce(full_list, false) OR h.rank IS NOT NULL AS counts, h.rank FROM items i CROSS JOIN (VALUES ('lexical'), ('fused')) c(channel) LEFT JOIN deep USING (qid) LEFT JOIN h ON h.qid = i.qid AND h.chunk_id = i.chunk_id)
+SELECT 'latin-alnum' AS query_class, channel, count(*) FILTER (counts) AS scored, count(rank) AS recalled, round(count(rank) / nullif(count(*) FILTER (counts), 0), 9) AS recall_rate,
+    round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) WHEN rank IS NOT NULL THEN 0 END), 9) AS mean_ndcg FROM x GROUP BY channel"""
+    )
+
+
 _HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}]"
 _ENLARGED = [(q, t, min(4 * k, 1000), p) for q, t, k, p in QUERIES]
 _GONE = ", ".join(f"'{s}'" for s in EXCLUDED)
@@ -139,10 +169,10 @@ w AS (SELECT 1 AS qid, chunk_id, row_number() OVER (ORDER BY place) AS rank FROM
     + f""", own AS (SELECT doc_id, list(DISTINCT source) OVER (PARTITION BY text) AS sessions FROM documents),
 h AS (SELECT o.*, row_number() OVER (PARTITION BY qid ORDER BY pos) - 1 AS new_pos FROM o JOIN own ON doc_id = chunk_id WHERE pos < k AND len(list_filter(sessions, lambda s: s NOT IN ({_GONE}))) > 0)
 SELECT qid, new_pos AS pos, chunk_id, round(score, 9) AS score, band FROM h WHERE new_pos < 10""",
-    "query_class": f"""WITH q(n, query) AS (VALUES {_values(list(enumerate(CLASSED)))}),
+    "query_class": f"""WITH q(n, query) AS (SELECT * FROM (VALUES {_values(list(enumerate(CLASSED)))}) UNION ALL SELECT (item_id + 100)::INT, text FROM benchmark),
 c AS (SELECT n, length(query) - length(regexp_replace(query, '{_HAN}', '', 'g')) AS han, length(query) - length(regexp_replace(query, '[A-Za-z0-9]', '', 'g')) AS al FROM q)
 SELECT n, CASE WHEN han > 0 AND al > 0 THEN 'mixed' WHEN han = 0 THEN 'latin-alnum' WHEN han <= 2 THEN 'cjk-2char' WHEN han = 3 THEN 'cjk-3char' ELSE 'cjk-4plus' END AS query_class FROM c""",
-    "ident_shape": """SELECT conv_id, turn, regexp_matches(conv_id || '-' || turn, '^[A-Za-z0-9._-]{1,64}$') AS id_ok, regexp_matches(substring(text, 1, 20), '^[A-Za-z0-9._-]{1,64}$') AS text_ok FROM conversations""",
+    "ident_shape": """SELECT conv_id, turn, regexp_matches(conv_id || '-' || turn, '^[A-Za-z0-9._-]{1,64}$') AS id_ok, regexp_matches(text, '^[A-Za-z0-9._-]{1,64}$') AS text_ok FROM conversations""",
     "fingerprint": "SELECT DISTINCT source, substring(sha256(source), 1, 32) AS fingerprint, true AS ok FROM documents",
     "clip_flatten": "SELECT conv_id, turn, CASE WHEN length(text) > 160 THEN substring(replace(text, chr(10), ' '), 1, 160) || '…' ELSE replace(text, chr(10), ' ') END AS snippet FROM conversations",
     "normalise_ws": "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS plain_sha256 FROM documents",
@@ -182,7 +212,7 @@ FROM f FULL JOIN s USING (k)""",
 SELECT count(*) AS uuids, count(*) FILTER (f > 1) AS in_several, count(*) FILTER (f > 1 AND x = 1) AS same_content, count(*) FILTER (f > 1 AND s > 1) AS other_sessions FROM u""",
     "script_cooccurrence": f"""WITH b AS (SELECT regexp_matches(text, '{_HAN}') AS h, regexp_matches(text, '[A-Za-z]{{2,}}') AS l FROM documents)
 SELECT count(*) AS texts, count(*) FILTER (h) AS han, count(*) FILTER (l) AS latin, count(*) FILTER (h AND l) AS both FROM b""",
-    "upsert_last_writer": """WITH o AS (SELECT o_orderkey % 500 AS k, max(o_custkey) AS v FROM orders GROUP BY 1), n AS (SELECT o_orderkey % 700 AS k, min(-o_custkey) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+    "upsert_last_writer": """WITH o AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders GROUP BY 1), n AS (SELECT c_custkey + c_custkey % 2 AS k, -max(c_custkey) AS v FROM customer GROUP BY 1)
 SELECT k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n USING (k)""",
     "remove_sources": _OBSERVED + f" SELECT project_fingerprint, uuid, count(DISTINCT source_key) AS source_count, max(ts) AS latest FROM l WHERE source_key NOT IN ({_GONE}) GROUP BY project_fingerprint, uuid",
     "strength_projection": _USAGE
@@ -193,15 +223,16 @@ SELECT anchor, round(r, 9) AS reinforcement, round(u, 9) AS suppression, round(r
 count(*) FILTER (kind = 'dismissed') AS dismissed, strftime(max(ts) FILTER (kind <> 'shown'), '%Y-%m-%d %H:%M:%S') AS last_deliberate FROM e GROUP BY anchor""",
     "future_events": f"SELECT count(*) AS future_events FROM events WHERE ts > TIMESTAMP '{INSTANT}'",
     "spreading_projection": _USAGE
-    + """, x AS (SELECT * FROM e WHERE kind <> 'dismissed' OR seq % 9 = 0),
+    + """, x AS (SELECT * FROM e),
 m AS (SELECT presentation, anchor, sum(w * decay) AS own FROM x GROUP BY ALL), gr AS (SELECT presentation, sum(own) AS total, count(*) AS n FROM m GROUP BY presentation),
 sp AS (SELECT anchor, 0.3 * sum(total - own) AS gain FROM m JOIN gr USING (presentation) WHERE n BETWEEN 2 AND 2000 AND anchor NOT IN (SELECT anchor FROM x WHERE kind = 'dismissed') GROUP BY anchor),
 s AS (SELECT anchor, sum(w * decay) AS r, sum(CASE WHEN kind = 'dismissed' THEN 2 * decay ELSE 0 END) AS u, count(*) FILTER (kind = 'shown') AS impressions FROM x GROUP BY anchor)
 SELECT anchor, round(r + coalesce(gain, 0), 6) AS reinforcement, round(u, 6) AS suppression, impressions FROM s LEFT JOIN sp USING (anchor) WHERE r + coalesce(gain, 0) > 0 OR u > 0 OR impressions > 0""",
-    "human_like_rerank": _one_pass("band") + _MOVES,
-    "conservative_rerank": _one_pass("run") + _MOVES,
+    "human_like_rerank": _passes("band", 1) + _MOVES,
+    "conservative_rerank": _passes("run", 1) + _MOVES,
+    "human_like_bound3": _passes("band", 3) + _MOVES,
     "archival_rerank": f"WITH {_PAGE} SELECT qid, anchor, pos AS new_pos, 'unmoved' AS movement FROM p",
-    "one_pass_fold": _one_pass("run") + " SELECT qid, anchor, new_pos FROM placed",
+    "one_pass_fold": _passes("run", 1) + " SELECT qid, anchor, new_pos FROM placed",
     "guard_violations": f"""WITH {_PAGE}, n AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM runs),
 a AS (SELECT *, CASE WHEN qid % 5 = 0 THEN n - 1 - pos ELSE pos END AS dest FROM n),
 j AS (SELECT a.*, b.band AS place_band, b.run AS place_run FROM a JOIN n b ON b.qid = a.qid AND b.pos = a.dest),
@@ -212,6 +243,14 @@ SELECT qid, rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY qid, rule
     "tie_stats": f"""WITH {_PAGE}, s AS (SELECT *, coalesce(base_score = lag(base_score) OVER (PARTITION BY qid ORDER BY pos), false) AS same_score FROM runs),
 g AS (SELECT qid, run, count(*) AS size, count(*) FILTER (same) AS tied, count(*) FILTER (same_score) AS tied_score FROM s GROUP BY qid, run)
 SELECT qid, sum(size)::BIGINT AS n, sum(tied)::BIGINT AS tied_pairs, sum(tied_score)::BIGINT AS tied_score_pairs, count(*) FILTER (size > 1) AS runs, coalesce(sum(size) FILTER (size > 1), 0)::BIGINT AS covered, max(size) AS longest FROM g GROUP BY qid""",
+    "interleave_ab": f"""WITH RECURSIVE {_PAGE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY anchor) - 1 AS pos_b FROM p),
+g AS (SELECT qid, list(anchor ORDER BY pos) AS a, list(anchor ORDER BY pos_b) AS b FROM r GROUP BY qid),
+w(qid, a, b, taken, turn, pick, by_a) AS (
+    SELECT qid, a, b, []::BIGINT[], 0, NULL::BIGINT, NULL::BOOLEAN FROM g
+    UNION ALL
+    SELECT qid, a, b, list_append(taken, x), turn + 1, x, from_a FROM (
+        SELECT *, (turn % 2 = 0) = (qid % 2 = 0) AS from_a, list_filter(CASE WHEN (turn % 2 = 0) = (qid % 2 = 0) THEN a ELSE b END, lambda y: NOT list_contains(taken, y))[1] AS x FROM w WHERE turn < len(a)))
+SELECT qid, (turn - 1)::INT AS place, pick AS anchor, CASE WHEN a <> b THEN CASE WHEN by_a THEN 'a' ELSE 'b' END END AS credited_to FROM w WHERE turn > 0""",
     "comparison_report": _levels(1),
     "generation_rows": _levels(2),
     "dispositions": _report(2) + " SELECT disposition, count(*) AS n FROM d GROUP BY disposition",
@@ -234,6 +273,14 @@ SELECT skip_reason, count(*) AS n FROM s WHERE skip_reason IS NOT NULL GROUP BY
     "tool_metadata": """WITH c AS (SELECT *, (conv_id * 8 + turn) % 16 AS r FROM conversations)
 SELECT conv_id || '-' || turn AS uuid, role, sha256(CASE WHEN r = 6 THEN 'Read /f/' || turn ELSE text END) AS text_sha256, 1704067200000 + turn * 1000 + CASE WHEN r % 2 = 0 THEN 250 ELSE 0 END AS ms
 FROM c WHERE r NOT IN (1, 2, 3, 4, 5, 7, 8)""",
-    "prompt_gate": """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN substring(text, 1, 60) WHEN turn % 4 = 2 THEN '/cmd ' || text ELSE text END AS own FROM conversations)
+    "content_hash": f"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS plain, hex(encode(text)) AS h FROM conversations),
+s AS (SELECT *, list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {1 << 64}::UHUGEINT, 14695981039346656037::UHUGEINT) AS f0 FROM t),
+m1 AS (SELECT *, (xor(f0, f0 >> 33) * {0xFF51AFD7ED558CCD}::UHUGEINT) % {1 << 64}::UHUGEINT AS f1 FROM s),
+m2 AS (SELECT *, (xor(f1, f1 >> 33) * {0xC4CEB9FE1A85EC53}::UHUGEINT) % {1 << 64}::UHUGEINT AS f2 FROM m1)
+SELECT conv_id, turn, CASE WHEN plain <> '' THEN sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(plain)))) END AS content_hash, CASE WHEN xor(f2, f2 >> 33) % 2 = 0 THEN 'a' ELSE 'b' END AS side FROM m2""",
+    "nested_samples": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('7:' || doc_id), doc_id) AS n FROM documents)
+SELECT doc_id, CASE WHEN n <= 10 THEN 10 WHEN n <= 40 THEN 40 ELSE 160 END AS smallest_sample FROM d WHERE n <= 160""",
+    "known_item_recall": _known_items(),
+    "prompt_gate": """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN text WHEN turn % 4 = 2 THEN '/cmd ' || text ELSE text END AS own FROM conversations)
 SELECT conv_id, turn, CASE WHEN trim(own) = '' OR starts_with(own, '/cmd') THEN 'synthetic' WHEN regexp_matches(own, '(?i)\\bthing\\b') OR regexp_matches(own, '(?i)ques+') THEN 'hit' ELSE 'miss' END AS outcome FROM c""",
 }
