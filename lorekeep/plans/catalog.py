@@ -392,18 +392,23 @@ def mark_events(spark, sf_dir):
 
 
 def _raw_lines(spark, sf_dir):
-    """Conversations as raw records, every class of skip among them."""
-    c = table(spark, sf_dir, "conversations").withColumn("r", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(16)))
+    """Conversations as raw records, every class of skip and every kind of content among them."""
+    c = table(spark, sf_dir, "conversations").withColumn("r", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(20)))
     when = F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.pmod("turn", F.lit(60)), 2, "0"), F.when(F.col("r") % 2 == 0, ".250Z").otherwise("Z"))
-    call = lambda n: F.struct(F.lit("tool_use").alias("type"), F.lit("Read").alias("name"), F.struct(F.concat(F.lit("/f/"), n).alias("path")).alias("input"))
-    plain = F.to_json(F.struct("type", "uuid", "sessionId", "timestamp", F.struct("role", F.col("text").alias("content")).alias("message")))
-    tool = F.to_json(F.struct("type", "uuid", "sessionId", "timestamp", F.struct("role", F.array(call(F.col("turn"))).alias("content")).alias("message")))
-    result = F.to_json(F.struct("type", "uuid", "sessionId", "timestamp", F.struct("role", F.array(F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content"))).alias("content")).alias("message")))
+    block = lambda kind, **f: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in f.items()])
+    call = block("tool_use", name=F.lit("Read"), input=F.struct(F.concat(F.lit("/f/"), "turn").alias("path"), F.concat(F.lit("a\nb"), F.col("turn")).alias("command"), F.lit("").alias("url"), F.col("turn").alias("query"), F.col("text").alias("content")))
+    result, failed = block("tool_result", content=F.col("text")), block("tool_result", content=F.array(block("text", text=F.col("text"))), is_error=F.lit(True))
+    record = lambda content, **over: F.to_json(F.struct("type", "uuid", "sessionId", "timestamp", F.struct(*over.values() or [F.col("role")], content.alias("content")).alias("message")))
+    both = F.concat(F.lit("["), F.to_json(failed), F.lit(","), F.to_json(block("text", text=F.col("text"))), F.lit("]"))
+    mixed = lambda content: F.concat(F.lit('{"type":"'), "type", F.lit('","uuid":"'), "uuid", F.lit('","sessionId":"'), "sessionId", F.lit('","timestamp":"'), "timestamp", F.lit('","message":{"content":'), content, F.lit("}}"))
     rows = c.select(
         "conv_id", "turn", "r", "role", F.when(F.col("r") == 1, " \n ").otherwise(F.col("text")).alias("text"), F.when(F.col("r") == 2, "summary").when(F.col("role") == "assistant", "assistant").otherwise("user").alias("type"),
         F.when(F.col("r") != 3, F.when(F.col("r") == 4, "bad id!").otherwise(F.concat_ws("-", "conv_id", "turn"))).alias("uuid"), F.concat(F.lit("s"), F.col("conv_id")).alias("sessionId"), when.alias("timestamp"),
     )
-    raw = F.when(F.col("r") == 5, "{not json").when(F.col("r") == 6, tool).when(F.col("r") == 7, result).when(F.col("r") == 8, F.lit(None)).otherwise(plain)
+    raw = (
+        F.when(F.col("r") == 5, "{not json").when(F.col("r") == 6, record(F.array(call))).when(F.col("r") == 7, record(F.array(result))).when(F.col("r") == 8, F.lit(None))
+        .when(F.col("r") == 9, mixed(both)).when(F.col("r") == 10, record(F.col("turn"))).when(F.col("r") == 11, mixed(F.lit('[{"type":"text","text":"z"},7]'))).otherwise(record(F.col("text")))
+    )
     return rows.select(F.concat(F.lit("p/"), F.col("conv_id"), F.lit(".jsonl")).alias("source_key"), F.lit("p").alias("project"), F.col("turn").cast("int").alias("line_no"), raw.alias("raw"))
 
 

@@ -267,12 +267,15 @@ round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) FILTER (rank
     "mark_events": _report(1)
     + """, x AS (SELECT id, unnest(members[1:3]) AS anchor, generate_subscripts(members[1:3], 1) AS rank FROM pr)
 SELECT id AS presentation, CASE WHEN rank = 1 THEN 'pinned' ELSE 'opened' END AS kind, anchor, CASE WHEN length(anchor) % 2 = 0 THEN 'archival' ELSE 'human-like' END AS policy, rank = 1 AS has_note FROM x""",
-    "skip_tally": """WITH r AS (SELECT (conv_id * 8 + turn) % 16 AS r FROM conversations),
-s AS (SELECT CASE r WHEN 1 THEN 'noIndexableText' WHEN 2 THEN 'notATurn' WHEN 3 THEN 'missingPointerField' WHEN 4 THEN 'malformedIdentifier' WHEN 5 THEN 'unparseableLine' WHEN 7 THEN 'toolResultOnly' WHEN 8 THEN 'incompleteTrailingRecord' END AS skip_reason FROM r)
+    "skip_tally": """WITH r AS (SELECT (conv_id * 8 + turn) % 20 AS r FROM conversations),
+s AS (SELECT CASE r WHEN 1 THEN 'noIndexableText' WHEN 2 THEN 'notATurn' WHEN 3 THEN 'missingPointerField' WHEN 4 THEN 'malformedIdentifier' WHEN 5 THEN 'unparseableLine' WHEN 7 THEN 'toolResultOnly' WHEN 8 THEN 'incompleteTrailingRecord'
+    WHEN 10 THEN 'noIndexableText' WHEN 11 THEN 'noIndexableText' END AS skip_reason FROM r)
 SELECT skip_reason, count(*) AS n FROM s WHERE skip_reason IS NOT NULL GROUP BY skip_reason""",
-    "tool_metadata": """WITH c AS (SELECT *, (conv_id * 8 + turn) % 16 AS r FROM conversations)
-SELECT conv_id || '-' || turn AS uuid, role, sha256(CASE WHEN r = 6 THEN 'Read /f/' || turn ELSE text END) AS text_sha256, 1704067200000 + turn * 1000 + CASE WHEN r % 2 = 0 THEN 250 ELSE 0 END AS ms
-FROM c WHERE r NOT IN (1, 2, 3, 4, 5, 7, 8)""",
+    "tool_metadata": """WITH c AS (SELECT *, (conv_id * 8 + turn) % 20 AS r FROM conversations)
+SELECT conv_id || '-' || turn AS uuid, CASE WHEN r = 9 THEN CASE WHEN role = 'assistant' THEN role ELSE 'user' END ELSE role END AS role,
+    sha256(CASE WHEN r = 6 THEN '⟨tool Read command=a b' || turn || ' path=/f/' || turn || '⟩' WHEN r = 9 THEN '⟨tool_result error⟩' || chr(10) || text ELSE text END) AS text_sha256,
+    1704067200000 + turn * 1000 + CASE WHEN r % 2 = 0 THEN 250 ELSE 0 END AS ms
+FROM c WHERE r NOT IN (1, 2, 3, 4, 5, 7, 8, 10, 11)""",
     "content_hash": f"""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS plain, hex(encode(text)) AS h FROM conversations),
 s AS (SELECT *, list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {1 << 64}::UHUGEINT, 14695981039346656037::UHUGEINT) AS f0 FROM t),
 m1 AS (SELECT *, (xor(f0, f0 >> 33) * {0xFF51AFD7ED558CCD}::UHUGEINT) % {1 << 64}::UHUGEINT AS f1 FROM s),

@@ -2,52 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.text import fingerprint, normalise_space
+from lorekeep.sources.tables import written
+
 # What is told of a tool call, in this order, and how much of each.
 TOOL_FIELDS = ("command", "file_path", "path", "pattern", "query", "url", "description")
 TOOL_CLIP = 200
 SKIPS = ("unparseableLine", "notATurn", "missingPointerField", "malformedIdentifier", "toolResultOnly", "noIndexableText", "incompleteTrailingRecord")
 
-_BLOCK = "type string, text string, name string, is_error boolean, content string, input struct<" + ", ".join(f"{f}:string" for f in TOOL_FIELDS) + ">"
-_ROW = f"""
-SELECT source_key, project, line_no, raw, record,
-       try_variant_get(record, '$.type', 'string') AS type,
-       try_variant_get(record, '$.uuid', 'string') AS uuid,
-       try_variant_get(record, '$.sessionId', 'string') AS session_id,
-       try_to_timestamp(try_variant_get(record, '$.timestamp', 'string')) AS ts,
-       try_variant_get(record, '$.message.role', 'string') AS role,
-       schema_of_variant(try_variant_get(record, '$.message.content', 'variant')) AS content_kind,
-       try_variant_get(record, '$.message.content', 'string') AS content_text,
-       try_variant_get(record, '$.message.content', 'array<struct<{_BLOCK.replace(" string", ":string").replace(" boolean", ":boolean").replace(" struct", ":struct")}>>') AS blocks
-FROM {{lines}}
-"""
+#: An ISO-8601 time with a zone, as records carry it.
+_TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)$"
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/<project>/**/*.jsonl`` as rows of the binary source; a session's log is one row and small."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+def read_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(source_key, project, line_no, raw, bytes, complete) of ``<root>/<project>/**/*.jsonl``, by Spark's splittable text
+    source: a file of any size is read by as many tasks as it has blocks.
 
+    A line's number is that of its block's first line plus its place in the block; block sizes are counted first, a row
+    for each block. ``complete`` is false for a last line without a newline; ``bytes`` counts the newline.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    rows = text.select(
+        source_key(root, F.col("_metadata.file_path")).alias("source_key"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("nth"), F.col("value").alias("raw"), (F.octet_length("value") + 1).alias("bytes"),
+    )
+    blocks = rows.groupBy("source_key", "block").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("block_bytes"), F.max("size").alias("size"))
+    before = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source_key")
+    starts = written(
+        blocks.select(
+            "source_key", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"), F.sum("lines").over(whole).alias("file_lines"),
+            (F.sum("block_bytes").over(whole) <= F.col("size")).alias("ends"),
+        )
+    )
+    numbered = rows.join(starts, ["source_key", "block"]).withColumn("line_no", F.col("base") + F.col("nth") - F.col("first"))
+    return numbered.select("source_key", F.substring_index("source_key", "/", 1).alias("project"), "line_no", "raw", "bytes", (F.col("ends") | (F.col("line_no") < F.col("file_lines") - 1)).alias("complete"))
+
+
+def source_key(root: str, path: Column) -> Column:
+    base = root.rstrip("/").removeprefix("file://") + "/"
+    return F.substring_index(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), base, -1)
+
+
+def tails(lines: DataFrame, done: DataFrame) -> DataFrame:
+    """Lines beyond what the cursors in ``done`` (source_key, processed_lines) cover, without empty ones; ``raw`` is null
+    for an incomplete one."""
+    joined = lines.join(done.select("source_key", "processed_lines"), "source_key", "left")
+    new = joined.where((F.col("line_no") >= F.coalesce("processed_lines", F.lit(0))) & (F.col("raw") != ""))
+    return new.select("source_key", "project", F.col("line_no").cast("int").alias("line_no"), F.when(F.col("complete"), F.col("raw")).alias("raw"))
+
+
+def _checksum(counted: Column) -> Column:
+    """A digest of the lines that count: the sum of 120 bits of SHA-256 over each line with its number. Partial sums add up,
+    so a file's prefix is never gathered in one place."""
+    digest = F.sha2(F.concat_ws(":", F.col("line_no").cast("string"), F.col("raw")), 256)
+    part = lambda at: F.sum(F.when(counted, F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")))
+    return F.concat_ws("-", part(1).cast("string"), part(16).cast("string"))
+
+
+def found_sources(lines: DataFrame, scan_state: DataFrame) -> DataFrame:
+    """(source_key, project, size, lines, prefix_hash, whole_hash): complete bytes and lines of each file, the checksum of
+    as many lines as its stored cursor covers, and that of all."""
+    state = scan_state.select("source_key", "processed_lines")
+    joined = lines.join(state, "source_key", "left")
+    covered = F.col("complete") & (F.col("line_no") < F.coalesce("processed_lines", F.lit(0)))
+    return joined.groupBy("source_key", "project").agg(
+        F.sum(F.when(F.col("complete"), F.col("bytes")).otherwise(0)).alias("size"), F.count_if("complete").alias("lines"), _checksum(covered).alias("prefix_hash"), _checksum(F.col("complete")).alias("whole_hash")
+    )
 
-def source_key(root: str) -> Column:
-    return F.substring_index("path", root.rstrip("/") + "/", -1)
 
+def cursors(found: DataFrame) -> DataFrame:
+    """(source_key, project, prefix_hash, processed_bytes, processed_lines): up to each file's last newline."""
+    return found.select("source_key", "project", F.col("whole_hash").alias("prefix_hash"), F.col("size").alias("processed_bytes"), F.col("lines").alias("processed_lines"))
 
-def lines_of_files(files: DataFrame, root: str, done: Column | None = None) -> DataFrame:
-    """(source_key, project, line_no, raw): the lines after the first ``done`` bytes (default: all).
 
-    Files are cut at newlines by position, so that a last line without one is told apart: ``raw`` is null there, see
-    ``incompleteTrailingRecord``. Line numbers count from the file's start wherever reading starts.
-    """
-    key = source_key(root)
-    done = F.coalesce(done, F.lit(0)).cast("int") if done is not None else F.lit(0)
-    prefix = F.decode(F.substring(F.col("content"), F.lit(1), done), "ISO-8859-1")
-    skipped = F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit("")))
-    whole = files.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), skipped.alias("skipped"), F.split(F.col("content").cast("string"), "\n").alias("lines"))
-    each = whole.select("source_key", "project", "skipped", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "raw"))
-    last = F.col("line_no") == F.col("n") - 1
-    return each.where((F.col("line_no") >= F.col("skipped")) & (~last | (F.col("raw") != ""))).select("source_key", "project", "line_no", F.when(~last, F.col("raw")).alias("raw"))
+def _kind(value: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def _string(value: Column, path: str) -> Column:
+    """The string at a path; null for anything else, numbers included."""
+    return F.when(_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
 
 
 def _clip(value: Column) -> Column:
@@ -55,64 +93,59 @@ def _clip(value: Column) -> Column:
 
 
 def tool_summary(block: Column) -> Column:
-    """A tool call's name and the listed fields of its input, each clipped."""
-    return F.concat_ws(" ", block["name"], *[_clip(block["input"][f]) for f in TOOL_FIELDS])
+    """A tool call's name and the listed fields of its input, each on one line and clipped; empty ones are left out."""
+    fields = []
+    for f in TOOL_FIELDS:
+        told = _string(block, f"$.input.{f}")
+        fields.append(F.when(told != "", F.concat(F.lit(f" {f}="), _clip(F.replace(told, F.lit("\n"), F.lit(" "))))).otherwise(""))
+    return F.concat(F.lit("⟨tool "), F.coalesce(_string(block, "$.name"), F.lit("?")), *[F.coalesce(f, F.lit("")) for f in fields], F.lit("⟩"))
+
+
+def _block_text(block: Column) -> Column:
+    """What a block tells: its text, a tool call's summary, whether a tool's result is an error (its content is not told)."""
+    kind = _string(block, "$.type")
+    failed = F.coalesce(F.try_variant_get(block, "$.is_error", "boolean"), F.lit(False))
+    result = F.when(failed, "⟨tool_result error⟩").otherwise("⟨tool_result ok⟩")
+    return F.when(kind == "text", _string(block, "$.text")).when(kind == "tool_use", tool_summary(block)).when(kind == "tool_result", result)
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Each line as a turn (text, ts, ...) or with a ``skip_reason``. The order of checks decides the reason."""
-    spark = lines.sparkSession
-    parsed = lines.withColumn("record", F.try_parse_json("raw"))
-    parsed.createOrReplaceTempView("__log_lines")
-    rows = spark.sql(_ROW.format(lines="__log_lines"))
-    block_text = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", tool_summary(b)).when(b["type"] == "tool_result", b["content"])
-    text = F.when(F.col("blocks").isNotNull(), F.array_join(F.filter(F.transform("blocks", block_text), lambda t: F.coalesce(t != "", F.lit(False))), "\n")).otherwise(F.col("content_text"))
-    rows = rows.withColumn("text", text)
-    pointer = F.col("uuid").isNull() | F.col("session_id").isNull() | F.col("ts").isNull()
+    """Each line as a turn (text, ts, ...) or with a ``skip_reason``. The order of checks decides the reason; fields of
+    another type than theirs count as missing. An array of content with anything but objects in it has no text."""
+    record = F.col("record")
+    rows = lines.withColumn("record", F.try_parse_json("raw"))
+    rows = rows.select(
+        "source_key", "project", "line_no", "raw", "record", _string(record, "$.type").alias("type"), _string(record, "$.uuid").alias("uuid"), _string(record, "$.sessionId").alias("session_id"),
+        _string(record, "$.timestamp").alias("time"), _kind(record, "$.message").startswith("OBJECT").alias("has_message"), _string(record, "$.message.role").alias("role"),
+        _string(record, "$.message.content").alias("plain"), F.when(_kind(record, "$.message.content").startswith("ARRAY"), F.try_variant_get(record, "$.message.content", "array<variant>")).alias("blocks"),
+    )
+    all_objects = F.forall("blocks", lambda b: F.coalesce(F.schema_of_variant(b).startswith("OBJECT"), F.lit(False)))
+    rows = rows.withColumn("blocks", F.when(all_objects, F.col("blocks")))
+    told = F.array_join(F.filter(F.transform("blocks", _block_text), lambda t: F.coalesce(t != "", F.lit(False))), "\n")
+    rows = rows.withColumn("text", F.coalesce("plain", told, F.lit(""))).withColumn("ts", F.when(F.col("time").rlike(_TIME), F.try_to_timestamp("time")))
+    kind = lambda b: F.coalesce(_string(b, "$.type"), F.lit(""))
+    speaks = lambda b: (kind(b) == "tool_use") | ((kind(b) == "text") & (F.coalesce(normalise_space(_string(b, "$.text")), F.lit("")) != ""))
+    only_results = F.coalesce(F.exists("blocks", lambda b: kind(b) == "tool_result") & ~F.exists("blocks", speaks), F.lit(False))
     shape = "^[A-Za-z0-9._-]{1,64}$"
-    only_results = F.col("blocks").isNotNull() & (F.size("blocks") > 0) & F.forall("blocks", lambda b: F.coalesce(b["type"] == "tool_result", F.lit(False)))
     reason = (
         F.when(F.col("raw").isNull(), "incompleteTrailingRecord")
-        .when(F.col("record").isNull() | ~F.coalesce(F.expr("schema_of_variant(record)").startswith("OBJECT"), F.lit(False)), "unparseableLine")
+        .when(F.col("record").isNull() | ~F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False)), "unparseableLine")
         .when(~F.coalesce(F.col("type").isin("user", "assistant"), F.lit(False)), "notATurn")
-        .when(pointer, "missingPointerField")
+        .when(F.col("uuid").isNull() | F.col("session_id").isNull() | F.col("ts").isNull(), "missingPointerField")
         .when(~F.col("uuid").rlike(shape) | ~F.col("session_id").rlike(shape), "malformedIdentifier")
-        .when(F.col("role").isNull(), "notATurn")
+        .when(~F.coalesce("has_message", F.lit(False)), "notATurn")
+        .when(normalise_space(F.col("text")) == "", "noIndexableText")
         .when(only_results, "toolResultOnly")
-        .when(F.coalesce(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), F.lit("")) == "", "noIndexableText")
     )
-    return rows.select("source_key", "project", "line_no", "uuid", "session_id", "ts", "role", "text", reason.alias("skip_reason"))
+    return rows.select("source_key", "project", "line_no", "uuid", "session_id", "ts", F.coalesce("role", "type").alias("role"), "text", reason.alias("skip_reason"))
 
 
 def turns(classified: DataFrame) -> DataFrame:
     """The turns among classified lines, as ``operators.index.build_chunks`` takes them. ``seq`` orders observations by
     what they say, time and line, so a chunk's last observation is the same however its sources were read."""
-    from lorekeep.functions.text import fingerprint
-
     seq = F.concat_ws(":", F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("line_no").cast("string"), 9, "0"))
     return classified.where("skip_reason is null").select("project", fingerprint(F.col("project")).alias("project_fingerprint"), "uuid", "source_key", "session_id", "ts", "role", "text", seq.alias("seq"))
 
 
 def skip_tally(classified: DataFrame) -> DataFrame:
     return classified.where("skip_reason is not null").groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _whole_bytes() -> Column:
-    """Bytes up to the last newline."""
-    text = F.decode("content", "ISO-8859-1")  # a character a byte
-    return (F.length(text) - F.length(F.substring_index(text, "\n", -1))).cast("long")
-
-
-def cursors(files: DataFrame, root: str) -> DataFrame:
-    """(source_key, project, prefix_hash, processed_bytes): up to each file's last newline."""
-    key = source_key(root)
-    prefix = F.substring(F.col("content"), F.lit(1), _whole_bytes().cast("int"))
-    return files.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), F.sha2(prefix, 256).alias("prefix_hash"), _whole_bytes().alias("processed_bytes"))
-
-
-def found_files(files: DataFrame, root: str, scan_state: DataFrame) -> DataFrame:
-    """(source_key, project, size, prefix_hash): the hash of as many bytes as the stored cursor covers."""
-    state = scan_state.select("source_key", F.col("processed_bytes").alias("done"))
-    keyed = files.withColumn("source_key", source_key(root)).join(state, "source_key", "left")
-    prefix = F.substring(F.col("content"), F.lit(1), F.greatest(F.lit(0), F.coalesce("done", F.lit(0))).cast("int"))
-    return keyed.select("source_key", F.substring_index("source_key", "/", 1).alias("project"), _whole_bytes().alias("size"), F.sha2(prefix, 256).alias("prefix_hash"))

@@ -18,7 +18,7 @@ from lorekeep.sources import logs
 from lorekeep.sources.tables import written
 
 LAYOUT = 1
-_STATE = "source_key string, project string, prefix_hash string, processed_bytes long"
+_STATE = "source_key string, project string, prefix_hash string, processed_bytes long, processed_lines long"
 
 
 @dataclass
@@ -68,25 +68,26 @@ class Store:
     def build(self, root: str, full: bool = False, unreadable_projects: list[str] = ()) -> BuildReport:
         """One increment (``full``: everything anew). What a failed build has written is not seen and is written over."""
         v = self.version() + 1
-        files = logs.read_files(self.spark, root)
+        lines = logs.read_lines(self.spark, root)
         before = self.state() if not full else self.spark.createDataFrame([], _STATE)
         blocked = self.spark.createDataFrame([(p,) for p in unreadable_projects], "project string")
-        known = self.state().select("source_key", "prefix_hash", "processed_bytes")
-        actions = written(index.manifest_difference(logs.found_files(files, root, before), before if not full else known.where("false"), blocked))
-        todo = actions.where("action in ('new', 'rewritten', 'appended')").join(before.select("source_key", "processed_bytes"), "source_key", "left")
-        start = F.when(F.col("action") == "appended", F.col("processed_bytes"))
-        own = files.withColumn("source_key", logs.source_key(root)).join(todo, "source_key")
-        lines = written(logs.classify(logs.lines_of_files(own, root, start)))
-        logs.turns(lines).write.mode("overwrite").parquet(f"{self.folder}/turns/v={v}")
+        known = self.state()
+        found = written(logs.found_sources(lines, before))
+        actions = written(index.manifest_difference(found, before, blocked))
+        todo = actions.where("action in ('new', 'rewritten', 'appended')")
+        start = todo.where("action = 'appended'").select("source_key").join(before.select("source_key", "processed_lines"), "source_key")
+        own = lines.join(todo.select("source_key"), "source_key", "left_semi")
+        classified = written(logs.classify(logs.tails(own, start)))
+        logs.turns(classified).write.mode("overwrite").parquet(f"{self.folder}/turns/v={v}")
         gone = actions.where("action in ('rewritten', 'vanished')").select("source_key")
         if full:
             gone = known.select("source_key")
         gone.write.mode("overwrite").parquet(f"{self.folder}/gone/v={v}")
         kept = before.join(actions.where("action in ('same', 'kept')"), "source_key", "left_semi")
-        fresh = logs.cursors(own.drop("source_key"), root)
-        kept.select("source_key", "project", "prefix_hash", "processed_bytes").unionByName(fresh).write.mode("overwrite").parquet(f"{self.folder}/state/v={v}")
+        fresh = logs.cursors(found.join(todo.select("source_key"), "source_key", "left_semi"))
+        kept.select("source_key", "project", "prefix_hash", "processed_bytes", "processed_lines").unionByName(fresh).write.mode("overwrite").parquet(f"{self.folder}/state/v={v}")
         tally = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        skipped = {r["skip_reason"]: r["n"] for r in logs.skip_tally(lines).collect()}
+        skipped = {r["skip_reason"]: r["n"] for r in logs.skip_tally(classified).collect()}
         self.spark.createDataFrame([(LAYOUT,)], "layout int").write.mode("overwrite").parquet(f"{self.folder}/meta/v={v}")
         return BuildReport(v, tally, skipped)
 

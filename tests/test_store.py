@@ -31,12 +31,46 @@ def test_skip_classes(spark, tmp_path):
         [record(1, "s"), record(2, "s", type="summary"), record(3, "s", uuid=None), record(4, "s", uuid="a b"), "{no", "[1]", record(5, "s", message={"role": "user", "content": results}), record(6, "s", text=" \n "), record(7, "s", message={"role": "assistant", "content": blocks}), record(8, "s", timestamp="soon")],
         tail='{"type": "user"',
     )
-    rows = logs.classify(logs.lines_of_files(logs.read_files(spark, str(root)), str(root))).collect()
+    rows = logs.classify(logs.tails(logs.read_lines(spark, str(root)), spark.createDataFrame([], "source_key string, processed_lines long"))).collect()
     tally = {}
     for r in rows:
         tally[r["skip_reason"]] = tally.get(r["skip_reason"], 0) + 1
     assert tally == {None: 2, "notATurn": 1, "missingPointerField": 2, "malformedIdentifier": 1, "unparseableLine": 2, "toolResultOnly": 1, "noIndexableText": 1, "incompleteTrailingRecord": 1}
-    assert next(r["text"] for r in rows if r["uuid"] == "u7") == "hello\nRead /f" and rows[0]["source_key"] == "p/deep/s.jsonl"
+    assert next(r["text"] for r in rows if r["uuid"] == "u7") == "hello\n⟨tool Read path=/f⟩" and rows[0]["source_key"] == "p/deep/s.jsonl"
+
+
+def test_types_are_strict_and_payloads_stay_out(spark):
+    """One record each: what its text is, or why it is skipped."""
+    block = lambda **b: [b]
+    nested = {"type": "tool_result", "content": [{"type": "text", "text": "inner"}], "is_error": True}
+    cases = [
+        ({"content": "plain"}, "plain"), ({"content": 42}, "noIndexableText"), ({"content": block(type="text", text=5)}, "noIndexableText"), ({"content": [{"type": "text", "text": "z"}, 7]}, "noIndexableText"),
+        ({"content": [nested]}, "toolResultOnly"), ({"content": [nested, {"type": "text", "text": "see"}]}, "⟨tool_result error⟩\nsee"), ({"content": [nested, {"type": "text", "text": " \n"}]}, "toolResultOnly"),
+        ({"content": [{"type": "tool_result", "content": "secret"}, {"type": "tool_use", "name": "Edit", "input": {"command": "a\nb", "file_path": "/f", "path": "", "query": 3, "new_string": "payload"}}]}, "⟨tool_result ok⟩\n⟨tool Edit command=a b file_path=/f⟩"),
+        ({"content": [{"type": "tool_use"}]}, "⟨tool ?⟩"), ({"content": [{"type": "tool_use", "name": "Bash", "input": {"command": "x" * 201}}]}, "⟨tool Bash command=" + "x" * 200 + "…⟩"),
+        ({"content": "no role", "role": None}, "no role"), ("not an object", "notATurn"), ({"content": [{"type": "thinking", "text": "t"}]}, "noIndexableText"), ({"content": [nested, {"text": "untyped"}]}, "toolResultOnly"),
+    ]
+    rows = [("p/s", "p", i, json.dumps({"type": "assistant", "uuid": f"u{i}", "sessionId": "s", "timestamp": "2024-01-01T00:00:00Z", "message": m}, ensure_ascii=False)) for i, (m, _) in enumerate(cases)]
+    more = [{"uuid": 7}, {"timestamp": "2024-01-01"}, {"timestamp": 5}, {"type": 3}]
+    rows += [("p/s", "p", 100 + i, json.dumps(record(1, "s") | m)) for i, m in enumerate(more)]
+    got = {r["line_no"]: r for r in logs.classify(spark.createDataFrame(rows, "source_key string, project string, line_no int, raw string")).collect()}
+    assert [got[i]["skip_reason"] or got[i]["text"] for i in range(len(cases))] == [want for _, want in cases]
+    assert got[10]["role"] == "assistant" and [got[100 + i]["skip_reason"] for i in range(4)] == ["missingPointerField"] * 3 + ["notATurn"]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    lines = [json.dumps({"n": i, "pad": "é" * (i % 50)}, ensure_ascii=False) for i in range(3000)]
+    write(tmp_path / "p" / "big file+1.jsonl", lines, tail="half")
+    write(tmp_path / "p" / "small.jsonl", ["one", "", "three"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = logs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    big = {r["line_no"]: (r["raw"], r["complete"]) for r in got if r["source_key"] == "p/big file+1.jsonl"}
+    assert big == {i: (x, True) for i, x in enumerate(lines)} | {3000: ("half", False)}
+    assert sorted((r["line_no"], r["raw"]) for r in got if r["source_key"] == "p/small.jsonl") == [(0, "one"), (1, ""), (2, "three")]
 
 
 def _contents(store):
