@@ -1,14 +1,14 @@
 """Hybrid retrieval over a batch of queries: two lexical channels, one vector channel, rank fusion.
 
-Every operator takes ``queries`` and ``chunks`` as DataFrames and answers all queries at once. Queries are few (a
-table of up to some thousands, collected into an expression or a matrix); chunks are read once per channel and never
-shuffled: only matches are (query, chunk, a few numbers), and ``row_number() <= depth`` trims them before the shuffle
-(Catalyst's WindowGroupLimit). Corpus statistics are always those of the whole corpus, whatever the scope.
+Queries are a batch (at most ``postings.MOST_QUERIES``) and answered at once. Lexical channels look up postings; the
+vector channel multiplies vectors with the queries' matrix. ``row_number() <= depth`` trims matches in each task before
+they are shuffled (Catalyst's WindowGroupLimit). Corpus statistics are always those of the whole corpus, whatever the scope.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as fn
+from lorekeep.operators import postings
+from lorekeep.operators.postings import SearchIndex
 from lorekeep.sources.tables import written
 
 # BM25's usual constants, the floor of its idf, the fusion constant, and how deep channels are read.
@@ -28,62 +30,26 @@ def depth(k: Column) -> Column:
     return F.greatest(5 * k, F.lit(50))
 
 
-def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks, mean trigram count, mean token count."""
-    seen = chunks.select(F.length("text").alias("length"), fn.segments(F.col("text")).alias("tokens"))
-    return seen.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.col("length") - 2, F.lit(0))).alias("trigram_avgdl"), F.avg(fn.segment_count(F.col("tokens"))).alias("segment_avgdl")
-    )
-
-
-def _seen(chunks: DataFrame, channel: str) -> DataFrame:
-    """(chunk_id, project, hay, dl): what a channel looks at, worked out once a chunk, and its length."""
-    hay = F.lower("text") if channel == "trigram" else fn.segments(F.col("text"))
-    length = F.greatest(F.length("hay") - 2, F.lit(0)) if channel == "trigram" else fn.segment_count(F.col("hay"))
-    return chunks.select("chunk_id", "project", hay.alias("hay")).select("*", length.cast("int").alias("dl"))
-
-
-def _phrase(channel: str, query: Column) -> Column:
-    """What a channel looks for; empty (which matches nothing) where the query is too short."""
-    trimmed = F.trim(query)
-    return F.when(F.length(trimmed) >= 3, F.lower(trimmed)).otherwise(F.lit("")) if channel == "trigram" else fn.segments(trimmed)
-
-
-def lexical_matches(chunks: DataFrame, queries: DataFrame, channel: str) -> DataFrame:
-    """(qid, variant, chunk_id, project, tf, dl) for each chunk that holds a query's phrase. ``queries``: qid, text, variant.
-
-    The batch of queries becomes one array that each chunk is tried with in its own row.
-    """
-    phrases = queries.select("qid", "variant", _phrase(channel, F.col("text")).alias("phrase")).where("phrase <> ''").collect()
-    looked_for = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["variant"]).alias("variant"), F.lit(r["phrase"]).alias("phrase"), F.lit(fn.overlaps_itself(r["phrase"])).alias("overlapping")) for r in phrases])
-    if not phrases:
-        return chunks.sparkSession.createDataFrame([], "qid int, variant int, chunk_id long, project string, tf int, dl int")
-    held = _seen(chunks, channel).select("*", F.filter(looked_for, lambda q: F.contains(F.col("hay"), q["phrase"])).alias("held"))
-    # explode_outer: from a plain explode, Spark would derive a filter and push it, with the work on the text in it, to the scan
-    each = held.select("chunk_id", "project", "dl", "hay", F.explode_outer("held").alias("q")).where("q is not null")
-    return each.select("q.qid", "q.variant", "chunk_id", "project", fn.phrase_count(F.col("hay"), F.col("q.phrase"), F.col("q.overlapping")).alias("tf"), "dl")
-
-
 def bm25(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column) -> Column:
     idf = F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def lexical_channel(chunks: DataFrame, queries: DataFrame, channel: str, statistics: DataFrame) -> DataFrame:
+def lexical_channel(index: SearchIndex, queries: DataFrame, channel: str) -> DataFrame:
     """(qid, chunk_id, channel, rank, score): each query's best chunks, up to its depth.
 
     ``queries``: qid, text, k, project (null: all), variant (0: the query itself). Variants are ranked apart and then
     concatenated in their order, the first place of a chunk counting. Scores are rounded to nine places before ranking,
     and ties end in the chunk id, so that a ranking is the same on every run.
     """
-    found = written(lexical_matches(chunks, queries, channel))
+    found = written(postings.matches(index, queries, channel))
     frequency = found.groupBy("qid", "variant").agg(F.count(F.lit(1)).alias("df"))
-    scope = F.broadcast(queries.select("qid", "variant", "k", F.col("project").alias("scope")))
+    scope = F.broadcast(queries.select("qid", "variant", "k", F.col("project").alias("scope")))  # a batch, see postings
     scored = (
         found.join(F.broadcast(frequency), ["qid", "variant"])
         .join(scope, ["qid", "variant"])
         .where(F.col("scope").isNull() | (F.col("scope") == F.col("project")))
-        .crossJoin(F.broadcast(statistics.select("n", F.col(f"{channel}_avgdl").alias("avgdl"))))  # one row
+        .crossJoin(F.broadcast(index.statistics.select("n", F.col(f"{channel}_avgdl").alias("avgdl"))))  # one row
         .select("qid", "variant", "chunk_id", "k", F.round(bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl")), 9).alias("score"))
     )
     within = Window.partitionBy("qid", "variant").orderBy(F.desc("score"), "chunk_id")
@@ -94,16 +60,18 @@ def lexical_channel(chunks: DataFrame, queries: DataFrame, channel: str, statist
     return first.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= depth(F.col("k"))).select("qid", "chunk_id", F.lit(channel).alias("channel"), "rank", F.col("m.score").alias("score"))
 
 
-def vector_channel(chunks: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def vector_channel(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, chunk_id, channel, rank, score) by exact inner product; chunks without a vector, or of another dimension,
     are left out. ``vectors``: chunk_id, project, embedding. ``queries``: qid, k, project, embedding (may be null).
 
     Queries are one matrix; each Arrow batch is multiplied with it and keeps each query's best alone, so a task sends
     at most depth rows a query and batch.
     """
-    asked = [r for r in queries.where("embedding is not null and variant = 0").orderBy("qid").collect()]
+    asked = queries.where("embedding is not null and variant = 0").orderBy("qid").limit(postings.MOST_QUERIES + 1).collect()
+    if len(asked) > postings.MOST_QUERIES:
+        raise ValueError(f"at most {postings.MOST_QUERIES} queries are answered at once")
     if not asked:
-        return chunks.sparkSession.createDataFrame([], "qid int, chunk_id long, channel string, rank int, score double")
+        return queries.sparkSession.createDataFrame([], "qid int, chunk_id long, channel string, rank int, score double")
     dims = sorted({len(r["embedding"]) for r in asked})
     by_dim = {d: ([r for r in asked if len(r["embedding"]) == d], np.array([r["embedding"] for r in asked if len(r["embedding"]) == d], np.float64)) for d in dims}
 
@@ -144,16 +112,14 @@ def fuse(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     return fused.join(k, "qid").withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < F.col("k")).select("qid", "pos", "chunk_id", "score", "band", "channels")
 
 
-def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+def search(index: SearchIndex, queries: DataFrame, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """The fused answer to a batch of queries; ``channels`` may be a subset, bands keep their meaning."""
-    statistics = written(corpus_statistics(chunks))
-    ranked = [lexical_channel(chunks, queries, c, statistics) for c in ("trigram", "segment") if c in channels]
+    ranked = [lexical_channel(index, queries, c) for c in postings.LEXICAL if c in channels]
     if "vector" in channels and vectors is not None:
-        ranked.append(vector_channel(chunks, vectors, queries))
-    out = ranked[0]
-    for r in ranked[1:]:
-        out = out.unionByName(r)
-    return fuse(out, queries)
+        ranked.append(vector_channel(vectors, queries))
+    if not ranked:
+        raise ValueError("no channel to search")
+    return fuse(reduce(DataFrame.unionByName, ranked), queries)
 
 
 def with_variants(queries: DataFrame) -> DataFrame:
@@ -164,7 +130,7 @@ def with_variants(queries: DataFrame) -> DataFrame:
 
 def exclude_sessions(hits: DataFrame, sessions: DataFrame, excluded: list[str], k: int) -> DataFrame:
     """Drops hits all of whose sessions are excluded, then cuts to k. ``sessions``: chunk_id, sessions (array).
-    Callers search with an enlarged k (four times, at most 1,000) so that k survive."""
+    Callers search with an enlarged k (four times, again and again up to 1,000) until k survive."""
     left = F.size(F.array_except("sessions", F.array(*map(F.lit, excluded)).cast("array<string>"))) > 0
     order = Window.partitionBy("qid").orderBy("pos")
     kept = hits.join(sessions, "chunk_id").where(left)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import hashing
 from lorekeep.functions import text as fn
-from lorekeep.operators import evaluate, index, memory, rerank, retrieval
+from lorekeep.operators import evaluate, index, memory, postings, rerank, retrieval
 from lorekeep.sources import events as event_log
 from lorekeep.sources import logs
-from lorekeep.sources.tables import spread, table, written
+from lorekeep.sources.tables import scratch_folder, table, written
 
 #: qid, text, k, project
 QUERIES = [(1, "thing", 10, None), (2, "of the", 10, None), (3, "und der", 10, None), (4, "de la", 5, "p1"), (5, "th", 10, None)]
@@ -22,7 +24,19 @@ CLASSED = ["釘選", "釘選版", "釘選版本比較", "tokenizer", "FTS5 分
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("p"), F.pmod("doc_id", F.lit(5))).alias("project"), "text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("p"), F.pmod("doc_id", F.lit(5))).alias("project"), "text")
+
+
+_indexes: dict[tuple, postings.SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> postings.SearchIndex:
+    """The documents' search index: built by the first query that asks for it in a session, and anew when the files change."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_modification_time").groupBy().agg(F.sum(F.xxhash64("file_path", "file_modification_time").cast("decimal(38,0)")))
+    key = (spark.sparkContext.applicationId, sf_dir, files.first()[0])
+    if key not in _indexes:
+        _indexes[key] = postings.build_index(chunks(spark, sf_dir), f"{scratch_folder(spark)}/search-{uuid.uuid4().hex}")
+    return _indexes[key]
 
 
 def asked(spark: SparkSession, rows=QUERIES) -> DataFrame:
@@ -90,43 +104,40 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def fused_topk(spark, sf_dir):
-    return _hits(retrieval.search(chunks(spark, sf_dir), asked(spark), channels=("trigram", "segment")))
+    return _hits(retrieval.search(search_index(spark, sf_dir), asked(spark), channels=("trigram", "segment")))
 
 
 def fused_topk_3ch(spark, sf_dir):
-    return _hits(retrieval.search(chunks(spark, sf_dir), asked_vectors(spark, sf_dir), vectors(spark, sf_dir)))
+    return _hits(retrieval.search(search_index(spark, sf_dir), asked_vectors(spark, sf_dir), vectors(spark, sf_dir)))
 
 
 def channel_subset(spark, sf_dir):
-    return _hits(retrieval.search(chunks(spark, sf_dir), asked_vectors(spark, sf_dir), vectors(spark, sf_dir), ("segment", "vector")))
+    return _hits(retrieval.search(search_index(spark, sf_dir), asked_vectors(spark, sf_dir), vectors(spark, sf_dir), ("segment", "vector")))
 
 
 def _lexical(channel: str):
     def run(spark, sf_dir):
-        c = chunks(spark, sf_dir)
-        return retrieval.lexical_channel(c, asked(spark), channel, written(retrieval.corpus_statistics(c))).select("qid", "chunk_id", "rank", "score")
+        return retrieval.lexical_channel(search_index(spark, sf_dir), asked(spark), channel).select("qid", "chunk_id", "rank", "score")
 
     return run
 
 
 def vector_topk(spark, sf_dir):
-    return retrieval.vector_channel(chunks(spark, sf_dir), vectors(spark, sf_dir), asked_vectors(spark, sf_dir)).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.vector_channel(vectors(spark, sf_dir), asked_vectors(spark, sf_dir)).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_stats(spark, sf_dir):
-    s = retrieval.corpus_statistics(chunks(spark, sf_dir))
+    s = postings.statistics(chunks(spark, sf_dir).select(*postings.lengths(F.col("text"))))
     return s.select("n", F.round("trigram_avgdl", 6).alias("trigram_avgdl"), F.round("segment_avgdl", 6).alias("segment_avgdl"))
 
 
 def scope_filter_global_idf(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return retrieval.lexical_channel(c, asked(spark, [(1, "tion", 8, "p2"), (2, "tion", 8, None)]), "trigram", written(retrieval.corpus_statistics(c))).select("qid", "chunk_id", "rank", "score")
+    return retrieval.lexical_channel(search_index(spark, sf_dir), asked(spark, [(1, "tion", 8, "p2"), (2, "tion", 8, None)]), "trigram").select("qid", "chunk_id", "rank", "score")
 
 
 def variant_union_rank(spark, sf_dir):
-    c = chunks(spark, sf_dir)
     q = spark.createDataFrame([(1, "thing", 4, None, 0), (1, "tion", 4, None, 1)], "qid int, text string, k int, project string, variant int")
-    return retrieval.lexical_channel(c, q, "trigram", written(retrieval.corpus_statistics(c))).select("qid", "chunk_id", "rank")
+    return retrieval.lexical_channel(search_index(spark, sf_dir), q, "trigram").select("qid", "chunk_id", "rank")
 
 
 def exclude_sessions(spark, sf_dir):
@@ -134,7 +145,7 @@ def exclude_sessions(spark, sf_dir):
     per_text = docs.groupBy(F.sha2("text", 256).alias("uuid")).agg(F.array_sort(F.collect_set("source")).alias("sessions"))
     sessions = docs.select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("uuid")).join(per_text, "uuid").drop("uuid")
     enlarged = [(q, t, min(4 * k, 1000), p) for q, t, k, p in QUERIES]
-    hits = retrieval.search(chunks(spark, sf_dir), asked(spark, enlarged), channels=("trigram", "segment"))
+    hits = retrieval.search(search_index(spark, sf_dir), asked(spark, enlarged), channels=("trigram", "segment"))
     return retrieval.exclude_sessions(hits, sessions, EXCLUDED, 10).select("qid", "pos", "chunk_id", F.round("score", 9).alias("score"), "band")
 
 
@@ -376,7 +387,7 @@ def ndcg_by_class(spark, sf_dir):
 def known_item_recall(spark, sf_dir):
     c = chunks(spark, sf_dir)
     items = written(evaluate.known_items(c, 42, 20).withColumn("qid", F.row_number().over(Window.orderBy("chunk_id")).cast("int")))
-    r = evaluate.known_item_run(items, lambda q, channels: retrieval.search(c, q, channels=channels), c.count())
+    r = evaluate.known_item_run(items, lambda q, channels: retrieval.search(search_index(spark, sf_dir), q, channels=channels), c.count())
     return r.withColumn("recall_rate", F.round("recall_rate", 9)).withColumn("mean_ndcg", F.round("mean_ndcg", 9))
 
 

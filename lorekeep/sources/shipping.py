@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,10 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Once a Spark context, and not where the workers' PYTHONPATH has the package anyway."""
+    """Once a Spark context. What the driver finds on its own path says nothing of the workers'."""
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lorekeep_shipped", False):
+    if getattr(sc, "_lorekeep_shipped", False):
         return
     to = Path(tempfile.mkdtemp(prefix="spark-")) / "lorekeep.zip"
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:

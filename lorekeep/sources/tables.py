@@ -12,20 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Up to this size a table that comes in fewer pieces than there are cores is dealt out anew.
-SPREAD_BYTES = 256 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out over all cores, for costly work on each row; a large one as it is, it has enough pieces."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
-
-
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a local one in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lorekeep.scratch", None)
     if named is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("lorekeep.scratch", named)
     return named
