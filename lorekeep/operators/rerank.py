@@ -7,14 +7,54 @@ segment, so it is an ordered fold for one pass and ``applyInPandas`` by query in
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.memory import KINDS
 from lorekeep.sources.shipping import ship_package
 
-#: The most places that a strategy of each authority may move a result.
-CEILINGS = {"archival": 0, "human-like": 10, "conservative": 10}
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """What a strategy is by name: how far it may move results at most and by default, within what, what share spreads in
+    its projection, and which signals it reads."""
+
+    name: str
+    ceiling: int
+    bound: int
+    segment: str  # band or run
+    spreading: float = 0.0
+    signals: tuple[str, ...] = ("opened", "cited", "pinned", "dismissed")
+
+
+STRATEGIES = {
+    s.name: s
+    for s in (Strategy("archival", 0, 0, "run", signals=()), Strategy("human-like", 10, 3, "band", spreading=0.3), Strategy("conservative", 10, 1, "run"))
+}
+
+
+def authorised(strategy: str | Strategy, bound: int | None = None) -> tuple[Strategy, int]:
+    """The registered strategy and the bound in force. Unknown names, other strategies under a registered name, negative
+    bounds and bounds above the ceiling are refused."""
+    name = strategy if isinstance(strategy, str) else strategy.name
+    own = STRATEGIES.get(name)
+    if own is None:
+        raise ValueError(f"no strategy {name!r} is registered")
+    if not isinstance(strategy, str) and strategy != own:
+        raise ValueError(f"this strategy passes itself off as {name!r}")
+    bound = own.bound if bound is None else bound
+    if bound < 0:
+        raise ValueError(f"a bound of {bound} places is negative")
+    if bound > own.ceiling:
+        raise ValueError(f"{name} may move results by {own.ceiling} places at most, not {bound}")
+    return own, bound
+
+
 #: A result page of one query is never longer.
 MOST_RESULTS = 1000
 
@@ -42,20 +82,15 @@ def bounded_pass(strengths: list[float], bound: int) -> list[int]:
     return order
 
 
-def rerank(ranked: DataFrame, strengths: DataFrame, strategy: str, bound: int | None = None) -> DataFrame:
+def rerank(ranked: DataFrame, strengths: DataFrame, strategy: str | Strategy, bound: int | None = None) -> DataFrame:
     """(qid, anchor, pos, base_score, band, new_pos, displacement, history, movement).
 
-    archival keeps the order; human-like reorders within bands (bound 3 by default); conservative only within runs of
-    exact ties (bound 1). displacement is the old place less the new one.
+    archival keeps the order and reads no history; human-like reorders within bands (bound 3 by default); conservative
+    only within runs of exact ties (bound 1). displacement is the old place less the new one.
     """
-    if strategy not in CEILINGS:
-        raise ValueError(f"no strategy {strategy!r}")
-    bound = {"archival": 0, "human-like": 3, "conservative": 1}[strategy] if bound is None else bound
-    if not 0 <= bound <= CEILINGS[strategy]:
-        raise ValueError(f"{strategy} may move results by {CEILINGS[strategy]} places at most")
+    own, bound = authorised(strategy, bound)
     rows = tie_runs(ranked).join(strengths.select("anchor", "net"), "anchor", "left")
-    segment = "band" if strategy == "human-like" else "run"
-    known = F.col("net").isNotNull() if strategy != "archival" else F.lit(False)
+    segment, known = own.segment, F.col("net").isNotNull() if own.signals else F.lit(False)
     rows = rows.select("qid", "anchor", "pos", "base_score", "band", F.col(segment).cast("long").alias("segment"), F.coalesce("net", F.lit(0.0)).alias("net"), known.alias("known"))
     if bound:
         ship_package(ranked.sparkSession)
@@ -101,16 +136,20 @@ def displacement(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("qid", "anchor", "pos").join(after.select("qid", "anchor", F.col("pos").alias("new_pos")), ["qid", "anchor"]).select("qid", "anchor", (F.col("pos") - F.col("new_pos")).alias("displacement"))
 
 
-def guard_violations(before: DataFrame, after: DataFrame, bound: int, within_ties: bool = False) -> DataFrame:
+def guard_violations(before: DataFrame, after: DataFrame, bound: int, within_ties: bool = False, strengths: DataFrame | None = None) -> DataFrame:
     """(qid, rule, detail): one row for every broken rule; empty for a sound re-ranking.
 
     ``before``: qid, anchor, pos, base_score, band. ``after``: qid, anchor, pos, and what the strategy claims:
-    base_score, band, displacement, movement, history.
+    base_score, band, displacement, movement, history. ``strengths`` (anchor, net, and what it is made of), given where the
+    strategy reads signals, must be well formed, and a claimed history must be what they say; none may be claimed less.
     """
     runs = tie_runs(before)
-    joined = runs.join(after.select("qid", "anchor", F.col("pos").alias("to"), F.col("band").alias("to_band"), "displacement", "movement"), ["qid", "anchor"], "full_outer")
+    joined = runs.join(after.select("qid", "anchor", F.col("pos").alias("to"), F.col("band").alias("to_band"), "displacement", "movement", (F.col("history") if "history" in after.columns else F.lit(None).cast("double")).alias("history")), ["qid", "anchor"], "full_outer")
     at = runs.select("qid", F.col("pos").alias("to"), F.col("band").alias("place_band"), F.col("run").alias("place_run"))
     seen = joined.join(at, ["qid", "to"], "left")
+    measures = [c for c in ("reinforcement", "suppression", "impressions", *KINDS[1:]) if strengths is not None and c in strengths.columns]
+    if strengths is not None:
+        seen = seen.join(strengths.select("anchor", "net", *[F.col(m).alias(f"of_{m}") for m in measures]), "anchor", "left")
     real = F.col("pos") - F.col("to")
     said = F.when(real > 0, F.concat(F.lit("advanced "), real)).when(real < 0, F.concat(F.lit("receded "), -real)).otherwise("unmoved")
     score_ok = F.coalesce(~F.isnan("base_score") & (F.abs("base_score") < float("inf")), F.lit(False))
@@ -123,6 +162,12 @@ def guard_violations(before: DataFrame, after: DataFrame, bound: int, within_tie
         "honest_displacement": F.col("displacement") != real,
         "honest_movement": F.col("movement") != said,
     }
+    if strengths is None:
+        rules["honest_history"] = F.col("history").isNotNull()
+    else:
+        odd = lambda c: F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+        rules["honest_history"] = F.col("history").isNotNull() & ~F.col("history").eqNullSafe(F.col("net"))
+        rules["well_formed_statistics"] = reduce(Column.__or__, [odd(f"of_{m}") | (F.col(f"of_{m}") < 0) for m in measures], odd("net"))
     if within_ties:
         rules["ties_only"] = F.col("run") != F.col("place_run")
     broken = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]))

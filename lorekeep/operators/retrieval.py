@@ -134,4 +134,4 @@ def exclude_sessions(hits: DataFrame, sessions: DataFrame, excluded: list[str],
     left = F.size(F.array_except("sessions", F.array(*map(F.lit, excluded)).cast("array<string>"))) > 0
     order = Window.partitionBy("qid").orderBy("pos")
     kept = hits.join(sessions, "chunk_id").where(left)
-    return kept.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k).select("qid", "pos", "chunk_id", "score", "band")
+    return kept.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k).select(*[c for c in hits.columns if c != "pos"], "pos")

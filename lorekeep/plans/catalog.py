@@ -317,8 +317,8 @@ def guard_violations(spark, sf_dir):
     before = page(spark, sf_dir)
     p, n = F.col("pos"), F.count(F.lit(1)).over(Window.partitionBy("qid"))
     to = F.when(F.col("qid") % 5 == 0, n - 1 - p).otherwise(p)  # every fifth page is turned around
-    after = before.withColumn("to", to).select("qid", "anchor", F.col("to").alias("pos"), "base_score", "band", (p - F.col("to")).alias("displacement"), F.lit("unmoved").alias("movement"))
-    return rerank.guard_violations(before, after, 3, within_ties=True).groupBy("qid", "rule").agg(F.count(F.lit(1)).alias("n"))
+    after = before.withColumn("to", to).select("qid", "anchor", F.col("to").alias("pos"), "base_score", "band", (p - F.col("to")).alias("displacement"), F.lit("unmoved").alias("movement"), F.when(F.col("anchor") % 9 == 0, F.lit(1.0)).alias("history"))
+    return rerank.guard_violations(before, after, 3, within_ties=True, strengths=strengths(spark, sf_dir)).groupBy("qid", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def displacement(spark, sf_dir):

@@ -236,7 +236,7 @@ SELECT anchor, round(r + coalesce(gain, 0), 6) AS reinforcement, round(u, 6) AS
     "guard_violations": f"""WITH {_PAGE}, n AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM runs),
 a AS (SELECT *, CASE WHEN qid % 5 = 0 THEN n - 1 - pos ELSE pos END AS dest FROM n),
 j AS (SELECT a.*, b.band AS place_band, b.run AS place_run FROM a JOIN n b ON b.qid = a.qid AND b.pos = a.dest),
-v AS (SELECT qid, unnest([CASE WHEN band <> place_band THEN 'band_per_place' END, CASE WHEN abs(pos - dest) > 3 THEN 'bound' END, CASE WHEN pos <> dest THEN 'honest_movement' END, CASE WHEN run <> place_run THEN 'ties_only' END]) AS rule FROM j)
+v AS (SELECT qid, unnest([CASE WHEN band <> place_band THEN 'band_per_place' END, CASE WHEN abs(pos - dest) > 3 THEN 'bound' END, CASE WHEN pos <> dest THEN 'honest_movement' END, CASE WHEN run <> place_run THEN 'ties_only' END, CASE WHEN anchor % 9 = 0 AND (anchor % 3 = 0 OR anchor * 7919 % 17 - 5 <> 1) THEN 'honest_history' END]) AS rule FROM j)
 SELECT qid, rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY qid, rule""",
     "displacement": f"WITH {_PAGE} SELECT qid, anchor, pos - (row_number() OVER (PARTITION BY qid ORDER BY anchor) - 1) AS displacement FROM p",
     "tie_runs": f"WITH {_PAGE} SELECT qid, anchor, run::BIGINT AS run FROM runs",

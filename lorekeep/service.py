@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import hashing
-from lorekeep.functions.text import query_class
-from lorekeep.operators import evaluate, index, memory, rerank, retrieval
+from lorekeep.functions.embedding import EmbeddingProvider
+from lorekeep.functions.text import is_fingerprint, is_identifier, query_class
+from lorekeep.operators import evaluate, memory, rerank, retrieval
 from lorekeep.sources import sinks
 from lorekeep.sources.tables import written
-from lorekeep.streaming.ingest import BuildReport, Store
+from lorekeep.streaming.ingest import LAYOUT, BuildReport, Store
 
 _EVENT = "kind string, anchor long, ts timestamp, generation string, policy string, note_ref string, presentation string"
 _RECORD = "id string, query_class string, strategy_a string, strategy_b string, generation string, attribution array<struct<anchor:long,credited_to:string>>, starting_side string, is_null_comparison boolean"
@@ -25,13 +27,18 @@ class Service:
 
     spark: SparkSession
     folder: str
+    embedder: EmbeddingProvider | None = None
     store: Store = field(init=False)
 
     def __post_init__(self):
-        self.store = Store(self.spark, f"{self.folder}/index")
+        self.store = Store(self.spark, f"{self.folder}/index", self.embedder)
 
-    def build(self, root: str, full: bool = False) -> BuildReport:
-        return self.store.build(root, full)
+    def build(self, root: str, full: bool = False, **how) -> BuildReport:
+        """See ``Store.build``. An audit that a failed gate has left owing is done by ``audit``."""
+        return self.store.build(root, full, **how)
+
+    def audit(self) -> DataFrame:
+        return self.store.audit()
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
@@ -48,38 +55,64 @@ class Service:
         return self._table("records", _RECORD)
 
     def _generation(self) -> str:
-        stamps = self.spark.range(1).select(hashing.generation_id(F.lit("1"), F.lit(str(self.store.version()))))
+        stamps = self.spark.range(1).select(hashing.generation_id(F.lit(str(LAYOUT)), F.lit(self.store.embedder.revision), F.lit(str(self.store.version()))))
         return stamps.first()[0]
 
-    def _page(self, text: str, k: int, project: str | None, exclude: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _hits(self, text: str, k: int, project: str | None) -> DataFrame:
+        asked = self.spark.createDataFrame([(1, text, k, project, self.store.embedder.vector(text))], "qid int, text string, k int, project string, embedding array<float>")
+        vectors = self.store.stored_chunks().select("chunk_id", "project", "embedding")
+        return written(retrieval.search(self.store.search_index(), retrieval.with_variants(asked), vectors))
+
+    def _page(self, text: str, k: int, project: str | None, exclude: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The hits and their chunks; with excluded sessions, as many hits as it takes (up to 1,000) to leave k. Hits whose
+        chunk is malformed or has no source are dropped."""
         if not 1 <= k <= sinks.MOST_RESULTS:
             raise ValueError(f"k must be between 1 and {sinks.MOST_RESULTS}")
-        chunks, sessions = written(self.store.chunks()), written(index.sessions_per_chunk(self.store.links()))
-        depth = min(4 * k, sinks.MOST_RESULTS) if exclude else k
-        asked = self.spark.createDataFrame([(1, text, depth, project)], "qid int, text string, k int, project string")
-        hits = written(retrieval.search(chunks, retrieval.with_variants(asked), channels=("trigram", "segment")))
-        return hits, chunks, sessions
-
-    def _ranked(self, hits: DataFrame, strategy: str) -> DataFrame:
-        """The page re-ranked by a strategy, checked by the guard."""
-        p = memory.Parameters(spreading=0.3 if strategy == "human-like" else 0.0)
+        depth = k
+        while True:
+            hits = self._hits(text, depth, project)
+            chunks = written(self.store.stored_chunks(ids=[r["chunk_id"] for r in hits.select("chunk_id").limit(sinks.MOST_RESULTS).collect()]))
+            sound = is_identifier(F.col("uuid")) & is_fingerprint(F.col("project_fingerprint")) & (F.trim("text") != "") & (F.size("sessions") > 0)
+            chunks = chunks.where(F.coalesce(sound, F.lit(False)))
+            left = chunks.where(F.size(F.array_except("sessions", F.array(*map(F.lit, exclude)).cast("array<string>"))) > 0) if exclude else chunks
+            if not exclude or left.count() >= k or depth >= sinks.MOST_RESULTS or hits.count() < depth:
+                order = F.row_number().over(Window.partitionBy("qid").orderBy("pos")) - 1
+                return hits.join(chunks.select("chunk_id"), "chunk_id", "left_semi").withColumn("pos", order), chunks
+            depth = min(4 * depth, sinks.MOST_RESULTS)
+
+    def _ranked(self, hits: DataFrame, strategy: str, bound: int | None = None) -> DataFrame:
+        """The page re-ranked by a strategy, checked by the guard against the bound in force. Anchors that the corpus
+        no longer has count for nothing."""
+        own, bound = rerank.authorised(strategy, bound)
         page = hits.select("qid", F.col("chunk_id").alias("anchor"), "pos", F.col("score").alias("base_score"), "band")
-        strength = memory.project(self.events(), F.current_timestamp(), p).select("anchor", "net")
-        ranked = written(rerank.rerank(page, strength, strategy))
-        after = ranked.select("qid", "anchor", F.col("new_pos").alias("pos"), "base_score", "band", "displacement", "movement")
-        rerank.require_sound(rerank.guard_violations(page, after, rerank.CEILINGS[strategy], within_ties=strategy == "conservative"))
+        corpus = self.store.stored_chunks().select(F.col("chunk_id").alias("anchor"))
+        strength = written(memory.project(self.events(), F.current_timestamp(), memory.Parameters(spreading=own.spreading), corpus).join(page.select("anchor"), "anchor", "left_semi"))
+        ranked = written(rerank.rerank(page, strength.select("anchor", "net"), own, bound))
+        after = ranked.select("qid", "anchor", F.col("new_pos").alias("pos"), "base_score", "band", "displacement", "movement", "history")
+        rerank.require_sound(rerank.guard_violations(page, after, bound, own.segment == "run", strength if own.signals else None))
         return ranked
 
-    def query(self, text: str, k: int = 20, project: str | None = None, strategy: str = "archival", exclude: list[str] = (), record: bool = False) -> DataFrame:
-        """Pointered results, best first: qid, pos, project, uuid, ts, snippet, score, band, channels, sessions."""
-        hits, chunks, sessions = self._page(text, k, project, list(exclude))
+    def query(
+        self, text: str, k: int = 20, project: str | None = None, strategy: str = "archival", exclude: list[str] = (), record: bool = False, root: str | None = None, refresh_seconds: float | None = None,
+    ) -> DataFrame:
+        """Pointered results, best first: qid, pos, project, uuid, ts, snippet, score, band, channels, sessions; with another
+        strategy than archival displacement, history and movement; where recorded the presentation.
+
+        ``root``: logs whose new content is taken in first, within ``refresh_seconds`` if given.
+        """
+        if root is not None:
+            self.build(root, budget_seconds=refresh_seconds)
+        hits, chunks = self._page(text, k, project, list(exclude))
         ranked = self._ranked(hits, strategy)
-        placed = hits.drop("pos").join(ranked.select(F.col("anchor").alias("chunk_id"), F.col("new_pos").alias("pos"), "movement"), "chunk_id")
-        kept = retrieval.exclude_sessions(placed, sessions, list(exclude), k) if exclude else placed.where(F.col("pos") < k)
-        kept = written(kept.select("qid", "pos", "chunk_id", "score", "band").join(hits.select("chunk_id", "channels"), "chunk_id"))
-        if record:
-            self._shown(kept.select(F.col("chunk_id").alias("anchor")), strategy, uuid.uuid4().hex)
-        return sinks.pointered(kept, chunks, sessions)
+        placed = hits.drop("pos").join(ranked.select(F.col("anchor").alias("chunk_id"), F.col("new_pos").alias("pos"), "displacement", "history", "movement"), "chunk_id")
+        kept = retrieval.exclude_sessions(placed, chunks.select("chunk_id", "sessions"), list(exclude), k) if exclude else placed.where(F.col("pos") < k)
+        told = [] if strategy == "archival" else ["displacement", "history", "movement"]
+        kept = written(kept.select("qid", "pos", "chunk_id").join(placed.select("chunk_id", "score", "band", "channels", *told), "chunk_id"))
+        if not record:
+            return sinks.pointered(kept, chunks)
+        number = uuid.uuid4().hex
+        self._shown(kept.select(F.col("chunk_id").alias("anchor")), strategy, number)
+        return sinks.pointered(kept.withColumn("presentation", F.lit(number)), chunks)
 
     def _shown(self, anchors: DataFrame, policy: str, presentation: str) -> None:
         shown = anchors.select(
@@ -91,7 +124,7 @@ class Service:
         """One retrieval under two strategies, interleaved; recorded. Returns the presentation's id and its results."""
         if a == b:
             raise ValueError("two different strategies are compared")
-        hits, chunks, sessions = self._page(text, k, project, [])
+        hits, chunks = self._page(text, k, project, [])
         orders = [self._ranked(hits, s).select("qid", "anchor", F.col("new_pos").alias("pos")) for s in (a, b)]
         asked = self.spark.createDataFrame([(1, text)], "qid int, text string").select("qid", hashing.starting_side(F.col("text")).alias("side"), query_class(F.col("text")).alias("query_class"))
         mixed = written(evaluate.interleave(*orders, asked.select("qid", "side")))
@@ -102,8 +135,8 @@ class Service:
             F.lit(number).alias("id"), F.lit(facts["query_class"]).alias("query_class"), F.lit(a).alias("strategy_a"), F.lit(b).alias("strategy_b"), F.lit(self._generation()).alias("generation"), "attribution", F.lit(facts["side"]).alias("starting_side"), F.lit(null).alias("is_null_comparison")
         ).write.mode("append").parquet(f"{self.folder}/records")
         self._shown(mixed.select("anchor"), "interleaved", number)
-        placed = hits.drop("pos").join(mixed.select(F.col("anchor").alias("chunk_id"), F.col("place").alias("pos")), "chunk_id")
-        return number, sinks.pointered(placed, chunks, sessions)
+        placed = hits.drop("pos").join(mixed.select("credited_to", F.col("anchor").alias("chunk_id"), F.col("place").alias("pos")), "chunk_id")
+        return number, sinks.pointered(placed.withColumn("presentation", F.lit(number)), chunks)
 
     def mark(self, presentation: str, rank: int, kind: str) -> None:
         """Records that the result at a rank (from 1) of a presentation was opened, cited, pinned or dismissed."""
@@ -117,3 +150,23 @@ class Service:
 
     def report(self) -> DataFrame:
         return evaluate.comparison_report(self.events(), self.records())
+
+    def memory_status(self) -> DataFrame:
+        """(fact, n): events by kind, orphaned anchors, future events, and events that break the log's rules."""
+        events, corpus = self.events(), self.store.stored_chunks().select(F.col("chunk_id").alias("anchor"))
+        now = F.current_timestamp()
+        parts = [
+            events.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("events: "), "kind").alias("fact"), "n"),
+            memory.orphans(events, now, corpus).agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphaned anchors").alias("fact"), "n"),
+            memory.future_events(events, now).select(F.lit("future events").alias("fact"), F.col("future_events").alias("n")),
+            memory.validate_events(events).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unusable events").alias("fact"), "n"),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def prune(self, to: str) -> int:
+        """Writes the events that keep the log's rules to the new folder ``to`` (what there is stays as backup); the number kept."""
+        events = self.events().withColumn("row", F.monotonically_increasing_id())
+        events = written(events)
+        unusable = memory.validate_events(events).select("row")
+        events.join(unusable, "row", "left_anti").drop("row").write.parquet(to)
+        return self.spark.read.parquet(to).count()

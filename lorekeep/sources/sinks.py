@@ -13,10 +13,15 @@ MOST_CHARS, LONGEST, SHORTEST = 4000, 200, 20
 MOST_RESULTS = 1000
 
 
-def pointered(hits: DataFrame, chunks: DataFrame, sessions: DataFrame, clip: int = 160) -> DataFrame:
-    """Hits with their pointer: project, sessions, uuid, time, and a one-line snippet."""
-    rows = hits.join(chunks.select("chunk_id", "project", "uuid", "ts", "text"), "chunk_id").join(sessions, "chunk_id")
-    return rows.select("qid", "pos", "project", "uuid", "ts", flatten_clip(F.col("text"), clip).alias("snippet"), "score", "band", "channels", "sessions")
+#: What is told of a hit besides its pointer, where it is known.
+EXTRAS = ("displacement", "history", "movement", "credited_to", "presentation")
+
+
+def pointered(hits: DataFrame, chunks: DataFrame, clip: int = 160) -> DataFrame:
+    """Hits with their pointer (project, sessions, uuid, time) and a one-line snippet. ``chunks``: with sessions."""
+    rows = hits.join(chunks.select("chunk_id", "project", "uuid", "ts", "text", "sessions"), "chunk_id")
+    extras = [c for c in EXTRAS if c in hits.columns]
+    return rows.select("qid", "pos", "project", "uuid", "ts", flatten_clip(F.col("text"), clip).alias("snippet"), "score", "band", "channels", "sessions", *extras)
 
 
 def json_lines(results: DataFrame) -> DataFrame:

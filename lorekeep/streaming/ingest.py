@@ -1,24 +1,34 @@
 """Incremental ingest into a log-structured store, and streams.
 
 A store is a folder of append-only Parquet datasets, each partitioned by build number ``v``:
-``turns`` (observations), ``gone`` (sources that a build invalidated), ``state`` (cursors after a build) and ``meta``
-(written last: a build without its meta row never happened). An observation counts if its source was not invalidated by
-a later build. A build reads what is new alone: whole files that are new or rewritten, tails of those that grew.
+``turns`` (observations), ``gone`` (sources that a build invalidated), ``state`` (cursors after a build), ``chunks`` (those
+that a build touched, with sessions, lengths and vector), ``stale`` (chunks of earlier builds that it replaced), postings
+by channel, ``statistics``, and ``meta`` (written last: a build without its meta row never happened, and queries beside a
+running build read the last one). A build reads tails of what grew and files that are new or rewritten, and writes what
+they touch alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import index
+from lorekeep.functions.embedding import EmbeddingProvider, HashingEmbedder, embedded
+from lorekeep.operators import index, postings
 from lorekeep.sources import logs
+from lorekeep.sources.shipping import ship_package
 from lorekeep.sources.tables import written
 
-LAYOUT = 1
+LAYOUT = 2
 _STATE = "source_key string, project string, prefix_hash string, processed_bytes long, processed_lines long"
+_TURNS = "project string, project_fingerprint string, uuid string, source_key string, session_id string, ts timestamp, role string, text string, seq string"
+_CHUNKS = "chunk_id long, project_fingerprint string, uuid string, project string, role string, text string, ts timestamp, source_count long, sessions array<string>, n_trigrams int, n_tokens int, embedding array<float>"
+_STATISTICS = "n long, trigram_avgdl double, segment_avgdl double"
+_KEY = ["project_fingerprint", "uuid"]
 
 
 @dataclass
@@ -26,13 +36,15 @@ class BuildReport:
     version: int
     actions: dict[str, int]
     skipped: dict[str, int]
+    unreadable: list[str] = field(default_factory=list)
+    unmerged: int = 0
 
 
 class Store:
     """The index in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, embedder: EmbeddingProvider | None = None):
+        self.spark, self.folder, self.embedder = spark, folder.rstrip("/"), embedder or HashingEmbedder()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
@@ -43,53 +55,132 @@ class Store:
             return self.spark.createDataFrame([], f"{schema}, v int")
 
     def version(self) -> int:
-        """The last build that was published; 0 for an empty store."""
-        meta = self._read("meta", "layout int").agg(F.max("v").alias("v"), F.max("layout").alias("layout")).first()
-        if meta["layout"] not in (None, LAYOUT):
-            raise ValueError("the store has another layout; rebuild it")
-        return meta["v"] or 0
-
-    def state(self) -> DataFrame:
-        return self._read("state", _STATE).where(F.col("v") == self.version()).drop("v")
-
-    def turns(self) -> DataFrame:
-        """Observations that count, as ``build_chunks`` takes them."""
-        v = self.version()
-        seen = self._read("turns", "project string, project_fingerprint string, uuid string, source_key string, session_id string, ts timestamp, role string, text string, seq string").where(F.col("v") <= v)
+        """The last build that was published; 0 for an empty store. A store of another layout or with vectors of another
+        revision is refused; a full build makes it anew."""
+        meta = self._read("meta", "layout int, embedding string").orderBy(F.desc("v")).limit(1).collect()
+        if meta and (meta[0]["layout"] != LAYOUT or meta[0]["embedding"] != self.embedder.revision):
+            raise ValueError("the store has another layout or other vectors; rebuild it in full")
+        return meta[0]["v"] if meta else 0
+
+    def _last(self) -> int:
+        return self._read("meta", "layout int").agg(F.max("v")).first()[0] or 0
+
+    def _write(self, df: DataFrame, name: str, v: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={v}")
+
+    def state(self, v: int | None = None) -> DataFrame:
+        return self._read("state", _STATE).where(F.col("v") == (self.version() if v is None else v)).drop("v")
+
+    def turns(self, v: int | None = None) -> DataFrame:
+        """Observations that count, as ``build_chunks`` takes them: those whose source no later build invalidated."""
+        v = self.version() if v is None else v
+        seen = self._read("turns", _TURNS).where(F.col("v") <= v)
         gone = self._read("gone", "source_key string").where(F.col("v") <= v).groupBy("source_key").agg(F.max("v").alias("since"))
         return seen.join(gone, "source_key", "left").where(F.col("since").isNull() | (F.col("v") >= F.col("since"))).drop("since", "v")
 
     def chunks(self) -> DataFrame:
+        """Chunks worked out anew from all observations, for audits."""
         return index.build_chunks(self.turns())
 
     def links(self) -> DataFrame:
         return index.build_links(self.turns())
 
-    def build(self, root: str, full: bool = False, unreadable_projects: list[str] = ()) -> BuildReport:
-        """One increment (``full``: everything anew). What a failed build has written is not seen and is written over."""
-        v = self.version() + 1
+    def _stale(self, v: int) -> DataFrame:
+        return self._read("stale", "chunk_id long").where(F.col("v") <= v).groupBy("chunk_id").agg(F.max("v").alias("since"))
+
+    def stored_chunks(self, v: int | None = None, ids: list[int] | None = None) -> DataFrame:
+        """Chunks as builds wrote them, each in its last state; those of ``ids`` alone, if given."""
+        v = self.version() if v is None else v
+        own = self._read("chunks", _CHUNKS).where(F.col("v") <= v)
+        stale = self._stale(v)
+        if ids is not None:
+            own, stale = own.where(F.col("chunk_id").isin(ids)), stale.where(F.col("chunk_id").isin(ids))
+        return own.join(stale, "chunk_id", "left").where(F.col("since").isNull() | (F.col("v") >= F.col("since"))).drop("since", "v")
+
+    def search_index(self) -> postings.SearchIndex:
+        v = self.version()
+        read = lambda c: self._read(f"postings/{c}", "term string, chunk_id long, project string, dl int, positions array<int>, bucket int").where(F.col("v") <= v)
+        statistics = self._read("statistics", _STATISTICS).where(F.col("v") == v).drop("v")
+        return postings.SearchIndex({c: read(c) for c in postings.LEXICAL}, statistics, stale=self._stale(v))
+
+    def audit(self) -> DataFrame:
+        """The five figures of ``index.audit`` over what is stored: all zero on a sound store."""
+        links, stored = self.links(), self.stored_chunks().select("chunk_id", "source_count")
+        return index.audit(stored, links, index.source_counts(links), self.state())
+
+    def gate(self) -> None:
+        """Refuses to go on from a store with chunks of no source or sources without a cursor."""
+        index.coverage_gate(self.stored_chunks(), self.turns().select("source_key"), self.state())
+
+    def build(
+        self, root: str, full: bool = False, unreadable_projects: list[str] = (), batch_sources: int = 10_000, budget_seconds: float | None = None, progress: Callable[[str], None] | None = None,
+    ) -> BuildReport:
+        """Takes in what is new below ``root``; ``full``: everything anew. What a failed build has written is not seen and
+        is written over. Sources are merged in batches, those that grew first, rewritten ones last; each batch is published
+        by itself. With a budget, no batch begins after it, and rewritten sources wait for a build without one;
+        ``unmerged`` counts what is left."""
+        began, last = time.monotonic(), self._last()
+        tell = progress or (lambda text: None)
+        if last and not full:
+            self.version()
+            self.gate()
+        before = self.state(last) if not full else self.spark.createDataFrame([], _STATE)
         lines = logs.read_lines(self.spark, root)
-        before = self.state() if not full else self.spark.createDataFrame([], _STATE)
-        blocked = self.spark.createDataFrame([(p,) for p in unreadable_projects], "project string")
-        known = self.state()
         found = written(logs.found_sources(lines, before))
+        blocked = self.spark.createDataFrame([(p,) for p in unreadable_projects], "project string")
         actions = written(index.manifest_difference(found, before, blocked))
-        todo = actions.where("action in ('new', 'rewritten', 'appended')")
-        start = todo.where("action = 'appended'").select("source_key").join(before.select("source_key", "processed_lines"), "source_key")
-        own = lines.join(todo.select("source_key"), "source_key", "left_semi")
-        classified = written(logs.classify(logs.tails(own, start)))
-        logs.turns(classified).write.mode("overwrite").parquet(f"{self.folder}/turns/v={v}")
-        gone = actions.where("action in ('rewritten', 'vanished')").select("source_key")
-        if full:
-            gone = known.select("source_key")
-        gone.write.mode("overwrite").parquet(f"{self.folder}/gone/v={v}")
-        kept = before.join(actions.where("action in ('same', 'kept')"), "source_key", "left_semi")
-        fresh = logs.cursors(found.join(todo.select("source_key"), "source_key", "left_semi"))
-        kept.select("source_key", "project", "prefix_hash", "processed_bytes", "processed_lines").unionByName(fresh).write.mode("overwrite").parquet(f"{self.folder}/state/v={v}")
         tally = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        skipped = {r["skip_reason"]: r["n"] for r in logs.skip_tally(classified).collect()}
-        self.spark.createDataFrame([(LAYOUT,)], "layout int").write.mode("overwrite").parquet(f"{self.folder}/meta/v={v}")
-        return BuildReport(v, tally, skipped)
+        report = BuildReport(last, tally, {}, list(unreadable_projects))
+        rank = F.when(F.col("action") == "appended", 0).when(F.col("action") == "new", 1).otherwise(2)
+        todo = actions.where("action in ('new', 'rewritten', 'appended', 'vanished')").withColumn("rank", rank)
+        n = todo.count()
+        tell(f"{n} sources to merge, {tally.get('same', 0)} unchanged")
+        if not n and last and not full:
+            return report
+        order = Window.orderBy("rank", "source_key")
+        batched = written(todo.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch_sources)))  # names alone, a row for each changed source
+        for k in range(max(1, -(-n // batch_sources))):
+            own = batched.where(F.col("batch") == k)
+            if budget_seconds is not None:
+                waiting = batched.where((F.col("batch") >= k) & ((F.col("action") == "rewritten") | F.lit(time.monotonic() - began > budget_seconds))).count()
+                own = own.where("action <> 'rewritten'")
+                if time.monotonic() - began > budget_seconds:
+                    report.unmerged = waiting
+                    break
+                report.unmerged = batched.where((F.col("batch") <= k) & (F.col("action") == "rewritten")).count()
+            self._merge(report.version + 1, own, lines, found, full and k == 0, report)
+            report.version += 1
+            tell(f"batch {k + 1}: version {report.version} after {time.monotonic() - began:.0f} s")
+        return report
+
+    def _merge(self, v: int, own: DataFrame, lines: DataFrame, found: DataFrame, anew: bool, report: BuildReport) -> None:
+        """One batch of sources as version ``v``."""
+        before = self.state(v - 1)
+        read = own.where("action <> 'vanished'")
+        done = own.where("action = 'appended'").join(before, "source_key").select("source_key", "processed_lines")
+        classified = written(logs.classify(logs.tails(lines.join(F.broadcast(read.select("source_key")), "source_key", "left_semi"), done)))  # at most a batch of names
+        self._write(logs.turns(classified), "turns", v)
+        gone = before.select("source_key") if anew else own.where("action in ('rewritten', 'vanished')").select("source_key")
+        self._write(gone, "gone", v)
+        kept = before.where("false") if anew else before.join(own.select("source_key"), "source_key", "left_anti")
+        fresh = logs.cursors(found.join(read.select("source_key"), "source_key", "left_semi"))
+        self._write(kept.unionByName(fresh), "state", v)
+        old = self._read("turns", _TURNS).where(F.col("v") < v).join(gone, "source_key", "left_semi").select(*_KEY)
+        touched = written(self._read("turns", _TURNS).where(F.col("v") == v).select(*_KEY).unionByName(old).distinct())
+        now = self.turns(v).join(touched, _KEY, "left_semi")
+        ship_package(self.spark)
+        sessions = index.sessions_per_chunk(index.build_links(now))
+        chunks = index.build_chunks(now).join(sessions, "chunk_id").select("*", *postings.lengths(F.col("text")), embedded(F.col("text"), self.embedder).alias("embedding"))
+        self._write(chunks.select(*[c.split()[0] for c in _CHUNKS.split(", ")]), "chunks", v)
+        stored = self._read("chunks", "chunk_id long").where(F.col("v") < v).select("chunk_id")
+        self._write(touched.select(F.xxhash64(*_KEY).alias("chunk_id")).join(stored, "chunk_id", "left_semi").distinct(), "stale", v)
+        own_chunks = self._read("chunks", _CHUNKS).where(F.col("v") == v)
+        for channel in postings.LEXICAL:
+            postings.write_postings(own_chunks, f"{self.folder}/postings/{channel}/v={v}", channel)
+        self._write(postings.statistics(self.stored_chunks(v)).select(F.col("n"), F.col("trigram_avgdl"), F.col("segment_avgdl")), "statistics", v)
+        for r in logs.skip_tally(classified).collect():
+            report.skipped[r["skip_reason"]] = report.skipped.get(r["skip_reason"], 0) + r["n"]
+        self._write(self.spark.createDataFrame([(LAYOUT, self.embedder.revision)], "layout int, embedding string"), "meta", v)
 
 
 def stream_turns(spark: SparkSession, root: str, to: str, checkpoint: str):
@@ -100,8 +191,7 @@ def stream_turns(spark: SparkSession, root: str, to: str, checkpoint: str):
     """
     schema = "value string"
     lines = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", 1000).text(root)
-    base = root.rstrip("/") + "/"
-    key = F.substring_index(F.col("_metadata.file_path"), base, -1)
+    key = logs.source_key(root, F.col("_metadata.file_path"))
     rows = lines.select(key.alias("source_key"), F.substring_index(key, "/", 1).alias("project"), F.col("value").alias("raw"))
 
     def save(batch: DataFrame, number: int) -> None:

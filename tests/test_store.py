@@ -4,6 +4,7 @@ import json
 import random
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import index
@@ -129,9 +130,13 @@ def test_facade(spark, tmp_path):
     report = s.build(str(root))
     assert report.actions == {"new": 2} and s.store.version() == 1
     found = s.query("keeper of lore", k=5, record=True)
-    assert found.count() == 5 and {r["project"] for r in found.collect()} == {"p"}
-    assert s.query("keeper", k=10, project="q").count() == 6 and s.query("keeper", k=30, exclude=["a"]).count() == 6
-    assert s.query("nothing like it").count() == 0
+    assert found.count() == 5 and {r["project"] for r in found.collect()} == {"p"} and found.select("presentation").distinct().count() == 1
+    assert {r["band"] for r in found.collect()} <= {0, 1}  # three channels
+    assert s.query("keeper", k=10, project="q").count() == 6
+    lexical = lambda f: [r for r in f.collect() if "trigram" in r["channels"]]
+    assert len(lexical(s.query("keeper", k=30, exclude=["a"]))) == 6 and s.query("keeper", k=3, exclude=["a"]).count() == 3
+    assert not lexical(s.query("nothing like it"))
+    assert {r["n"] for r in s.audit().collect()} == {0}
     number, mixed = s.compare("keeper of lore", k=6)
     assert mixed.count() == 6
     s.mark(number, 5, "pinned")
@@ -147,6 +152,59 @@ def test_facade(spark, tmp_path):
     assert json.loads(sinks.json_lines(found).first()["line"])["project"] == "p" and sinks.human(found).count("\n") == 4
 
 
+def test_query_takes_new_content_in_and_reads_no_future(spark, tmp_path):
+    root = tmp_path / "logs"
+    write(root / "p" / "a.jsonl", [record(i, "a", text=f"first words {i}") for i in range(4)])
+    write(root / "p" / "b.jsonl", [record(i, "b", text=f"other words {i}") for i in range(10, 14)])
+    s = Service(spark, str(tmp_path / "store"))
+    assert s.query("first words", k=4, root=str(root)).where("array_contains(channels, 'segment')").count() == 4
+    write(root / "p" / "a.jsonl", [record(i, "a", text=f"first words {i}") for i in range(4)] + [record(7, "a", text="first words at last")])
+    write(root / "p" / "b.jsonl", [record(i, "b", text=f"rewritten words {i}") for i in range(10, 12)])
+    grown = s.build(str(root), budget_seconds=60)  # with a budget, what was rewritten waits
+    assert grown.actions == {"appended": 1, "rewritten": 1} and grown.unmerged == 1
+    texts = lambda q: {r["snippet"] for r in s.query(q, k=20).collect() if "segment" in r["channels"]}
+    assert "first words at last" in texts("first words") and texts("rewritten words") == set() and len(texts("other words")) == 4
+    assert s.build(str(root), batch_sources=1).unmerged == 0
+    assert texts("rewritten words") == {"rewritten words 10", "rewritten words 11"} and texts("other words") == set()
+    assert {r["n"] for r in s.audit().collect()} == {0}
+    again = s.build(str(root))
+    assert set(again.actions) == {"same"} and again.version == s.store.version()
+    # usage of an anchor that the corpus has lost counts for nothing
+    gone = spark.createDataFrame([("pinned", 12345)], "kind string, anchor long").select("kind", "anchor", F.current_timestamp().alias("ts"), F.lit("g").alias("generation"), F.lit("archival").alias("policy"), F.lit("n").alias("note_ref"), F.lit("x").alias("presentation"))
+    gone.write.mode("append").parquet(f"{s.folder}/events")
+    status = {r["fact"]: r["n"] for r in s.memory_status().collect()}
+    assert status["orphaned anchors"] == 1 and status["events: pinned"] == 1
+    ranked = s.query("first words", k=4, strategy="human-like")
+    assert {"displacement", "history", "movement"} <= set(ranked.columns) and ranked.where("history is not null").isEmpty()
+
+
+def test_other_vectors_are_refused(spark, tmp_path):
+    from lorekeep.functions.embedding import HashingEmbedder
+
+    root = tmp_path / "logs"
+    write(root / "p" / "a.jsonl", [record(1, "a")])
+    Store(spark, str(tmp_path / "s")).build(str(root))
+    other = Store(spark, str(tmp_path / "s"), HashingEmbedder(8))
+    with pytest.raises(ValueError, match="rebuild"):
+        other.build(str(root))
+    assert other.build(str(root), full=True).version == 2 and len(other.stored_chunks().first()["embedding"]) == 8
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from lorekeep.__main__ import main
+
+    root, folder = tmp_path / "logs", str(tmp_path / "store")
+    write(root / "p" / "a.jsonl", [record(i, "a", text=f"keeper of lore {i}") for i in range(3)])
+    run = lambda *args: main(["--folder", folder, *args], spark)
+    assert run("build", str(root), "--audit", "--quiet") == 0
+    assert run("query", "keeper of lore", "--all-projects", "--k", "2", "--format", "json", "--record") == 0
+    shown = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert shown["project"] == "p" and len(shown["presentation"]) == 32
+    assert run("query", "keeper of lore") == 4  # the working directory's project has no logs
+    assert run("query", "x", "--k", "0", "--all-projects") == 2 and run("query", "x", "--strategy", "bold", "--all-projects") == 2
+    assert run("memory") == 0 and "events: shown" in capsys.readouterr().out
+
+
 def test_event_log_round_trip_and_prune(spark, tmp_path):
     e = spark.createDataFrame([(1, "a1", "opened"), (2, "a2", "shown")], "seq long, anchor string, kind string")
     e = e.select("*", F.lit("g").alias("generation"), F.lit(None).cast("string").alias("note_ref"), F.lit("archival").alias("policy"), F.lit("p").alias("presentation"), F.timestamp_seconds(F.lit(1)).alias("ts"))
