@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as fn
-from lorekeep.operators import evaluate, memory, rerank, retrieval
+from lorekeep.operators import evaluate, memory, postings, rerank, retrieval
 
 
 def test_fusion_of_three_cyclic_rankings(spark):
@@ -24,18 +24,23 @@ def test_fused_scores_can_tie_exactly(spark):
     assert {r["score"] for r in retrieval.fuse(ranked, asked).collect()} == {1 / 60}
 
 
-def test_short_and_empty_phrases_match_nothing(spark):
+def _index(chunks, tmp_path):
+    return postings.build_index(chunks, str(tmp_path), buckets=2)
+
+
+def test_short_and_empty_phrases_match_nothing(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "p", "abab ababa"), (2, "p", "xy")], "chunk_id long, project string, text string")
     asked = spark.createDataFrame([(1, "ab", 5, None, 0), (2, "aba", 5, None, 0), (3, " ", 5, None, 0)], "qid int, text string, k int, project string, variant int")
-    got = retrieval.lexical_matches(chunks, asked, "trigram").collect()
+    index = _index(chunks, tmp_path)
+    got = postings.matches(index, asked, "trigram").collect()
     assert [(r["qid"], r["chunk_id"], r["tf"]) for r in got] == [(2, 1, 3)]  # overlapping places count
-    assert retrieval.lexical_matches(chunks, asked, "segment").count() == 0
+    assert postings.matches(index, asked, "segment").count() == 0
 
 
-def test_han_phrases_match_as_runs_of_characters(spark):
+def test_han_phrases_match_as_runs_of_characters(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "p", "記憶釘選版本 tokenizer"), (2, "p", "選釘")], "chunk_id long, project string, text string")
     asked = spark.createDataFrame([(1, "釘選", 5, None, 0)], "qid int, text string, k int, project string, variant int")
-    assert [r["chunk_id"] for r in retrieval.lexical_matches(chunks, asked, "segment").collect()] == [1]
+    assert [r["chunk_id"] for r in postings.matches(_index(chunks, tmp_path), asked, "segment").collect()] == [1]
     forms = retrieval.with_variants(asked).orderBy("variant").collect()
     assert [r["text"] for r in forms] == ["釘選", "钉选"]
 
