@@ -124,6 +124,21 @@ def test_template_language():
     assert list(chat.compile_template("{{ x.real }}")(x=3)) == [("", False)]
 
 
+def test_chat_equals_its_sql(spark, sf, duck):
+    got, want = chat.op6_chat_format(spark, sf).toPandas(), duck.execute(chat.ORACLE_SQL).fetchdf()
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns) and sorted(map(tuple, got[cols].astype(str).to_numpy())) == sorted(map(tuple, want[cols].astype(str).to_numpy()))
+
+
+@pytest.mark.parametrize("bad", ["x", "{{ messages | length }}{% for m in messages %}{% endfor %}", "{% for m in messages %}{% endfor %}{% for m in messages %}{% endfor %}", "{% for x in names %}{% for m in messages %}{% endfor %}{% endfor %}", "{% set a = messages %}", "{% if messages %}{% endif %}"])
+def test_templates_that_need_messages_twice_are_refused_over_tables(spark, bad):
+    table = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
+    for over in (chat.format_conversations, chat.format_digests):
+        with pytest.raises(chat.TemplateError):
+            over(table, bad)
+    assert chat.streaming("{% if x %}{% generation %}{% for m in messages %}{{ m.text }}{% endfor %}{% endgeneration %}{% endif %}")
+
+
 @pytest.mark.parametrize("text", ["", "&", "&amp;", "<|", "&lt;|", "<&lt;|>", "a<|b&c<|", "\n&#10;"])
 def test_escape_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text) and chat.unescape(chat.escape_role(text)) == text
