@@ -7,7 +7,8 @@ with those of its siblings that score like it or read like prose. Menus, headers
 forms, scripts, comments and hidden parts are left out of the tree by element, role, class or id. A class or id does
 not count where another names the article, where it tells of a state (has-sidebar, header-fixed) or an article's head,
 where the element holds more text than all that is kept and the page's main heading, or where nothing would be left.
-Lists of links stay within the chosen container; beside it, and where that is the whole body, they count as menus.
+Lists of links stay within the chosen container; beside it, and where that is the whole body, they count as menus. A
+table cell is a container where it holds paragraphs.
 
 Character references are decoded, white space (line breaks included) inside a block becomes one space, and blocks are
 joined in page order by a newline. Nothing else is dropped or capped. Each page is worked out in its own row.
@@ -254,7 +255,7 @@ def main_text(page: str | None) -> str:
     while todo:
         node = todo.pop()
         score = node.score * (1 - _density(node))
-        if node.tag not in _PARAGRAPHS and score >= best_score:  # of equals the first in the page, as children are taken from the end
+        if (node.tag not in _PARAGRAPHS or node.tag == "td" and node.score) and score >= best_score:  # of equals the first in the page, as children are taken from the end
             best, best_score = node, score
         todo += [p for p in node.parts if isinstance(p, _Node)]
     outer = best

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import html
 import random
+import re
 
 import numpy as np
 import pytest
@@ -148,8 +150,6 @@ def test_escape_is_reversible(text):
 
 
 def brute_fingerprint(text, shingle):
-    import re
-
     import xxhash
 
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
@@ -286,6 +286,54 @@ def test_html_deep_and_long_pages_end():
     html_text.main_text("<" * 50000), html_text.main_text("<a " + "x='" * 20000)
 
 
+def brute_article(page):
+    """From the structure of the driver's pages: what stands between the article's tags, block by block."""
+    blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*)</article>", page, re.S)[1])
+    out = [" ".join(html.unescape(re.sub(r"</?b>", "", b.replace("<br>", " "))).split()) for b in blocks]
+    return "\n".join(b for b in out if b)
+
+
+@pytest.mark.parametrize("begin,end", [("<article>", "</article>"), ("<div>", "</div>"), ("<section class='x1'>", "</section>"), ("", "")])
+def test_html_of_all_pages_with_and_without_an_article(spark, begin, end):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html", F.replace(F.replace("html", F.lit("<article>"), F.lit(begin)), F.lit("</article>"), F.lit(end)).alias("changed"))
+    got = html_text.extract_text(pages, "changed").collect()
+    assert len(got) == 250 and [r["page_id"] for r in got if r["text"] != brute_article(r["html"])] == []
+
+
+def _prose(k, n):
+    return [f"Paragraph {k}{i}, with some words, and more words after it, so that it reads like prose." for i in range(n)]
+
+
+def _p(k, n):
+    return "".join(f"<p>{t}</p>" for t in _prose(k, n))
+
+
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Link number {i}, a story</a></li>" for i in range(12)) + "</ul>"
+HEADLINES = "".join(f"<p><a href=x>A headline, that is long, number {i}, of a story that is elsewhere</a></p>" for i in range(20))
+LAYOUTS = {
+    "rival container": (f"<div><p>Short teaser, one.</p><p>Short teaser, two.</p></div><div>{_p('a', 5)}</div>", _prose("a", 5)),
+    "rival with link lists": (f"<div>{LINKS}{LINKS}</div><div>{_p('a', 3)}</div>", _prose("a", 3)),
+    "rival with links in paragraphs": (f"<div>{HEADLINES}</div><div>{_p('a', 3)}</div>", _prose("a", 3)),
+    "nested wrappers": (f"<div><div><div>{_p('a', 4)}</div></div></div><div>{LINKS}</div>", _prose("a", 4)),
+    "siblings of equal weight": (f"<div><div>{_p('a', 4)}</div><div>{_p('b', 4)}</div><div>{LINKS}</div></div>", _prose("a", 4) + _prose("b", 4)),
+    "table layout": (f"<table><tr><td>{LINKS}</td><td>{_p('a', 5)}</td></tr></table>", _prose("a", 5)),
+    "heading beside": (f"<div><h1>The title</h1><div>{_p('a', 4)}</div></div>", ["The title", *_prose("a", 4)]),
+    "related section": (f"<section>{_p('a', 4)}</section><section class=related>{_p('r', 1)}</section>", _prose("a", 4)),
+    "box within": (f"<div><h2>One</h2>{_p('a', 2)}<div class='quote'><p>Inner, quoted, words in a box.</p></div><h2>Two</h2>{_p('b', 2)}</div>", ["One", *_prose("a", 2), "Inner, quoted, words in a box.", "Two", *_prose("b", 2)]),
+    "advert and form within": (f"<div>{_p('a', 2)}<div class='ad'>Buy, buy, buy now.</div>{_p('b', 2)}<form><input><p>Sign, up, here, please.</p></form></div>", _prose("a", 2) + _prose("b", 2)),
+    "sections of one paragraph": (f"<div><section>{_p('a', 1)}</section><section>{_p('b', 1)}</section><section>{_p('c', 1)}</section></div><div>{LINKS}</div>", _prose("a", 1) + _prose("b", 1) + _prose("c", 1)),
+    "code and data table": (f"<div>{_p('a', 3)}<pre>x = 1\n  y = 2</pre><table><tr><th>K</th><td>V</td></tr></table></div>", [*_prose("a", 3), "x = 1 y = 2", "K", "V"]),
+    "more comments than text": (f"<div id='post'>{_p('a', 2)}</div><div id='comments'><div class=comment>{_p('c', 6)}</div></div>", _prose("a", 2)),
+    "longer sidebar": (f"<main><article>{_p('a', 4)}</article></main><aside>{_p('s', 8)}</aside>", _prose("a", 4)),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_html_scoring_finds_the_container(name):
+    page, want = LAYOUTS[name]
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None), (3, "v", "", "")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages).collect()
