@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next one's docs. All but the last return the columns of ``documents``.
+
+Defined cases: null texts count as empty, which is one text like any other; of equal texts one row stays, repeated rows
+included; a null doc_id is the smallest for exact copies and names no group of near copies beside one with an id; ties
+can't arise otherwise, as ids decide. Without labels that can be learned from every document passes the first stage,
+without benchmark items the fourth; an empty table gives an empty one. Other columns of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: Fitted scores, fingerprints and BPE are beyond SQL; tests hold the stages against brute force.
+#: Fitted scores, fingerprints and BPE are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
