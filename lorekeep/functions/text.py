@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The ranges that count as CJK for segmentation (kana and hangul included), and as Han for query classes.
-CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{20000}-\x{2A6DF}]"
-HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}]"
+CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{20000}-\x{2FA1F}]"
+HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 #: A few characters whose traditional and simplified forms differ; a deployment passes its own table.
 TRADITIONAL = "釘選詞記憶語體學檢測與區"
 SIMPLIFIED = "钉选词记忆语体学检测与区"
@@ -59,6 +59,13 @@ def project_of_directory(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("-"))
 
 
+def script_runs(text: Column) -> Column:
+    """Stretches of CJK and of other characters in turn, as structs (run, is_cjk); together they are the text."""
+    other = f"[^{CJK[1:]}"
+    runs = F.regexp_extract_all(text, F.lit(f"({CJK}+|{other}+)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(r.alias("run"), F.substring(r, 1, 1).rlike(CJK).alias("is_cjk")))
+
+
 def segments(text: Column) -> Column:
     """Tokens as ``<a><b>``: lower-cased runs of letters and digits; each CJK character is a token of its own.
 

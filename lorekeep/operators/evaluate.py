@@ -35,6 +35,34 @@ def interleave(a: DataFrame, b: DataFrame, sides: DataFrame) -> DataFrame:
     return both.groupBy("qid").applyInPandas(merged, f"qid {kinds['qid']}, place int, anchor {kinds['anchor']}, credited_to string")
 
 
+def record_faults(presentations: DataFrame) -> DataFrame:
+    """(id, fault) for presentations of a wrong shape: both sides under one strategy, credit in a null comparison, none in
+    a real one, an anchor twice, credit for neither side, an id twice, another pair of strategies than the first id's."""
+    pair = F.array_sort(F.array("strategy_a", "strategy_b"))
+    credited = F.col("attribution.credited_to")
+    first = presentations.agg(F.min_by(pair, "id").alias("first_pair"))  # one row
+    times = presentations.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    rows = presentations.join(times, "id").crossJoin(F.broadcast(first))
+    faults = {
+        "one strategy": F.col("strategy_a") == F.col("strategy_b"),
+        "credit in a null comparison": F.col("is_null_comparison") & F.exists(credited, lambda c: c.isNotNull()),
+        "no credit in a comparison": ~F.col("is_null_comparison") & F.exists(credited, lambda c: c.isNull()),
+        "duplicate anchor": F.size(F.array_distinct("attribution.anchor")) < F.size("attribution"),
+        "third strategy": F.exists(credited, lambda c: ~c.isin("a", "b")),
+        "duplicate id": F.col("times") > 1,
+        "differing pairs": pair != F.col("first_pair"),
+    }
+    return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in faults.items()]))).alias("fault"))
+
+
+def require_usable(events: DataFrame, presentations: DataFrame) -> None:
+    """Refuses records of a wrong shape and events that contradict their record: a report over them would mislead."""
+    if (wrong := record_faults(presentations).first()) is not None:
+        raise ValueError(f"presentation {wrong['id']}: {wrong['fault']}")
+    if (wrong := disposed_events(events, presentations).where("startswith(disposition, 'reject')").first()) is not None:
+        raise ValueError(f"an event of presentation {wrong['presentation']}: {wrong['disposition']}")
+
+
 def disposed_events(events: DataFrame, presentations: DataFrame) -> DataFrame:
     """Each event with the presentation it belongs to and a disposition: score, skip (with the reason) or reject.
 
@@ -173,6 +201,14 @@ def tie_statistics(ranked: DataFrame) -> DataFrame:
     )
 
 
+def run_lengths(ranked: DataFrame) -> DataFrame:
+    """(length, runs): how many stretches of results that tie by (band, score) there are of each length from two."""
+    from lorekeep.operators.rerank import tie_runs
+
+    sizes = tie_runs(ranked).groupBy("qid", "run").agg(F.count(F.lit(1)).alias("length"))
+    return sizes.where("length > 1").groupBy("length").agg(F.count(F.lit(1)).alias("runs"))
+
+
 def latency_percentile(samples: DataFrame, column: str, by: str, share: float = 0.95) -> DataFrame:
     """Nearest-rank percentile of each group: the value at place ceil(share times n)."""
     return samples.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").alias("p95"))

@@ -335,6 +335,10 @@ def tie_stats(spark, sf_dir):
     return evaluate.tie_statistics(page(spark, sf_dir))
 
 
+def tie_run_lengths(spark, sf_dir):
+    return evaluate.run_lengths(page(spark, sf_dir))
+
+
 def interleave_ab(spark, sf_dir):
     a = page(spark, sf_dir)
     b = a.select("qid", "anchor", (F.row_number().over(Window.partitionBy("qid").orderBy("anchor")) - 1).alias("pos"))
@@ -370,6 +374,48 @@ def dispositions(spark, sf_dir):
     return evaluate.skip_counts(*_presented(spark, sf_dir, 2))
 
 
+def record_faults(spark, sf_dir):
+    """Presentations, some of them spoilt: one strategy twice, a null comparison by name alone, ids told twice."""
+    _, p = _presented(spark, sf_dir, 2)
+    k = F.regexp_extract("id", "([0-9]+)", 1).cast("int")
+    spoilt = p.withColumn("strategy_b", F.when(k % 7 == 0, "archival").when(k % 7 == 1, "conservative").otherwise(F.col("strategy_b"))).withColumn("is_null_comparison", k % 5 == 4)
+    return evaluate.record_faults(spoilt.unionByName(spoilt.where(k % 11 == 0)))
+
+
+def salvage_presentations(spark, sf_dir):
+    _, p = _presented(spark, sf_dir, 2)
+    k = F.regexp_extract("id", "([0-9]+)", 1).cast("int")
+    lines = event_log.record_lines(p.withColumn("seq", k))
+    broken = F.when(F.col("seq") % 10 == 0, F.concat("line", F.lit(" "))).when(F.col("seq") % 10 == 1, F.replace("line", F.lit('"id"'), F.lit('"key"'))).otherwise(F.col("line"))
+    return event_log.salvage_records(lines.select(F.col("seq").alias("line_no"), broken.alias("line")), lambda a: ~a.endswith("-3")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unattributable_hits(spark, sf_dir):
+    """Results of pages and the chunks they point at, of which every ninth is gone."""
+    hits, there = page(spark, sf_dir), chunks(spark, sf_dir).where(F.col("chunk_id") % 9 != 0)
+    joined = hits.join(there.select(F.col("chunk_id").alias("anchor"), F.lit(1).alias("found")), "anchor", "left")
+    return joined.groupBy("qid").agg(F.count("found").alias("attributed"), F.count_if(F.col("found").isNull()).alias("unattributable"))
+
+
+def script_runs(spark, sf_dir):
+    runs = fn.script_runs(F.translate("text", "xz", "選釘"))  # the tables hold no Han characters
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.when(r["is_cjk"], "c").otherwise("o"), r["run"])), "|")
+    return table(spark, sf_dir, "documents").select("doc_id", runs.alias("runs")).select("doc_id", F.size("runs").alias("n_runs"), F.size(F.filter("runs", lambda r: r["is_cjk"])).alias("n_cjk"), F.sha2(told, 256).alias("runs_sha256"))
+
+
+def signal_maps(spark, sf_dir):
+    """Each anchor's counts by kind as a map, merged over presentations, deliberate kinds alone."""
+    each = usage(spark, sf_dir).groupBy("anchor", "presentation", "kind").agg(F.count(F.lit(1)).alias("n"))
+    maps = each.groupBy("anchor", "kind").agg(F.sum("n").alias("n")).groupBy("anchor").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("counts"))
+    own = F.map_filter("counts", lambda k, n: k != "shown")
+    return maps.select("anchor", F.to_json(own).alias("deliberate"), F.array_contains(F.map_keys(own), "pinned").alias("pinned"))
+
+
+def source_union(spark, sf_dir):
+    t = observed(spark, sf_dir)
+    return t.where("project = 'en'").select("source_key").union(t.where("project = 'fr'").select("source_key")).distinct()
+
+
 def corrected_preference(spark, sf_dir):
     o = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, "a").otherwise("b").alias("starting_side"), (F.col("value") > 50).alias("prefers_a"))
     c = evaluate.corrected_preference(o)
@@ -472,7 +518,8 @@ QUERIES_BY_NAME = {
     "impressions_counts": impressions_counts, "future_events": future_events, "spreading_projection": spreading_projection, "human_like_rerank": _reranked("human-like"),
     "conservative_rerank": _reranked("conservative"), "archival_rerank": lambda s, d: rerank.rerank(page(s, d), strengths(s, d), "archival").select("qid", "anchor", "new_pos", "movement"),
     "human_like_bound3": human_like_bound3, "one_pass_fold": one_pass_fold, "guard_violations": guard_violations, "displacement": displacement, "tie_runs": tie_runs,
-    "tie_stats": tie_stats, "interleave_ab": interleave_ab, "comparison_report": comparison_report, "generation_rows": generation_rows, "dispositions": dispositions,
+    "tie_stats": tie_stats, "tie_run_lengths": tie_run_lengths, "record_faults": record_faults, "salvage_presentations": salvage_presentations,
+    "unattributable_hits": unattributable_hits, "script_runs": script_runs, "signal_maps": signal_maps, "source_union": source_union, "interleave_ab": interleave_ab, "comparison_report": comparison_report, "generation_rows": generation_rows, "dispositions": dispositions,
     "corrected_preference": corrected_preference, "ndcg_by_class": ndcg_by_class, "known_item_recall": known_item_recall, "latency_p95": latency_p95, "mark_events": mark_events,
     "skip_tally": skip_tally, "tool_metadata": tool_metadata, "event_range": event_range, "salvage_log": salvage_log, "prompt_gate": prompt_gate,
     "content_hash": content_hash, "nested_samples": nested_samples,

@@ -243,6 +243,21 @@ SELECT qid, rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY qid, rule
     "tie_stats": f"""WITH {_PAGE}, s AS (SELECT *, coalesce(base_score = lag(base_score) OVER (PARTITION BY qid ORDER BY pos), false) AS same_score FROM runs),
 g AS (SELECT qid, run, count(*) AS size, count(*) FILTER (same) AS tied, count(*) FILTER (same_score) AS tied_score FROM s GROUP BY qid, run)
 SELECT qid, sum(size)::BIGINT AS n, sum(tied)::BIGINT AS tied_pairs, sum(tied_score)::BIGINT AS tied_score_pairs, count(*) FILTER (size > 1) AS runs, coalesce(sum(size) FILTER (size > 1), 0)::BIGINT AS covered, max(size) AS longest FROM g GROUP BY qid""",
+    "tie_run_lengths": f"""WITH {_PAGE} SELECT length, count(*) AS runs FROM (SELECT count(*) AS length FROM runs GROUP BY qid, run) WHERE length > 1 GROUP BY length""",
+    "record_faults": _report(2)
+    + """, x0 AS (SELECT id, pk, CASE WHEN pk % 7 = 0 THEN 'archival' WHEN pk % 7 = 1 THEN 'conservative' ELSE 'human-like' END AS b, pk % 5 = 4 AS is_null FROM pr),
+x AS (SELECT *, count(*) OVER (PARTITION BY id) AS times, first_value(b) OVER (ORDER BY id) AS first_b FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x0 WHERE pk % 11 = 0)),
+y AS (SELECT id, unnest([CASE WHEN b = 'archival' THEN 'one strategy' END, CASE WHEN is_null THEN 'credit in a null comparison' END, CASE WHEN times > 1 THEN 'duplicate id' END, CASE WHEN b <> first_b THEN 'differing pairs' END]) AS fault FROM x)
+SELECT id, fault FROM y WHERE fault IS NOT NULL""",
+    "salvage_presentations": _report(2)
+    + " SELECT CASE WHEN pk % 10 IN (0, 1) THEN 'corrupt' WHEN len(list_filter(members, lambda a: ends_with(a, '-3'))) > 0 THEN 'superseded' ELSE 'ok' END AS status, count(*) AS n FROM pr GROUP BY 1",
+    "unattributable_hits": "SELECT doc_id // 40 AS qid, count(*) FILTER (doc_id % 9 <> 0) AS attributed, count(*) FILTER (doc_id % 9 = 0) AS unattributable FROM documents GROUP BY 1",
+    "script_runs": """WITH r AS (SELECT doc_id, regexp_extract_all(translate(text, 'xz', '選釘'), '[選釘]+|[^選釘]+') AS runs FROM documents)
+SELECT doc_id, len(runs)::INT AS n_runs, len(list_filter(runs, lambda r: r[1] IN ('選', '釘')))::INT AS n_cjk, sha256(array_to_string(list_transform(runs, lambda r: CASE WHEN r[1] IN ('選', '釘') THEN 'c' ELSE 'o' END || r), '|')) AS runs_sha256 FROM r""",
+    "signal_maps": _USAGE
+    + """, k AS (SELECT anchor, kind, count(*) AS n FROM e0 GROUP BY ALL)
+SELECT anchor, '{' || coalesce(string_agg('"' || kind || '":' || n, ',' ORDER BY kind) FILTER (kind <> 'shown'), '') || '}' AS deliberate, coalesce(bool_or(kind = 'pinned'), false) AS pinned FROM k GROUP BY anchor""",
+    "source_union": "SELECT source AS source_key FROM documents WHERE lang = 'en' UNION SELECT source FROM documents WHERE lang = 'fr'",
     "interleave_ab": f"""WITH RECURSIVE {_PAGE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY anchor) - 1 AS pos_b FROM p),
 g AS (SELECT qid, list(anchor ORDER BY pos) AS a, list(anchor ORDER BY pos_b) AS b FROM r GROUP BY qid),
 w(qid, a, b, taken, turn, pick, by_a) AS (

@@ -29,6 +29,7 @@ class Service:
     folder: str
     embedder: EmbeddingProvider | None = None
     store: Store = field(init=False)
+    unattributable: int = field(init=False, default=0)  # hits of the last query that had no sound chunk
 
     def __post_init__(self):
         self.store = Store(self.spark, f"{self.folder}/index", self.embedder)
@@ -76,6 +77,7 @@ class Service:
             chunks = chunks.where(F.coalesce(sound, F.lit(False)))
             left = chunks.where(F.size(F.array_except("sessions", F.array(*map(F.lit, exclude)).cast("array<string>"))) > 0) if exclude else chunks
             if not exclude or left.count() >= k or depth >= sinks.MOST_RESULTS or hits.count() < depth:
+                self.unattributable = hits.join(chunks.select("chunk_id"), "chunk_id", "left_anti").count()
                 order = F.row_number().over(Window.partitionBy("qid").orderBy("pos")) - 1
                 return hits.join(chunks.select("chunk_id"), "chunk_id", "left_semi").withColumn("pos", order), chunks
             depth = min(4 * depth, sinks.MOST_RESULTS)
@@ -149,7 +151,10 @@ class Service:
         event.select("kind", "anchor", "ts", "generation", "policy", "note_ref", "presentation").write.mode("append").parquet(f"{self.folder}/events")
 
     def report(self) -> DataFrame:
-        return evaluate.comparison_report(self.events(), self.records())
+        """The comparison report; refused while records or events contradict each other."""
+        events, records = written(self.events()), written(self.records())
+        evaluate.require_usable(events, records)
+        return evaluate.comparison_report(events, records)
 
     def memory_status(self) -> DataFrame:
         """(fact, n): events by kind, orphaned anchors, future events, and events that break the log's rules."""

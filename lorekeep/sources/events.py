@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,26 @@ def salvage(lines: DataFrame, superseded: Column | None = None) -> DataFrame:
     return parsed.withColumn("status", status)
 
 
+_RECORD = "id string, query_class string, strategy_a string, strategy_b string, generation string, attribution array<struct<anchor:string,credited_to:string>>, starting_side string, is_null_comparison boolean"
+
+
+def record_lines(records: DataFrame) -> DataFrame:
+    """(seq, line): presentation records in append order, keys sorted."""
+    names = sorted(c.split()[0] for c in _RECORD.split(", "))
+    return records.select("seq", F.to_json(F.struct(*names)).alias("line"))
+
+
+def salvage_records(lines: DataFrame, current: Callable[[Column], Column]) -> DataFrame:
+    """Each record's line with its status: ok, corrupt, or superseded, which it is if any of its anchors is (``current``
+    tests one anchor): credit by place needs them all. ``lines``: line_no, line."""
+    parsed = lines.withColumn("r", F.from_json("line", _RECORD)).select("*", "r.*").drop("r")
+    names = sorted(c.split()[0] for c in _RECORD.split(", "))
+    ok = (F.to_json(F.struct(*names)) == F.col("line")) & F.col("id").isNotNull() & F.col("attribution").isNotNull() & F.col("is_null_comparison").isNotNull()
+    whole = F.forall("attribution.anchor", current)
+    status = F.when(~F.coalesce(ok, F.lit(False)), "corrupt").when(~F.coalesce(whole, F.lit(False)), "superseded").otherwise("ok")
+    return parsed.withColumn("status", status)
+
+
 def read_range(events: DataFrame, start: Column, end: Column) -> DataFrame:
     """Events of [start, end), in append order by ``seq``."""
     return events.where((F.col("ts") >= start) & (F.col("ts") < end))
