@@ -9,8 +9,10 @@ those of its pretokens in order; so are its decoded bytes.
 Memory: a task holds one Arrow batch, the DuckDB limit (``DUCKDB_MB``), and words met before, which are forgotten
 beyond about ``WORDS_KEPT``, those not used of late first. Nothing is shuffled. Rows are sent in blocks of at most
 ``BLOCK_BYTES`` bytes and ``BLOCK_ROWS`` rows over all rounds. The recursive query stores a word of n bytes up to n
-times, so pretokens of more than ``LONG_BYTES`` bytes are contracted by a queue of pairs instead, in the same order,
-in n log n steps and memory in proportion to n; they are forgotten beyond about ``LONG_KEPT`` bytes.
+times, so pretokens of more than ``LONG_BYTES`` bytes go by a recursion that keeps each place once and replaces the two
+that a round changes. Both take a round for each contraction, each over all the word's places; so unbroken runs of more
+than ``HUGE_BYTES`` bytes, which would take minutes, are contracted by a queue of pairs instead, in the same order, in
+n log n steps. Long pretokens are forgotten beyond about ``LONG_KEPT`` bytes.
 
 Defined cases: null and empty texts encode to no ids and decode to no bytes; repeated rows each get their row; columns
 other than the id and the text are ignored.
@@ -35,6 +37,9 @@ BLOCK_BYTES = 800_000
 #: Rows that the recursive query may store for a block: about half the square of each word's bytes.
 BLOCK_ROWS = 8_000_000
 LONG_BYTES = 64
+HUGE_BYTES = 2048
+#: Bytes of long pretokens in a block; every round goes over the whole block.
+LONG_BLOCK = 50_000
 LONG_KEPT = 16_000_000
 #: Characters of text whose pretokens are held at once; the more, the fewer recursive queries.
 CHARS_AT_ONCE = 12_000_000
@@ -56,6 +61,26 @@ WITH RECURSIVE t(word, key, token, round) AS (
 )
 SELECT t.word, t.key & 4294967295 AS place, t.token FROM t JOIN (SELECT word, max(round) AS round FROM t GROUP BY word) USING (word, round)
 """
+#: The same for long words. A place keeps its key for good: it holds a token and the place of the next one, or -1 once its
+#: token has been taken into the one before. Words without a pair drop out of the working table ``t``.
+_ENCODE_LONG = """
+WITH RECURSIVE t(word, place, token, next) USING KEY (word, place) AS (
+    SELECT word, place, token, place + 1 FROM pieces
+    UNION ALL
+    (WITH best AS (
+        SELECT a.word, min((g.merged::BIGINT << 32) + a.place) AS pick
+        FROM recurring.t a JOIN recurring.t b ON b.word = a.word AND b.place = a.next JOIN merges g ON g.pair = (a.token::BIGINT << 32) + b.token
+        WHERE a.token >= 0 AND a.word IN (SELECT word FROM t)
+        GROUP BY a.word
+    ), spot AS (SELECT word, (pick & 4294967295)::INT AS place, (pick >> 32)::INT AS merged FROM best),
+    two AS (
+        SELECT a.word, a.place, s.merged, a.next AS gone, b.next
+        FROM spot s JOIN recurring.t a ON a.word = s.word AND a.place = s.place JOIN recurring.t b ON b.word = a.word AND b.place = a.next
+    )
+    SELECT word, place, merged, next FROM two UNION ALL SELECT word, gone, -1, next FROM two)
+)
+SELECT word, place, token FROM t WHERE token >= 0
+"""
 _READ = """
 SELECT word, string_agg(token, ' ' ORDER BY place) AS ids, unhex(string_agg(v.hex, '' ORDER BY place)) AS bytes
 FROM coded JOIN vocabulary v USING (token) GROUP BY word
@@ -93,7 +118,7 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _block(self, words: list[str]) -> None:
+    def _block(self, words: list[str], encode: str = _ENCODE) -> None:
         import numpy as np
         import pyarrow as pa
 
@@ -103,7 +128,7 @@ class Codec:
         ends = np.cumsum(lengths)
         place = np.arange(len(whole)) - np.repeat(ends - lengths, lengths)
         self._table("pieces", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "place": place.astype(np.int32), "token": np.array(self.byte, np.int32)[whole]}))
-        self.db.execute(f"CREATE OR REPLACE TABLE coded AS {_ENCODE}")
+        self.db.execute(f"CREATE OR REPLACE TABLE coded AS {encode}")
         for word, ids, back in self.db.execute(_READ).fetchall():
             self.known[words[word]] = ids
             if back != parts[word]:
@@ -130,11 +155,10 @@ class Codec:
                 heapq.heappush(queue, (r, before[i], to))
         return [ranks[word[i:e]] for i, e in enumerate(end) if e]
 
-    def _long(self, word: str) -> None:
+    def _huge(self, word: str) -> None:
         part = word.encode()
         ids = self._contract(part)
         self.known[word] = " ".join(map(str, ids))
-        self.long += len(part)
         if (back := b"".join(map(self.token.__getitem__, ids))) != part:
             self.odd[word] = back
 
@@ -145,11 +169,19 @@ class Codec:
         new = set(words) - self.known.keys()
         for w in new & self.older.keys():
             self.known[w] = self.older[w]
-        block, size, rows = [], 0, 0
+        block, size, rows, long, long_size = [], 0, 0, [], 0
         for w in sorted(new - self.known.keys(), key=len):  # words of like length need like numbers of rounds
             n = len(w.encode())
             if n > LONG_BYTES:
-                self._long(w)
+                self.long += n
+                if n > HUGE_BYTES:
+                    self._huge(w)
+                    continue
+                if long and long_size + n > LONG_BLOCK:
+                    self._block(long, _ENCODE_LONG)
+                    long, long_size = [], 0
+                long.append(w)
+                long_size += n
                 continue
             if block and (size + n > BLOCK_BYTES or rows + n * n // 2 > BLOCK_ROWS):
                 self._block(block)
@@ -159,6 +191,8 @@ class Codec:
             rows += n * n // 2
         if block:
             self._block(block)
+        if long:
+            self._block(long, _ENCODE_LONG)
 
     def encode(self, text: str) -> list[int]:
         words = self.split(text)

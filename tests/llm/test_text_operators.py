@@ -53,7 +53,7 @@ def _run(kind, n):
 @pytest.mark.parametrize("kind", ["letters", "han", "=", " "])
 def test_bpe_long_pretokens(tiktoken_encoding, kind):
     c = bpe.codec("byte_bpe_50k.tiktoken")
-    for n in (65, 1000, 100_000):
+    for n in (65, 300, 1000, 2048, 100_000):
         text = _run(kind, n)
         assert c.encode(text) == tiktoken_encoding.encode_ordinary(text)
     text = _run(kind, 1_000_000)
@@ -63,8 +63,9 @@ def test_bpe_long_pretokens(tiktoken_encoding, kind):
 def test_bpe_long_and_short_words_take_the_same_merges(tiktoken_encoding, monkeypatch):
     text = "supercalifragilistic antidisestablishmentarianism naïveté 漢字かな " + _run("letters", 60)
     want = tiktoken_encoding.encode_ordinary(text)
-    for long in (0, 64):
+    for long, huge in ((0, 0), (0, 2048), (64, 2048)):
         monkeypatch.setattr(bpe, "LONG_BYTES", long)
+        monkeypatch.setattr(bpe, "HUGE_BYTES", huge)
         c = bpe.codec("byte_bpe_50k.tiktoken")
         c.known, c.older = {}, {}
         assert c.encode(text) == want
