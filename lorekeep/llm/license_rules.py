@@ -80,7 +80,7 @@ elastic-2.0 | spdx | 1.0 | spdx {L} identifier elastic 2 0
 vim | spdx | 1.0 | spdx {L} identifier vim
 beerware | spdx | 1.0 | spdx {L} identifier beerware
 other-spdx | spdx | 0.7 | spdx {L} identifier {L}ref(?: [^ ]+){1,3}
-mit | license licence | 0.95 | {L} (?:mit|file mit|text mit|type mit) (?=author|version|name|description|url|homepage|repository|classifiers)
+mit | license licence | 0.95 | {L} (?:mit|file mit|text mit|type mit) (?:author|version|name|description|url|homepage|repository|classifiers)
 mit | classifier | 1.0 | classifier {L} osi approved mit {L}
 apache-2.0 | classifier | 1.0 | classifier {L} osi approved apache software {L}
 bsd | classifier | 1.0 | classifier {L} osi approved bsd {L}

@@ -132,13 +132,38 @@ def op4_license_scan(spark, sf_dir):
 
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-#: The base columns alone; labels and scores of the method's own rules need look-around and suppression, which this dialect lacks.
-BASE_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-p AS (SELECT doc_id, len(w) AS n,
-    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS a, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS b,
-    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS c FROM d)
-SELECT doc_id, n AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word,
-    concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels
-FROM p
+
+
+def _oracle() -> str:
+    """The whole query as SQL. Its regular expressions have no look-around: each word has a space of its own on both sides,
+    so that a match takes its words' spaces and leaves the neighbours theirs."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    array = lambda xs: f"[{', '.join(map(text, xs))}]"
+    wide = lambda r: r["regex"].removeprefix("(?<= )").removesuffix("(?= )").replace("[^ ]", "\0").replace(" ", "(?:  )").replace("\0", "[^ ]")
+    every = rules()
+    table = ",\n    ".join(f"({r['rule']}, {text(r['label'])}, {array(r['keys'])}, {text(' (' + wide(r) + ') ')}, {r['priority']}, {r['weight']}::DOUBLE)" for r in every)
+    keys = array(sorted({k for r in every for k in r["keys"]}))
+    place = lambda p: "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(), 1)) + ")"
+    places = [f"base{k}" for k in range(len(BASE_PHRASES))]
+    named = ", ".join(f"CASE WHEN len({b}) > 0 THEN '{label}' END" for b, (_, label) in zip(places, BASE_PHRASES, strict=True))
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_WORDS} AS w FROM documents),
+b AS (SELECT doc_id, row, w, {", ".join(f"{place(p)} AS {b}" for b, (p, _) in zip(places, BASE_PHRASES, strict=True))} FROM d),
+c AS (SELECT *, {" || ".join(places)} AS places, list_filter([{named}], lambda x: x IS NOT NULL) AS base FROM b),
+r(rule, label, keys, regex, priority, weight) AS (VALUES
+    {table}),
+k AS (SELECT row, list_intersect(w, {keys}) AS found, ' ' || array_to_string(w, '  ') || ' ' AS joined FROM d),
+m AS (SELECT row, rule, label, priority, weight, list_filter(string_split(regexp_replace(joined, regex, ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g'), ' '), lambda x: x <> '') AS marked
+    FROM k JOIN r ON list_has_any(k.found, r.keys) WHERE len(k.found) > 0),
+p AS (SELECT row, rule, label, priority, weight, list_filter(range(0, len(marked)), lambda i: starts_with(marked[i + 1], chr(1))) AS los, list_filter(range(0, len(marked)), lambda i: ends_with(marked[i + 1], chr(2))) AS lasts FROM m),
+f AS (SELECT row, rule, label, priority, weight, unnest(los) AS lo, unnest(lasts) + 1 AS hi FROM p),
+s AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.row = f.row AND o.lo <= f.lo AND o.hi >= f.hi
+    AND (o.priority < f.priority OR o.priority = f.priority AND (o.hi - o.lo > f.hi - f.lo OR o.hi - o.lo = f.hi - f.lo AND o.rule < f.rule)))),
+l AS (SELECT row, list(DISTINCT label) AS own, max(weight) AS weight FROM s GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(base || coalesce(own, []))), ',') AS labels, greatest(coalesce(weight, 0.0), CASE WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM c LEFT JOIN l USING (row)
 """
+
+
+ORACLE_SQL = _oracle()
