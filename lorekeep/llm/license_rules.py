@@ -95,9 +95,9 @@ proprietary | classifier | 1.0 | classifier {L} other proprietary {L}
 
 #: What grants a license by name, and where its text is.
 GRANTS = r"""
-gpl-3.0 | gnu gpl gplv3 | 0.95 | {GRANT} (?:gnu )?(?:general public {L}(?: gpl)?|gpl) {V}3(?: 0)?{LATER}
-gpl-2.0 | gnu gpl gplv2 | 0.95 | {GRANT} (?:gnu )?(?:general public {L}(?: gpl)?|gpl) {V}2(?: 0)?{LATER}
-gpl-1.0 | gnu gpl gplv1 | 0.95 | {GRANT} (?:gnu )?(?:general public {L}(?: gpl)?|gpl) {V}1(?: 0)?{LATER}
+gpl-3.0 | license licence gpl | 0.95 | {GRANT} (?:gnu )?(?:general public {L}(?: gpl)?|gpl) {V}3(?: 0)?{LATER}
+gpl-2.0 | license licence gpl | 0.95 | {GRANT} (?:gnu )?(?:general public {L}(?: gpl)?|gpl) {V}2(?: 0)?{LATER}
+gpl-1.0 | license licence gpl | 0.95 | {GRANT} (?:gnu )?(?:general public {L}(?: gpl)?|gpl) {V}1(?: 0)?{LATER}
 lgpl-3.0 | lesser lgpl lgplv3 | 0.95 | {GRANT} (?:gnu )?(?:lesser general public {L}(?: lgpl)?|lgpl) {V}3(?: 0)?{LATER}
 lgpl-2.1 | lesser lgpl lgplv2 | 0.95 | {GRANT} (?:gnu )?(?:lesser general public {L}(?: lgpl)?|lgpl) {V}2 1{LATER}
 lgpl-2.0 | library lgpl lgplv2 | 0.95 | {GRANT} (?:gnu )?(?:library general public {L}(?: lgpl)?|lgpl) {V}2(?: 0)?{LATER}
@@ -210,7 +210,7 @@ agpl | redistribute | 0.7 | is free software you can redistribute it and or modi
 gpl | gnu | 0.7 | you should have received a copy of the gnu general public {L} along with this (?:program|software|library|package|file)
 lgpl | gnu | 0.7 | you should have received a copy of the gnu (?:lesser|library) general public {L} along with this (?:program|software|library|package|file)
 agpl | gnu | 0.7 | you should have received a copy of the gnu affero general public {L} along with this (?:program|software|library|package|file)
-gpl | preamble | 0.8 | the licenses for most software are designed to take away your freedom to share and change it
+gpl | licenses | 0.8 | the licenses for most software are designed to take away your freedom to share and change it
 gpl-3.0 | copyleft | 0.8 | the gnu general public {L} is a free copyleft {L} for software and other kinds of works
 gpl-3.0 | tivoization propagate | 0.7 | to propagate a work means to do anything with it that without permission would make you directly or secondarily liable
 gpl | source | 0.6 | the source code for a work means the preferred form of the work for making modifications to it
@@ -231,7 +231,7 @@ mit | merge sublicense | 0.8 | to deal in the software without restriction inclu
 mit | notice | 0.7 | the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software
 mit | noninfringement | 0.6 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
 mit | liable | 0.6 | in no event shall the authors or copyright holders be liable for any claim damages or other liability
-x11 | consortium | 0.8 | except as contained in this notice the name of the [^ ]+(?: [^ ]+){0,3} shall not be used in advertising
+x11 | advertising | 0.8 | except as contained in this notice the name of the [^ ]+(?: [^ ]+){0,3} shall not be used in advertising
 isc | permission | 0.9 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc | disclaims | 0.6 | the software is provided as is and the author disclaims all warranties with regard to this software
 hpnd | permission | 0.8 | permission to use copy modify (?:and )?distribute(?: and sell)? this software and its documentation for any purpose(?: and without fee)? is hereby granted
@@ -243,7 +243,7 @@ bsd-3-clause | endorse | 0.8 | may not be used to endorse or promote products de
 bsd-4-clause | advertising | 0.8 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 bsd | disclaimed | 0.5 | any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
 mpl-2.0 | mozilla | 0.9 | this source code form is subject to the terms of the mozilla public {L} v(?:ersion)? 2 0
-mpl-2.0 | mozilla | 0.8 | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-2.0 | mpl | 0.8 | if a copy of the mpl was not distributed with this file you can obtain one at
 mpl-1.1 | mozilla | 0.9 | the contents of this file are subject to the mozilla public {L} version 1 1
 mpl-1.1 | netscape | 0.8 | the contents of this file are subject to the netscape public {L}
 mpl-1.1 | initial | 0.6 | the initial developer of the original code is
@@ -252,14 +252,14 @@ epl-2.0 | eclipse | 0.9 | the accompanying materials are made available under th
 cpl-1.0 | common | 0.8 | the accompanying program is provided under the terms of this common public {L}
 cddl | development | 0.9 | the contents of this file are subject to the terms of (?:either the gnu general public {L} version 2 only or )?the common development and distribution {L}
 eupl | eupl | 0.8 | licensed under the eupl(?: version)? 1 [12](?: or as soon they will be approved)?
-artistic | artistic | 0.7 | the intent of this document is to state the conditions under which a package may be copied
+artistic | copied | 0.7 | the intent of this document is to state the conditions under which a package may be copied
 bsl-1.0 | boost | 0.9 | distributed under the boost software {L} version 1 0
 bsl-1.0 | obtaining | 0.8 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this {L}
 zlib | altered | 0.8 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 zlib | misrepresented | 0.8 | the origin of this software must not be misrepresented
 zlib | freely | 0.8 | permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
-unlicense | encumbered | 0.9 | this is free and unencumbered software released into the public domain
-unlicense | dedicate | 0.8 | anyone is free to copy modify publish use compile sell or distribute this software
+unlicense | unencumbered | 0.9 | this is free and unencumbered software released into the public domain
+unlicense | distribute | 0.8 | anyone is free to copy modify publish use compile sell or distribute this software
 wtfpl | fuck | 0.9 | do what the fuck you want to public {L}
 beerware | beer | 0.8 | if we meet some day and you think this stuff is worth it you can buy me a beer
 beerware | beerware beer | 0.8 | the beer ?ware {L}
@@ -275,12 +275,12 @@ cc | creative | 0.7 | this work is licensed under (?:a|the) creative commons
 cc0-1.0 | dedicated waived | 0.9 | the person who associated a work with this deed has dedicated the work to the public domain
 cc0-1.0 | waived | 0.8 | has waived all copyright and related or neighboring rights
 public-domain | domain | 0.8 | (?:is|are|was|placed|released|dedicated) (?:hereby )?(?:in|into|to) the public domain
-public-domain | domain | 0.7 | no copyright is claimed(?: in)?
+public-domain | copyright | 0.7 | no copyright is claimed(?: in)?
 busl-1.1 | production | 0.8 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
 sspl-1.0 | service | 0.8 | if you make the functionality of the program or a modified version available to third parties as a service
 elastic-2.0 | elastic managed | 0.8 | you may not provide the software to third parties as a hosted or managed service
 commons-clause | commons | 0.8 | commons clause {L} condition
-openrail | openrail responsible | 0.8 | (?:creativeml )?open ?rail(?: m| s)?(?: {L})?|open responsible ai {L}
+openrail | openrail rail responsible | 0.8 | (?:creativeml )?open ?rail(?: m| s)?(?: {L})?|open responsible ai {L}
 """
 
 #: Names of licenses wherever they stand.
@@ -341,7 +341,7 @@ openssl | openssl | 0.8 | openssl {L}
 php-3.01 | php | 0.8 | php {L}(?: {V}3(?: 0?1)?)?
 ruby | ruby | 0.8 | ruby {L}
 vim | vim | 0.8 | vim {L}
-qpl-1.0 | qt | 0.8 | q(?:t)? public {L}(?: {V}1 0)?
+qpl-1.0 | license licence | 0.8 | q(?:t)? public {L}(?: {V}1 0)?
 w3c | w3c | 0.8 | w3c software (?:notice and )?{L}
 unicode | unicode | 0.8 | unicode (?:data files and software )?{L}(?: {V}3)?
 ofl-1.1 | font | 0.8 | (?:sil )?open font {L}(?: {V}1 1)?
@@ -349,7 +349,7 @@ odbl-1.0 | database odbl | 0.8 | (?:open database {L}|odbl)(?: {V}1(?: 0)?)?
 odc-by-1.0 | commons | 0.8 | open data commons attribution {L}
 pddl-1.0 | dedication pddl | 0.8 | (?:public domain dedication and {L}|pddl)
 ogl-uk-3.0 | government | 0.8 | open government {L}(?: {V}3 0)?
-etalab-2.0 | etalab | 0.8 | (?:etalab )?(?:open {L}|licence ouverte) (?:etalab )?{V}2 0
+etalab-2.0 | etalab license licence | 0.8 | (?:etalab )?(?:open {L}|licence ouverte) (?:etalab )?{V}2 0
 ms-pl | microsoft | 0.8 | microsoft public {L}
 ms-rl | microsoft | 0.8 | microsoft reciprocal {L}
 busl-1.1 | business | 0.8 | business source {L}(?: {V}1 1)?
@@ -389,7 +389,7 @@ proprietary | proprietary | 0.7 | (?:proprietary and confidential|confidential a
 proprietary | unauthorized | 0.7 | unauthorized (?:copying|reproduction|use|distribution) of this (?:file|software|document|material)(?: via any medium)? is strictly prohibited
 proprietary | license licence | 0.7 | end user {L} agreement
 proprietary | evaluation | 0.6 | for (?:internal )?evaluation purposes only
-no-commercial | commercial | 0.6 | for (?:personal and )?non ?commercial use only
+no-commercial | commercial noncommercial | 0.6 | for (?:personal and )?non ?commercial use only
 no-warranty | warranty | 0.5 | (?:provided )?as is without warranty(?: of any kind)?
 no-warranty | warranties | 0.5 | without (?:any )?warranties or conditions of any kind
 """

@@ -8,6 +8,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.llm import decontamination, exact_dedup, licenses
@@ -220,6 +222,22 @@ def test_license_scan_is_quick_on_long_repeats(make):
     assert len(got[1]["base_places"]) == 7000 and len(got[3]["detections"]) == 6000 and time.time() - began < 20
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_every_rule_matches_and_its_keywords_let_it():
+    """Texts drawn from each rule's own expression: the rule finds them, and they hold one of its keywords."""
+    for r in RULES:
+        drawn = []
+        inside = r["regex"].removeprefix("(?<= )").removesuffix("(?= )").replace("[^ ]", "[a-z0-9]")
+
+        @settings(max_examples=8, deadline=None, database=None, derandomize=True, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(re.compile(inside, re.A), fullmatch=True))
+        def draw(x):
+            drawn.append(x.split())  # noqa: B023 called at once
+
+        draw()
+        assert drawn and all(re.search(r["regex"], f" {' '.join(w)} ") and set(r["keys"]) & set(w) for w in drawn), r
+
+
 def test_there_are_hundreds_of_rules():
     rules = RULES
     assert len(rules) >= 300 and len({r["regex"] + r["label"] for r in rules}) == len(rules)
