@@ -6,7 +6,7 @@ contracts each word's leftmost pair of the least rank, one a round, until no wor
 aggregation gives each word's ids, and another, over the vocabulary's bytes, decodes ids again. A document's ids are
 those of its pretokens in order; so are its decoded bytes.
 
-Memory: a task holds one Arrow batch, the DuckDB limit (``DUCKDB_MB``), and words met before, which are forgotten
+Memory: a task holds one Arrow batch, the DuckDB limit (``DUCKDB_MB``; it spills nowhere), and words met before, which are forgotten
 beyond about ``WORDS_KEPT``, those not used of late first. Nothing is shuffled. Rows are sent in blocks of at most
 ``BLOCK_BYTES`` bytes and ``BLOCK_ROWS`` rows over all rounds. The recursive query stores a word of n bytes up to n
 times, so pretokens of more than ``LONG_BYTES`` bytes go by a recursion that keeps each place once and replaces the two
@@ -31,18 +31,18 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import read_table, ship_package
 
-DUCKDB_MB = 160
-WORDS_KEPT = 600_000
-BLOCK_BYTES = 800_000
+DUCKDB_MB = 96
+WORDS_KEPT = 200_000
+BLOCK_BYTES = 200_000
 #: Rows that the recursive query may store for a block: about half the square of each word's bytes.
-BLOCK_ROWS = 8_000_000
+BLOCK_ROWS = 1_500_000
 LONG_BYTES = 64
 HUGE_BYTES = 2048
 #: Bytes of long pretokens in a block; every round goes over the whole block.
 LONG_BLOCK = 50_000
 LONG_KEPT = 16_000_000
 #: Characters of text whose pretokens are held at once; the more, the fewer recursive queries.
-CHARS_AT_ONCE = 12_000_000
+CHARS_AT_ONCE = 2_000_000
 
 #: Each round finds every word's least (rank, place) among its neighbours that merge, then contracts that pair. A key
 #: is the word and the place, so that neighbours are one apart. Words without a pair are not carried on; a word's rows
@@ -104,7 +104,7 @@ class Codec:
             for cut in range(1, len(token)):
                 if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None:
                     pair.append((a << 32) + b), merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
         self._table("merges", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._table("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.known: dict[str, str] = {}  # ids of the words used of late, in decimal, joined by spaces
