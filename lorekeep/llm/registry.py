@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_license_scan": licenses.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_chat_format": chat.ORACLE_SQL, "op8_decontamination": decontamination.ORACLE_SQL}
+    return {
+        "op4_license_scan": licenses.ORACLE_SQL,
+        "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_chat_format": chat.ORACLE_SQL,
+        "op7_simhash": simhash.ORACLE_SQL,
+        "op8_decontamination": decontamination.ORACLE_SQL,
+    }

@@ -277,3 +277,50 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def op7_simhash(spark, sf_dir):
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _oracle(shingle: int) -> str:
+    """The query as SQL, for small tables: XXH64 worked out in whole numbers modulo 2^64, all pairs of distinct
+    fingerprints, and the closure of their links."""
+    # The hash's primes.
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    low, seed = f"{(1 << 64) - 1}::UHUGEINT", 42
+    mod = lambda x: f"(({x}) & {low})"
+    turn = lambda x, r: f"((({x} * {1 << r}::UHUGEINT) & {low}) + ({x} >> {64 - r}::UHUGEINT))"
+    step = lambda acc, lane: mod(f"{turn(mod(f'{acc} + {lane} * {p2}'), 31)} * {p1}")
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UHUGEINT"
+    starts = [(seed + 11400714785074694791 + 14029467366897019727) % (1 << 64), (seed + 14029467366897019727) % (1 << 64), seed, (seed - 11400714785074694791) % (1 << 64)]
+    lanes = ", ".join(f"list_reduce(list_transform(range(0, n // 32), lambda k: {number(f'32 * k + {8 * j}', 8)}), lambda v, y: {step('v', 'y')}, {v}::UHUGEINT) AS v{j}" for j, v in enumerate(starts))
+    merged = mod(" + ".join(turn(f"v{j}", r) for j, r in enumerate((1, 7, 12, 18))))
+    folded = f"list_reduce([v0, v1, v2, v3], lambda h, v: {mod(f'xor(h, {step("0::UHUGEINT", "v")}) * {p1} + {p4}')}, {merged})"
+    eight = mod(f"{turn(f'xor(h, {step("0::UHUGEINT", "y.v")})', 27)} * {p1} + {p4}")
+    four = mod(f"{turn(f'xor(h, {mod(f"y.v * {p1}")})', 23)} * {p2} + {p3}")
+    one = mod(f"{turn(f'xor(h, {mod(f"y.v * {p5}")})', 11)} * {p1}")
+    rest = f"""list_transform(range(n // 32 * 4, n // 8), lambda k: {{'size': 8, 'v': {number('8 * k', 8)}}})
+        || CASE WHEN n % 8 >= 4 THEN [{{'size': 4, 'v': {number('n // 8 * 8', 4)}}}] ELSE [] END
+        || list_transform(range(n // 4 * 4, n), lambda k: {{'size': 1, 'v': {number('k', 1)}}})"""
+    counts = ", ".join(f"sum((h >> {b}::UBIGINT) & 1::UBIGINT)::BIGINT AS b{b}" for b in range(BITS))
+    whole = " + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(BITS))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS row,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+i AS (SELECT row, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT row, array_to_string(w[i:i + {shingle - 1}], ' ') AS t FROM i),
+u AS (SELECT t, hex(encode(t)) AS x, strlen(t) AS n FROM (SELECT DISTINCT t FROM s)),
+v AS (SELECT t, n, {rest} AS rest, {lanes} FROM u),
+g AS (SELECT t, list_reduce(rest, lambda h, y: CASE y.size WHEN 8 THEN {eight} WHEN 4 THEN {four} ELSE {one} END,
+    {mod(f"CASE WHEN n >= 32 THEN {folded} ELSE {seed}::UHUGEINT + {p5} END + n::UHUGEINT")}) AS h FROM v),
+a AS (SELECT t, {mod(f"xor(h, h >> 33::UHUGEINT) * {p2}")} AS h FROM g),
+e AS (SELECT t, {mod(f"xor(h, h >> 29::UHUGEINT) * {p3}")} AS h FROM a),
+z AS (SELECT t, xor(h, h >> 32::UHUGEINT)::UBIGINT AS h FROM e),
+c AS (SELECT row, count(*) AS n, {counts} FROM s JOIN z USING (t) GROUP BY row),
+f AS (SELECT doc_id, coalesce({whole}, 0::UHUGEINT) AS fp FROM d LEFT JOIN c USING (row)),
+k AS (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+l AS (SELECT x.fp AS a, y.fp AS b FROM k x JOIN k y ON bit_count(xor(x.fp, y.fp)::HUGEINT) <= {MAX_BITS}),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT r.a AS fp, min(least) AS component_id FROM r JOIN k ON k.fp = r.b GROUP BY r.a)
+SELECT doc_id, lower(lpad(hex(fp::UBIGINT), 16, '0')) AS fingerprint, component_id FROM f JOIN m USING (fp)
+"""
+
+
+ORACLE_SQL = _oracle(4)

@@ -244,6 +244,19 @@ def test_near_duplicates(make, odd_rows):
     assert simhash.near_duplicates(make([])).count() == 0
 
 
+def test_simhash_equals_its_sql(spark, sf, duck, make, tmp_path, odd_rows):
+    import duckdb
+
+    base = " ".join(f"term{i}" for i in range(60))
+    rows = [(i, (t or "")[:3000]) for i, t in odd_rows if i is not None] + [(1, None), (50, base), (51, base + " x"), (52, "ä" * 9 + " b c " + "d" * 31 + " e f g " + "h" * 40)]
+    make(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for folder, con in ((sf, duck), (str(tmp_path), own)):
+        got, want = (sorted(map(tuple, f[["doc_id", "fingerprint", "component_id"]].astype(str).to_numpy())) for f in (simhash.op7_simhash(spark, folder).toPandas(), con.execute(simhash.ORACLE_SQL).fetchdf()))
+        assert got == want
+
+
 # -- HTML -------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>Title</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
