@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import bpe, chat, decontamination, exact_dedup, html_text, language, licenses, quality, simhash, toxicity
+from lorekeep.llm import bpe, chat, decontamination, exact_dedup, filter_audit, html_text, language, licenses, pii, quality, simhash, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_html_text": html_text.op10_html_text,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_pii": pii.op13_pii,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict:
         "op6_chat_format": chat.ORACLE_SQL,
         "op7_simhash": simhash.ORACLE_SQL,
         "op8_decontamination": decontamination.ORACLE_SQL,
+        "op11_vector_codes": vector_codes.ORACLE_SQL,
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
     }
