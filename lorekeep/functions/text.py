@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 # The ranges that count as CJK for segmentation (kana and hangul included), and as Han for query classes.
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{20000}-\x{2FA1F}]"
 HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
-#: A few characters whose traditional and simplified forms differ; a deployment passes its own table.
-TRADITIONAL = "釘選詞記憶語體學檢測與區"
-SIMPLIFIED = "钉选词记忆语体学检测与区"
 
 
 def normalise_space(text: Column) -> Column:
@@ -21,14 +18,28 @@ def normalise_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Characters that a canonical composition may change, alone or with the one before: marks, Hangul jamo, and those that stand for
+#: others. A superset is enough: texts that hold none of these are in normal form as they are.
+MAY_COMPOSE = (
+    r"[\p{M}\x{0374}\x{037E}\x{0387}\x{0958}-\x{0FFF}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}"
+    r"\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{11000}-\x{11FFF}\x{16100}-\x{16FFF}\x{1D15E}-\x{1D1FF}\x{2F800}-\x{2FA1F}]"
+)
+
+
 def nfc(text: Column) -> Column:
-    """Canonical composition; Spark has no function for it."""
+    """Canonical composition, for which Spark has no function: texts that it can't change stay in the JVM."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return of(text)
+    asked = text.rlike(MAY_COMPOSE)
+    return F.when(asked, of(F.when(asked, text))).otherwise(text)
+
+
+def normal_form(text: Column) -> Column:
+    """Canonical composition, then runs of Unicode white space as one space, ends trimmed; null counts as empty."""
+    return normalise_space(nfc(F.coalesce(text, F.lit(""))))
 
 
 def flatten_clip(text: Column, limit: int) -> Column:
@@ -66,34 +77,6 @@ def script_runs(text: Column) -> Column:
     return F.transform(runs, lambda r: F.struct(r.alias("run"), F.substring(r, 1, 1).rlike(CJK).alias("is_cjk")))
 
 
-def segments(text: Column) -> Column:
-    """Tokens as ``<a><b>``: lower-cased runs of letters and digits; each CJK character is a token of its own.
-
-    A CJK phrase then matches as a run of characters, whatever a word segmenter would make of it.
-    """
-    low = F.lower(text)
-    apart = F.when(low.rlike(r"[\x{3040}-\x{10FFFF}]"), F.regexp_replace(low, f"({CJK})", " $1 ")).otherwise(low)  # most texts need no second look
-    joined = F.concat(F.lit("<"), F.regexp_replace(apart, r"[^\p{L}\p{N}]+", "><"), F.lit(">"))
-    return F.replace(joined, F.lit("<>"), F.lit(""))
-
-
-def segment_count(tokens: Column) -> Column:
-    return F.length(tokens) - F.length(F.replace(tokens, F.lit("<"), F.lit("")))
-
-
-def overlaps_itself(phrase: str) -> bool:
-    """Whether two places of the phrase can overlap: some beginning of it is also its end."""
-    return any(phrase.startswith(phrase[i:]) for i in range(1, len(phrase)))
-
-
-def phrase_count(text: Column, phrase: Column, overlapping: Column) -> Column:
-    """Places of a literal phrase, overlapping ones included; 0 for an empty phrase. ``overlapping``: whether there can
-    be such; where not, the text's length without the phrase tells the count, which is far cheaper."""
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    plain = ((F.length(text) - F.length(F.replace(text, phrase, F.lit("")))) / F.length(phrase)).cast("int")
-    return F.when(F.length(phrase) == 0, 0).when(overlapping, F.regexp_count(text, quoted)).otherwise(plain)
-
-
 def query_class(query: Column) -> Column:
     """cjk-2char, cjk-3char, cjk-4plus, latin-alnum or mixed, by counts of Han characters and ASCII letters and digits."""
     han, ascii_ = F.regexp_count(query, F.lit(HAN)), F.regexp_count(query, F.lit("[A-Za-z0-9]"))
@@ -102,11 +85,6 @@ def query_class(query: Column) -> Column:
     )
 
 
-def variants(query: Column, traditional: str = TRADITIONAL, simplified: str = SIMPLIFIED) -> Column:
-    """The query, its traditional and its simplified form, without repeats, the query first."""
-    return F.array_distinct(F.array(query, F.translate(query, simplified, traditional), F.translate(query, traditional, simplified)))
-
-
 def strip_reminders(prompt: Column) -> Column:
     return F.trim(F.regexp_replace(prompt, r"(?s)<system-reminder>.*?</system-reminder>", ""))
 

@@ -1,36 +1,54 @@
 """The lexical channels' index as tables of positional postings.
 
-A posting is a row (term, chunk_id, project, dl, positions): where a term stands in a chunk, and how long the chunk is for
-its channel. Terms of the trigram channel are runs of three characters of the lower-cased text, those of the segment
-channel its tokens. Tables are partitioned by a hash of the term and sorted by it, so a query reads the partitions and row
-groups of its own terms and never a text: a phrase stands where its terms' positions, each less its place in the phrase,
-meet. What is shuffled are the postings of the queries' terms, by chunk.
+A posting is a row (term, chunk_id, project, dl, tf, positions): how often and where a term stands in a chunk, and how long the
+chunk is for its channel. Terms of the trigram channel are runs of three characters of the lower-cased text, those of the segment
+channel its words. Tables are partitioned by a hash of the term (bucket) and, in each, by a hash of the chunk (block), a
+file for each; both grow in number with the corpus. A query reads the partitions, files and row groups of its own terms and
+never a text: a phrase stands where its terms' positions, each less its place in the phrase, meet. Phrases of one term are
+ranked from its postings as they are read, without positions; those of several terms shuffle their postings by chunk.
+
+Beside the postings of frequent terms stands a summary by block: how many chunks hold the term, its greatest frequency in
+one, and the least and greatest length of these. A phrase of one term then knows how many chunks hold it, and which blocks
+can reach its depth: every block holds a chunk that scores at least as much as its greatest frequency in its longest chunk,
+and none that scores more than that in its shortest. Blocks below the depth's worst case are not read. Phrases of several
+terms are read in whole, since their scores ask how many chunks hold them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as fn
+from lorekeep.functions.words import Lexicon, tokens
 from lorekeep.sources.shipping import ship_package
 
 LEXICAL = ("trigram", "segment")
-BUCKETS = 16
-#: Queries that are answered at once.
+#: Queries that are answered at once, and their terms that are named to the reader of postings; more are joined.
 MOST_QUERIES = 10_000
+MOST_NAMED = 1_000
+#: A term that so many chunks hold has a summary.
+FREQUENT = 1_024
+#: Chunks for each file of postings, at some hundred terms a chunk; there are 64 files at least.
+CHUNKS_PER_FILE = 2_500
 _ROWS = 50_000
-_SCHEMA = "term string, chunk_id long, project string, dl int, positions array<int>"
+_SCHEMA = "term string, chunk_id long, project string, dl int, tf int, positions array<int>"
+_SUMMARY = "term string, block int, n long, most int, shortest int, longest int"
 
+# BM25's usual constants and the floor of its idf.
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
-def lengths(text: Column) -> tuple[Column, Column]:
+
+def lengths(text: Column, lexicon: Lexicon | None = None) -> tuple[Column, Column]:
     """How long a text is for the trigram and the segment channel."""
-    return F.greatest(F.length(text) - 2, F.lit(0)).alias("n_trigrams"), fn.segment_count(fn.segments(text)).cast("int").alias("n_tokens")
+    return F.greatest(F.length(text) - 2, F.lit(0)).alias("n_trigrams"), F.size(tokens(text, lexicon)).alias("n_tokens")
 
 
 def statistics(measured: DataFrame) -> DataFrame:
@@ -38,10 +56,6 @@ def statistics(measured: DataFrame) -> DataFrame:
     return measured.agg(F.count(F.lit(1)).alias("n"), F.avg("n_trigrams").alias("trigram_avgdl"), F.avg("n_tokens").alias("segment_avgdl"))
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(fn.segments(text), "[<>]+"), lambda t: t != "")
-
-
 def _of_tokens(own: list[str]) -> tuple[list[str], list[list[int]]]:
     at: dict[str, list[int]] = {}
     for i, t in enumerate(own):
@@ -59,19 +73,20 @@ def _of_trigrams(text: str) -> tuple[list[str], list[np.ndarray]]:
     return [text[i : i + 3] for i in order[first].tolist()], np.split(order, first[1:])
 
 
-def postings(chunks: DataFrame, channel: str) -> DataFrame:
+def postings(chunks: DataFrame, channel: str, lexicon: Lexicon | None = None) -> DataFrame:
     """All postings of (chunk_id, project, text) for a channel; each text is looked at once, in its own task."""
     ship_package(chunks.sparkSession)
-    seen = F.lower("text") if channel == "trigram" else tokens(F.col("text"))
+    seen = F.lower("text") if channel == "trigram" else tokens(F.col("text"), lexicon)
     of = _of_trigrams if channel == "trigram" else _of_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["term", "chunk_id", "project", "dl", "positions"]
+        names = ["term", "chunk_id", "project", "dl", "tf", "positions"]
 
         def packed(terms, ids, projects, dls, places):
-            ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
+            sizes = np.array([len(p) for p in places], np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = np.concatenate(places).astype(np.int32) if places else np.array([], np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(projects, pa.string()), pa.array(dls, pa.int32()), pa.ListArray.from_arrays(ends, values)], names)
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(projects, pa.string()), pa.array(dls, pa.int32()), pa.array(sizes), pa.ListArray.from_arrays(ends, values)], names)
 
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -88,75 +103,219 @@ def postings(chunks: DataFrame, channel: str) -> DataFrame:
     return chunks.where("text is not null").select("chunk_id", "project", seen.alias("seen")).mapInArrow(run, _SCHEMA)
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+@dataclass(frozen=True)
+class Layout:
+    """How many buckets of terms and blocks of chunks there are."""
+
+    buckets: int = 16
+    blocks: int = 4
+
+    @staticmethod
+    def of(n_chunks: int) -> Layout:
+        """For a corpus: the more chunks, the more of both, by turns, so that files keep their size."""
+        doublings = max(0, math.ceil(math.log2(max(1, n_chunks) / (64 * CHUNKS_PER_FILE))))
+        return Layout(16 << (doublings + 1) // 2, 4 << doublings // 2)
+
+    def bucket(self, term: str) -> int:
+        """The bucket of a term, as Spark's hash gives it."""
+        h = xxhash.xxh64_intdigest(term.encode(), 42)
+        return h % self.buckets  # a power of two, so that the sign doesn't matter
+
 
+def write_postings(chunks: DataFrame, folder: str, channel: str, layout: Layout = Layout(), lexicon: Lexicon | None = None) -> None:
+    """Writes a channel's postings below ``folder``, over what is there; a task for each bucket and block."""
+    rows = postings(chunks, channel, lexicon)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(layout.buckets)).cast("int")).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(layout.blocks)).cast("int"))
+    spread = rows.repartition(layout.buckets * layout.blocks, "bucket", "block").sortWithinPartitions("bucket", "term")
+    # small pages, so that a term's rows are found without decoding its neighbours'
+    spread.write.mode("overwrite").option("parquet.page.row.count.limit", 2000).partitionBy("bucket").parquet(folder)
 
-def write_postings(chunks: DataFrame, folder: str, channel: str, buckets: int = BUCKETS) -> None:
-    """Writes a channel's postings below ``folder``, over what is there. Within a bucket, chunks spread a frequent term."""
-    rows = postings(chunks, channel).withColumn("bucket", _bucket(F.col("term"), buckets))
-    spread = rows.repartition("bucket", F.pmod("chunk_id", F.lit(4))).sortWithinPartitions("bucket", "term")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+def summarise(table: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """(term, block, n, most, shortest, longest) of the terms that ``frequent`` or more chunks hold."""
+    each = table.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.max("dl").alias("longest"))
+    often = each.groupBy("term").agg(F.sum("n").alias("all")).where(F.col("all") >= frequent).select("term")
+    return each.join(often, "term", "left_semi")
 
 
 @dataclass
 class SearchIndex:
     """Postings by channel (with a build number ``v`` where builds add up), statistics (one row), and what later builds
-    have replaced: stale (chunk_id, since)."""
+    have replaced: stale (chunk_id, since). Summaries by channel are there for an index that was built at once."""
 
     tables: dict[str, DataFrame]
     statistics: DataFrame
-    buckets: int = BUCKETS
+    layout: Layout = Layout()
     stale: DataFrame | None = None
+    lexicon: Lexicon | None = None
+    summaries: dict[str, DataFrame] = field(default_factory=dict)
+    _corpus: dict | None = field(default=None, repr=False)
+
+    @property
+    def corpus(self) -> dict:
+        """The statistics' one row, read once: n, trigram_avgdl, segment_avgdl."""
+        if self._corpus is None:
+            self._corpus = self.statistics.first().asDict()
+        return self._corpus
 
 
-def build_index(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> SearchIndex:
+def build_index(chunks: DataFrame, folder: str, lexicon: Lexicon | None = None, layout: Layout | None = None, frequent: int = FREQUENT) -> SearchIndex:
     """The index of (chunk_id, project, text), written below ``folder``."""
     spark = chunks.sparkSession
+    layout = layout or Layout.of(chunks.count())
     for channel in LEXICAL:
-        write_postings(chunks, f"{folder}/{channel}", channel, buckets)
-    statistics(chunks.select(*lengths(F.col("text")))).write.mode("overwrite").parquet(f"{folder}/statistics")
-    return open_index(spark, folder, buckets)
+        write_postings(chunks, f"{folder}/{channel}", channel, layout, lexicon)
+    ship_package(spark)
+    statistics(chunks.select(*lengths(F.col("text"), lexicon))).write.mode("overwrite").parquet(f"{folder}/statistics")
+    for channel in LEXICAL:
+        summarise(_postings_of(spark, folder, channel), frequent).repartition(1 + layout.buckets // 16, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/summaries/{channel}")
+    return open_index(spark, folder, lexicon, layout)
+
+
+def _postings_of(spark: SparkSession, folder: str, channel: str) -> DataFrame:
+    return spark.read.schema(f"{_SCHEMA}, block int, bucket int").parquet(f"{folder}/{channel}")
+
+
+def open_index(spark: SparkSession, folder: str, lexicon: Lexicon | None = None, layout: Layout = Layout()) -> SearchIndex:
+    tables = {c: _postings_of(spark, folder, c) for c in LEXICAL}
+    summaries = {c: spark.read.schema(_SUMMARY).parquet(f"{folder}/summaries/{c}") for c in LEXICAL}
+    return SearchIndex(tables, spark.read.parquet(f"{folder}/statistics"), layout, lexicon=lexicon, summaries=summaries)
 
 
-def open_index(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> SearchIndex:
-    tables = {c: spark.read.schema(f"{_SCHEMA}, bucket int").parquet(f"{folder}/{c}") for c in LEXICAL}
-    return SearchIndex(tables, spark.read.parquet(f"{folder}/statistics"), buckets)
+# -- a batch of queries -----------------------------------------------------------------------------------------------
 
 
-def _phrase_terms(queries: DataFrame, channel: str) -> list[tuple]:
-    """(qid, variant, term, place, number of terms) of each query's phrase; a query too short for a channel has none."""
+@dataclass
+class Phrase:
+    """What a query asks of a channel: terms by their places in the phrase. ``df``: how many chunks hold it, where that is
+    known; ``blocks``: those to be read, where not all are."""
+
+    qid: int
+    variant: int
+    k: int
+    project: str | None
+    channel: str
+    terms: list[tuple[int, str]]
+    df: int | None = None
+    blocks: list[int] | None = None
+
+
+def depth(k: int) -> int:
+    """How deep channels are read for k results."""
+    return max(5 * k, 50)
+
+
+def _covering(run: str) -> list[tuple[int, str]]:
+    """Every third trigram of a run and the last one: they stand at their places only where the whole run does."""
+    return [(i, run[i : i + 3]) for i in sorted({*range(0, len(run) - 2, 3), *([len(run) - 3] if len(run) >= 3 else [])})]
+
+
+def phrases(index: SearchIndex, queries: DataFrame, channels: tuple[str, ...]) -> list[Phrase]:
+    """The batch's phrases, by one look at the queries; a query too short for a channel has none in it."""
     trimmed = F.trim("text")
-    phrase = F.when(F.length(trimmed) >= 3, F.lower(trimmed)) if channel == "trigram" else tokens(trimmed)
-    rows = queries.select("qid", "variant", phrase.alias("phrase")).limit(MOST_QUERIES + 1).collect()
+    if index.lexicon is not None:
+        ship_package(queries.sparkSession)
+    rows = queries.select("qid", "variant", "k", "project", F.when(F.length(trimmed) >= 3, F.lower(trimmed)).alias("run"), tokens(trimmed, index.lexicon).alias("words")).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"at most {MOST_QUERIES} queries are answered at once")
     out = []
     for r in rows:
-        own = r["phrase"] or []
-        terms = [own[i : i + 3] for i in range(len(own) - 2)] if channel == "trigram" else list(own)
-        out += [(r["qid"], r["variant"], t, i, len(terms)) for i, t in enumerate(terms)]
+        own = {"trigram": _covering(r["run"] or ""), "segment": list(enumerate(r["words"] or []))}
+        out += [Phrase(r["qid"], r["variant"], r["k"], r["project"], c, own[c]) for c in channels if own[c]]
     return out
 
 
-def matches(index: SearchIndex, queries: DataFrame, channel: str) -> DataFrame:
-    """(qid, variant, chunk_id, project, tf, dl) for each chunk that holds a query's phrase. ``queries``: qid, text, variant.
-
-    The queries' terms are a table of at most ``MOST_QUERIES`` phrases; partitions and row groups of other terms aren't read.
-    """
-    table, spark = index.tables[channel], queries.sparkSession
-    rows = _phrase_terms(queries, channel)
-    if not rows:
-        return spark.createDataFrame([], "qid int, variant int, chunk_id long, project string, tf int, dl int")
-    asked = spark.createDataFrame(rows, "qid int, variant int, term string, place int, n_terms int")
-    terms = sorted({r[2] for r in rows})
-    buckets = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), index.buckets).alias("b")).distinct()
-    own = table.where(F.col("bucket").isin([r["b"] for r in buckets.collect()]) & F.col("term").isin(terms))
-    version = ["v"] if "v" in table.columns else []
-    met = own.join(F.broadcast(asked), "term").select("qid", "variant", "chunk_id", *version, "project", "dl", "n_terms", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
-    held = met.groupBy("qid", "variant", "chunk_id", *version).agg(F.first("project").alias("project"), F.first("dl").alias("dl"), F.first("n_terms").alias("n_terms"), F.collect_list("starts").alias("starts"))
+def weight(tf: Column | float, dl: Column | float, avgdl: float) -> Column | float:
+    """BM25 without its idf."""
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def narrow(index: SearchIndex, asked: list[Phrase]) -> None:
+    """Fills in ``df`` and ``blocks`` of phrases of one frequent term. A project's own depth isn't known, so it reads all."""
+    for channel, summary in index.summaries.items():
+        own = [p for p in asked if p.channel == channel and len(p.terms) == 1]
+        terms = sorted({p.terms[0][1] for p in own})
+        if not terms or len(terms) > MOST_NAMED:
+            continue
+        by_term: dict[str, list] = {}
+        for r in summary.where(F.col("term").isin(terms)).collect():  # a row for each block of at most MOST_NAMED terms
+            by_term.setdefault(r["term"], []).append(r)
+        avgdl = index.corpus[f"{channel}_avgdl"]
+        for p in own:
+            rows = by_term.get(p.terms[0][1])
+            if rows:
+                p.df = sum(r["n"] for r in rows)
+                if p.project is None and len(rows) > depth(p.k):
+                    idf = max(LEAST_IDF, math.log((index.corpus["n"] - p.df + 0.5) / (p.df + 0.5)))
+                    score = lambda tf, dl: round(idf * weight(tf, dl, avgdl), 9)  # noqa: B023, E731
+                    reached = sorted((score(r["most"], r["longest"]) for r in rows), reverse=True)[depth(p.k) - 1]
+                    p.blocks = sorted(r["block"] for r in rows if score(r["most"], r["shortest"]) >= reached - 2e-9)
+
+
+def _named(layout: Layout, asked: list[Phrase]) -> Column:
+    """What the reader of postings is told: buckets, and terms with their blocks where there are few enough."""
+    wanted: dict[str, set[int] | None] = {}
+    for p in asked:
+        for _, t in p.terms:
+            blocks = None if p.blocks is None or wanted.get(t, ()) is None else wanted.get(t, set()) | set(p.blocks)
+            wanted[t] = blocks
+    told = F.col("bucket").isin(sorted({layout.bucket(t) for t in wanted}))
+    if len(wanted) > MOST_NAMED:
+        return told
+    whole = [t for t, blocks in wanted.items() if blocks is None]
+    terms = [F.col("term").isin(whole)] if whole else []
+    terms += [(F.col("term") == t) & F.col("block").isin(sorted(blocks)) for t, blocks in wanted.items() if blocks is not None]
+    return told & reduce(Column.__or__, terms)
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's, without a job of its own."""
+    typed = spark.createDataFrame([], schema).schema
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in typed]
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    return spark.createDataFrame(pa.table({f.name: pa.array(list(c), arrow[f.dataType.simpleString()]) for f, c in zip(typed, columns, strict=True)}), schema=typed)
+
+
+def _met(index: SearchIndex, asked: list[Phrase], spark: SparkSession) -> tuple[DataFrame, list[str]]:
+    """Postings of the phrases' terms in both channels, with the phrases; and the columns that name a phrase in a chunk."""
+    read = []
+    for channel in dict.fromkeys(p.channel for p in asked):
+        read.append(index.tables[channel].where(_named(index.layout, [p for p in asked if p.channel == channel])).withColumn("channel", F.lit(channel)))
+    rows = [(p.channel, p.qid, p.variant, t, i, len(p.terms), p.blocks) for p in asked for i, t in p.terms]
+    terms = local(spark, rows, "channel string, qid int, variant int, term string, place int, n_terms int, blocks array<int>")
+    terms = F.broadcast(terms) if len(rows) <= 10 * MOST_NAMED else terms
+    own = reduce(DataFrame.unionByName, read)
+    return own.join(terms, ["channel", "term"]), ["channel", "qid", "variant", "chunk_id", *(["v"] if "v" in own.columns else [])]
+
+
+def _of_one_term(index: SearchIndex, asked: list[Phrase], spark: SparkSession) -> DataFrame:
+    met, keys = _met(index, asked, spark)
+    if any(p.blocks is not None for p in asked):
+        met = met.where(F.col("blocks").isNull() | F.array_contains("blocks", F.col("block")))
+    return met.select(*keys, "project", "tf", "dl")
+
+
+def _of_several_terms(index: SearchIndex, asked: list[Phrase], spark: SparkSession) -> DataFrame:
+    met, keys = _met(index, asked, spark)
+    met = met.select(*keys, "project", "dl", "n_terms", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
+    held = met.groupBy(*keys).agg(F.first("project").alias("project"), F.first("dl").alias("dl"), F.first("n_terms").alias("n_terms"), F.collect_list("starts").alias("starts"))
     common = F.aggregate(F.slice("starts", F.lit(2), F.size("starts")), F.element_at("starts", 1), F.array_intersect)
-    found = held.where(F.size("starts") == F.col("n_terms")).withColumn("tf", F.size(common)).where("tf > 0")
+    tf = F.filter(F.array(F.size(common)), lambda n: n > 0)  # in a generator, so that it is worked out once
+    return held.where(F.size("starts") == F.col("n_terms")).select(*keys, "project", "dl", F.explode(tf).alias("tf")).select(*keys, "project", "tf", "dl")
+
+
+def found(index: SearchIndex, asked: list[Phrase], spark: SparkSession) -> DataFrame:
+    """(channel, qid, variant, chunk_id, project, tf, dl) for each chunk that holds a phrase of the batch, in either
+    channel."""
+    if not asked:
+        return spark.createDataFrame([], "channel string, qid int, variant int, chunk_id long, project string, tf int, dl int")
+    parts = [part(index, own, spark) for part, own in ((_of_one_term, [p for p in asked if len(p.terms) == 1]), (_of_several_terms, [p for p in asked if len(p.terms) > 1])) if own]
+    out = reduce(DataFrame.unionByName, parts)
     if index.stale is not None:
-        found = found.join(index.stale, "chunk_id", "left").where(F.col("since").isNull() | (F.col("v") >= F.col("since")))
-    return found.select("qid", "variant", "chunk_id", "project", "tf", "dl")
+        out = out.join(index.stale, "chunk_id", "left").where(F.col("since").isNull() | (F.col("v") >= F.col("since")))
+    return out.select("channel", "qid", "variant", "chunk_id", "project", "tf", "dl")
+
+
+def matches(index: SearchIndex, queries: DataFrame, channel: str) -> DataFrame:
+    """(qid, variant, chunk_id, project, tf, dl) for each chunk that holds a query's phrase. ``queries``: qid, text, k, project, variant."""
+    return found(index, phrases(index, queries, (channel,)), queries.sparkSession).drop("channel")

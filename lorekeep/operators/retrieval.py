@@ -15,13 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as fn
+from lorekeep.functions.conversion import TO_SIMPLIFIED, TO_TRADITIONAL, Conversion, variants
 from lorekeep.operators import postings
 from lorekeep.operators.postings import SearchIndex
-from lorekeep.sources.tables import written
+from lorekeep.sources.shipping import ship_package
 
-# BM25's usual constants, the floor of its idf, the fusion constant, and how deep channels are read.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+# Fixed value: the fusion constant.
 RRF = 60
 CHANNELS = ("trigram", "segment", "vector")
 
@@ -31,33 +30,45 @@ def depth(k: Column) -> Column:
 
 
 def bm25(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column) -> Column:
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+    idf = F.greatest(F.lit(postings.LEAST_IDF), F.log((n - df + 0.5) / (df + 0.5)))
+    return idf * postings.weight(tf, dl, avgdl)
 
 
-def lexical_channel(index: SearchIndex, queries: DataFrame, channel: str) -> DataFrame:
-    """(qid, chunk_id, channel, rank, score): each query's best chunks, up to its depth.
+def lexical_channels(index: SearchIndex, queries: DataFrame, channels: tuple[str, ...] = postings.LEXICAL) -> DataFrame:
+    """(qid, chunk_id, channel, rank, score): each query's best chunks in each channel, up to its depth, in one plan.
 
     ``queries``: qid, text, k, project (null: all), variant (0: the query itself). Variants are ranked apart and then
     concatenated in their order, the first place of a chunk counting. Scores are rounded to nine places before ranking,
     and ties end in the chunk id, so that a ranking is the same on every run.
     """
-    found = written(postings.matches(index, queries, channel))
-    frequency = found.groupBy("qid", "variant").agg(F.count(F.lit(1)).alias("df"))
-    scope = F.broadcast(queries.select("qid", "variant", "k", F.col("project").alias("scope")))  # a batch, see postings
+    spark = queries.sparkSession
+    batch = postings.phrases(index, queries, channels)
+    postings.narrow(index, batch)
+    found = postings.found(index, batch, spark)
+    # counts ask for the same columns as the rows do, so that both share one pass over the postings
+    unknown = postings.found(index, [p for p in batch if p.df is None], spark)
+    counts = unknown.groupBy("channel", "qid", "variant").agg(F.count_if(F.col("tf").isNotNull() & (F.col("dl").isNotNull() | F.col("project").isNotNull())).alias("counted"))
+    asked = postings.local(spark, [(p.channel, p.qid, p.variant, p.k, p.project, p.df) for p in batch], "channel string, qid int, variant int, k int, scope string, df long")
+    if all(p.df is not None for p in batch):
+        per_query = asked
+    else:
+        per_query = asked.join(counts, ["channel", "qid", "variant"], "left").withColumn("df", F.coalesce("df", "counted")).drop("counted")
+    n, avgdl = index.corpus["n"], F.when(F.col("channel") == "trigram", F.lit(index.corpus["trigram_avgdl"])).otherwise(F.lit(index.corpus["segment_avgdl"]))
     scored = (
-        found.join(F.broadcast(frequency), ["qid", "variant"])
-        .join(scope, ["qid", "variant"])
+        found.join(F.broadcast(per_query), ["channel", "qid", "variant"])  # a row a phrase
         .where(F.col("scope").isNull() | (F.col("scope") == F.col("project")))
-        .crossJoin(F.broadcast(index.statistics.select("n", F.col(f"{channel}_avgdl").alias("avgdl"))))  # one row
-        .select("qid", "variant", "chunk_id", "k", F.round(bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl")), 9).alias("score"))
+        .select("channel", "qid", "variant", "chunk_id", "k", F.round(bm25(F.col("tf"), F.col("dl"), F.lit(n), F.col("df"), avgdl), 9).alias("score"))
     )
-    within = Window.partitionBy("qid", "variant").orderBy(F.desc("score"), "chunk_id")
-    deepest = max((max(5 * r["k"], 50) for r in queries.select("k").collect()), default=0)  # a constant lets each task trim its own matches
+    within = Window.partitionBy("channel", "qid", "variant").orderBy(F.desc("score"), "chunk_id")
+    deepest = max((postings.depth(p.k) for p in batch), default=0)  # a constant lets each task trim its own matches
     ranked = scored.withColumn("place", F.row_number().over(within)).where(F.col("place") <= deepest).where(F.col("place") <= depth(F.col("k")))
-    first = ranked.groupBy("qid", "chunk_id").agg(F.min(F.struct("variant", "place", "score")).alias("m"), F.first("k").alias("k"))
-    overall = Window.partitionBy("qid").orderBy("m.variant", "m.place")
-    return first.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= depth(F.col("k"))).select("qid", "chunk_id", F.lit(channel).alias("channel"), "rank", F.col("m.score").alias("score"))
+    first = ranked.repartition("qid").groupBy("channel", "qid", "chunk_id").agg(F.min(F.struct("variant", "place", "score")).alias("m"), F.first("k").alias("k"))
+    overall = Window.partitionBy("channel", "qid").orderBy("m.variant", "m.place")
+    return first.withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= depth(F.col("k"))).select("qid", "chunk_id", "channel", "rank", F.col("m.score").alias("score"))
+
+
+def lexical_channel(index: SearchIndex, queries: DataFrame, channel: str) -> DataFrame:
+    return lexical_channels(index, queries, (channel,))
 
 
 def vector_channel(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -75,22 +86,23 @@ def vector_channel(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     dims = sorted({len(r["embedding"]) for r in asked})
     by_dim = {d: ([r for r in asked if len(r["embedding"]) == d], np.array([r["embedding"] for r in asked if len(r["embedding"]) == d], np.float64)) for d in dims}
 
+    deepest = max(postings.depth(r["k"]) for r in asked)
+    scopes = sorted({r["project"] for r in asked if r["project"] is not None})
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             sizes = batch["embedding"].map(len).to_numpy() if len(batch) else np.array([])
             for d, (rows, matrix) in by_dim.items():
                 own = batch[sizes == d]
                 if not len(own):
                     continue
                 scores = np.round(np.stack(own["embedding"].to_numpy()).astype(np.float64) @ matrix.T, 9)
-                ids, projects = own["chunk_id"].to_numpy(), own["project"].to_numpy()
-                for j, r in enumerate(rows):
-                    in_scope = np.flatnonzero(projects == r["project"]) if r["project"] is not None else np.arange(len(own))
-                    top = in_scope[np.lexsort((ids[in_scope], -scores[in_scope, j]))[: max(5 * r["k"], 50)]]
-                    out.append(pd.DataFrame({"qid": r["qid"], "k": r["k"], "chunk_id": ids[top], "score": scores[top, j]}))
-            if out:
-                yield pd.concat(out)
+                projects = own["project"].to_numpy()
+                for scope in scopes:
+                    scores[np.ix_(projects != scope, [r["project"] == scope for r in rows])] = -np.inf
+                least = np.partition(scores, len(own) - deepest, axis=0)[len(own) - deepest] if len(own) > deepest else np.full(len(rows), -np.inf)
+                at, q = np.nonzero((scores >= least) & (scores > -np.inf))  # all that tie with the last one, too
+                yield pd.DataFrame({"qid": np.array([r["qid"] for r in rows])[q], "k": np.array([r["k"] for r in rows])[q], "chunk_id": own["chunk_id"].to_numpy()[at], "score": scores[at, q]})
 
     local = vectors.where("embedding is not null").select("chunk_id", "project", "embedding").mapInPandas(best, "qid int, k int, chunk_id long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
@@ -105,7 +117,7 @@ def fuse(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """
     terms = [F.coalesce(F.max(F.when(F.col("channel") == c, F.lit(1.0).cast("double") / (RRF + F.col("rank")))), F.lit(0.0).cast("double")) for c in CHANNELS]
     fused = ranked.groupBy("qid", "chunk_id").agg(
-        (terms[0] + terms[1] + terms[2]).alias("score"), (3 - F.count_distinct("channel")).cast("int").alias("band"), F.array_sort(F.collect_set("channel")).alias("channels")
+        (terms[0] + terms[1] + terms[2]).alias("score"), (3 - F.size(F.collect_set("channel"))).cast("int").alias("band"), F.array_sort(F.collect_set("channel")).alias("channels")
     )
     order = Window.partitionBy("qid").orderBy("band", F.desc("score"), "chunk_id")
     k = F.broadcast(queries.where("variant = 0").select("qid", "k"))
@@ -114,17 +126,19 @@ def fuse(ranked: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search(index: SearchIndex, queries: DataFrame, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """The fused answer to a batch of queries; ``channels`` may be a subset, bands keep their meaning."""
-    ranked = [lexical_channel(index, queries, c) for c in postings.LEXICAL if c in channels]
+    lexical = tuple(c for c in postings.LEXICAL if c in channels)
+    ranked = [lexical_channels(index, queries, lexical)] if lexical else []
     if "vector" in channels and vectors is not None:
-        ranked.append(vector_channel(vectors, queries))
+        ranked.append(vector_channel(vectors, queries).repartition("qid"))
     if not ranked:
         raise ValueError("no channel to search")
     return fuse(reduce(DataFrame.unionByName, ranked), queries)
 
 
-def with_variants(queries: DataFrame) -> DataFrame:
+def with_variants(queries: DataFrame, traditional: Conversion = TO_TRADITIONAL, simplified: Conversion = TO_SIMPLIFIED) -> DataFrame:
     """Each query with its script variants as rows of their own (variant 1, 2); the vector channel takes variant 0."""
-    each = queries.select("*", F.posexplode(fn.variants(F.col("text"))).alias("nth", "form"))
+    ship_package(queries.sparkSession)
+    each = queries.select("*", F.posexplode(variants(F.col("text"), traditional, simplified)).alias("nth", "form"))
     return each.withColumn("variant", F.col("nth").cast("int")).withColumn("text", F.col("form")).drop("nth", "form")
 
 

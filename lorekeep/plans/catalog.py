@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import hashing
 from lorekeep.functions import text as fn
+from lorekeep.functions.words import Lexicon, tokens
 from lorekeep.operators import evaluate, index, memory, postings, rerank, retrieval
 from lorekeep.sources import events as event_log
 from lorekeep.sources import logs
+from lorekeep.sources.shipping import ship_package
 from lorekeep.sources.tables import scratch_folder, table, written
 
 #: qid, text, k, project
@@ -20,6 +23,14 @@ INSTANT = "2024-01-25 00:00:00"
 KINDS = {"view": "shown", "click": "opened", "purchase": "cited", "signup": "pinned", "error": "dismissed"}
 KEY = b"key"
 EXCLUDED = ["src0", "src1", "src2", "src3", "src4"]
+#: A Han character for each letter: the tables hold no CJK text, so queries over words derive it from what they hold.
+LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "天地人日月山水火木金土石田禾竹米虫鱼鸟马牛羊犬龙虎龟"
+#: Two-character words of such texts, by their letters, and how many words a lexicon of theirs has.
+HAN_QUERIES, HAN_WORDS = ["th", "on", "de", "er", "in"], 300
+#: What some letters become in texts of simplified and of traditional characters.
+SIMPLE = [("th", "头发"), ("er", "发"), ("in", "后"), ("an", "干净"), ("on", "干部"), ("re", "面条现"), ("de", "皇后")]
+OLD = [("th", "頭髮"), ("er", "發"), ("in", "後"), ("an", "乾淨"), ("on", "幹部"), ("re", "麵條現"), ("de", "皇后")]
+ACCENTED = "éèêçàäöüñíó"
 CLASSED = ["釘選", "釘選版", "釘選版本比較", "tokenizer", "FTS5 分詞", "", "  ", "!?", "かな", "한글", "記憶する", "a記"]
 
 
@@ -30,15 +41,31 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _indexes: dict[tuple, postings.SearchIndex] = {}
 
 
-def search_index(spark: SparkSession, sf_dir: str) -> postings.SearchIndex:
-    """The documents' search index: built by the first query that asks for it in a session, and anew when the files change."""
-    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_modification_time").groupBy().agg(F.sum(F.xxhash64("file_path", "file_modification_time").cast("decimal(38,0)")))
-    key = (spark.sparkContext.applicationId, sf_dir, files.first()[0])
+def search_index(spark: SparkSession, sf_dir: str, han: bool = False) -> postings.SearchIndex:
+    """The documents' search index: built by the first query that asks for it in a session, and anew when the files change.
+    ``han``: of the documents in Han characters, with their lexicon."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")  # names and times, no content
+    key = (spark.sparkContext.applicationId, sf_dir, han, files.agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()[0])
     if key not in _indexes:
-        _indexes[key] = postings.build_index(chunks(spark, sf_dir), f"{scratch_folder(spark)}/search-{uuid.uuid4().hex}")
+        own, lexicon = chunks(spark, sf_dir), None
+        if han:
+            own, lexicon = own.withColumn("text", in_han(F.col("text"))), han_lexicon(spark, sf_dir)
+        _indexes[key] = postings.build_index(own, f"{scratch_folder(spark)}/search-{uuid.uuid4().hex}", lexicon)
     return _indexes[key]
 
 
+def in_han(text: Column) -> Column:
+    """A text whose small letters are Han characters, every second space between two words left out: runs to be cut."""
+    return F.translate(F.regexp_replace(text, "([a-z]+) ([a-z]+)", "$1$2"), LETTERS, HAN)
+
+
+def han_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+    """The most frequent words of two to four small letters, in Han characters."""
+    own = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))).alias("w")).where(F.length("w").between(2, 4))
+    best = own.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(HAN_WORDS)  # a lexicon's size
+    return Lexicon.from_table(best.select(F.translate("w", LETTERS, HAN).alias("word"), "n"))
+
+
 def asked(spark: SparkSession, rows=QUERIES) -> DataFrame:
     cell = lambda x: "NULL" if x is None else repr(x)
     values = ", ".join(f"({', '.join(map(cell, r))}, 0)" for r in rows)
@@ -140,6 +167,38 @@ def variant_union_rank(spark, sf_dir):
     return retrieval.lexical_channel(search_index(spark, sf_dir), q, "trigram").select("qid", "chunk_id", "rank")
 
 
+def cjk_words(spark, sf_dir):
+    """Every document in Han characters, cut into words by the lexicon of its letters."""
+    ship_package(spark)
+    own = table(spark, sf_dir, "documents").select("doc_id", tokens(in_han(F.col("text")), han_lexicon(spark, sf_dir)).alias("words"))
+    return own.select("doc_id", F.size("words").alias("n_words"), F.sha2(F.array_join("words", "|"), 256).alias("words_sha256"))
+
+
+def cjk_topk(spark, sf_dir):
+    """Two-character words in an index that was cut by the lexicon: whole words alone are hits."""
+    q = asked(spark, [(i, w.translate(str.maketrans(LETTERS, HAN)), 10, None) for i, w in enumerate(HAN_QUERIES)])
+    return retrieval.lexical_channel(search_index(spark, sf_dir, han=True), q, "segment").select("qid", "chunk_id", "rank", "score")
+
+
+def script_variants(spark, sf_dir):
+    """Every document as a query, in simplified or traditional characters, with its variants."""
+    forms = {}
+    for name, entries in (("simple", SIMPLE), ("old", OLD)):
+        forms[name] = F.col("text")
+        for letters, han in entries:
+            forms[name] = F.replace(forms[name], F.lit(letters), F.lit(han))
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.when(F.pmod("doc_id", F.lit(2)) == 0, forms["simple"]).otherwise(forms["old"]).alias("text"))
+    return retrieval.with_variants(q).select("qid", "variant", F.sha2("text", 256).alias("text_sha256"))
+
+
+def normal_forms(spark, sf_dir):
+    """Texts whose accents stand apart, as combining marks, in normal form."""
+    apart = F.col("text")
+    for letter in ACCENTED:
+        apart = F.replace(apart, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(apart, 256).alias("apart_sha256"), F.sha2(fn.normal_form(apart), 256).alias("normal_sha256"))
+
+
 def exclude_sessions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     per_text = docs.groupBy(F.sha2("text", 256).alias("uuid")).agg(F.array_sort(F.collect_set("source")).alias("sessions"))
@@ -510,6 +569,7 @@ def nested_samples(spark, sf_dir):
 QUERIES_BY_NAME = {
     "fused_topk": fused_topk, "fused_topk_3ch": fused_topk_3ch, "trigram_topk": _lexical("trigram"), "segment_topk": _lexical("segment"), "vector_topk": vector_topk,
     "channel_subset": channel_subset, "bm25_stats": bm25_stats, "scope_filter_global_idf": scope_filter_global_idf, "variant_union_rank": variant_union_rank,
+    "cjk_words": cjk_words, "cjk_topk": cjk_topk, "script_variants": script_variants, "normal_forms": normal_forms,
     "exclude_sessions": exclude_sessions, "query_class": query_class, "ident_shape": ident_shape, "fingerprint": fingerprint, "clip_flatten": clip_flatten,
     "normalise_ws": normalise_ws, "span_slice_orphans": span_slice_orphans, "dedup_sources": dedup_sources, "sessions_per_chunk": sessions_per_chunk,
     "latest_per_chunk": latest_per_chunk, "source_counts": source_counts, "audit_divergent": audit_divergent, "audit_dangling": audit_dangling, "audit_orphan": audit_orphan,

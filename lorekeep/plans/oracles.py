@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.catalog import CLASSED, EXCLUDED, INSTANT, KEY, QUERIES
+import unicodedata
+
+from lorekeep.functions.conversion import CHARACTERS, PHRASES
+from lorekeep.plans.catalog import ACCENTED, CLASSED, EXCLUDED, HAN, HAN_QUERIES, HAN_WORDS, INSTANT, KEY, LETTERS, OLD, QUERIES, SIMPLE
 
 
 def _values(rows) -> str:
@@ -152,7 +155,56 @@ _HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x
 _ENLARGED = [(q, t, min(4 * k, 1000), p) for q, t, k, p in QUERIES]
 _GONE = ", ".join(f"'{s}'" for s in EXCLUDED)
 
+def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+#: CTEs up to words (doc_id, words): documents in Han characters, cut by the cheapest path over each distinct run. A step
+#: appends the best cut of the next longer prefix: cost, number of words, length of the last word, and the words.
+_CUT = f"""WITH RECURSIVE d AS (SELECT doc_id, doc_id % 5 AS p, lower(translate(regexp_replace(text, '([a-z]+) ([a-z]+)', '\\1\\2', 'g'), '{LETTERS}', '{HAN}')) AS t FROM documents),
+f AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 4 GROUP BY w ORDER BY n DESC, w LIMIT {HAN_WORDS}),
+lex AS MATERIALIZED (SELECT map(list(translate(w, '{LETTERS}', '{HAN}')), list(round(1000 * ln(total / n))::BIGINT)) AS m, any_value(round(1000 * ln(total))::BIGINT + 2000) AS unknown FROM f, (SELECT sum(n) AS total FROM f)),
+tok AS MATERIALIZED (SELECT doc_id, i, t FROM (SELECT doc_id, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(t, '([{HAN}]+)', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ts FROM d))),
+runs AS (SELECT DISTINCT t AS run FROM tok WHERE contains('{HAN}', t[1])),
+step AS (SELECT run, 0 AS i, [{{'c': 0::BIGINT, 'n': 0::BIGINT, 'l': 0::BIGINT, 'w': ''}}] AS b FROM runs UNION ALL
+    SELECT run, i + 1, list_append(b, list_min(list_filter(list_transform(range(1, least(4, i + 1) + 1), lambda l: {{
+        'c': b[i + 2 - l].c + coalesce(map_extract(m, run[i + 2 - l:i + 1])[1], CASE WHEN l = 1 THEN unknown END), 'n': b[i + 2 - l].n + 1, 'l': l,
+        'w': CASE WHEN i + 1 = l THEN '' ELSE b[i + 2 - l].w || '|' END || run[i + 2 - l:i + 1]}}), lambda x: x.c IS NOT NULL))) FROM step, lex WHERE i < length(run)),
+cut AS (SELECT run, b[i + 1].w AS w FROM step WHERE i = length(run)),
+words AS MATERIALIZED (SELECT d.doc_id, any_value(d.p) AS p, coalesce(string_agg(coalesce(cut.w, tok.t), '|' ORDER BY tok.i), '') AS w FROM d LEFT JOIN tok ON tok.doc_id = d.doc_id LEFT JOIN cut ON cut.run = tok.t GROUP BY d.doc_id)"""
+
+
+def _converted(text: str, pairs: list[tuple[str, str]]) -> str:
+    """Longest match: an alternation whose longer entries come first, each match looked up, all else as it is."""
+    first: dict[str, str] = {}
+    for source, target in pairs:
+        first.setdefault(source, target)
+    entries = sorted(first, key=lambda e: -len(e))
+    table = "map([" + ", ".join(f"'{e}'" for e in entries) + "], [" + ", ".join(f"'{first[e]}'" for e in entries) + "])"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s)' || '{'|'.join(entries)}|[\\x00-\\x{{2E7F}}]+|.'), lambda x: coalesce(map_extract({table}, x)[1], x)), '')"
+
+
+def _pairs(swap: bool) -> list[tuple[str, str]]:
+    own = (PHRASES + " " + CHARACTERS).split()
+    return [(t, s) if swap else (s, t) for s, t in zip(own[::2], own[1::2], strict=True)]
+
+
 ORACLES = {
+    "cjk_words": _CUT + " SELECT doc_id, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, '|')) END AS n_words, sha256(w) AS words_sha256 FROM words",
+    "cjk_topk": _CUT + f""", c AS (SELECT doc_id AS chunk_id, CASE WHEN w = '' THEN [] ELSE string_split(w, '|') END AS ws FROM words),
+st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM c),
+q AS (SELECT qid, translate(t, '{LETTERS}', '{HAN}') AS t FROM (VALUES {_values(list(enumerate(HAN_QUERIES)))}) AS v(qid, t)),
+m AS (SELECT qid, chunk_id, len(list_filter(ws, lambda x: x = q.t)) AS tf, len(ws) AS dl FROM q, c WHERE list_contains(ws, q.t)),
+s AS (SELECT qid, chunk_id, round(greatest(0.000001, ln((n - df + 0.5) / (df + 0.5))) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9) AS score FROM m JOIN (SELECT qid, count(*) AS df FROM m GROUP BY qid) f USING (qid), st)
+SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, score FROM s) WHERE rank <= 50""",
+    "script_variants": f"""WITH d AS (SELECT doc_id AS qid, CASE WHEN doc_id % 2 = 0 THEN {_replaced("text", SIMPLE)} ELSE {_replaced("text", OLD)} END AS t FROM documents WHERE text IS NOT NULL),
+v AS (SELECT qid, list_filter([t, {_converted("t", _pairs(False))}, {_converted("t", _pairs(True))}], lambda x: x <> '') AS f FROM d),
+o AS (SELECT qid, list_filter(f, lambda x, i: list_position(f, x) = i) AS f FROM v)
+SELECT qid, (unnest(range(0, len(f))))::INT AS variant, sha256(unnest(f)) AS text_sha256 FROM o""",
+    "normal_forms": f"""WITH d AS (SELECT doc_id, {_replaced("text", [(c, unicodedata.normalize("NFD", c)) for c in ACCENTED])} AS t FROM documents)
+SELECT doc_id, sha256(t) AS apart_sha256, sha256(trim(regexp_replace(nfc_normalize(coalesce(t, '')), '\\s+', ' ', 'g'))) AS normal_sha256 FROM d""",
     "fused_topk": _lexical(QUERIES) + _fused("rt", "rs") + _ROWS,
     "fused_topk_3ch": _lexical(QUERIES) + "," + _VECTOR + _fused("rt", "rs", "rv") + _ROWS,
     "channel_subset": _lexical(QUERIES) + "," + _VECTOR + _fused("rs", "rv") + _ROWS,

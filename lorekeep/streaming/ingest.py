@@ -99,7 +99,7 @@ class Store:
 
     def search_index(self) -> postings.SearchIndex:
         v = self.version()
-        read = lambda c: self._read(f"postings/{c}", "term string, chunk_id long, project string, dl int, positions array<int>, bucket int").where(F.col("v") <= v)
+        read = lambda c: self._read(f"postings/{c}", "term string, chunk_id long, project string, dl int, tf int, positions array<int>, block int, bucket int").where(F.col("v") <= v)
         statistics = self._read("statistics", _STATISTICS).where(F.col("v") == v).drop("v")
         return postings.SearchIndex({c: read(c) for c in postings.LEXICAL}, statistics, stale=self._stale(v))
 

@@ -25,7 +25,7 @@ def test_fused_scores_can_tie_exactly(spark):
 
 
 def _index(chunks, tmp_path):
-    return postings.build_index(chunks, str(tmp_path), buckets=2)
+    return postings.build_index(chunks, str(tmp_path), layout=postings.Layout(2, 2))
 
 
 def test_short_and_empty_phrases_match_nothing(spark, tmp_path):
