@@ -4,8 +4,10 @@ A page becomes a tree of block elements. Every paragraph passes points (one, one
 length) to its parent, half to the grandparent and ever less further up; a container's points are discounted by the
 share of its text that stands in links. The best container is kept, widened to the article or main element around it,
 with those of its siblings that score like it or read like prose. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments and hidden parts are left out of the tree by element, role, class or id. A class or id does
-not count where another names the article, where it tells of a state (has-sidebar, header-fixed) or an article's head,
+forms, scripts, comments and hidden parts are left out of the tree by element, role, class or id. Within an article (an
+article or main element, or one that is named so) a class or id counts only if all its words are of that kind: a section
+named related-work or share-prices stays, a list named related-posts goes; noscript is text there. Formulas stay
+everywhere, without their annotations. A class or id does not count where another names the article, where it tells of a state (has-sidebar, header-fixed) or an article's head,
 where the element holds more text than all that is kept and the page's main heading, or where nothing would be left.
 Lists of links stay within the chosen container; beside it, and where that is the whole body, they count as menus. A
 table cell is a container where it holds paragraphs.
@@ -35,7 +37,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
     " html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-_RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select button xmp noembed noframes".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object canvas select button xmp noembed noframes".split())
 _DROPPED = frozenset("nav aside footer form menu dialog search head fieldset".split())
 _CLOSE_EACH_OTHER = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -53,18 +55,39 @@ _UNLIKELY = re.compile(
 #: Class names that tell how an element looks, or of an article's own head, and those that name the article.
 _STATE = re.compile(r"(?:has|no|with|without|hide|show|is)[-_].*|.*[-_](?:fixed|sticky|open|closed|enabled|disabled|visible|on|off|left|right)|(?:entry|post|article|page|story|content)[-_]header", re.I)
 _ARTICLE = re.compile(r"(?:(?:the|site|page|main|blog|entry|post|article|story)[-_])?(?:article|main|content|post|entry|story)(?:[-_](?:body|content|text|wrap|wrapper|container|inner|\d+))*", re.I)
+#: Names of an article's own text, and words that beside an unlikely one leave a name unlikely within an article: there the
+#: whole name must be made of such words (``related-posts`` is, ``related-work`` isn't).
+_OWN_TEXT = re.compile(r"(?:(?:article|post|entry|story)[-_]?(?:body|content|text)|h-entry|hentry|(?:blog|news)[-_](?:post|article|entry))", re.I)
+_UNLIKELY_WORD = re.compile(
+    r"ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|comments?|commentlist|respond|replies|cookies?|consent|gdpr|disqus|footer|footnav|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
+    r"notification|alert|pagination|pager|popup|overlay|promo|promoted|related|recommended|share|sharing|shoutbox|sidebar|skyscraper|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget|outbrain|taboola|login|signup|"
+    r"list|lists|posts?|articles?|stories|story|news|items?|links?|buttons?|icons?|box|section|area|wrap|wrapper|container|block|form|bar|slot|unit|inner|outer|top|bottom|left|right|site|page|main|thread|us|this|me|"
+    r"primary|secondary|global|mobile|desktop|sticky|content|contents|panel|module|col|column|row|grid|group|media|bookmarks?|network|networks|count|tools?|title|heading|[a-z]?\d*",
+    re.I,
+)
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "links")
+    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "links", "inside")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, inside: bool = False):
+        self.tag, self.parent, self.inside = tag, parent, inside  # inside: within an article
         self.parts: list = []  # nodes, and blocks of text as strings
         self.score, self.chars, self.linked, self.links = 0.0, 0, 0, 0
 
 
+def _names(attributes: dict[str, str]) -> str:
+    return entities.unescape(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+
+
+def _is_article(tag: str, raw: str) -> bool:
+    """Whether an element is an article, by its kind or its name."""
+    if tag in ("article", "main") or not raw.strip():
+        return tag in ("article", "main")
+    return any(map(_OWN_TEXT.fullmatch, _names({k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)}).split()))
+
+
 def _is_unlikely(tag: str, raw: str, inside_article: bool) -> str:
     """Why the element is never main text: "surely" by its kind, "named" by its class or id; empty otherwise."""
     if tag in _DROPPED or tag == "header" and not inside_article:
@@ -76,7 +99,9 @@ def _is_unlikely(tag: str, raw: str, inside_article: bool) -> str:
         return "surely"
     if attributes.get("role", "").lower() in _ROLES:
         return "surely"
-    names = entities.unescape(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    names = _names(attributes)
+    if inside_article:
+        names = " ".join(n for n in names.split() if all(map(_UNLIKELY_WORD.fullmatch, re.split(r"[-_]", n))))
     if not _UNLIKELY.search(names) or any(map(_ARTICLE.fullmatch, names.split())):
         return ""
     return "named" if any(_UNLIKELY.search(n) and not _STATE.fullmatch(n) for n in names.split()) else ""
@@ -88,7 +113,6 @@ def _tree(page: str, spared: frozenset[int] | None = frozenset()) -> tuple[_Node
     left_out: list[tuple[int, int, bool]] = []
     named, letters, heading = -1, 0, False
     root = node = _Node("#root", None)
-    article_depth = 0
     text: list[str] = []  # of the block that is open
     linked = links = 0
     in_link = False
@@ -127,11 +151,9 @@ def _tree(page: str, spared: frozenset[int] | None = frozenset()) -> tuple[_Node
                 linked += len(piece.strip())
 
     def leave(to: _Node):
-        nonlocal node, article_depth
+        nonlocal node
         close_block()
-        while node is not to:
-            article_depth -= node.tag in ("article", "main")
-            node = node.parent
+        node = to
 
     at = 0
     for m in _PARTS.finditer(page):
@@ -162,7 +184,7 @@ def _tree(page: str, spared: frozenset[int] | None = frozenset()) -> tuple[_Node
             if not skip or not ends or tag not in ("body", "html"):
                 continue
             skip = []  # the page ends within it
-        if not ends and tag in _RAW:
+        if not ends and tag in _RAW and not (tag == "noscript" and node.inside):
             raw = None if m[3].endswith("/") else tag
             continue
         if tag == "br":
@@ -194,16 +216,15 @@ def _tree(page: str, spared: frozenset[int] | None = frozenset()) -> tuple[_Node
                     leave(last.parent)
             close_block()
             in_link = False
-            why = _is_unlikely(tag, m[3], article_depth > 0)
+            why = _is_unlikely(tag, m[3], node.inside)
             if why and not (why == "named" and (spared is None or m.start() in spared)):
                 if not m[3].endswith("/"):
                     skip = [tag]
                     named, letters, heading = (m.start() if why == "named" else -1), 0, False
                 continue
-            child = _Node(tag, node)
+            child = _Node(tag, node, node.inside or _is_article(tag, m[3]))
             node.parts.append(child)
             node = child
-            article_depth += tag in ("article", "main")
         elif m[3].strip() and not m[3].endswith("/") and tag in ("span", "ins", "small") and _is_unlikely(tag, m[3], True):
             skip = [tag]
     add(page[at:])

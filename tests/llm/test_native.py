@@ -135,6 +135,30 @@ def test_only_matches_and_one_row_a_document_are_shuffled(spark, make):
     assert got == {1: 0, 2: 40}
 
 
+def test_shared_one_word_items_multiply_nothing(spark, make, monkeypatch):
+    """Thousands of items of one word in documents that hold nothing else, with broadcasts off: a row a place, and items once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        items = spark.range(10000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 5 == 4, "no").otherwise("yes").alias("text"))
+        docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 2, "a clean text of some words").otherwise(F.repeat(F.lit("yes "), F.lit(100))).alias("text"))
+        got = {(r["n_hit"], r["n_items"], r["items_sha256"]): r["n"] for r in decontamination.digest_contamination(docs, items).groupBy("n_hit", "n_items", "items_sha256").agg(F.count(F.lit(1)).alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    own = ",".join(sorted(str(k) for k in range(10000) if k % 5 != 4))
+    assert got == {(100, 8000, hashlib.sha256(own.encode()).hexdigest()): 1334, (0, 0, hashlib.sha256(b"").hexdigest()): 666}
+
+
+def test_windows_that_share_a_fingerprint_are_one_row_a_match(spark, make):
+    """Items that share six words and nothing else: a document's place meets its own window, not all of theirs."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, f"{say(7)} which of the following is true {say(7)}") for k in range(300)]
+    docs = [(k, f"{say(20)} {items[k][1]} {say(20)}") for k in range(50)]
+    table = spark.createDataFrame(items, "item_id int, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.find_contamination(make(docs), table).collect()}
+    assert got == {k: [str(k)] for k in range(50)}
+
+
 def test_contamination_with_empty_sides(spark, make):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id int, text string")
     docs = make([(1, "x " + " ".join(f"W{i}" for i in range(3, 17))), (2, "clean")])

@@ -293,6 +293,19 @@ def test_html_keeps_head_and_link_lists_of_the_article():
     assert html_text.main_text(page) == "Title\nText, more text, and so on, here.\nReference one\nReference two"
 
 
+@pytest.mark.parametrize("head", ["<h1>Title</h1>", ""])
+@pytest.mark.parametrize("size", [1, 12])
+@pytest.mark.parametrize("begin,end", [("<article>", "</article>"), ("<div class='post-content'>", "</div>")])
+def test_html_sections_with_unlucky_names_stay(head, size, begin, end):
+    prose = "A sentence, with commas, and words that go on for a while. " * size
+    stay = ["div class='related-work'", "section id='comments-on-method'", "section class='share-prices'", "div class='notice-of-meeting'", "div id='social-history'"]
+    go = ["div class='related-posts'", "div class='comments'", "ul class='share-buttons'", "div class='comment-list comments'", "section class='ad-slot-2'", "div id='newsletter-signup'", "aside"]
+    inner = "".join(f"<{x}><p>Section {k}, of its own.</p></{x.split()[0]}>" for k, x in enumerate(stay + go))
+    page = f"<html><body><nav>Menu</nav>{begin}{head}<p>{prose}</p>{inner}<p>Before <math><mi>x</mi>=42<annotation>x=42</annotation></math> after.</p><noscript><p>Plain.</p></noscript>{end}<noscript>Turn it on</noscript></body></html>"
+    got = html_text.main_text(page).split("\n")
+    assert got == ["Title"] * bool(head) + [prose.strip()] + [f"Section {k}, of its own." for k in range(len(stay))] + ["Before x=42 after.", "Plain."]
+
+
 def test_html_deep_and_long_pages_end():
     deep = "<div>" * 5000 + "<p>Deep, down.</p>" + "</div>" * 5000
     assert html_text.main_text(deep) == "Deep, down."
