@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import project_of_directory
 from lorekeep.service import Service
 from lorekeep.sources import sinks
+from lorekeep.streaming.ingest import BATCH_CHUNKS, AuditFailed
 
 DONE, WRONG, REBUILD, NOTHING, DIFFERS, UNMERGED = 0, 2, 3, 4, 5, 6
 
@@ -29,7 +30,7 @@ def arguments() -> argparse.ArgumentParser:
     build.add_argument("--full", action="store_true", help="everything anew")
     build.add_argument("--audit", action="store_true", help="count differences afterwards")
     build.add_argument("--quiet", action="store_true")
-    build.add_argument("--batch-sources", type=int, default=10_000)
+    build.add_argument("--batch-chunks", type=int, default=BATCH_CHUNKS)
     build.add_argument("--max-seconds", type=float)
     for name in ("query", "compare"):
         c = commands.add_parser(name)
@@ -77,32 +78,36 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     service = Service(spark, a.folder)
     try:
         if a.command == "build":
-            report = service.build(a.root, a.full, batch_sources=a.batch_sources, budget_seconds=a.max_seconds, progress=None if a.quiet else lambda text: print(text, file=sys.stderr))
+            report = service.build(a.root, a.full, audit=a.audit, batch_chunks=a.batch_chunks, budget_seconds=a.max_seconds, progress=None if a.quiet else lambda text: print(text, file=sys.stderr))
             print(report)
             if a.audit:
-                service.audit().show(truncate=False)
-                if not service.audit().where("n > 0").isEmpty():
+                figures = service.audit().orderBy("figure").collect()
+                print("\n".join(f"{r['figure']}: {r['n']}" for r in figures))
+                if any(r["n"] for r in figures):
                     return DIFFERS
             return UNMERGED if report.unmerged else DONE
         if a.command in ("query", "compare"):
-            if a.root:
-                service.build(a.root, budget_seconds=a.max_refresh_seconds)
             if a.command == "query":
-                found = service.query(a.text, a.k, _scope(spark, a), a.strategy, a.exclude_session, a.record)
+                found = service.query(a.text, a.k, _scope(spark, a), a.strategy, a.exclude_session, a.record, a.root, a.max_refresh_seconds)
             else:
-                number, found = service.compare(a.text, *a.strategies, k=a.k, project=_scope(spark, a))
+                number, found = service.compare(a.text, *a.strategies, k=a.k, project=_scope(spark, a), root=a.root, refresh_seconds=a.max_refresh_seconds)
                 print(f"presentation {number}")
+            for line in service.notice.lines():
+                print(line, file=sys.stderr)
             print(_told(found, a.format))
             return NOTHING if found.isEmpty() else DONE
         if a.command == "mark":
             service.mark(a.presentation, a.rank, a.kind)
         elif a.command == "memory":
-            service.memory_status().show(truncate=False)
+            service.memory_status().orderBy("fact").show(1000, truncate=False)
             if a.prune:
                 print(f"{service.prune(a.prune)} events kept in {a.prune}")
         else:
-            service.report().show(truncate=False)
+            service.report().orderBy("level", "query_class", "strategy").show(1000, truncate=False)
         return DONE
+    except AuditFailed as failed:
+        print(failed, file=sys.stderr)
+        return DIFFERS
     except ValueError as wrong:
         print(wrong, file=sys.stderr)
         return REBUILD if "rebuild" in str(wrong) else WRONG

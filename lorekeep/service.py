@@ -12,15 +12,40 @@ from pyspark.sql import functions as F
 from lorekeep.functions import hashing
 from lorekeep.functions.embedding import EmbeddingProvider
 from lorekeep.functions.text import is_fingerprint, is_identifier, query_class
+from lorekeep.functions.words import Lexicon
 from lorekeep.operators import evaluate, memory, rerank, retrieval
 from lorekeep.sources import sinks
 from lorekeep.sources.tables import written
 from lorekeep.streaming.ingest import LAYOUT, BuildReport, Store
 
+#: Anchors that are looked for in the corpus by name; more are joined.
+_NAMED_ANCHORS = 10_000
 _EVENT = "kind string, anchor long, ts timestamp, generation string, policy string, note_ref string, presentation string"
 _RECORD = "id string, query_class string, strategy_a string, strategy_b string, generation string, attribution array<struct<anchor:long,credited_to:string>>, starting_side string, is_null_comparison boolean"
 
 
+@dataclass(frozen=True)
+class Notice:
+    """What should be known with an answer: the version that it comes from, whether a build is at work (its work isn't in the
+    answer yet), since when an audit is owed, and what was taken in first, if anything was asked for."""
+
+    version: int
+    building: bool
+    audit_owed: str | None
+    refreshed: BuildReport | None = None
+
+    def lines(self) -> list[str]:
+        told = [f"a build is running; this is version {self.version}"] * self.building
+        told += [f"an audit is owed since {self.audit_owed}"] if self.audit_owed else []
+        if self.refreshed is not None:
+            taken = {k: n for k, n in self.refreshed.actions.items() if k not in ("same", "kept")}
+            told += [f"taken in: {', '.join(f'{n} {k}' for k, n in sorted(taken.items()))}"] if taken else []
+            told += [f"skipped: {', '.join(f'{n} {k}' for k, n in sorted(self.refreshed.skipped.items()))}"] if self.refreshed.skipped else []
+            told += [f"left to merge: {self.refreshed.unmerged}"] if self.refreshed.unmerged else []
+            told += [f"unreadable: {', '.join(self.refreshed.unreadable)}"] if self.refreshed.unreadable else []
+        return told
+
+
 @dataclass
 class Service:
     """Anchors are chunk ids. Neither events nor records hold any text of a query or a document."""
@@ -28,14 +53,16 @@ class Service:
     spark: SparkSession
     folder: str
     embedder: EmbeddingProvider | None = None
+    lexicon: Lexicon | None = None
     store: Store = field(init=False)
+    notice: Notice | None = field(init=False, default=None)  # of the last answer
     unattributable: int = field(init=False, default=0)  # hits of the last query that had no sound chunk
 
     def __post_init__(self):
-        self.store = Store(self.spark, f"{self.folder}/index", self.embedder)
+        self.store = Store(self.spark, f"{self.folder}/index", self.embedder, self.lexicon)
 
     def build(self, root: str, full: bool = False, **how) -> BuildReport:
-        """See ``Store.build``. An audit that a failed gate has left owing is done by ``audit``."""
+        """See ``Store.build``."""
         return self.store.build(root, full, **how)
 
     def audit(self) -> DataFrame:
@@ -56,7 +83,7 @@ class Service:
         return self._table("records", _RECORD)
 
     def _generation(self) -> str:
-        stamps = self.spark.range(1).select(hashing.generation_id(F.lit(str(LAYOUT)), F.lit(self.store.embedder.revision), F.lit(str(self.store.version()))))
+        stamps = self.spark.range(1).select(hashing.generation_id(F.lit(str(LAYOUT)), F.lit(self.store.embedder.revision), F.lit(self.store.stamps["lexicon"]), F.lit(str(self.store.version()))))
         return stamps.first()[0]
 
     def _hits(self, text: str, k: int, project: str | None) -> DataFrame:
@@ -82,13 +109,35 @@ class Service:
                 return hits.join(chunks.select("chunk_id"), "chunk_id", "left_semi").withColumn("pos", order), chunks
             depth = min(4 * depth, sinks.MOST_RESULTS)
 
-    def _ranked(self, hits: DataFrame, strategy: str, bound: int | None = None) -> DataFrame:
-        """The page re-ranked by a strategy, checked by the guard against the bound in force. Anchors that the corpus
-        no longer has count for nothing."""
+    def _refresh(self, root: str | None, seconds: float | None) -> None:
+        """Takes in what is new, unless another build is at work: then the last version answers."""
+        building = self.store.running()
+        report = self.build(root, budget_seconds=seconds) if root is not None and not building else None
+        self.notice = Notice(self.store.version(), building, self.store.owes_audit(), report)
+
+    def _strengths(self, page: DataFrame, spreading: float) -> DataFrame:
+        """Net strengths of the page's anchors. Of the log, events of these anchors alone are read; with spreading, those of
+        their presentations and of all that was shown in these. Anchors that the corpus no longer has count for nothing:
+        only those that were met are looked for in it."""
+        events, anchors = self.events(), F.broadcast(page.select("anchor").distinct())  # a result page
+        own = events.join(anchors, "anchor", "left_semi")
+        if spreading:
+            shared = events.join(own.where("presentation is not null").select("presentation").distinct(), "presentation", "left_semi")
+            own = events.join(own.select("anchor").unionByName(shared.select("anchor")).distinct(), "anchor", "left_semi")
+        own = written(own)
+        met = own.select(F.col("anchor").alias("chunk_id")).distinct()
+        ids = [r[0] for r in met.limit(_NAMED_ANCHORS + 1).collect()]
+        corpus = self.store.stored_chunks(ids=ids) if len(ids) <= _NAMED_ANCHORS else self.store.stored_chunks().join(met, "chunk_id", "left_semi")
+        strength = memory.project(own, F.current_timestamp(), memory.Parameters(spreading=spreading), corpus.select(F.col("chunk_id").alias("anchor")))
+        return written(strength.join(anchors, "anchor", "left_semi"))
+
+    def _ranked(self, hits: DataFrame, strategy: str, bound: int | None = None, strength: DataFrame | None = None) -> DataFrame:
+        """The page re-ranked by a strategy, checked by the guard against the bound in force. A strategy that reads no
+        signals reads no history."""
         own, bound = rerank.authorised(strategy, bound)
         page = hits.select("qid", F.col("chunk_id").alias("anchor"), "pos", F.col("score").alias("base_score"), "band")
-        corpus = self.store.stored_chunks().select(F.col("chunk_id").alias("anchor"))
-        strength = written(memory.project(self.events(), F.current_timestamp(), memory.Parameters(spreading=own.spreading), corpus).join(page.select("anchor"), "anchor", "left_semi"))
+        if strength is None:
+            strength = self._strengths(page, own.spreading) if own.signals else self.spark.createDataFrame([], "anchor long, net double")
         ranked = written(rerank.rerank(page, strength.select("anchor", "net"), own, bound))
         after = ranked.select("qid", "anchor", F.col("new_pos").alias("pos"), "base_score", "band", "displacement", "movement", "history")
         rerank.require_sound(rerank.guard_violations(page, after, bound, own.segment == "run", strength if own.signals else None))
@@ -100,10 +149,10 @@ class Service:
         """Pointered results, best first: qid, pos, project, uuid, ts, snippet, score, band, channels, sessions; with another
         strategy than archival displacement, history and movement; where recorded the presentation.
 
-        ``root``: logs whose new content is taken in first, within ``refresh_seconds`` if given.
+        ``root``: logs whose new content is taken in first, within ``refresh_seconds`` if given. ``notice`` says what else
+        should be known of the answer.
         """
-        if root is not None:
-            self.build(root, budget_seconds=refresh_seconds)
+        self._refresh(root, refresh_seconds)
         hits, chunks = self._page(text, k, project, list(exclude))
         ranked = self._ranked(hits, strategy)
         placed = hits.drop("pos").join(ranked.select(F.col("anchor").alias("chunk_id"), F.col("new_pos").alias("pos"), "displacement", "history", "movement"), "chunk_id")
@@ -122,12 +171,18 @@ class Service:
         )
         shown.write.mode("append").parquet(f"{self.folder}/events")
 
-    def compare(self, text: str, a: str = "archival", b: str = "human-like", k: int = 20, project: str | None = None) -> tuple[str, DataFrame]:
-        """One retrieval under two strategies, interleaved; recorded. Returns the presentation's id and its results."""
+    def compare(self, text: str, a: str = "archival", b: str = "human-like", k: int = 20, project: str | None = None, root: str | None = None, refresh_seconds: float | None = None) -> tuple[str, DataFrame]:
+        """One retrieval under two strategies, interleaved; recorded. Returns the presentation's id and its results. Both
+        read one projection, so strategies that read history must agree on how it spreads; those that read none fit any."""
         if a == b:
             raise ValueError("two different strategies are compared")
+        demands = [own for own, _ in (rerank.authorised(a), rerank.authorised(b)) if own.signals]
+        if len({own.spreading for own in demands}) > 1:
+            raise ValueError(f"{a} and {b} can't be compared: they read histories that spread differently")
+        self._refresh(root, refresh_seconds)
         hits, chunks = self._page(text, k, project, [])
-        orders = [self._ranked(hits, s).select("qid", "anchor", F.col("new_pos").alias("pos")) for s in (a, b)]
+        strength = self._strengths(hits.select(F.col("chunk_id").alias("anchor")), demands[0].spreading) if demands else None
+        orders = [self._ranked(hits, s, strength=strength if rerank.STRATEGIES[s].signals else None).select("qid", "anchor", F.col("new_pos").alias("pos")) for s in (a, b)]
         asked = self.spark.createDataFrame([(1, text)], "qid int, text string").select("qid", hashing.starting_side(F.col("text")).alias("side"), query_class(F.col("text")).alias("query_class"))
         mixed = written(evaluate.interleave(*orders, asked.select("qid", "side")))
         number, facts = uuid.uuid4().hex, asked.first()

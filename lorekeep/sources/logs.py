@@ -17,14 +17,44 @@ SKIPS = ("unparseableLine", "notATurn", "missingPointerField", "malformedIdentif
 _TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)$"
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
+def _list(fs, path) -> list[tuple[str, bool]]:
+    """(path, is a directory) of what a directory holds, hidden names left out."""
+    return [(str(s.getPath().toString()), s.isDirectory()) for s in fs.listStatus(path) if not s.getPath().getName().startswith(".")]
+
+
+def readable(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """The projects below ``root`` that can be listed in whole, as paths, and the names of those that can't, both sorted. A
+    root that can't be listed is an error: it must not look like one without projects. Names alone are listed, by the file
+    system that Spark reads from."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        projects = sorted(p for p, is_folder in _list(fs, top) if is_folder)
+    except Exception as failed:
+        raise ValueError(f"the root {root} can't be listed") from failed
+    paths, unreadable = [], []
+    for project in projects:
+        todo, whole = [project], True
+        while todo and whole:
+            try:
+                todo += [p for p, is_folder in _list(fs, jvm.org.apache.hadoop.fs.Path(todo.pop())) if is_folder]
+            except Exception:  # no permission, a lost mount, a folder that went away: not the same as an empty one
+                whole = False
+        (paths if whole else unreadable).append(project if whole else project.rstrip("/").rsplit("/", 1)[-1])
+    return paths, unreadable
+
+
+def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """(source_key, project, line_no, raw, bytes, complete) of ``<root>/<project>/**/*.jsonl``, by Spark's splittable text
-    source: a file of any size is read by as many tasks as it has blocks.
+    source: a file of any size is read by as many tasks as it has blocks. ``paths``: the projects to be read (default: all).
 
     A line's number is that of its block's first line plus its place in the block; block sizes are counted first, a row
     for each block. ``complete`` is false for a last line without a newline; ``bytes`` counts the newline.
     """
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    if paths is not None and not paths:
+        return spark.createDataFrame([], "source_key string, project string, line_no long, raw string, bytes int, complete boolean")
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(paths or root)
     rows = text.select(
         source_key(root, F.col("_metadata.file_path")).alias("source_key"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("nth"), F.col("value").alias("raw"), (F.octet_length("value") + 1).alias("bytes"),
@@ -55,12 +85,16 @@ def tails(lines: DataFrame, done: DataFrame) -> DataFrame:
     return new.select("source_key", "project", F.col("line_no").cast("int").alias("line_no"), F.when(F.col("complete"), F.col("raw")).alias("raw"))
 
 
-def _checksum(counted: Column) -> Column:
-    """A digest of the lines that count: the sum of 120 bits of SHA-256 over each line with its number. Partial sums add up,
-    so a file's prefix is never gathered in one place."""
+def _digest_sums(counted: Column) -> list[Column]:
+    """Sums of 120 bits of SHA-256 over each counted line with its number, in two halves. Partial sums add up, so a file's
+    prefix is never gathered in one place."""
     digest = F.sha2(F.concat_ws(":", F.col("line_no").cast("string"), F.col("raw")), 256)
-    part = lambda at: F.sum(F.when(counted, F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")))
-    return F.concat_ws("-", part(1).cast("string"), part(16).cast("string"))
+    return [F.sum(F.when(counted, F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))) for at in (1, 16)]
+
+
+def _checksum(counted: Column) -> Column:
+    """A digest of the lines that count."""
+    return F.concat_ws("-", *[s.cast("string") for s in _digest_sums(counted)])
 
 
 def found_sources(lines: DataFrame, scan_state: DataFrame) -> DataFrame:
@@ -79,6 +113,20 @@ def cursors(found: DataFrame) -> DataFrame:
     return found.select("source_key", "project", F.col("whole_hash").alias("prefix_hash"), F.col("size").alias("processed_bytes"), F.col("lines").alias("processed_lines"))
 
 
+def cursors_at(lines: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Cursors within files: source_key, project, prefix_hash, processed_bytes, processed_lines, batch. ``cuts``: source_key,
+    batch, cut (how many lines are covered). Every line is looked at once and counts for its stretch between two cuts;
+    stretches add up."""
+    per = cuts.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("cut", "batch"))).alias("cuts"))  # a row for each batch of a source
+    own = lines.join(per, "source_key").withColumn("stretch", F.size(F.filter("cuts", lambda c: c["cut"] <= F.col("line_no"))))
+    first, second = _digest_sums(F.col("complete"))
+    sums = own.groupBy("source_key", "project", "cuts", "stretch").agg(first.alias("a"), second.alias("b"), F.sum("bytes").alias("bytes"))
+    upto = Window.partitionBy("source_key").orderBy("stretch")
+    told = sums.select("source_key", "project", "cuts", "stretch", *[F.sum(c).over(upto).alias(c) for c in ("a", "b", "bytes")]).where(F.col("stretch") < F.size("cuts"))
+    at = F.get("cuts", F.col("stretch"))
+    return told.select("source_key", "project", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("prefix_hash"), F.col("bytes").alias("processed_bytes"), at["cut"].cast("long").alias("processed_lines"), at["batch"].alias("batch"))
+
+
 def _kind(value: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
 

@@ -7,12 +7,17 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import index
+from lorekeep.operators import index, postings
 from lorekeep.service import Service
 from lorekeep.sources import events, logs, sinks
 from lorekeep.streaming.ingest import Store, stream_turns, windowed_usage
 
 
+@pytest.fixture(autouse=True)
+def few_files(monkeypatch):
+    monkeypatch.setattr(postings.Layout, "of", staticmethod(lambda n: postings.Layout(2, 1)))
+
+
 def record(i, session, project="p", text=None, **over):
     text = text or f"第{i}則內容 keyword{i % 4} 共通詞"
     return {"type": "user", "uuid": f"u{i}", "sessionId": session, "timestamp": f"2024-01-01T00:{i % 60:02d}:00.5Z", "message": {"role": "user", "content": text}} | over
@@ -164,7 +169,7 @@ def test_query_takes_new_content_in_and_reads_no_future(spark, tmp_path):
     assert grown.actions == {"appended": 1, "rewritten": 1} and grown.unmerged == 1
     texts = lambda q: {r["snippet"] for r in s.query(q, k=20).collect() if "segment" in r["channels"]}
     assert "first words at last" in texts("first words") and texts("rewritten words") == set() and len(texts("other words")) == 4
-    assert s.build(str(root), batch_sources=1).unmerged == 0
+    assert s.build(str(root), batch_chunks=1).unmerged == 0
     assert texts("rewritten words") == {"rewritten words 10", "rewritten words 11"} and texts("other words") == set()
     assert {r["n"] for r in s.audit().collect()} == {0}
     again = s.build(str(root))
