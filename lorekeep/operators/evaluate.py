@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.sources.tables import written
+
 CREDIT = ("opened", "cited", "pinned")
 RECALL_AT, NDCG_AT = 20, 10
 
@@ -164,21 +169,23 @@ def known_items(chunks: DataFrame, seed: int, n: int) -> DataFrame:
     return derived.orderBy(sample_order(seed, F.col("chunk_id")), "chunk_id").limit(n)
 
 
-def known_item_run(items: DataFrame, search, corpus_size: int) -> DataFrame:
+def known_item_run(items: DataFrame, search: Callable[[DataFrame, tuple[str, ...]], DataFrame], corpus_size: int, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The known-item report of three rankings (lexical, vector, fused) for ``items``: qid, chunk_id, text.
 
-    ``search(queries, channels)`` answers a batch of queries. A ranking that is shorter than min(``RECALL_AT``, corpus)
-    says nothing about an item and isn't scored, unless the item is in it.
+    ``embed`` gives the batch of queries its ``embedding`` at once (null where a text has none); without it there are no
+    vectors, and the vector ranking isn't reported. ``search(queries, channels)`` answers a batch of queries; the vector
+    ranking is that of the vector channel alone. A ranking that is shorter than min(``RECALL_AT``, corpus) says nothing
+    about an item and isn't scored, unless the item is in it.
     """
     from lorekeep.functions.text import query_class
 
     q = items.select("qid", "text", F.lit(RECALL_AT).alias("k"), F.lit(None).cast("string").alias("project"), F.lit(0).alias("variant"))
-    expected = items.select("qid", "chunk_id", query_class(F.col("text")).alias("query_class"))
     kinds = {"lexical": ("trigram", "segment"), "fused": ("trigram", "segment", "vector")}
-    hits = None
-    for name, channels in kinds.items():
-        own = search(q, channels).select("qid", F.lit(name).alias("channel"), "chunk_id", (F.col("pos") + 1).alias("rank"))
-        hits = own if hits is None else hits.unionByName(own)
+    if embed is not None:
+        q, kinds = written(embed(q)), {"lexical": kinds["lexical"], "vector": ("vector",), "fused": kinds["fused"]}
+    expected = items.select("qid", "chunk_id", query_class(F.col("text")).alias("query_class"))
+    own = [search(q, channels).select("qid", F.lit(name).alias("channel"), "chunk_id", (F.col("pos") + 1).alias("rank")) for name, channels in kinds.items()]
+    hits = written(reduce(DataFrame.unionByName, own))
     shallow = hits.groupBy("qid", "channel").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(RECALL_AT, corpus_size)).select("qid", "channel")
     found = hits.join(expected.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").select("qid", "channel")
     deep = shallow.unionByName(found).distinct()

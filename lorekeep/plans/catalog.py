@@ -492,7 +492,10 @@ def ndcg_by_class(spark, sf_dir):
 def known_item_recall(spark, sf_dir):
     c = chunks(spark, sf_dir)
     items = written(evaluate.known_items(c, 42, 20).withColumn("qid", F.row_number().over(Window.orderBy("chunk_id")).cast("int")))
-    r = evaluate.known_item_run(items, lambda q, channels: retrieval.search(search_index(spark, sf_dir), q, channels=channels), c.count())
+    stored = table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 7).cast("int").alias("qid"), "vec_id", "embedding").where("vec_id % 7 = 0").drop("vec_id")
+    own = written(vectors(spark, sf_dir))
+    search = lambda q, channels: retrieval.search(search_index(spark, sf_dir), q, own, channels)
+    r = evaluate.known_item_run(items, search, c.count(), lambda q: q.join(stored, "qid", "left"))  # a query's vector is the stored one of seven times its number
     return r.withColumn("recall_rate", F.round("recall_rate", 9)).withColumn("mean_ndcg", F.round("mean_ndcg", 9))
 
 
@@ -549,6 +552,22 @@ def salvage_log(spark, sf_dir):
     return event_log.salvage(lines.select(F.col("seq").alias("line_no"), broken.alias("line")), F.col("anchor").startswith("1")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def salvage_lines(spark, sf_dir):
+    """The usage log written to files in order of their users, lines broken on the way, read back and pruned: where the
+    faults are, by file and line. A file holds the users of one hundred."""
+    e = usage(spark, sf_dir).withColumn("generation", F.lit("g1")).withColumn("policy", F.lit("archival")).withColumn("note_ref", F.lit(None).cast("string"))
+    lines = event_log.to_lines(e).join(e.select("seq", "user_id"), "seq")
+    broken = F.when(F.col("seq") % 10 == 0, F.concat("line", F.lit(" "))).when(F.col("seq") % 10 == 1, F.replace("line", F.lit('"kind"'), F.lit('"what"'))).otherwise(F.col("line"))
+    folder = f"{scratch_folder(spark)}/log-{uuid.uuid4().hex}"
+    hundred = F.floor(F.col("user_id") / 100).alias("hundred")
+    one_file = lines.select(hundred, "seq", broken.alias("value")).repartition("hundred").sortWithinPartitions("hundred", "seq")
+    one_file.select("hundred", "value").write.option("maxRecordsPerFile", 0).partitionBy("hundred").text(f"{folder}/log")
+    log = spark.read.option("lineSep", "\n").text(f"{folder}/log")
+    named = logs.number_lines(log, F.regexp_extract("_metadata.file_path", "hundred=([0-9]+)", 1))
+    found = event_log.salvage(named.select(F.col("source_key").alias("file"), (F.col("line_no") + 1).alias("line_no"), F.col("raw").alias("line")), F.col("anchor").startswith("1"))
+    return found.where("status <> 'ok'").select("file", "line_no", "status")
+
+
 def prompt_gate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     prompt = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("<system-reminder>the\nthing</system-reminder>"), F.col("text"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("/cmd "), F.col("text"))).otherwise(F.col("text"))
@@ -581,6 +600,6 @@ QUERIES_BY_NAME = {
     "tie_stats": tie_stats, "tie_run_lengths": tie_run_lengths, "record_faults": record_faults, "salvage_presentations": salvage_presentations,
     "unattributable_hits": unattributable_hits, "script_runs": script_runs, "signal_maps": signal_maps, "source_union": source_union, "interleave_ab": interleave_ab, "comparison_report": comparison_report, "generation_rows": generation_rows, "dispositions": dispositions,
     "corrected_preference": corrected_preference, "ndcg_by_class": ndcg_by_class, "known_item_recall": known_item_recall, "latency_p95": latency_p95, "mark_events": mark_events,
-    "skip_tally": skip_tally, "tool_metadata": tool_metadata, "event_range": event_range, "salvage_log": salvage_log, "prompt_gate": prompt_gate,
+    "skip_tally": skip_tally, "tool_metadata": tool_metadata, "event_range": event_range, "salvage_log": salvage_log, "salvage_lines": salvage_lines, "prompt_gate": prompt_gate,
     "content_hash": content_hash, "nested_samples": nested_samples,
 }

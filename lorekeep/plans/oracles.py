@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from lorekeep.functions.conversion import CHARACTERS, PHRASES
@@ -133,6 +134,7 @@ def _pad(byte: int) -> str:
 
 def _known_items() -> str:
     """Twenty seeded items of the corpus, each with a word of its own as query, and their reports by ranking."""
+    rankings = {"lexical": ("rt", "rs"), "vector": ("rv",), "fused": ("rt", "rs", "rv")}
     queries = """SELECT qid, text, 20, NULL FROM (SELECT chunk_id, text, row_number() OVER (ORDER BY chunk_id) AS qid FROM (
     SELECT chunk_id, text FROM (SELECT doc_id AS chunk_id, words[1 + ('0x' || substr(sha256('42word:' || text), 1, 8))::BIGINT % greatest(len(words), 1)] AS text
         FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[A-Za-z0-9]{4,}'), lambda w: w <> trim(text)) AS words FROM documents))
@@ -142,10 +144,13 @@ def _known_items() -> str:
         + ", items AS ("
         + queries.replace("SELECT qid, text, 20, NULL", "SELECT qid, chunk_id", 1)
         + ")"
-        + _fused("rt", "rs")
-        + """, h AS (SELECT qid, chunk_id, pos + 1 AS rank FROM o WHERE pos < 20),
-deep AS (SELECT qid, count(*) >= least(20, (SELECT count(*) FROM documents)) AS full_list FROM h GROUP BY qid),
-x AS (SELECT i.qid, c.channel, coalesce(full_list, false) OR h.rank IS NOT NULL AS counts, h.rank FROM items i CROSS JOIN (VALUES ('lexical'), ('fused')) c(channel) LEFT JOIN deep USING (qid) LEFT JOIN h ON h.qid = i.qid AND h.chunk_id = i.chunk_id)
+        + ", "
+        + _VECTOR
+        + "".join(re.sub(r"\b([rfo]) AS \(", rf"\1_{name} AS (", re.sub(r"FROM ([rf])\b", rf"FROM \1_{name}", _fused(*channels))) for name, channels in rankings.items())
+        + f""", h AS ({" UNION ALL ".join(f"SELECT qid, '{name}' AS channel, chunk_id, pos + 1 AS rank FROM o_{name} WHERE pos < 20" for name in rankings)}),
+deep AS (SELECT qid, channel, count(*) >= least(20, (SELECT count(*) FROM documents)) AS full_list FROM h GROUP BY qid, channel),
+x AS (SELECT i.qid, c.channel, coalesce(full_list, false) OR h.rank IS NOT NULL AS counts, h.rank FROM items i CROSS JOIN (VALUES ('lexical'), ('vector'), ('fused')) c(channel)
+    LEFT JOIN deep ON deep.qid = i.qid AND deep.channel = c.channel LEFT JOIN h ON h.qid = i.qid AND h.channel = c.channel AND h.chunk_id = i.chunk_id)
 SELECT 'latin-alnum' AS query_class, channel, count(*) FILTER (counts) AS scored, count(rank) AS recalled, round(count(rank) / nullif(count(*) FILTER (counts), 0), 9) AS recall_rate,
     round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) WHEN rank IS NOT NULL THEN 0 END), 9) AS mean_ndcg FROM x GROUP BY channel"""
     )
@@ -330,6 +335,8 @@ SELECT query_class, channel, count(*) AS scored, count(*) FILTER (rank <= 20) AS
 round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) FILTER (rank <= 20), 9) AS mean_ndcg FROM r GROUP BY query_class, channel""",
     "latency_p95": "SELECT event_type, count(*) AS samples, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "event_range": _USAGE + " SELECT seq, kind, anchor FROM e0 WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'",
+    "salvage_lines": _USAGE + """, n AS (SELECT *, (user_id // 100)::VARCHAR AS file, row_number() OVER (PARTITION BY user_id // 100 ORDER BY seq) AS line_no FROM e0)
+SELECT file, line_no, CASE WHEN seq % 10 IN (0, 1) THEN 'corrupt' ELSE 'superseded' END AS status FROM n WHERE seq % 10 IN (0, 1) OR anchor LIKE '1%'""",
     "salvage_log": _USAGE + " SELECT CASE WHEN seq % 10 IN (0, 1) THEN 'corrupt' WHEN anchor LIKE '1%' THEN 'superseded' ELSE 'ok' END AS status, count(*) AS n FROM e0 GROUP BY 1",
     "mark_events": _report(1)
     + """, x AS (SELECT id, unnest(members[1:3]) AS anchor, generate_subscripts(members[1:3], 1) AS rank FROM pr)

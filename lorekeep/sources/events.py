@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.sources.logs import number_lines
+from lorekeep.sources.tables import written
+
 #: In key order, which is the canonical order.
 FIELDS = ("anchor", "generation", "kind", "note_ref", "policy", "presentation", "ts")
 _SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
@@ -25,7 +28,7 @@ def to_lines(events: DataFrame) -> DataFrame:
 
 def salvage(lines: DataFrame, superseded: Column | None = None) -> DataFrame:
     """Each line with its status: ok, corrupt (not canonical, unknown keys, missing fields) or superseded (an older
-    form of anchor, by the caller's test on ``anchor``); fields are set where ok. ``lines``: line_no, line."""
+    form of anchor, by the caller's test on ``anchor``); fields are set where ok. ``lines``: line_no, line, and others."""
     parsed = lines.withColumn("e", F.from_json("line", _SCHEMA)).select("*", "e.*").drop("e")
     again = canonical(*[F.col(f) for f in FIELDS])
     unknown = F.size(F.array_except(F.json_object_keys("line"), F.array(*map(F.lit, FIELDS))))
@@ -64,14 +67,28 @@ def append(events: DataFrame, path: str) -> None:
     to_lines(events).select(F.col("line").alias("value")).write.mode("append").text(path)
 
 
-def prune(spark: SparkSession, path: str, to: str) -> DataFrame:
-    """Writes the usable lines of ``path`` to the new directory ``to`` (the old one stays as backup), reads them back
-    and returns the tally by status; raises if what was written is not what was kept."""
-    # the file source has no line numbers across files; the tally needs none
-    statuses = salvage(spark.read.text(path).select(F.lit(0).alias("line_no"), F.col("value").alias("line")))
-    statuses.where("status = 'ok'").select("line").write.text(to)
-    kept = statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    n = {r["status"]: r["n"] for r in kept.collect()}
-    if spark.read.text(to).count() != n.get("ok", 0):
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of a log's files, numbered from 1 within each; files of any size are read block by block."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    numbered = number_lines(text, F.element_at(F.split(F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/"), -1))
+    return numbered.select(F.col("source_key").alias("file"), (F.col("line_no") + 1).alias("line_no"), F.col("raw").alias("line"))
+
+
+def faults(salvaged: DataFrame) -> DataFrame:
+    """(status, n, lines): how many lines of each status there are, and where those are that aren't ok, as ``file:line``, the
+    first hundred in order. ``salvaged``: file, line_no, status."""
+    bad = salvaged.where("status <> 'ok'").withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy("file", "line_no"))).where("place <= 100")
+    listed = bad.groupBy("status").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "file", "line_no").alias("at")))), lambda x: x["at"]).alias("lines"))
+    return salvaged.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(listed, "status", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+
+
+def prune(spark: SparkSession, path: str, to: str, superseded: Column | None = None) -> DataFrame:
+    """Writes the usable lines of ``path`` to the new directory ``to`` (the old one stays as backup), in their order within
+    each file, reads them back and returns ``faults``; raises if what was written is not what was kept."""
+    statuses = written(salvage(read_log(spark, path), superseded))
+    statuses.where("status = 'ok'").repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no").select("line").write.text(to)
+    told = written(faults(statuses))
+    kept = told.where("status = 'ok'").agg(F.sum("n")).first()[0] or 0
+    if spark.read.text(to).count() != kept:
         raise ValueError("the pruned log does not read back")
-    return kept
+    return told

@@ -55,8 +55,15 @@ def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -
     if paths is not None and not paths:
         return spark.createDataFrame([], "source_key string, project string, line_no long, raw string, bytes int, complete boolean")
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(paths or root)
+    numbered = number_lines(text, source_key(root, F.col("_metadata.file_path")))
+    return numbered.select("source_key", F.substring_index("source_key", "/", 1).alias("project"), "line_no", "raw", "bytes", "complete")
+
+
+def number_lines(text: DataFrame, key: Column) -> DataFrame:
+    """(source_key, line_no, raw, bytes, complete) of files that Spark's text source reads, numbered from 0 within each file;
+    ``key`` names a file by its ``_metadata``."""
     rows = text.select(
-        source_key(root, F.col("_metadata.file_path")).alias("source_key"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
+        key.alias("source_key"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("nth"), F.col("value").alias("raw"), (F.octet_length("value") + 1).alias("bytes"),
     )
     blocks = rows.groupBy("source_key", "block").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("block_bytes"), F.max("size").alias("size"))
@@ -69,7 +76,7 @@ def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -
         )
     )
     numbered = rows.join(starts, ["source_key", "block"]).withColumn("line_no", F.col("base") + F.col("nth") - F.col("first"))
-    return numbered.select("source_key", F.substring_index("source_key", "/", 1).alias("project"), "line_no", "raw", "bytes", (F.col("ends") | (F.col("line_no") < F.col("file_lines") - 1)).alias("complete"))
+    return numbered.select("source_key", "line_no", "raw", "bytes", (F.col("ends") | (F.col("line_no") < F.col("file_lines") - 1)).alias("complete"))
 
 
 def source_key(root: str, path: Column) -> Column:

@@ -216,7 +216,10 @@ def test_event_log_round_trip_and_prune(spark, tmp_path):
     path = str(tmp_path / "log")
     events.append(e, path)
     (tmp_path / "log" / "part-zz.txt").write_text('{"kind":"opened"}\nnot json\n{"anchor":"a","extra":1}\n')
-    assert {r["status"]: r["n"] for r in events.prune(spark, path, str(tmp_path / "kept")).collect()} == {"ok": 2, "corrupt": 3}
+    told = {r["status"]: r for r in events.prune(spark, path, str(tmp_path / "kept"), F.col("anchor") == "a2").collect()}
+    assert {k: r["n"] for k, r in told.items()} == {"ok": 1, "corrupt": 3, "superseded": 1}
+    assert told["corrupt"]["lines"] == [f"part-zz.txt:{n}" for n in (1, 2, 3)] and told["ok"]["lines"] == [] and len(told["superseded"]["lines"]) == 1
+    assert spark.read.text(str(tmp_path / "kept")).count() == 1
 
 
 def test_stream_reads_each_file_once(spark, tmp_path):
