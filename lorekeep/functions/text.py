@@ -89,15 +89,17 @@ def strip_reminders(prompt: Column) -> Column:
     return F.trim(F.regexp_replace(prompt, r"(?s)<system-reminder>.*?</system-reminder>", ""))
 
 
-def gate(prompt: Column, cues: list[str], synthetic: list[str]) -> Column:
-    """What a prompt hook does: ``synthetic`` (by prefix), ``hit`` (a cue matches) or ``miss``."""
+def gate(prompt: Column, cues: list[str], synthetic: list[str], mode: Column | None = None) -> Column:
+    """What a prompt hook does: ``synthetic`` (by prefix), ``hit`` (a cue matches) or ``miss``. ``mode`` is ``cued``, ``always`` (all
+    but synthetic prompts are hits) or ``off`` (which is the answer, too); anything else counts as ``cued``."""
     own = strip_reminders(prompt)
-    is_synthetic, is_hit = F.lit(False), F.lit(False)
+    is_synthetic, is_hit = F.lit(False), F.lit(False) if mode is None else F.coalesce(mode == "always", F.lit(False))
     for prefix in synthetic:
         is_synthetic = is_synthetic | own.startswith(prefix)
     for cue in cues:
         is_hit = is_hit | own.rlike(cue)
-    return F.when((own == "") | is_synthetic, "synthetic").when(is_hit, "hit").otherwise("miss")
+    told = F.when((own == "") | is_synthetic, "synthetic").when(is_hit, "hit").otherwise("miss")
+    return told if mode is None else F.when(F.coalesce(mode == "off", F.lit(False)), "off").otherwise(told)
 
 
 def derived_query(text: Column, seed: int) -> Column:

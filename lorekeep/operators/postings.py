@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorekeep.functions.words import Lexicon, tokens
 from lorekeep.sources.shipping import ship_package
@@ -270,7 +271,7 @@ def _named(layout: Layout, asked: list[Phrase]) -> Column:
 
 def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of the driver's, without a job of its own."""
-    typed = spark.createDataFrame([], schema).schema
+    typed = StructType.fromDDL(schema)
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in typed]
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     return spark.createDataFrame(pa.table({f.name: pa.array(list(c), arrow[f.dataType.simpleString()]) for f, c in zip(typed, columns, strict=True)}), schema=typed)

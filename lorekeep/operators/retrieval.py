@@ -44,12 +44,13 @@ def lexical_channels(index: SearchIndex, queries: DataFrame, channels: tuple[str
     spark = queries.sparkSession
     batch = postings.phrases(index, queries, channels)
     postings.narrow(index, batch)
-    found = postings.found(index, batch, spark)
+    counted, uncounted = ([p for p in batch if (p.df is not None) == known] for known in (True, False))
+    unknown = postings.found(index, uncounted, spark)
+    found = postings.found(index, counted, spark).unionByName(unknown) if counted and uncounted else postings.found(index, counted, spark) if counted else unknown
     # counts ask for the same columns as the rows do, so that both share one pass over the postings
-    unknown = postings.found(index, [p for p in batch if p.df is None], spark)
     counts = unknown.groupBy("channel", "qid", "variant").agg(F.count_if(F.col("tf").isNotNull() & (F.col("dl").isNotNull() | F.col("project").isNotNull())).alias("counted"))
     asked = postings.local(spark, [(p.channel, p.qid, p.variant, p.k, p.project, p.df) for p in batch], "channel string, qid int, variant int, k int, scope string, df long")
-    if all(p.df is not None for p in batch):
+    if not uncounted:
         per_query = asked
     else:
         per_query = asked.join(counts, ["channel", "qid", "variant"], "left").withColumn("df", F.coalesce("df", "counted")).drop("counted")

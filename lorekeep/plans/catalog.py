@@ -574,6 +574,14 @@ def prompt_gate(spark, sf_dir):
     return c.select("conv_id", "turn", fn.gate(prompt, ["(?i)\\bthing\\b", "(?i)ques+"], ["/cmd", "<command"]).alias("outcome"))
 
 
+def prompt_modes(spark, sf_dir):
+    """The gate under each mode, by conversation; an unknown or missing mode counts as cued."""
+    c = table(spark, sf_dir, "conversations")
+    mode = F.get(F.array(*[F.lit(m) for m in ("cued", "always", "off", "loud", None)]), F.pmod("conv_id", F.lit(5)).cast("int"))
+    prompt = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("/cmd "), F.col("text"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", fn.gate(prompt, ["(?i)ques+"], ["/cmd"], mode).alias("outcome"))
+
+
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", hashing.content_hash(F.col("text"), KEY).alias("content_hash"), hashing.starting_side(F.col("text")).alias("side"))
 
@@ -600,6 +608,6 @@ QUERIES_BY_NAME = {
     "tie_stats": tie_stats, "tie_run_lengths": tie_run_lengths, "record_faults": record_faults, "salvage_presentations": salvage_presentations,
     "unattributable_hits": unattributable_hits, "script_runs": script_runs, "signal_maps": signal_maps, "source_union": source_union, "interleave_ab": interleave_ab, "comparison_report": comparison_report, "generation_rows": generation_rows, "dispositions": dispositions,
     "corrected_preference": corrected_preference, "ndcg_by_class": ndcg_by_class, "known_item_recall": known_item_recall, "latency_p95": latency_p95, "mark_events": mark_events,
-    "skip_tally": skip_tally, "tool_metadata": tool_metadata, "event_range": event_range, "salvage_log": salvage_log, "salvage_lines": salvage_lines, "prompt_gate": prompt_gate,
+    "skip_tally": skip_tally, "tool_metadata": tool_metadata, "event_range": event_range, "salvage_log": salvage_log, "salvage_lines": salvage_lines, "prompt_gate": prompt_gate, "prompt_modes": prompt_modes,
     "content_hash": content_hash, "nested_samples": nested_samples,
 }

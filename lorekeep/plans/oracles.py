@@ -358,6 +358,8 @@ SELECT conv_id, turn, CASE WHEN plain <> '' THEN sha256({_pad(0x5C)} || unhex(sh
     "nested_samples": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('7:' || doc_id), doc_id) AS n FROM documents)
 SELECT doc_id, CASE WHEN n <= 10 THEN 10 WHEN n <= 40 THEN 40 ELSE 160 END AS smallest_sample FROM d WHERE n <= 160""",
     "known_item_recall": _known_items(),
+    "prompt_modes": """WITH c AS (SELECT conv_id, turn, conv_id % 5 AS m, turn % 4 = 2 AS cmd, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN m = 2 THEN 'off' WHEN cmd OR trim(t) = '' THEN 'synthetic' WHEN m = 1 OR regexp_matches(t, '(?i)ques+') THEN 'hit' ELSE 'miss' END AS outcome FROM c""",
     "prompt_gate": """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN text WHEN turn % 4 = 2 THEN '/cmd ' || text ELSE text END AS own FROM conversations)
 SELECT conv_id, turn, CASE WHEN trim(own) = '' OR starts_with(own, '/cmd') THEN 'synthetic' WHEN regexp_matches(own, '(?i)\\bthing\\b') OR regexp_matches(own, '(?i)ques+') THEN 'hit' ELSE 'miss' END AS outcome FROM c""",
 }

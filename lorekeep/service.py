@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import hashing
 from lorekeep.functions.embedding import EmbeddingProvider
-from lorekeep.functions.text import is_fingerprint, is_identifier, query_class
+from lorekeep.functions.text import gate, is_fingerprint, is_identifier, query_class, strip_reminders
 from lorekeep.functions.words import Lexicon
 from lorekeep.operators import evaluate, memory, rerank, retrieval
 from lorekeep.sources import sinks
@@ -20,6 +20,8 @@ from lorekeep.streaming.ingest import LAYOUT, BuildReport, Store
 
 #: Anchors that are looked for in the corpus by name; more are joined.
 _NAMED_ANCHORS = 10_000
+#: Characters of a prompt that are asked for.
+_MOST_PROMPT = 4000
 _EVENT = "kind string, anchor long, ts timestamp, generation string, policy string, note_ref string, presentation string"
 _RECORD = "id string, query_class string, strategy_a string, strategy_b string, generation string, attribution array<struct<anchor:long,credited_to:string>>, starting_side string, is_null_comparison boolean"
 
@@ -113,7 +115,10 @@ class Service:
         """Takes in what is new, unless another build is at work: then the last version answers."""
         building = self.store.running()
         report = self.build(root, budget_seconds=seconds) if root is not None and not building else None
-        self.notice = Notice(self.store.version(), building, self.store.owes_audit(), report)
+        version = self.store.version()
+        if not version:
+            raise ValueError("there is no index yet: build one")
+        self.notice = Notice(version, building, self.store.owes_audit(), report)
 
     def _strengths(self, page: DataFrame, spreading: float) -> DataFrame:
         """Net strengths of the page's anchors. Of the log, events of these anchors alone are read; with spreading, those of
@@ -165,6 +170,19 @@ class Service:
         self._shown(kept.select(F.col("chunk_id").alias("anchor")), strategy, number)
         return sinks.pointered(kept.withColumn("presentation", F.lit(number)), chunks)
 
+    def recall(self, prompt: str, cues: list[str], synthetic: list[str], mode: str = "cued", k: int = 5, project: str | None = None) -> tuple[str, str]:
+        """What a prompt hook says of a prompt: its label (off, synthetic, miss, hit or notice) and a text. A hit's text is the
+        recall block of a recorded query; where that fails the label is ``notice`` and the text says why, in one line: a
+        prompt must never wait for an error. Other labels have none."""
+        label = self.spark.createDataFrame([(prompt, mode)], "prompt string, mode string").select(gate(F.col("prompt"), cues, synthetic, F.col("mode"))).first()[0]
+        if label != "hit":
+            return label, ""
+        asked = self.spark.createDataFrame([(prompt,)], "prompt string").select(F.substring(strip_reminders(F.col("prompt")), 1, _MOST_PROMPT)).first()[0]
+        try:
+            return "hit", sinks.recall_block(self.query(asked, k, project, record=True))
+        except Exception as failed:  # whatever it is, it is told instead of raised
+            return "notice", f"recall was not done: {' '.join(str(failed).split())[:200]}"
+
     def _shown(self, anchors: DataFrame, policy: str, presentation: str) -> None:
         shown = anchors.select(
             F.lit("shown").alias("kind"), "anchor", F.current_timestamp().alias("ts"), F.lit(self._generation()).alias("generation"), F.lit(policy).alias("policy"), F.lit(None).cast("string").alias("note_ref"), F.lit(presentation).alias("presentation")

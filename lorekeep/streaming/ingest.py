@@ -349,6 +349,10 @@ class _Batches:
 
     @staticmethod
     def of(spark: SparkSession, turns: DataFrame, todo: DataFrame, lines: DataFrame, found: DataFrame, size: int) -> _Batches:
+        chunks = turns.count()
+        if chunks <= size:  # one batch: nothing to number or to cut
+            cut = logs.cursors(found).select("*", F.lit(0).alias("batch")).where("false")
+            return _Batches(turns.withColumn("batch", F.lit(0)), todo.select("source_key", "action", F.lit(0).alias("first"), F.lit(0).alias("last")), cut, found, 1, chunks)
         ranked = turns.join(todo.select("source_key", "rank", "action"), "source_key").withColumn("piece", F.floor(F.col("line_no") / PIECE))
         pieces = numbered_pieces(ranked.groupBy("rank", "source_key", "piece").agg(F.count(F.lit(1)).alias("n")))
         nth = F.row_number().over(Window.partitionBy("source_key", "piece").orderBy("line_no")) - 1  # within a piece of a source
@@ -366,7 +370,7 @@ class _Batches:
         at = turned.join(split.select("source_key", "last"), "source_key").where("batch < last").groupBy("source_key", "batch").agg((F.max("line_no") + 1).alias("cut"))
         cuts = written(logs.cursors_at(lines, written(at)))
         told = sources.agg(F.max("last").alias("last")).first()["last"]
-        return _Batches(turned, sources, cuts, found, (told or 0) + 1, turned.count())
+        return _Batches(turned, sources, cuts, found, told + 1, chunks)
 
     def of_batch(self, k: int, bounded: bool) -> _Batch:
         """What batch ``k`` takes in; with a budget, without rewritten sources."""
