@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +35,19 @@ def readable(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
         projects = sorted(p for p, is_folder in _list(fs, top) if is_folder)
     except Exception as failed:
         raise ValueError(f"the root {root} can't be listed") from failed
-    paths, unreadable = [], []
-    for project in projects:
-        todo, whole = [project], True
-        while todo and whole:
+
+    def is_whole(project: str) -> bool:
+        todo = [project]
+        while todo:
             try:
                 todo += [p for p, is_folder in _list(fs, jvm.org.apache.hadoop.fs.Path(todo.pop())) if is_folder]
             except Exception:  # no permission, a lost mount, a folder that went away: not the same as an empty one
-                whole = False
-        (paths if whole else unreadable).append(project if whole else project.rstrip("/").rsplit("/", 1)[-1])
-    return paths, unreadable
+                return False
+        return True
+
+    with ThreadPoolExecutor(16) as pool:
+        whole = dict(zip(projects, pool.map(is_whole, projects), strict=True))
+    return [p for p in projects if whole[p]], [p.rstrip("/").rsplit("/", 1)[-1] for p in projects if not whole[p]]
 
 
 def read_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:

@@ -232,15 +232,17 @@ class Store:
             else:
                 self.gate()
         self._beat(name, "reading")
-        report = self._merge_all(name, root, p, full, list(unreadable_projects), batch_chunks, budget_seconds, tell, began)
-        if (owed or full and audit) and not report.unmerged:
-            self.require_audit()
-        now = self.published()
-        if now.v - now.base >= merge_after:
-            report.version, report.merged = self.merge(), True
-            tell(f"merged into version {report.version}")
-        self._beat(name, "done")
-        return report
+        try:
+            report = self._merge_all(name, root, p, full, list(unreadable_projects), batch_chunks, budget_seconds, tell, began)
+            if (owed or full and audit) and not report.unmerged:
+                self.require_audit()
+            now = self.published()
+            if now.v - now.base >= merge_after:
+                report.version, report.merged = self.merge(), True
+                tell(f"merged into version {report.version}")
+            return report
+        finally:  # failed or not, it is over
+            self._beat(name, "done")
 
     def _merge_all(self, name: str, root: str, p: Published, full: bool, named: list[str], batch_chunks: int, budget: float | None, tell: Callable[[str], None], began: float) -> BuildReport:
         before = self.spark.createDataFrame([], _STATE) if full else self.state(p)
