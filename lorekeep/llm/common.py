@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.sources.shipping import ship_package
 
-__all__ = ["ascii_lower", "ascii_words", "fold", "join_split", "materialise", "read_table", "scratch_folder", "ship_package"]
+__all__ = ["anti_split", "ascii_lower", "ascii_words", "fold", "join_split", "materialise", "read_table", "scratch_folder", "ship_package"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -60,6 +60,13 @@ def join_split(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     return left.join(many, key).unionByName(rest)
 
 
+def anti_split(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """The left rows whose key ``right`` lacks, with the same split as ``join_split``: rows of hot keys go before any shuffle."""
+    hot = F.col(weight) * 1000 > total
+    many, few = F.broadcast(right.where(hot).select(key)), right.where(~hot).select(key)
+    return left.join(many, key, "left_anti").join(few, key, "left_anti")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared scratch folder and reads it back, which cuts its lineage.
 

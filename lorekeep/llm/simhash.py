@@ -10,8 +10,10 @@ more fingerprints there are, the longer the keys (12 to 32 bits), so buckets sta
 bucket entries stand in Gray-code order, in which neighbours share long bit patterns. Nodes over runs of them hold the
 bits that all members share (a mask and its value). Two nodes whose shared patterns differ in more than 4 bits are pruned
 with all their members; nodes that can't differ in more are joined without looking at members. The upper level of that
-index is a Spark table: a large bucket is cut into tiles of about ``TILE`` entries by Gray rank, however many that makes,
-and only pairs of tiles whose patterns pass meet in a task, so no bucket needs to fit in one task.
+index is a Spark table: large buckets are sorted by Gray rank in range partitions, which may end within a bucket, and cut
+into tiles of at most ``TILE`` entries, however many that makes; only pairs of tiles whose patterns pass meet in a task, so
+no bucket needs to fit in one task. Entries of the largest buckets stay where they are when these are looked up
+(``join_split``, ``anti_split``).
 
 A bucket returns a star (each member to the smallest member it is connected with) instead of all pairs. Stars are
 joined into components by alternating large-star and small-star rounds over written tables; no links, components or
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import join_split, materialise, read_table, ship_package
+from lorekeep.llm.common import anti_split, join_split, materialise, read_table, ship_package
 
 BITS = 64
 MAX_BITS = 4
@@ -41,6 +43,8 @@ MAX_BITS = 4
 BUCKET = 256
 #: Entries of a bucket that meet in one task; larger buckets are cut into tiles.
 TILE = 8192
+#: Tiles of a large bucket that one task holds against all of the bucket's tiles.
+TILES_A_TASK = 64
 LEAF = 32
 FANOUT = 8
 
@@ -196,31 +200,29 @@ def scheme(n: int) -> list[int]:
 
 def near_links(fps: DataFrame, n: int) -> DataFrame:
     """Links (a, b) over the ``n`` distinct fingerprints (``fp``) that connect exactly those that near pairs connect."""
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(scheme(n))])
-    entries = fps.select("fp", F.explode(keys).alias("b")).select("fp", "b.block", "b.key")
-    large = materialise(entries.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE))  # at most one for each TILE entries
+    masks = scheme(n)
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
+    entries = fps.select("fp", F.explode(keys).alias("bucket"))
+    large = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    large = materialise(large.withColumn("shares", F.ceil(F.col("n") / (TILE * TILES_A_TASK)).cast("int")))  # at most a row for each TILE entries
     units = entries
     if not large.isEmpty():
-        units = entries.join(large.select("block", "key"), ["block", "key"], "left_anti")
-    units = units.select(F.xxhash64("block", "key").alias("unit"), "fp")
+        units = anti_split(entries, large, "bucket", "n", n * len(masks))
+    units = units.select(F.xxhash64("bucket").alias("unit"), "fp")
     if not large.isEmpty():
-        most = 2
-        while most * TILE < large.agg(F.max("n")).first()[0]:
-            most *= 2
-        hot = materialise(entries.join(large, ["block", "key"]).withColumn("rank", gray_rank(F.col("fp"))))
-        cuts = F.percentile_approx("rank", [k / most for k in range(1, most)], max(10000, 20 * most))
-        bounds = hot.groupBy("block", "key").agg(cuts.alias("bounds"))
-        count = F.ceil(F.col("n") / TILE).cast("int")
-        tile = F.size(F.filter("bounds", lambda x: x <= F.col("rank")))
-        tiled = materialise(hot.join(bounds, ["block", "key"]).select("block", "key", "fp", F.floor(tile * count / most).cast("int").alias("tile")))
-        nodes = materialise(tiled.groupBy("block", "key", "tile").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")))
-        # one node for each TILE entries of a large bucket: an equi-join of the index's upper level
-        left, right = nodes.toDF("block", "key", "i", "low_i", "high_i"), nodes.toDF("block", "key", "j", "low_j", "high_j")
+        hot = materialise(join_split(entries, large, "bucket", "n", n * len(masks)).withColumn("rank", gray_rank(F.col("fp"))))
+        # range partitions may end within a bucket, so one of any size is cut by many tasks
+        at = F.expr(f"monotonically_increasing_id() div {TILE}").alias("tile")
+        tiled = materialise(hot.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank").select("bucket", "shares", "fp", at))
+        nodes = materialise(tiled.groupBy("bucket", "tile").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"), F.first("shares").alias("shares")))
+        # one node for each TILE entries of a large bucket: an equi-join of the index's upper level, in shares of its tiles
+        left = nodes.select("bucket", F.pmod("tile", "shares").cast("int").alias("share"), F.col("tile").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+        right = nodes.select("bucket", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
         loose = (F.col("low_i").bitwiseXOR(F.col("high_i"))).bitwiseOR(F.col("low_j").bitwiseXOR(F.col("high_j")))
         apart = F.bit_count((F.col("low_i").bitwiseXOR(F.col("low_j"))).bitwiseAND(F.bitwise_not(loose)))
-        pairs = left.join(right, ["block", "key"]).where((F.col("i") <= F.col("j")) & (apart <= MAX_BITS)).select("block", "key", "i", "j")
+        pairs = left.join(right, ["bucket", "share"]).where((F.col("i") <= F.col("j")) & (apart <= MAX_BITS)).select("bucket", "i", "j")
         sides = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-        units = units.unionByName(tiled.join(sides, ["block", "key", "tile"]).select(F.xxhash64("block", "key", "i", "j").alias("unit"), "fp"))
+        units = units.unionByName(tiled.join(sides, ["bucket", "tile"]).select(F.xxhash64("bucket", "i", "j").alias("unit"), "fp"))
     return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(_stars, "a long, b long")
 
 

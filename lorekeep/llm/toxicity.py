@@ -279,7 +279,7 @@ def _index(examples: DataFrame, rows: DataFrame) -> Index:
     toxic = label[order].astype(np.float64)
     per, share = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}, {1: n1 / total, 0: n0 / total}
     votes = np.array([share[int(y)] / per[int(y)] for y in toxic]) * len(ids)
-    return Index(terms, idf, starts, who[by].astype(np.uint16), np.minimum(tf[by], 65535).astype(np.uint16), toxic, ids[order], votes)
+    return Index(terms, idf, starts, who[by].astype(np.uint16), tf[by].astype(np.uint32), toxic, ids[order], votes)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index | None:

@@ -148,6 +148,87 @@ def test_neighbours_are_those_of_all_terms(spark):
         assert np.allclose(got, [c for c in want if c > 1e-9], atol=1e-5) and (len(got) > 0) == (t != "unheard")
 
 
+def test_toxicity_scores_are_those_of_a_plain_search(spark):
+    """Weights of terms, neighbours, votes and calibration worked out by loops over every term and every example."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}word"[: 4 + k % 5] + b for k, (a, b) in enumerate((x, y) for x in "abcdefgh" for y in "klmnopq")]
+    rows = []
+    for i in range(150):
+        said = list(rng.choice(vocabulary, int(rng.integers(6, 25))))
+        bad = i % 3 == 0
+        rows.append((i, " ".join(said + (["vileness"] * int(rng.integers(1, 4)) if bad else ["mildness"] * int(rng.integers(0, 3)))), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    part = {r["doc_id"]: r["part"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(8)).alias("part")).collect()}
+    labels = spark.createDataFrame([(r[0], float(r[2])) for r in rows], "label_id long, label double")
+    index = toxicity.fit(docs, labels)
+
+    def counts(text):
+        out = {}
+        for w in text.split():
+            for t in {w, *((w[:5] + "-", "-" + w[-5:]) if len(w) > 5 else ())}:
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    learned = [r for r in rows if part[r[0]] > 0]
+    total, n1 = len(learned), sum(r[2] for r in learned)
+    assert sorted(index.ids.tolist()) == [r[0] for r in learned]
+
+    def weight(term):
+        a, b = (sum(term in counts(t) for _, t, y in learned if y == k) for k in (1, 0))
+        n0 = total - n1
+        phi = abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(n1 * n0 * max(a + b, 1) * (total - a - b + 0.5)) if a + b else 0.0
+        return np.log((total + 1) / max(a + b, 1)) * (toxicity.BASE + phi)
+
+    weights = {t: weight(t) for t in {t for _, text, _ in rows for t in counts(text)}}
+
+    def vector(text):
+        v = {t: (1 + np.log(n)) * weights[t] for t, n in counts(text).items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    examples = [(vector(t), y) for _, t, y in learned]
+
+    def raw(text):
+        v = vector(text)
+        near = sorted(((sum(x * e.get(t, 0.0) for t, x in v.items()), y) for e, y in examples), key=lambda g: -g[0])[: toxicity.NEAREST]
+        votes = [(n1 / total / n1 if y else (total - n1) / total / (total - n1)) / (1.05 - min(c, 1.0)) for c, y in near]
+        return sum(w * y for w, (_, y) in zip(votes, near, strict=True)) / sum(votes) * np.mean([c for c, _ in near])
+
+    tested = sorted((raw(t), y) for i, t, y in rows if part[i] == 0)
+    bins = {}
+    for s, y in tested:
+        bins.setdefault(int(np.floor(s * (2000 / 3))), []).append((s, y))
+    x, p = fitting.isotonic(*(np.array(c) for c in zip(*((np.mean([s for s, _ in g]), np.mean([y for _, y in g]), float(len(g))) for g in bins.values()), strict=True)))
+    assert np.allclose(index.points[0], x, atol=1e-4) and np.allclose(index.points[1], p, atol=1e-6)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_with(docs, index).collect()}
+    want = fitting.calibrated(np.array([raw(t) for _, t, _ in rows]), (x, p))
+    assert np.allclose([got[i] for i, _, _ in rows], want, atol=5e-3)
+
+
+def test_a_term_repeated_beyond_sixteen_bits_keeps_its_count(spark):
+    rows = [(i, ("spam " * 70_000 if i % 10 == 0 else "spam eggs ") + f"own{chr(97 + i % 26)}{chr(97 + i // 26)}", int(i % 2 == 0)) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], float(r[2])) for r in rows], "label_id long, label double")
+    index = toxicity.fit(docs, labels)
+    assert any(i % 10 == 0 for i in index.ids) and index.tf.max() == 70_000
+
+
+def test_languages_of_the_held_out_and_names_are_never_inputs(spark, sf, tmp_path):
+    """Held-out languages and all sources changed, ids permuted among the held-out rows: no prediction moves."""
+    from lorekeep.llm.common import fold
+
+    docs = read_table(spark, sf, "documents")
+    out = fold(F.col("doc_id"), 5) == 0
+    held = [r["doc_id"] for r in docs.where(out).select("doc_id").orderBy("doc_id").collect()]
+    back = dict(zip(held, held[1:] + held[:1]))
+    moved = spark.createDataFrame(list(back.items()), "doc_id long, new_id long")
+    lang = F.when(out, F.when(F.col("lang") == "de", "en").otherwise("de")).otherwise(F.col("lang"))
+    other = docs.withColumn("lang", lang).withColumn("source", F.lit("x")).join(moved, "doc_id", "left").withColumn("doc_id", F.coalesce("new_id", "doc_id")).drop("new_id")
+    other.write.parquet(f"{tmp_path}/documents.parquet")
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.op2_language(spark, at).collect()} for at in (sf, str(tmp_path)))
+    assert len(a) == len(b) and len(held) > 10
+    assert all(a[i][0] == b[back.get(i, i)][0] and abs(a[i][1] - b[back.get(i, i)][1]) < 1e-6 for i in a)
+
+
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
 def test_labels_of_the_held_out_and_names_are_never_inputs(spark, score):
     """Held-out labels turned around, other columns changed, and ids permuted among rows of the held-out fold: no score moves."""
@@ -181,7 +262,7 @@ def test_pipeline_stages(spark):
 
 
 def test_registry_names():
-    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
 
 
 if __name__ == "__main__":

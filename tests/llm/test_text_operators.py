@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, chat, html_text, simhash
+from lorekeep.llm import bpe, chat, common, html_text, simhash
 
 # -- BPE --------------------------------------------------------------------------------------------------------------
 
@@ -221,6 +221,36 @@ def test_links_and_components_over_spark(spark, monkeypatch, tile, n):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_one_bucket_for_all_without_automatic_broadcasts(spark, monkeypatch):
+    """Fingerprints that differ in their upper bits alone meet in two buckets whole; tiles and shares are many, and only
+    keys of a checked number are broadcast."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "TILES_A_TASK", 2)
+    rng = random.Random(11)
+    fps = sorted({(rng.getrandbits(24) << 40) | (rng.getrandbits(3) if k % 5 == 0 else 0) for k in range(700)} | {0, 1, (1 << 64) - 1})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), len(signed))
+        roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    named = {}
+    for x, w in zip(signed, brute_components(fps), strict=True):
+        named.setdefault(w, set()).add(roots.get(x, x))
+    assert all(len(g) == 1 for g in named.values()) and len({next(iter(g)) for g in named.values()}) == len(named) > 1
+
+
+def test_split_joins_equal_plain_ones(spark):
+    left = spark.createDataFrame([(k, v) for v in range(3000) for k in [0 if v % 2 else v]] + [(None, -1)], "k long, v long")
+    right = spark.createDataFrame([(0, 1500, "hot"), (2, 1, "two"), (8, 1, "eight"), (9001, 0, "none")], "k long, n long, name string")
+    joined, plain = (sorted(map(tuple, d.select("k", "v", "name").collect())) for d in (common.join_split(left, right, "k", "n", 3001), left.join(right.drop("n"), "k")))
+    assert joined == plain and len(plain) > 1500
+    gone, plain = (sorted(map(tuple, d.collect()), key=str) for d in (common.anti_split(left, right, "k", "n", 3001), left.join(right, "k", "left_anti")))
+    assert gone == plain and (None, -1) in plain
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (-5, 200)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
