@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.functions.text import is_fingerprint, is_identifier
+
 
 def build_chunks(turns: DataFrame) -> DataFrame:
     """One row per (project_fingerprint, uuid): the latest observation by ``seq`` wins; ``ts`` is the latest of all
@@ -37,6 +39,12 @@ def sessions_per_chunk(links: DataFrame) -> DataFrame:
     return links.groupBy("chunk_id").agg(F.transform(pairs, lambda p: p["session_id"]).alias("sessions"))
 
 
+def is_sound() -> Column:
+    """Whether a chunk (uuid, project_fingerprint, text, sessions) may be told as a result: it has a pointer, text and a source."""
+    sound = is_identifier(F.col("uuid")) & is_fingerprint(F.col("project_fingerprint")) & (F.trim("text") != "") & (F.size("sessions") > 0)
+    return F.coalesce(sound, F.lit(False))
+
+
 def source_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("source_key").agg(F.count(F.lit(1)).alias("chunk_count"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import hashing
 from lorekeep.functions.embedding import EmbeddingProvider
-from lorekeep.functions.text import gate, is_fingerprint, is_identifier, query_class, strip_reminders
+from lorekeep.functions.text import gate, query_class, strip_reminders
 from lorekeep.functions.words import Lexicon
-from lorekeep.operators import evaluate, memory, rerank, retrieval
+from lorekeep.operators import evaluate, index, memory, rerank, retrieval
 from lorekeep.sources import sinks
 from lorekeep.sources.tables import written
 from lorekeep.streaming.ingest import LAYOUT, BuildReport, Store
@@ -102,8 +102,7 @@ class Service:
         while True:
             hits = self._hits(text, depth, project)
             chunks = written(self.store.stored_chunks(ids=[r["chunk_id"] for r in hits.select("chunk_id").limit(sinks.MOST_RESULTS).collect()]))
-            sound = is_identifier(F.col("uuid")) & is_fingerprint(F.col("project_fingerprint")) & (F.trim("text") != "") & (F.size("sessions") > 0)
-            chunks = chunks.where(F.coalesce(sound, F.lit(False)))
+            chunks = chunks.where(index.is_sound())
             left = chunks.where(F.size(F.array_except("sessions", F.array(*map(F.lit, exclude)).cast("array<string>"))) > 0) if exclude else chunks
             if not exclude or left.count() >= k or depth >= sinks.MOST_RESULTS or hits.count() < depth:
                 self.unattributable = hits.join(chunks.select("chunk_id"), "chunk_id", "left_anti").count()

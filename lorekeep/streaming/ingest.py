@@ -264,7 +264,7 @@ class Store:
         pending = written(logs.classify(logs.tails(lines.join(todo.where("action <> 'vanished'").select("source_key"), "source_key", "left_semi"), done)))
         for r in logs.skip_tally(pending).collect():
             report.skipped[r["skip_reason"]] = r["n"]
-        batches = _Batches.of(self.spark, pending.where("skip_reason is null"), todo, lines, found, batch_chunks)
+        batches = Batches.of(self.spark, pending.where("skip_reason is null"), todo, lines, found, batch_chunks)
         for k in range(batches.count):
             late = budget is not None and time.monotonic() - began > budget
             if late or budget is not None and tally.get("rewritten") and batches.only_rewritten(k):
@@ -279,7 +279,7 @@ class Store:
             report.unmerged = batches.rewritten() if budget is not None else 0
         return report
 
-    def _merge(self, p: Published, own: _Batch) -> None:
+    def _merge(self, p: Published, own: Batch) -> None:
         """One batch as version ``p.v``."""
         v, earlier = p.v, replace(p, v=p.v - 1)
         self._write(logs.turns(own.turns), "turns", v)
@@ -328,14 +328,14 @@ class Store:
 
 
 @dataclass
-class _Batch:
+class Batch:
     turns: DataFrame
     gone: DataFrame
     cursors: DataFrame
 
 
 @dataclass
-class _Batches:
+class Batches:
     """Pending chunks cut into batches of equal size, in the order of (rank, source, line).
 
     ``sources``: source_key, action, first, last (batch). ``turns`` are written by batch. ``cuts``: cursors of sources that a
@@ -350,11 +350,11 @@ class _Batches:
     chunks: int
 
     @staticmethod
-    def of(spark: SparkSession, turns: DataFrame, todo: DataFrame, lines: DataFrame, found: DataFrame, size: int) -> _Batches:
+    def of(spark: SparkSession, turns: DataFrame, todo: DataFrame, lines: DataFrame, found: DataFrame, size: int) -> Batches:
         chunks = turns.count()
         if chunks <= size:  # one batch: nothing to number or to cut
             cut = logs.cursors(found).select("*", F.lit(0).alias("batch")).where("false")
-            return _Batches(turns.withColumn("batch", F.lit(0)), todo.select("source_key", "action", F.lit(0).alias("first"), F.lit(0).alias("last")), cut, found, 1, chunks)
+            return Batches(turns.withColumn("batch", F.lit(0)), todo.select("source_key", "action", F.lit(0).alias("first"), F.lit(0).alias("last")), cut, found, 1, chunks)
         ranked = turns.join(todo.select("source_key", "rank", "action"), "source_key").withColumn("piece", F.floor(F.col("line_no") / PIECE))
         pieces = numbered_pieces(ranked.groupBy("rank", "source_key", "piece").agg(F.count(F.lit(1)).alias("n")))
         nth = F.row_number().over(Window.partitionBy("source_key", "piece").orderBy("line_no")) - 1  # within a piece of a source
@@ -372,9 +372,9 @@ class _Batches:
         at = turned.join(split.select("source_key", "last"), "source_key").where("batch < last").groupBy("source_key", "batch").agg((F.max("line_no") + 1).alias("cut"))
         cuts = written(logs.cursors_at(lines, written(at)))
         told = sources.agg(F.max("last").alias("last")).first()["last"]
-        return _Batches(turned, sources, cuts, found, told + 1, chunks)
+        return Batches(turned, sources, cuts, found, told + 1, chunks)
 
-    def of_batch(self, k: int, bounded: bool) -> _Batch:
+    def of_batch(self, k: int, bounded: bool) -> Batch:
         """What batch ``k`` takes in; with a budget, without rewritten sources."""
         touched = self.sources.where((F.col("first") <= k) & (F.col("last") >= k))
         touched = touched.where("action <> 'rewritten'") if bounded else touched
@@ -384,7 +384,7 @@ class _Batches:
         whole = logs.cursors(self.found.join(ended.where("action <> 'vanished'").select("source_key"), "source_key", "left_semi"))
         cut = self.cuts.where(F.col("batch") == k).join(touched.where(F.col("last") > k).select("source_key"), "source_key", "left_semi").drop("batch")
         none = ended.where("action = 'vanished'").select("source_key", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _STATE.split(", ")[1:])])
-        return _Batch(turns, gone, whole.unionByName(cut).unionByName(none))
+        return Batch(turns, gone, whole.unionByName(cut).unionByName(none))
 
     def only_rewritten(self, k: int) -> bool:
         return self.sources.where((F.col("first") <= k) & (F.col("last") >= k) & (F.col("action") != "rewritten")).isEmpty()

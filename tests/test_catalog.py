@@ -6,6 +6,9 @@ import pytest
 
 from lorekeep.plans.catalog import QUERIES_BY_NAME
 from lorekeep.plans.oracles import ORACLES
+from lorekeep.plans.store_catalog import STORE_ORACLES, STORE_QUERIES
+
+ALL, SQL = QUERIES_BY_NAME | STORE_QUERIES, ORACLES | STORE_ORACLES
 
 
 def rows(frame):
@@ -18,10 +21,10 @@ def rows(frame):
     return sorted(tuple(map(cell, r)) for r in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES_BY_NAME))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query_equals_its_sql(spark, sf, duck, name):
-    got = QUERIES_BY_NAME[name](spark, sf).toPandas()
-    if name in ORACLES:
-        assert rows(got) == rows(duck.execute(ORACLES[name]).fetchdf())
+    got = ALL[name](spark, sf).toPandas()
+    if name in SQL:
+        assert rows(got) == rows(duck.execute(SQL[name]).fetchdf())
     else:
         assert len(got) > 0
