@@ -19,9 +19,11 @@ EXTRAS = ("displacement", "history", "movement", "credited_to", "presentation")
 
 def pointered(hits: DataFrame, chunks: DataFrame, clip: int = 160) -> DataFrame:
     """Hits with their pointer (project, sessions, uuid, time) and a one-line snippet. ``chunks``: with sessions."""
-    rows = hits.join(chunks.select("chunk_id", "project", "uuid", "ts", "text", "sessions"), "chunk_id")
+    # clipped before the join, so that it never moves whole texts
+    told = chunks.select("chunk_id", "project", "uuid", "ts", flatten_clip(F.col("text"), clip).alias("snippet"), "sessions")
+    rows = hits.join(told, "chunk_id")
     extras = [c for c in EXTRAS if c in hits.columns]
-    return rows.select("qid", "pos", "project", "uuid", "ts", flatten_clip(F.col("text"), clip).alias("snippet"), "score", "band", "channels", "sessions", *extras)
+    return rows.select("qid", "pos", "project", "uuid", "ts", "snippet", "score", "band", "channels", "sessions", *extras)
 
 
 def json_lines(results: DataFrame) -> DataFrame:

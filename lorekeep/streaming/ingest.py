@@ -29,7 +29,7 @@ from lorekeep.sources import logs
 from lorekeep.sources.shipping import ship_package
 from lorekeep.sources.tables import scratch_folder, written
 
-LAYOUT = 3
+LAYOUT = 4
 #: Chunks that a batch merges at most, but for a rewritten source, which is merged whole.
 BATCH_CHUNKS = 1_000_000
 #: Lines that are numbered as one piece, and seconds after which a silent build no longer counts as running.

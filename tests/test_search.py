@@ -1,6 +1,7 @@
 """Search over postings: phrases, blocks that are left out, and how many jobs and scans a batch takes."""
 
 import random
+import re
 
 import pytest
 import xxhash
@@ -129,3 +130,40 @@ def test_vectors_of_ties_scopes_and_dimensions(spark):
         got.setdefault(r["qid"], []).append(r["chunk_id"])
     best = sorted(range(400), key=lambda i: (-(i % 5), i))
     assert got == {1: best[:50], 2: [i for i in best if i % 2][:50], 3: [900]}
+
+
+def test_building_shuffles_texts_not_postings(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "p0", "".join(rng.choices("abcdefghij   ", k=1500))) for i in range(400)]
+    df = spark.createDataFrame(rows, "chunk_id long, project string, text string")
+    df.write.parquet(str(tmp_path / "texts"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = shuffled()
+    layout = postings.Layout(16, 2)
+    postings.write_postings(spark.read.parquet(str(tmp_path / "texts")), str(tmp_path / "trigram"), "trigram", layout)
+    assert 0 < shuffled() - before < 2 * sum(len(t) for _, _, t in rows)
+    told = spark.read.parquet(str(tmp_path / "trigram"))
+    assert told.select(F.sum("tf"), F.sum(F.size("positions"))).first()[:] == (400 * 1498,) * 2
+    assert {r["n"] for r in told.groupBy(F.input_file_name()).agg(F.count_distinct("block").alias("n")).collect()} == {1}
+
+
+@pytest.mark.parametrize("channel", postings.LEXICAL)
+def test_postings_come_in_sorted_runs_of_bounded_size(spark, monkeypatch, channel):
+    monkeypatch.setattr(postings, "OCCURRENCES", 300)
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choices("abé😀記 ", k=rng.choice([0, 2, 3, 90, 700]))) for i in range(60)}
+    df = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "chunk_id long, project string, text string").coalesce(1)
+    layout, runs = postings.Layout(4, 1), [[]]
+    for r in postings.postings(df, channel, layout=layout).collect():
+        key = (r["bucket"], r["term"].encode(), r["chunk_id"])
+        if runs[-1] and key < runs[-1][-1][0]:
+            runs.append([])
+        runs[-1].append((key, r))
+    assert len(runs) > 10 and all(sum(r["tf"] for _, r in run) <= 300 or len({r["chunk_id"] for _, r in run}) == 1 for run in runs)
+    got = {(r["term"], r["chunk_id"]): r["positions"] for run in runs for _, r in run}
+    want = {}
+    split = lambda t: [t[i : i + 3] for i in range(len(t) - 2)] if channel == "trigram" else re.findall("[ab\u00e9]+|\u8a18", t)
+    for i, t in texts.items():
+        for at, term in enumerate(split(t)):
+            want.setdefault((term, i), []).append(at)
+    assert got == want and all(k[0] == layout.bucket(r["term"]) and r["tf"] == len(r["positions"]) and r["dl"] == len(split(texts[r["chunk_id"]])) for run in runs for k, r in run)
