@@ -73,6 +73,15 @@ def test_two_character_queries_hit_whole_words_only(spark, tmp_path):
     assert (2, 1) in {(r["qid"], r["chunk_id"]) for r in postings.matches(plain, asked, "segment").collect()}  # as characters, the seam of two words is a hit
 
 
+def test_workers_get_tokens_as_one_string(spark):
+    df = spark.createDataFrame([(1, "記憶釘選 abc・版本x"), (2, None), (3, "plain text"), (4, "・"), (5, "記憶")], "i int, t string").select("i", tokens(F.col("t"), LEXICON).alias("words"))
+    assert [r["words"] for r in df.orderBy("i").collect()] == [["記憶", "釘選", "abc", "版本", "x"], None, ["plain", "text"], [], ["記憶"]]
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "ArrowEvalPython":
+        node = node.children().head()
+    assert node.schema().apply("pythonUDF0").dataType().simpleString() == "string"
+
+
 def test_a_lexicon_is_learned_from_counts(spark):
     rng = __import__("random").Random(3)
     words = ["記憶", "釘選", "版本", "天", "地", "人"]
