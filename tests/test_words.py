@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lorekeep.functions import embedding
 from lorekeep.functions import text as fn
 from lorekeep.functions.conversion import TO_SIMPLIFIED, TO_TRADITIONAL, Conversion
 from lorekeep.functions.words import UNKNOWN, Lexicon, learned, tokens
@@ -147,3 +148,16 @@ def test_no_character_that_composition_may_change_is_missed(spark):
 def test_normal_form(spark):
     rows = [("é  x\n",), ("é x",), (None,), ("",), ("Å",), ("plain  text",), ("한",)]
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(fn.normal_form(F.col("t"))).collect()] == ["é x", "é x", "", "", "Å", "plain text", "한"]
+
+
+def test_vectors_of_several_texts_are_those_of_each(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "MOST_KNOWN", 5)
+    texts = ["one two", "", None, "Two  three two", " ", "one two"] + [f"w{i} w{i + 1}" for i in range(300)]
+    told = embedding.HashingEmbedder(16).vectors(texts)
+    for t, v in zip(texts, told, strict=True):
+        alone = embedding.HashingEmbedder(16).vector(t) if t and t.strip() else None
+        assert (v is None) == (alone is None) and (v is None or v.tolist() == alone and abs(sum(x * x for x in alone) - 1) < 1e-9)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", embedding.embedded(F.col("t"), embedding.HashingEmbedder(16)).alias("v"))
+    got = [r["v"] for r in df.orderBy("i").collect()]
+    assert all((g is None) == (v is None) and (v is None or max(abs(a - b) for a, b in zip(g, v, strict=True)) < 1e-6) for g, v in zip(got, told, strict=True))
+    assert len({tuple(v) for v in told if v is not None}) == 302  # of word and word, each pair its own
