@@ -8,6 +8,7 @@ The tables here are small samples of common words, for tests and as a default.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST = 200_000
+#: Conversions of short runs that are kept, and how long these are at most.
+RUNS_KEPT, SHORT = 50_000, 16
 
 # Words in which a simplified character stands for another one than usual, simplified and traditional.
 PHRASES = """头发 頭髮 理发 理髮 白发 白髮 发型 髮型 皇后 皇后 太后 太后 后妃 后妃 干净 乾淨 干燥 乾燥 饼干 餅乾 干部 幹部 能干 能幹 树干 樹幹 干涉 干涉 面条 麵條 面包 麵包 面粉 麵粉 公里 公里 邻里 鄰里
@@ -36,20 +39,24 @@ class Conversion:
     """A trie of entries, nested by character; the empty key holds what an entry becomes."""
 
     trie: dict = field(repr=False)
+    runs: re.Pattern | None = field(repr=False, compare=False)  # of characters that stand in any entry
+    known: dict[str, str] = field(default_factory=dict, repr=False, compare=False)  # short runs met before
 
     @staticmethod
     def of(pairs: Iterable[tuple[str, str]]) -> Conversion:
         """Of pairs (from, to); of several for the same entry the first counts."""
         trie: dict = {}
+        letters: set[str] = set()
         for n, (source, target) in enumerate(pairs):
             if n >= MOST:
                 raise ValueError(f"a conversion table holds at most {MOST} entries")
             node = trie
             for c in source:
                 node = node.setdefault(c, {})
+            letters.update(source)
             if source:
                 node.setdefault("", target)
-        return Conversion(trie)
+        return Conversion(trie, re.compile(f"[{''.join(map(re.escape, sorted(letters)))}]+") if letters else None)
 
     @staticmethod
     def from_table(entries: DataFrame) -> Conversion:
@@ -58,6 +65,19 @@ class Conversion:
         return Conversion.of((r["source"], r["best"]["target"]) for r in best.limit(MOST + 1).collect())
 
     def convert(self, text: str) -> str:
+        """The text with its runs converted, each on its own: no entry reaches beyond one."""
+        return self.runs.sub(self._converted, text) if self.runs else text
+
+    def _converted(self, match: re.Match) -> str:
+        run = match[0]
+        told = self.known.get(run)
+        if told is None:
+            told = self._of_run(run)
+            if len(run) <= SHORT and len(self.known) < RUNS_KEPT:
+                self.known[run] = told
+        return told
+
+    def _of_run(self, text: str) -> str:
         out, at = [], 0
         while at < len(text):
             node, end, found = self.trie, at, None

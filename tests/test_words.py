@@ -115,6 +115,14 @@ def test_conversion_equals_an_alternation(text, table):
     assert Conversion.of(table.items()).convert(text) == (re.sub(pattern, lambda m: table[m[0]], text) if pattern else text)
 
 
+def test_equal_runs_are_converted_once(monkeypatch):
+    own, seen = Conversion.of([("ab", "1"), ("b", "2")]), []
+    monkeypatch.setattr(Conversion, "_of_run", lambda self, run, of=Conversion._of_run: seen.append(run) or of(self, run))
+    assert own.convert("x ab x ab, bab " * 50) == "x 1 x 1, 21 " * 50 and sorted(seen) == ["ab", "bab"]
+    long = "ab" * 20
+    assert own.convert(f"{long} {long}") == "1" * 20 + " " + "1" * 20 and long not in own.known
+
+
 def test_conversion_tables_come_from_tables(spark):
     rows = [("发", "髮", 2), ("发", "發", 1), ("头发", "頭髮", 1)]
     own = Conversion.from_table(spark.createDataFrame(rows, "source string, target string, rank int"))
