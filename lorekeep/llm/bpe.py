@@ -44,22 +44,25 @@ LONG_KEPT = 16_000_000
 #: Characters of text whose pretokens are held at once; the more, the fewer recursive queries.
 CHARS_AT_ONCE = 2_000_000
 
-#: Each round finds every word's least (rank, place) among its neighbours that merge, then contracts that pair. A key
-#: is the word and the place, so that neighbours are one apart. Words without a pair are not carried on; a word's rows
-#: of its last round are its tokens.
+#: Each round finds every word's least (rank, place) among its neighbours that merge, then contracts that pair. A row holds
+#: its token, the next one, and what both merge to, if anything; so only the two rows beside a contraction ask the merge
+#: table again. The pair's first row is dropped, its second takes the merged token and moves up with those behind it. Words
+#: without a pair are not carried on; a word's rows of its last round are its tokens.
 _ENCODE = """
-WITH RECURSIVE t(word, key, token, round) AS (
-    SELECT word, (word::BIGINT << 32) + place, token, 0 FROM pieces
+WITH RECURSIVE t(word, place, token, next, merged, round) AS (
+    SELECT p.word, p.place, p.token, p.next, g.merged, 0 FROM pieces p LEFT JOIN merges g ON g.pair = (p.token::BIGINT << 32) + p.next
     UNION ALL
-    (WITH best AS (
-        SELECT a.word, min((g.merged::BIGINT << 32) + (a.key & 4294967295)) AS pick
-        FROM t a JOIN t b ON b.key = a.key + 1 JOIN merges g ON g.pair = (a.token::BIGINT << 32) + b.token
-        GROUP BY a.word
-    ), spot AS (SELECT word, (word::BIGINT << 32) + (pick & 4294967295) AS first_key, (pick >> 32)::INT AS merged FROM best)
-    SELECT t.word, t.key - (t.key > s.first_key)::BIGINT, CASE WHEN t.key = s.first_key THEN s.merged ELSE t.token END, t.round + 1
-    FROM t JOIN spot s ON s.word = t.word WHERE t.key <> s.first_key + 1)
+    (WITH best AS (SELECT word, min((merged::BIGINT << 32) + place) AS pick FROM t WHERE merged IS NOT NULL GROUP BY word),
+    spot AS (SELECT word, (pick & 4294967295)::INT AS place, (pick >> 32)::INT AS merged FROM best),
+    moved AS (
+        SELECT t.word, t.place - (t.place > s.place)::INT AS place, CASE WHEN t.place = s.place + 1 THEN s.merged ELSE t.token END AS token,
+            CASE WHEN t.place = s.place - 1 THEN s.merged ELSE t.next END AS next, CASE WHEN abs(t.place - s.place) <> 1 THEN t.merged END AS merged, abs(t.place - s.place) = 1 AS beside, t.round + 1 AS round
+        FROM t JOIN spot s ON s.word = t.word WHERE t.place <> s.place
+    )
+    SELECT m.word, m.place, m.token, m.next, coalesce(m.merged, g.merged), m.round
+    FROM moved m LEFT JOIN merges g ON g.pair = CASE WHEN m.beside THEN (m.token::BIGINT << 32) + m.next END)
 )
-SELECT t.word, t.key & 4294967295 AS place, t.token FROM t JOIN (SELECT word, max(round) AS round FROM t GROUP BY word) USING (word, round)
+SELECT t.word, t.place, t.token FROM t JOIN (SELECT word, max(round) AS round FROM t GROUP BY word) USING (word, round)
 """
 #: The same for long words. A place keeps its key for good: it holds a token and the place of the next one, or -1 once its
 #: token has been taken into the one before. Words without a pair drop out of the working table ``t``.
@@ -81,9 +84,11 @@ WITH RECURSIVE t(word, place, token, next) USING KEY (word, place) AS (
 )
 SELECT word, place, token FROM t WHERE token >= 0
 """
+#: One ordered aggregation gives tokens and their bytes: sorting each word's rows is its cost, so they are told together, as
+#: ``id.hex id.hex``, and then taken apart.
 _READ = """
-SELECT word, string_agg(token, ' ' ORDER BY place) AS ids, unhex(string_agg(v.hex, '' ORDER BY place)) AS bytes
-FROM coded JOIN vocabulary v USING (token) GROUP BY word
+SELECT word, regexp_replace(told, '\\.[0-9a-f]+', '', 'g') AS ids, unhex(regexp_replace(told, ' ?[0-9]+\\.', '', 'g')) AS bytes
+FROM (SELECT word, string_agg(v.told, ' ' ORDER BY place) AS told FROM coded JOIN vocabulary v USING (token) GROUP BY word)
 """
 
 
@@ -106,7 +111,7 @@ class Codec:
                     pair.append((a << 32) + b), merged.append(rank)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
         self._table("merges", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())}))
-        self._table("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+        self._table("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "told": [f"{n}.{t.hex()}" for t, n in self.ranks.items()]}))
         self.known: dict[str, str] = {}  # ids of the words used of late, in decimal, joined by spaces
         self.older: dict[str, str] = {}
         self.long = 0  # bytes of the long words met since the last forgetting
@@ -127,7 +132,11 @@ class Codec:
         whole = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum(lengths)
         place = np.arange(len(whole)) - np.repeat(ends - lengths, lengths)
-        self._table("pieces", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "place": place.astype(np.int32), "token": np.array(self.byte, np.int32)[whole]}))
+        token = np.array(self.byte, np.int32)[whole]
+        last = np.zeros(len(whole), bool)
+        last[ends - 1] = True
+        follows = pa.array(np.roll(token, -1), mask=last)  # null behind a word's last token
+        self._table("pieces", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "place": place.astype(np.int32), "token": token, "next": follows}))
         self.db.execute(f"CREATE OR REPLACE TABLE coded AS {encode}")
         for word, ids, back in self.db.execute(_READ).fetchall():
             self.known[words[word]] = ids

@@ -396,3 +396,12 @@ def test_html_table(spark):
     got = html_text.extract_text(pages).collect()
     assert len(got) == 4 and got[0]["text"].startswith("Head") and [r["text"] for r in got[2:]] == ["", ""] and got[0]["html"] == PAGE
     assert html_text.extract_text(pages.where("false")).count() == 0
+
+
+def test_words_are_contracted_as_by_a_queue_and_read_in_one_order():
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abeinost é記", k=rng.randrange(1, 40))) for _ in range(300)} | {"aaaaaaaaaaa", "a", " "}, key=len)
+    c = bpe.codec("byte_bpe_50k.tiktoken")
+    c._block(words)
+    assert [c.known[w] for w in words] == [" ".join(map(str, c._contract(w.encode()))) for w in words] and not set(words) & c.odd.keys()
+    assert bpe._READ.count("ORDER BY") == 1 and [c.decode(c.encode(w)) for w in words[-20:]] == [w.encode() for w in words[-20:]]
