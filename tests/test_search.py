@@ -167,3 +167,47 @@ def test_postings_come_in_sorted_runs_of_bounded_size(spark, monkeypatch, channe
         for at, term in enumerate(split(t)):
             want.setdefault((term, i), []).append(at)
     assert got == want and all(k[0] == layout.bucket(r["term"]) and r["tf"] == len(r["positions"]) and r["dl"] == len(split(texts[r["chunk_id"]])) for run in runs for k, r in run)
+
+
+@pytest.fixture
+def moved(spark):
+    """Bytes shuffled since the last call."""
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    at = [total()]
+
+    def since() -> int:
+        before, at[0] = at[0], total()
+        return at[0] - before
+
+    return since
+
+
+def test_an_index_shuffles_its_texts_once_for_all_channels(spark, tmp_path, moved):
+    rng = random.Random(7)
+    rows = [(i, "p0", " ".join("".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(200))) for i in range(500)]  # hardly a word twice
+    spark.createDataFrame(rows, "chunk_id long, project string, text string").repartition(2).write.parquet(str(tmp_path / "texts"))
+    size, texts = sum(len(t) for _, _, t in rows), spark.read.parquet(str(tmp_path / "texts"))
+    moved()
+    postings.write_channels(texts, str(tmp_path / "index"), postings.LEXICAL, postings.Layout(16, 2))
+    assert 0 < moved() < 1.2 * size
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    for channel in postings.LEXICAL:
+        postings.write_postings(texts, str(tmp_path / channel), channel, postings.Layout(16, 2))
+        own, told = spark.read.parquet(str(tmp_path / channel)), spark.read.parquet(f"{tmp_path}/index/channel={channel}")
+        assert own.columns == told.columns and own.exceptAll(told).isEmpty() and own.count() == told.count()
+    moved()
+    assert postings.summarise(spark.read.parquet(str(tmp_path / "segment")), 1024).isEmpty() and moved() < 1.5 * size
+
+
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_summaries_are_of_frequent_terms(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(postings, "MOST_SUMMARISED", most)
+    _, index, _ = corpus
+    rows, want = index.tables["segment"].select("term", "block", "tf", "dl").collect(), {}
+    for r in rows:
+        n, tf, lo, hi = want.get((r["term"], r["block"]), (0, 0, 1 << 30, 0))
+        want[r["term"], r["block"]] = (n + 1, max(tf, r["tf"]), min(lo, r["dl"]), max(hi, r["dl"]))
+    held = {t: sum(v[0] for (x, _), v in want.items() if x == t) for t, _ in want}
+    kept = sorted((t for t in held if held[t] >= 1500), key=lambda t: -held[t])[:most]
+    got = {(r["term"], r["block"]): (r["n"], r["most"], r["shortest"], r["longest"]) for r in postings.summarise(index.tables["segment"], 1500).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] in kept} and 2 <= len(kept) < len(held)
