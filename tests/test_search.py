@@ -211,3 +211,22 @@ def test_summaries_are_of_frequent_terms(spark, corpus, monkeypatch, most):
     kept = sorted((t for t in held if held[t] >= 1500), key=lambda t: -held[t])[:most]
     got = {(r["term"], r["block"]): (r["n"], r["most"], r["shortest"], r["longest"]) for r in postings.summarise(index.tables["segment"], 1500).collect()}
     assert got == {k: v for k, v in want.items() if k[0] in kept} and 2 <= len(kept) < len(held)
+
+
+def test_an_index_has_the_channels_that_are_asked(spark, sf):
+    from lorekeep.plans import catalog
+
+    before = dict(catalog._indexes)
+    catalog._indexes.clear()
+    try:
+        index = catalog.search_index(spark, sf, ("segment",))
+        segment = index.tables["segment"]
+        assert set(index.tables) == set(index.summaries) == {"segment"}
+        assert catalog.search_index(spark, sf) is index and set(index.tables) == set(index.summaries) == set(postings.LEXICAL)
+        assert index.tables["segment"] is segment and len(catalog._indexes) == 1
+        hits = retrieval.search(index, catalog.asked(spark), channels=postings.LEXICAL)
+        whole = postings.build_index(catalog.chunks(spark, sf), catalog.scratch_folder(spark) + "/whole")
+        assert sorted(map(str, hits.collect())) == sorted(map(str, retrieval.search(whole, catalog.asked(spark), channels=postings.LEXICAL).collect()))
+    finally:
+        catalog._indexes.clear()
+        catalog._indexes.update(before)
