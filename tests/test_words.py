@@ -5,16 +5,18 @@ import re
 import sys
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorekeep.functions import embedding
+from lorekeep.functions import embedding, words
 from lorekeep.functions import text as fn
 from lorekeep.functions.conversion import TO_SIMPLIFIED, TO_TRADITIONAL, Conversion
 from lorekeep.functions.words import UNKNOWN, Lexicon, learned, tokens
 from lorekeep.operators import postings, retrieval
+from lorekeep.plans import catalog
 
 ASKED = "qid int, text string, k int, project string, variant int"
 LEXICON = Lexicon.of([("記憶", 50), ("釘選", 40), ("版本", 30), ("選版", 1), ("記", 5), ("本", 5), ("記憶體", 20)])
@@ -83,6 +85,60 @@ def test_workers_get_tokens_as_one_string(spark):
     assert node.schema().apply("pythonUDF0").dataType().simpleString() == "string"
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.none() | st.text(alphabet="天地人日𠀀か月 aé", max_size=40), max_size=8),
+    st.dictionaries(st.text(alphabet="天地人日𠀀かa", min_size=1, max_size=6), st.integers(1, 50), max_size=10), st.sampled_from([4, 64]), st.sampled_from([4, 1 << 22]),
+)
+def test_texts_cut_together_are_cut_as_each_alone(texts, counts, short, cells):
+    lexicon = Lexicon.of(counts.items())
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("SHORT", short), ("_CELLS", cells), ("_NEIGHBOURS", cells)):
+            patch.setattr(words, name, value)
+        got = lexicon.arrays.tokens(pa.array(["before", *texts], pa.string()).slice(1)).to_pylist()
+    for text, own in zip(texts, got, strict=True):
+        apart = re.sub("[^ aé]+", r" \g<0> ", text or "").split()
+        assert own == [w for t in apart for w in (lexicon.words(t) if t[0] not in "aé" else [t])]
+
+
+def test_equal_pieces_are_cut_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(words.Arrays, "starts", lambda self, letters, sizes, of=words.Arrays.starts: seen.append(len(sizes)) or of(self, letters, sizes))
+    monkeypatch.setattr(Lexicon, "words", lambda self, run: pytest.fail("one by one"))
+    got = LEXICON.arrays.tokens(pa.array(["記憶釘選版本 記憶體日" * 500, None, "釘選記憶" * 500])).to_pylist()
+    assert got == [["記憶", "釘選", "版本", "記憶體", "日"] * 500, [], ["釘選", "記憶"] * 500]
+    assert seen == [4]  # 記憶, 釘選版本, 記憶體 and 釘選, between which no word stands
+
+
+def test_texts_are_cut_once_for_an_index(spark, tmp_path, monkeypatch):
+    rows = [(1, "p", "記憶釘選 x"), (2, "p", "no Han"), (3, "p", None), (4, "p", ""), (5, "p", "・")]
+    chunks, read_as = spark.createDataFrame(rows, "chunk_id long, project string, text string"), lambda text: F.concat(text, F.lit(" 版本"))
+    plain = postings.statistics(chunks.select(*postings.lengths(read_as(F.col("text")), LEXICON))).first()
+    with monkeypatch.context() as patch:
+        patch.setattr(postings, "tokens", lambda *_: pytest.fail("texts are cut for their lengths"))
+        index = postings.build_index(chunks, str(tmp_path / "s"), LEXICON, postings.Layout(2, 2), channels=("segment",), read_as=read_as)
+    assert index.corpus == {"n": 5, "trigram_avgdl": None, "segment_avgdl": plain["segment_avgdl"]}
+    index.add(postings.build_index(chunks, str(tmp_path / "t"), LEXICON, postings.Layout(2, 2), channels=("trigram",), read_as=read_as))
+    assert index.corpus == plain.asDict() and set(index.tables) == set(index.summaries) == {"trigram", "segment"}
+    asked = spark.createDataFrame([(1, "記憶", 5, None, 0), (2, "版本", 5, None, 0), (3, "憶釘", 5, None, 0)], ASKED)
+    assert sorted((r["qid"], r["chunk_id"]) for r in postings.matches(index, asked, "segment").collect()) == [(1, 1), (2, 1), (2, 2), (2, 4), (2, 5)]
+
+
+def test_texts_in_han_and_their_lexicon(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(words, "AT_ONCE", 50)
+    rng = __import__("random").Random(5)
+    rows = [(i, None if i % 20 == 0 else "".join(rng.choice("abz    é天XY.\n😀") for _ in range(rng.choice([0, 1, 2, 5, 60])))) for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (-1, " ab"), (-2, "ab cd ef gh"), (-3, "ab "), (-4, "ab cdé ef gh")], "doc_id long, text string").repartition(3)
+    plain = F.translate(F.regexp_replace("text", "([a-z]+) ([a-z]+)", "$1$2"), catalog.LETTERS, catalog.HAN)
+    catalog.ship_package(spark)
+    assert docs.select("text", catalog.in_han(F.col("text")).alias("told"), plain.alias("plain")).where("not told <=> plain").collect() == []
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "HAN_WORDS", 25)
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))).alias("w")).where(F.length("w").between(2, 4))
+    best = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(25)
+    assert catalog.han_lexicon(spark, str(tmp_path)) == Lexicon.from_table(best.select(F.translate("w", catalog.LETTERS, catalog.HAN).alias("word"), "n"))
+
+
 def test_a_lexicon_is_learned_from_counts(spark):
     rng = __import__("random").Random(3)
     words = ["記憶", "釘選", "版本", "天", "地", "人"]
