@@ -124,6 +124,14 @@ def test_texts_are_cut_once_for_an_index(spark, tmp_path, monkeypatch):
     assert sorted((r["qid"], r["chunk_id"]) for r in postings.matches(index, asked, "segment").collect()) == [(1, 1), (2, 1), (2, 2), (2, 4), (2, 5)]
 
 
+def test_what_texts_are_read_as_is_made_after_the_shuffle_alone(spark):
+    chunks = spark.createDataFrame([(1, "p", "ab cd"), (2, "p", None)], "chunk_id long, project string, text string")
+    rows = postings._in_blocks(postings._spread(chunks, postings.Layout(2, 2)), "segment", postings.Layout(2, 2), LEXICON, catalog.in_han)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("RepartitionById" if "RepartitionById" in plan else "Repartition")
+    assert {r["chunk_id"] for r in rows.collect()} == {1}
+
+
 def test_texts_in_han_and_their_lexicon(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(words, "AT_ONCE", 50)
     rng = __import__("random").Random(5)
